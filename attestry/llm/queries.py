@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import minhash_dedup, substring_dedup, warc
 
 QUERIES = {
+    "op1_warc": warc.op1,
+    "op7_minhash_dedup": minhash_dedup.op7,
     "op10_substring_dedup": substring_dedup.op10,
 }
