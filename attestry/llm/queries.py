@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, substring_dedup, warc
+from . import minhash_dedup, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op7_minhash_dedup": minhash_dedup.op7,
+    "op9_token_files": token_files.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }

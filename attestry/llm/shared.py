@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/attestry-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: computed once, read as often as needed."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
