@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from . import mixing
+
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.ORACLE,
+}
