@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import minhash_dedup, mixing, quality_rules, substring_dedup, token_files, warc
+from . import language_id, minhash_dedup, mixing, quality_rules, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_quality_rules": quality_rules.op2,
+    "op4_language_id": language_id.op4,
     "op6_mixing": mixing.op6,
     "op7_minhash_dedup": minhash_dedup.op7,
     "op9_token_files": token_files.op9,
