@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, minhash_dedup, mixing, quality_rules, substring_dedup, token_files, warc
+from . import html_extract, language_id, minhash_dedup, mixing, quality_rules, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": language_id.op4,
     "op6_mixing": mixing.op6,
     "op7_minhash_dedup": minhash_dedup.op7,
+    "op8_html_extract": html_extract.op8,
     "op9_token_files": token_files.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
