@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import hamming_search, mixing
 
 ORACLES: dict[str, str] = {
+    "op5_hamming_search": hamming_search.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import html_extract, language_id, minhash_dedup, mixing, quality_rules, substring_dedup, token_files, warc
+from . import hamming_search, html_extract, language_id, minhash_dedup, mixing, quality_rules, sentence_pieces, substring_dedup, token_files, warc
 
 QUERIES = {
     "op1_warc": warc.op1,
     "op2_quality_rules": quality_rules.op2,
+    "op3_sentence_pieces": sentence_pieces.op3,
     "op4_language_id": language_id.op4,
+    "op5_hamming_search": hamming_search.op5,
     "op6_mixing": mixing.op6,
     "op7_minhash_dedup": minhash_dedup.op7,
     "op8_html_extract": html_extract.op8,

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .shared import keyed
 from .words import mix, rolling, slices, word_hashes
@@ -171,7 +172,7 @@ def _windows(window: int):
     return run
 
 
-def _kept(window: int):
+def _kept(window: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -198,22 +199,26 @@ def _kept(window: int):
                         pa.array(np.diff(first)),
                         pa.array(removed),
                         pa.array(texts, pa.binary()).cast(pa.string()),
+                        *(part.column(c) for c in carry),
                     ],
-                    names=["_id", "_th", "doc_id", "n_words", "n_removed", "kept_text"],
+                    names=["_id", "_th", "doc_id", "n_words", "n_removed", "kept_text", *carry],
                 )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs (doc_id, text): _id and _th (its key), doc_id, n_words, n_removed, kept_text (kept words, one space between).
 
+    carry names columns of docs that come along, the text itself too.
+
     A word goes if a run of `window` words that holds it, all in one document, also starts anywhere else.
     """
     if window < 2 * CONTEXT + 2 * LONGEST:
         raise ValueError(f"a window needs {2 * CONTEXT + 2 * LONGEST} words at least")
-    rows = keyed(docs)
+    rows = keyed(docs, *(c for c in carry if c != "text"))
     key = ["_id", "_th"]
+    along = [c for c in carry if c != "text"]
 
     def once(found: DataFrame, by: list[str], name: str) -> DataFrame:
         """Of what occurs once: its places, by document."""
@@ -223,11 +228,12 @@ def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:
     phrases = rows.select(*key, "text").mapInArrow(_phrases(window), "h long, _id long, _th long, at int")
     alone = once(phrases, ["h"], "alone")
     empty = F.array().cast("array<int>")
-    slim = rows.select(*key, "doc_id", "text").join(alone, key, "left").withColumn("alone", F.coalesce("alone", empty))
+    slim = rows.select(*key, "doc_id", "text", *along).join(alone, key, "left").withColumn("alone", F.coalesce("alone", empty))
     counted = slim.mapInArrow(_windows(window), "h long, g int, _id long, _th long, at int")
     unique = once(counted, ["h", "g"], "unique")
     both = slim.join(unique, key, "left").withColumn("unique", F.coalesce("unique", empty))
-    return both.mapInArrow(_kept(window), "_id long, _th long, doc_id long, n_words long, n_removed long, kept_text string")
+    out = StructType.fromDDL("_id long, _th long, doc_id long, n_words long, n_removed long, kept_text string")
+    return both.mapInArrow(_kept(window, carry), StructType([*out.fields, *(rows.schema[c] for c in carry)]))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
