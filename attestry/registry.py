@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from attestry.jobs import catalog, spend  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = catalog.QUERIES
+ORACLES = catalog.ORACLES
