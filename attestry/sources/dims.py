@@ -50,7 +50,7 @@ INTENTS = [
 ]
 # Test keys: kid, status, last moment at which a retired key counts.
 KEYS = [("kid-0", "active", None), ("kid-1", "retired", "2024-01-15T00:00:00Z"), ("kid-2", "revoked", None), ("kid-3", "retired", None)]
-# Test registries: use case, status, approved models, approved sources, approved classes; model, status, readiness, use cases.
+# Test registries: use case, status, approved models, approved sources, approved classes; model, status, use cases.
 USE_CASES = [
     ("uc-0", "active", ["gpt-5", "gpt-5-mini"], ["app-0", "app-1", "app-2"], ["internal", "public", "pii_redacted"]),
     ("uc-1", "active", ["claude-opus-4-6", "claude-haiku-4-5"], ["app-0", "app-3"], ["internal", "pii", "public"]),
@@ -61,14 +61,14 @@ USE_CASES = [
     ("uc-6", "active", ["gpt-5-nano"], ["app-2"], ["internal", "public"]),
 ]
 MODELS = [
-    ("gpt-5", "active", "production_ready", ["uc-0", "uc-2"]),
-    ("gpt-5-mini", "active", "production_ready", ["uc-0"]),
-    ("gpt-5-nano", "active", "in_review", ["uc-6"]),
-    ("gpt-4o", "retired", "production_ready", ["uc-3", "uc-4"]),
-    ("claude-opus-4-6", "active", "production_ready", ["uc-1"]),
-    ("claude-haiku-4-5", "revoked", "production_ready", ["uc-1"]),
-    ("gemini-2-5-pro", "active", "production_ready", ["uc-4"]),
-    ("gemini-2-5-flash", "active", "approved", ["uc-4", "uc-5"]),
+    ("gpt-5", "approved", ["uc-0", "uc-2"]),
+    ("gpt-5-mini", "approved_with_conditions", ["uc-0"]),
+    ("gpt-5-nano", "validation", ["uc-6"]),
+    ("gpt-4o", "retired", ["uc-3", "uc-4"]),
+    ("claude-opus-4-6", "approved", ["uc-1"]),
+    ("claude-haiku-4-5", "revoked", ["uc-1"]),
+    ("gemini-2-5-pro", "approved", ["uc-4"]),
+    ("gemini-2-5-flash", "development", ["uc-4", "uc-5"]),
 ]
 # Framework, regulator label, article, severity (medium where the template has none), fields of which one satisfies it.
 ARTICLES = [
@@ -139,7 +139,7 @@ TABLES = {
     "intents": (INTENTS, "intent string, base_score bigint, planner_vendor string, planner_model string, executor_vendor string, executor_model string, cheap_model string"),
     "signing_keys": (KEYS, "kid string, status string, retired_at string"),
     "use_cases": (USE_CASES, "use_case_id string, status string, models array<string>, sources array<string>, classes array<string>"),
-    "model_registry": (MODELS, "model string, status string, readiness string, use_cases array<string>"),
+    "model_registry": (MODELS, "model string, status string, use_cases array<string>"),
     "articles": (ARTICLES, "framework string, regulator string, article_id string, severity string, fields array<string>"),
 }
 
