@@ -1,8 +1,7 @@
 """Token ids in a compressed binary format, readable in parallel.
 
-Encoding. A text is cut with the tokenizer's own pre-token pattern; each distinct piece of a task is encoded once by the
-tokenizers library and looked up afterwards. Texts with a character outside the blocks in which the two pattern engines
-surely agree, or with a special token's string, are encoded by the library whole.
+Encoding. A text is cut at blanks; each distinct word that a Python worker meets is encoded once by the tokenizers library and looked up
+afterwards. Texts where that could differ (odd white space, a special token's string) are encoded by the library whole.
 
 Format. The ids of all documents, each ended by END, form one stream in ascending doc_id order. It is cut into blocks of
 whole documents, about BLOCK ids each (a larger document is a block). A block is a row of a Parquet table: its first
@@ -19,6 +18,7 @@ hash; a null doc_id comes first; further columns are ignored; no rows give no bl
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,63 +35,104 @@ LANES = 1024
 BITS = 20
 BLOCK = 1 << 19
 STRIDE = 256
-#: Pieces that a task remembers.
-MEMORY = 400_000
-#: ASCII but for the four separators, which Python alone counts as white space; Latin-1 letters; Latin Extended-A.
-PLAIN = r"[\x00-\x1b\x20-\x7e\xa1-\xac\xae-ſ‐-‧€]*"
+#: Words that a Python worker remembers, over all tasks that it runs.
+MEMORY = 1_200_000
+#: Texts with white space beyond ASCII's, and those where a blank has white space on both sides or ends the text after some.
+ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\\s \\s|\\s $")
 
 
 class Encoder:
-    """Texts to ids, with a memory of pieces."""
+    """Texts to ids, with a memory of words: a blank and what follows it up to the next one are encoded alike everywhere.
 
-    def __init__(self, path: str, pattern: str):
-        import regex
+    That holds for byte-level pre-tokens, which take in one blank on their left, unless a run of white space holds a
+    blank that isn't its last character and isn't its first one. ODD finds those texts; the library encodes them whole.
+    """
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pattern = regex.compile(pattern)
-        self.plain = regex.compile(PLAIN)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.bytes = np.zeros(1 << 16, np.int64)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.bytes[k] = len(token)
         self._forget()
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
+        self.heads: dict[str, np.ndarray] = {}
+        self.parts: list[np.ndarray] = []
         self.flat, self.bound = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((x for y in ids for x in y), np.uint16)])
-        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum([len(x) for x in ids])])
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        edge = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
+        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
+        flat, sizes = [], []
+        for a in range(0, len(plain), 1000):  # many words in one text, parted again by the bytes of their tokens
+            some = plain[a : a + 1000]
+            (ids,) = self._encode([" " + " ".join(some)])
+            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+            reached = np.cumsum(self.bytes[ids])
+            last = np.minimum(np.searchsorted(reached, ends) + 1, len(ids))
+            if (reached[last - 1] == ends).all():
+                flat.append(ids)
+                sizes.append(np.diff(last, prepend=0))
+            else:
+                each = self._encode([" " + w for w in some])
+                flat += each
+                sizes.append(np.array([len(x) for x in each]))
+        each = self._encode([" " + w for w in edge])
+        flat += each
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        self.place.update(zip([*plain, *edge], range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.flat = np.concatenate([self.flat, *flat])
+        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(np.concatenate(sizes))])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) > MEMORY:
+        if len(self.place) + len(self.heads) > MEMORY:
             self._forget()
-        whole = [not self.plain.fullmatch(t) or any(s in t for s in self.special) for t in texts]
-        cut = [[] if w else self.pattern.findall(t) for t, w in zip(texts, whole, strict=True)]
-        place = self.place
-        if new := list({p for x in cut for p in x if p not in place}):
+        whole = [bool(ODD.search(t)) or any(s in t for s in self.special) for t in texts]
+        cut = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        place, heads = self.place, self.heads
+        if new := list({w for x in cut for w in x[1:] if w not in place}):
             self._learn(new)
-        sizes = np.diff(self.bound)
+        if fresh := list({x[0] for x in cut if x} - heads.keys()):
+            heads.update(zip(fresh, self._encode(fresh), strict=True))
+        odd = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
         out = []
-        for text, w, pieces in zip(texts, whole, cut, strict=True):
+        for text, w, words in zip(texts, whole, cut, strict=True):
             if w:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16))
-                continue
-            at = np.fromiter(map(place.__getitem__, pieces), np.int64, len(pieces))
-            n = sizes[at]
-            total = int(n.sum())
-            out.append(self.flat[np.repeat(self.bound[at] - np.cumsum(n) + n, n) + np.arange(total)])
+                out.append(next(odd))
+            elif not text:
+                out.append(np.zeros(0, np.uint16))
+            else:
+                at = np.fromiter(map(place.__getitem__, words[1:]), np.int64, len(words) - 1)
+                n = self.bound[at + 1] - self.bound[at]
+                rest = self.flat[np.repeat(self.bound[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                out.append(np.concatenate([heads[words[0]], rest]))
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's own encoder, kept between tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 RAW = "part int, start long, n long, doc_ids array<long>, lengths array<long>, ids binary"
 
 
-def _encoded(path: str, pattern: str):
+def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path)
         part, start, size = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[int | None, np.ndarray]] = []
 
@@ -235,14 +276,14 @@ def _decoded(table: np.ndarray):
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, path: str) -> DataFrame:
     """Blocks of ids not yet compressed (RAW), as a written table.
 
     Texts are range-partitioned by doc_id and sorted; a block's start counts from the beginning of its range.
     """
     order = [F.col("doc_id").asc_nulls_first(), F.col("_th")]
     rows = keyed(docs).select("doc_id", "_th", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(rows.select("doc_id", "text").mapInArrow(_encoded(path, pattern), RAW), compression="zstd")
+    return written(rows.select("doc_id", "text").mapInArrow(_encoded(path), RAW), compression="zstd")
 
 
 def write_files(raw: DataFrame) -> tuple[DataFrame, np.ndarray]:
@@ -267,5 +308,5 @@ def read_files(blocks: DataFrame, table: np.ndarray) -> DataFrame:
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    raw = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    raw = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
     return read_files(*write_files(raw)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
