@@ -31,6 +31,8 @@ DIMS = 4096
 CENTROIDS = 4
 SAMPLE = 500
 QUANTILE = 0.005
+#: Bytes of text that a task turns into vectors at once.
+SLICE = 1 << 18
 _KEEP = np.full(256, 32, np.uint32)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -82,7 +84,7 @@ def spherical_kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(DIMS, np.int64)
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=SLICE):
             total += (gram_counts(part.column("text")) > 0).sum(axis=0)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["dim", "n"])
@@ -91,7 +93,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _vectorised(idf: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 found = vectors(gram_counts(part.column("text")), idf)
                 yield pa.RecordBatch.from_arrays([part.column("lang"), pa.array([x.tobytes() for x in found], pa.binary())], names=["lang", "v"])
 
@@ -111,7 +113,7 @@ def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, floors, centroids, idf = model.value
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=SLICE):
                 near = vectors(gram_counts(part.column("text")), idf) @ centroids.T
                 best = near.argmax(axis=1)
                 score = np.clip(near[np.arange(len(best)), best].astype(np.float64), 0, 1)
