@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.jobs import catalog, governance, spend  # noqa: F401
+from attestry.jobs import catalog, governance, ledger, spend  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
