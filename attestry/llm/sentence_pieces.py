@@ -28,9 +28,12 @@ import math
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,8 +85,13 @@ def char_class(c: str) -> int:
     return 0 if c == MARK else 1 if kind[0] in "LM" else 2 if kind[0] == "N" else 3 if kind[0] in "ZC" else 4
 
 
+@cache
 def _classes() -> np.ndarray:
-    return np.array([char_class(chr(k)) for k in range(0x110000)], np.uint8)
+    """The class of every code point: category names are made once in a worker."""
+    kinds = {k: char_class(c) for k, c in ((unicodedata.category(chr(k)), chr(k)) for k in range(0x110000) if chr(k) != MARK)}
+    out = np.fromiter((kinds[unicodedata.category(chr(k))] for k in range(0x110000)), np.uint8, 0x110000)
+    out[ord(MARK)] = 0
+    return out
 
 
 def cut(text: str, classes: np.ndarray, crossed: np.ndarray) -> list[str]:
@@ -123,11 +131,10 @@ def _chunked(base: str, crossed: np.ndarray):
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
             flat = np.concatenate([x[3] for x in rows])
-            rank = np.empty(len(numbers), np.uint32)  # frequent words get small numbers, whose upper half compresses away
             order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(numbers), np.uint32)  # frequent words get small numbers, whose upper half compresses away
             rank[order] = np.arange(len(numbers), dtype=np.uint32)
-            flat = rank[flat]
-            halves = flat.view(np.uint16).reshape(-1, 2).T.tobytes()
+            halves = rank[flat].view(np.uint16).reshape(-1, 2).T.tobytes()
             docs = pa.table(
                 {
                     "_id": pa.array([x[0] for x in rows], pa.int64()),
@@ -140,11 +147,11 @@ def _chunked(base: str, crossed: np.ndarray):
             with pa.ipc.new_stream(sink, docs.schema) as writer:
                 writer.write_table(docs)
             head = sink.getvalue().to_pybytes()
-            data = len(head).to_bytes(8, "little") + len(halves).to_bytes(8, "little") + pa.compress(head + halves, "zstd", asbytes=True)
+            data = len(head).to_bytes(8, "little") + len(halves).to_bytes(8, "little") + zstandard.compress(head + halves, 6)
             out.write(data)
             words = np.array(list(numbers), object)[order]
             fields = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            values = [TaskContext.get().partitionId() << 32 | made, f"{base}/{name}", offset, len(data), len(rows), words.tolist()]
+            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), len(rows), words.tolist()]
             offset, made = offset + len(data), made + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, fields, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -152,7 +159,7 @@ def _chunked(base: str, crossed: np.ndarray):
             for row in zip(*(batch.column(c) for c in ("_id", "_th", "doc_id", "text")), strict=True):
                 text = row[3].as_py() or ""
                 words = cut(text, classes, crossed)
-                rows.append((*(x.as_py() for x in row[:3]), np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))))
+                rows.append((*(x.as_py() for x in row[:3]), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
                 size += len(text) + 64
                 if size > CHUNK:
                     yield chunk()
@@ -183,15 +190,21 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
 
 
 def best_path(words: DataFrame, table: Table) -> DataFrame:
-    """word, ids for each row of words (word, edges): Viterbi over end positions, then back from the end."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id")))
+    """word, ids (big-endian 16-bit) for each row of words (word, edges): Viterbi over the edges by end position, then back.
+
+    The fold holds the best of each finished position and that of the position at hand; every position has an edge.
+    """
+    kind = "struct<score:double,s:int,id:int>"
+    zero = F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(0).alias("e"), zero.alias("best"))
 
-    def grown(best: Column, e: Column) -> Column:
-        own = F.filter("edges", lambda x: x["e"] == e)
-        told = F.transform(own, lambda x: F.struct((F.get(best, x["s"])["score"] + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id")))
-        return F.concat(best, F.array(F.array_max(told)))
+    def grown(acc: Column, x: Column) -> Column:
+        same = acc["e"] == x["e"]
+        before = F.when(acc["e"] == x["s"], acc["best"]["score"]).otherwise(F.get(acc["done"], x["s"])["score"])
+        told = F.struct((before + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id"))
+        return F.struct(F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"]))).alias("done"), x["e"].alias("e"), F.when(same, F.greatest(acc["best"], told)).otherwise(told).alias("best"))
 
-    best = words.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), start, grown).alias("best"))
+    best = words.select("word", F.aggregate("edges", start, grown, lambda acc: F.concat(acc["done"], F.array(acc["best"]))).alias("best"))
 
     def back(acc: Column, _: Column) -> Column:
         at = F.get(F.col("best"), acc["at"])
@@ -200,15 +213,17 @@ def best_path(words: DataFrame, table: Table) -> DataFrame:
 
     none = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("path"))
     path = best.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), none, back, lambda acc: acc["path"]).alias("path"))
-    if table.byte is None:
-        return path.select("word", F.transform("path", lambda x: F.when(x["id"] >= 0, x["id"]).otherwise(F.lit(table.unknown))).alias("ids"))
+    two = lambda x: F.lpad(F.hex(x), 4, "0")
 
     def spelled(x: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("word"), x["s"] + 1, F.lit(1)), "UTF-8"))
-        own = F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + table.byte)
-        return F.when(x["id"] >= 0, F.array(x["id"])).otherwise(own)
+        if table.byte is None:
+            own = two(F.lit(table.unknown))
+        else:
+            code = F.hex(F.encode(F.substring(F.col("word"), x["s"] + 1, F.lit(1)), "UTF-8"))
+            own = F.array_join(F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: two(F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + table.byte)), "")
+        return F.when(x["id"] >= 0, two(x["id"])).otherwise(own)
 
-    return path.select("word", F.flatten(F.transform("path", spelled)).alias("ids"))
+    return path.select("word", F.unhex(F.array_join(F.transform("path", spelled), "")).alias("ids"))
 
 
 def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,15 +231,15 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             at = batch.column("at")[k].values
             ids = batch.column("ids")[k].values
-            order = np.argsort(np.asarray(at))
-            sizes = np.asarray(ids.value_lengths())[order] if len(ids) else np.zeros(0, np.int64)
-            flat = np.asarray(ids.take(pa.array(order)).flatten()) if len(ids) else np.zeros(0, np.int32)
+            ids = ids.take(pa.array(np.argsort(np.asarray(at)))) if len(ids) else pa.array([], pa.binary())
+            sizes = np.asarray(pc.binary_length(ids)).astype(np.int64) // 2
+            flat = np.frombuffer(b"".join(ids.to_pylist()), ">u2")
             bound = np.concatenate([[0], np.cumsum(sizes)])
             store, path = fs.FileSystem.from_uri(batch.column("file")[k].as_py())
             with store.open_input_file(path) as f:
                 data = f.read_at(batch.column("length")[k].as_py(), batch.column("offset")[k].as_py())
             head, body = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-            data = pa.decompress(data[16:], head + body, "zstd", asbytes=True)
+            data = zstandard.decompress(data[16:], head + body)
             docs = pa.ipc.open_stream(data[:head]).read_all().combine_chunks()
             numbers = np.ascontiguousarray(np.frombuffer(data, np.uint16, body // 2, head).reshape(2, -1).T).view(np.uint32).ravel() if body else np.zeros(0, np.uint32)
             cuts = np.concatenate([[0], np.cumsum(docs["n"].to_numpy())]).astype(np.int64)
@@ -252,14 +267,15 @@ def encode(docs: DataFrame, table: Table) -> DataFrame:
     rows = keyed(docs).select("_id", "_th", "doc_id", "text")
     chunks = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed), CHUNKS), compression="zstd")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = chunks.select("chunk", F.posexplode("words").alias("at", "word")).repartition(spread, "word")
-    # the counts take the columns that the join takes too, so that both read one exchange
-    distinct = asked.groupBy("word").agg(F.min("chunk").alias("c"), F.min("at").alias("a")).where("c >= 0 and a >= 0").select("word")
+    each = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
+    # one number says chunk and word; both uses below read the same two columns, so they share one exchange
+    asked = each.select("word", (F.col("chunk") * (1 << 24) + F.col("at")).alias("place")).where("word is not null and place is not null").repartition(spread, "word")
+    distinct = asked.groupBy("word").agg(F.min("place").alias("p")).where("p >= 0").select("word")
     known = best_path(lattice(distinct, table), table)
-    told = asked.join(known, "word").groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("ids").alias("ids"))
-    empty = F.array().cast("array<int>")
+    chunk = F.coalesce(F.shiftright("place", 24), F.lit(-1).cast("long"))  # never null, else the join adds a filter to one use of the exchange
+    told = asked.join(known, "word").select("place", "ids").groupBy(chunk.alias("chunk")).agg(F.collect_list((F.col("place") % (1 << 24)).cast("int")).alias("at"), F.collect_list("ids").alias("ids"))
     back = chunks.select("chunk", "file", "offset", "length").join(told, "chunk", "left")
-    back = back.select("file", "offset", "length", F.coalesce("at", empty).alias("at"), F.coalesce("ids", F.array().cast("array<array<int>>")).alias("ids"))
+    back = back.select("file", "offset", "length", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("ids", F.array().cast("array<binary>")).alias("ids"))
     return back.mapInArrow(_assembled, "_id long, _th long, doc_id long, ids array<int>")
 
 

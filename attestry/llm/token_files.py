@@ -37,15 +37,37 @@ BLOCK = 1 << 19
 STRIDE = 256
 #: Words that a Python worker remembers, over all tasks that it runs.
 MEMORY = 1_200_000
-#: Texts with white space beyond ASCII's, and those where a blank has white space on both sides or ends the text after some.
-ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|\\s \\s|\\s $")
+#: Stands before the first word of a text, which has no blank; texts that hold it are encoded whole.
+HEAD = "\x1c"
+_BLANKS = re.compile(r" [ \t\n\r\x0b\x0c]| $")
+_BLANKS_ODD = re.compile(r"[ \t\n\r\x0b\x0c] (?:[ \t\n\r\x0b\x0c]|$)")
+_SPACES_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def odd(text: str) -> bool:
+    """White space beyond ASCII's, or a blank that has white space on both sides or ends the text after some."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f") or (not text.isascii() and _SPACES_ODD.search(text)):
+        return True
+    return bool(_BLANKS.search(text) and _BLANKS_ODD.search(text))
+
+
+class _Places(dict):
+    """Numbers words as they come, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = len(self)
+        self.new.append(word)
+        return k
 
 
 class Encoder:
     """Texts to ids, with a memory of words: a blank and what follows it up to the next one are encoded alike everywhere.
 
     That holds for byte-level pre-tokens, which take in one blank on their left, unless a run of white space holds a
-    blank that isn't its last character and isn't its first one. ODD finds those texts; the library encodes them whole.
+    blank that isn't its last character and isn't its first one. Those texts are `odd`; the library encodes them whole.
     """
 
     def __init__(self, path: str):
@@ -59,60 +81,64 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.heads: dict[str, np.ndarray] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat, self.bound = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.place = _Places()
+        self.flat = np.zeros(0, np.uint16)
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        edge = [w for w in words if not w or w[0].isspace() or w[-1].isspace()]
-        plain = [w for w in words if w and not (w[0].isspace() or w[-1].isspace())]
-        flat, sizes = [], []
-        for a in range(0, len(plain), 1000):  # many words in one text, parted again by the bytes of their tokens
-            some = plain[a : a + 1000]
-            (ids,) = self._encode([" " + " ".join(some)])
-            ends = np.cumsum([len(w.encode()) + 1 for w in some])
+        """Appends the ids of words, in order. Many go in one text, parted again by the bytes of their tokens."""
+        alone = np.array([not w or w[0] <= " " or w[-1] <= " " for w in words])
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        flat, at = [self.flat], len(self.flat)
+        joint, rest = np.flatnonzero(~alone), np.flatnonzero(alone).tolist()
+        for a in range(0, len(joint), 1000):
+            own = joint[a : a + 1000]
+            some = [words[k] for k in own.tolist()]
+            text = " " + " ".join(some)
+            (ids,) = self._encode([text])
+            ends = np.cumsum([len(w) + 1 for w in some] if text.isascii() else [len(w.encode()) + 1 for w in some])
             reached = np.cumsum(self.bytes[ids])
             last = np.minimum(np.searchsorted(reached, ends) + 1, len(ids))
             if (reached[last - 1] == ends).all():
+                size[own] = np.diff(last, prepend=0)
+                first[own] = at + last - size[own]
                 flat.append(ids)
-                sizes.append(np.diff(last, prepend=0))
+                at += len(ids)
             else:
-                each = self._encode([" " + w for w in some])
-                flat += each
-                sizes.append(np.array([len(x) for x in each]))
-        each = self._encode([" " + w for w in edge])
-        flat += each
-        sizes.append(np.array([len(x) for x in each], np.int64))
-        self.place.update(zip([*plain, *edge], range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, *flat])
-        self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum(np.concatenate(sizes))])
+                rest += own.tolist()
+        each = self._encode([words[k][1:] if words[k][:1] == HEAD else " " + words[k] for k in rest])
+        size[rest] = [len(x) for x in each]
+        first[rest] = at + np.cumsum(size[rest]) - size[rest]
+        self.flat = np.concatenate([*flat, *each])
+        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.place) + len(self.heads) > MEMORY:
+        if len(self.place) > MEMORY:
             self._forget()
-        whole = [bool(ODD.search(t)) or any(s in t for s in self.special) for t in texts]
-        cut = [[] if w or not t else t.split(" ") for t, w in zip(texts, whole, strict=True)]
-        place, heads = self.place, self.heads
-        if new := list({w for x in cut for w in x[1:] if w not in place}):
-            self._learn(new)
-        if fresh := list({x[0] for x in cut if x} - heads.keys()):
-            heads.update(zip(fresh, self._encode(fresh), strict=True))
-        odd = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
-        out = []
-        for text, w, words in zip(texts, whole, cut, strict=True):
-            if w:
-                out.append(next(odd))
-            elif not text:
-                out.append(np.zeros(0, np.uint16))
-            else:
-                at = np.fromiter(map(place.__getitem__, words[1:]), np.int64, len(words) - 1)
-                n = self.bound[at + 1] - self.bound[at]
-                rest = self.flat[np.repeat(self.bound[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-                out.append(np.concatenate([heads[words[0]], rest]))
+        whole = [odd(t) or any(s in t for s in self.special) for t in texts]
+        words: list[str] = []
+        ends = [0]
+        for text, w in zip(texts, whole, strict=True):
+            if text and not w:
+                cut = text.split(" ")
+                cut[0] = HEAD + cut[0]
+                words += cut
+            ends.append(len(words))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
+        first, n = self.first[at], self.size[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
+        out = [ids[a:b] for a, b in zip(total[ends[:-1]], total[ends[1:]], strict=True)]
+        if any(whole):
+            at = [k for k, w in enumerate(whole) if w]
+            for k, x in zip(at, self._encode([texts[k] for k in at]), strict=True):
+                out[k] = x
         return out
 
 
