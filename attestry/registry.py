@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from attestry.jobs import catalog, governance, ledger, spend, texts  # noqa: F401
+from attestry.jobs import catalog, governance, ledger, spend, streams, texts  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLES = catalog.ORACLES
