@@ -44,7 +44,7 @@ from .shared import keyed, shared_dir, written
 
 MARK = "▁"
 LONGEST = 48
-CHUNK = 24 << 20
+CHUNK = 16 << 20
 UNKNOWN = -100.0
 
 
@@ -65,6 +65,8 @@ class Table:
         ranks = all(s == int(s) for s in scores.values())
         exact = lambda x: round(x * (1 << 20)) / (1 << 20)  # noqa: E731  sums are exact, so equal paths tie in any order
         self.rows = [(model.id_to_piece(i), i, exact(-math.log1p(-scores[i]) if ranks else scores[i])) for i in normal]
+        if n >= NONE:
+            raise ValueError(f"ids need 16 bits: {n} pieces")
         self.longest = max(len(p) for p, _, _ in self.rows)
         self.text = [b""] * n
         for p, i, _ in self.rows:
@@ -149,9 +151,10 @@ def _chunked(base: str, crossed: np.ndarray):
             head = sink.getvalue().to_pybytes()
             data = len(head).to_bytes(8, "little") + len(halves).to_bytes(8, "little") + zstandard.compress(head + halves, 6)
             out.write(data)
-            words = np.array(list(numbers), object)[order]
+            words = list(numbers)
+            words = [words[k] for k in order.tolist()]
             fields = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), len(rows), words.tolist()]
+            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), len(rows), words]
             offset, made = offset + len(data), made + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, fields, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -172,61 +175,76 @@ def _chunked(base: str, crossed: np.ndarray):
     return run
 
 
+#: An edge in one number: end (6 bits), start (6), cost in 2**-20 (30), id (16); a state likewise: cost, 63 - start, NONE - id.
+NONE = 65535
+
+
+def _edge(id_: Column, cost: Column) -> Column:
+    place = F.shiftleft(F.col("e").cast("long"), 52).bitwiseOR(F.shiftleft(F.col("s").cast("long"), 46))
+    return place.bitwiseOR(F.shiftleft(cost.cast("long"), 16)).bitwiseOR(id_.cast("long"))
+
+
+def _bits(x: Column, at: int, n: int) -> Column:
+    return F.shiftright(x, at).bitwiseAND(F.lit((1 << n) - 1).cast("long"))
+
+
 def lattice(words: DataFrame, table: Table) -> DataFrame:
-    """word, edges for each row of words (word): edges is an array of (e, s, id, score), by end position."""
-    pieces = words.sparkSession.createDataFrame(table.rows, "piece string, id int, score double")
+    """word, edges for each row of words (word): the packed edges, by end position."""
+    pieces = words.sparkSession.createDataFrame([(p, i, round(-s * (1 << 20))) for p, i, s in table.rows], "piece string, id int, cost long")
     n = F.length("word")
-    parts = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.transform(
-                F.sequence(i, F.least(n, i + (table.longest - 1))), lambda j: F.struct((i - 1).alias("s"), j.alias("e"), F.substring(F.col("word"), i, j - i + 1).alias("piece"))
-            ),
-        )
-    )
-    met = words.select("word", F.inline(parts)).join(F.broadcast(pieces), "piece", "left").where("id is not null or e = s + 1")
-    edge = F.struct("e", "s", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(UNKNOWN)).alias("score"))
+    from_each = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    to_each = from_each.select("word", "i", F.explode(F.sequence(F.col("i"), F.least(n, F.col("i") + (table.longest - 1)))).alias("e"))
+    parts = to_each.select("word", (F.col("i") - 1).alias("s"), "e", F.substring(F.col("word"), F.col("i"), F.col("e") - F.col("i") + 1).alias("piece"))
+    met = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or e = s + 1")
+    edge = _edge(F.coalesce("id", F.lit(NONE)), F.coalesce("cost", F.lit(round(-UNKNOWN * (1 << 20)))))
     return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def best_path(words: DataFrame, table: Table) -> DataFrame:
     """word, ids (big-endian 16-bit) for each row of words (word, edges): Viterbi over the edges by end position, then back.
 
-    The fold holds the best of each finished position and that of the position at hand; every position has an edge.
+    The fold holds the best of each finished position and that of the position at hand; every position has an edge. The
+    least state has the least cost, then the latest start, then the greatest id.
     """
-    kind = "struct<score:double,s:int,id:int>"
-    zero = F.struct(F.lit(0.0).alias("score"), F.lit(-1).alias("s"), F.lit(-1).alias("id"))
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(0).alias("e"), zero.alias("best"))
+    start = F.struct(F.array().cast("array<bigint>").alias("done"), F.lit(0).cast("long").alias("e"), F.lit(0).cast("long").alias("best"))
 
     def grown(acc: Column, x: Column) -> Column:
-        same = acc["e"] == x["e"]
-        before = F.when(acc["e"] == x["s"], acc["best"]["score"]).otherwise(F.get(acc["done"], x["s"])["score"])
-        told = F.struct((before + x["score"]).alias("score"), x["s"].alias("s"), x["id"].alias("id"))
-        return F.struct(F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"]))).alias("done"), x["e"].alias("e"), F.when(same, F.greatest(acc["best"], told)).otherwise(told).alias("best"))
+        e, s = _bits(x, 52, 6), _bits(x, 46, 6)
+        same = acc["e"] == e
+        before = F.when(acc["e"] == s, acc["best"]).otherwise(F.get(acc["done"], s.cast("int")))
+        told = F.shiftleft(F.shiftright(before, 22) + _bits(x, 16, 30), 22) + F.shiftleft(F.lit(63).cast("long") - s, 16) + (F.lit(NONE).cast("long") - _bits(x, 0, 16))
+        done = F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"])))
+        return F.struct(done.alias("done"), e.alias("e"), F.when(same, F.least(acc["best"], told)).otherwise(told).alias("best"))
 
     best = words.select("word", F.aggregate("edges", start, grown, lambda acc: F.concat(acc["done"], F.array(acc["best"]))).alias("best"))
+    two = lambda x: F.lpad(F.hex(x), 4, "0")
+
+    def spelled(at: Column) -> Column:
+        if table.byte is None:
+            return two(F.lit(table.unknown))
+        code = F.hex(F.encode(F.substring(F.col("word"), at + 1, F.lit(1)), "UTF-8"))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: two(F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + table.byte)), "")
 
     def back(acc: Column, _: Column) -> Column:
-        at = F.get(F.col("best"), acc["at"])
-        one = F.array(F.struct(at["s"].alias("s"), at["id"].alias("id")))
-        return F.when(acc["at"] > 0, F.struct(at["s"].alias("at"), F.concat(one, acc["path"]).alias("path"))).otherwise(acc)
+        state = F.get(F.col("best"), acc["at"])
+        s, id_ = (F.lit(63).cast("long") - _bits(state, 16, 6)).cast("int"), F.lit(NONE).cast("long") - _bits(state, 0, 16)
+        text = F.when(id_ == NONE, spelled(s)).otherwise(two(id_))
+        return F.when(acc["at"] > 0, F.struct(s.alias("at"), F.concat(text, acc["text"]).alias("text"))).otherwise(acc)
 
-    none = F.struct(F.length("word").alias("at"), F.array().cast("array<struct<s:int,id:int>>").alias("path"))
-    path = best.select("word", F.aggregate(F.sequence(F.lit(1), F.length("word")), none, back, lambda acc: acc["path"]).alias("path"))
-    two = lambda x: F.lpad(F.hex(x), 4, "0")
+    none = F.struct(F.length("word").alias("at"), F.lit("").alias("text"))
+    path = F.aggregate(F.sequence(F.lit(1), F.length("word")), none, back, lambda acc: acc["text"])
+    return best.select("word", F.unhex(path).alias("ids"))
 
-    def spelled(x: Column) -> Column:
-        if table.byte is None:
-            own = two(F.lit(table.unknown))
-        else:
-            code = F.hex(F.encode(F.substring(F.col("word"), x["s"] + 1, F.lit(1)), "UTF-8"))
-            own = F.array_join(F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: two(F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + table.byte)), "")
-        return F.when(x["id"] >= 0, two(x["id"])).otherwise(own)
 
-    return path.select("word", F.unhex(F.array_join(F.transform("path", spelled), "")).alias("ids"))
+def _assembled(texts: list[bytes] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _documents(batches)
+        return made if texts is None else _decoded(texts)(made)
+
+    return run
 
 
-def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
             at = batch.column("at")[k].values
@@ -262,8 +280,8 @@ def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a = b
 
 
-def encode(docs: DataFrame, table: Table) -> DataFrame:
-    """_id, _th, doc_id, ids for each row of docs (doc_id, text)."""
+def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
+    """_id, _th, doc_id, ids for each row of docs (doc_id, text); with `decoded` also the text that the ids give, in the same task."""
     rows = keyed(docs).select("_id", "_th", "doc_id", "text")
     chunks = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed), CHUNKS), compression="zstd")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -276,7 +294,7 @@ def encode(docs: DataFrame, table: Table) -> DataFrame:
     told = asked.join(known, "word").select("place", "ids").groupBy(chunk.alias("chunk")).agg(F.collect_list((F.col("place") % (1 << 24)).cast("int")).alias("at"), F.collect_list("ids").alias("ids"))
     back = chunks.select("chunk", "file", "offset", "length").join(told, "chunk", "left")
     back = back.select("file", "offset", "length", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("ids", F.array().cast("array<binary>")).alias("ids"))
-    return back.mapInArrow(_assembled, "_id long, _th long, doc_id long, ids array<int>")
+    return back.mapInArrow(_assembled(table.text if decoded else None), "_id long, _th long, doc_id long, ids array<int>" + ", text string" * decoded)
 
 
 def _decoded(texts: list[bytes]):
@@ -321,7 +339,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     table = load(public_tokenizers.path("piece_bpe_32k.model"))
-    back = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), table), table)
+    back = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), table, decoded=True)
     equal = (F.xxhash64("text", F.col("doc_id").isNull()) == F.col("_th")) | ((F.size("ids") == 0) & (F.col("text") == ""))
     code = F.crc32(F.encode(F.array_join(F.col("ids").cast("array<string>"), ","), "UTF-8"))
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), code.alias("ids_crc32"), equal.alias("decoded_equal"))
