@@ -1,0 +1,152 @@
+"""Hand-made cases: canonical JSON, signatures, Merkle trees, chains, graphs, personal data, readers and exports."""
+
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from attestry.functions.canonical import body_hash, ed25519_valid, jcs
+from attestry.operators import exports, governance, ledger, safety, spend
+from attestry.sources import dims, readers
+
+
+@pytest.mark.parametrize(
+    ("value", "text"),
+    [
+        ({"b": 1, "a": [True, None, "x\n"]}, '{"a":[true,null,"x\\n"],"b":1}'),
+        (1e21, "1e+21"),
+        (1e-7, "1e-7"),
+        (-0.0, "0"),
+        (0.000001, "0.000001"),
+        (123456789012345680000.0, "123456789012345680000"),
+        (4.5, "4.5"),
+        (-12.75e-9, "-1.275e-8"),
+        (6.0, "6"),
+        ({"דּ": 1, "\U0001f600": 2}, '{"\U0001f600":2,"דּ":1}'),
+    ],
+)
+def test_canonical(value, text):
+    assert jcs(value) == text
+
+
+def test_body_hash_of_no_json_is_null():
+    assert body_hash("{") is None
+    assert body_hash('{"b":1,"a":2}') == hashlib.sha256(b'{"a":2,"b":1}').hexdigest()
+
+
+def test_signature_vectors():
+    """The first two vectors of RFC 8032."""
+    key = bytes.fromhex("d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a")
+    sig = bytes.fromhex("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b")
+    assert ed25519_valid(key, b"", sig)
+    assert not ed25519_valid(key, b"x", sig)
+    assert not ed25519_valid(key[:31], b"", sig)
+    key = bytes.fromhex("3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c")
+    sig = bytes.fromhex("92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00")
+    assert ed25519_valid(key, bytes.fromhex("72"), sig)
+
+
+def root_of(leaves):
+    if len(leaves) == 1:
+        return leaves[0]
+    k = 1
+    while k * 2 < len(leaves):
+        k *= 2
+    return hashlib.sha256(b"\x01" + root_of(leaves[:k]) + root_of(leaves[k:])).digest()
+
+
+@pytest.mark.parametrize("bits", [2, 12])
+def test_merkle_proofs_and_heads(spark, monkeypatch, bits):
+    monkeypatch.setattr(ledger, "BLOCK_BITS", bits)
+    monkeypatch.setattr(ledger, "BLOCK", 1 << bits)
+    nodes = [hashlib.sha256(bytes([k])).digest() for k in range(37)]
+    sizes = [1, 2, 3, 5, 8, 21, 37]
+    rows = [(str(n), k, nodes[k].hex()) for n in sizes for k in range(n)]
+    leaves = spark.createDataFrame(rows, "batch string, idx long, node string")
+    proofs = ledger.merkle_batches(leaves, 37)
+    assert {(r.batch, r.root) for r in proofs.collect()} == {(str(n), root_of(nodes[:n]).hex()) for n in sizes}
+    checked = ledger.verify_inclusion(proofs.join(leaves, ["batch", "idx"]))
+    assert checked.where("not included").count() == 0 and checked.count() == len(rows)
+    assert ledger.verify_inclusion(proofs.join(leaves, ["batch", "idx"]).withColumn("node", F.sha2("node", 256))).where("included").count() == 0
+    heads = ledger.tree_heads(leaves.where("batch = '37'").select("idx", "node"), spark.createDataFrame([(n,) for n in sizes], "size long"), 37)
+    assert {r["size"]: r.root for r in heads.collect()} == {n: root_of(nodes[:n]).hex() for n in sizes}
+
+
+def test_workflow_cycle(spark):
+    rows = spark.createDataFrame([("t", "w", "a", 1, "b"), ("t", "w", "b", 2, "a"), ("t", "v", "c", 1, None), ("t", "v", "d", 2, "c"), ("t", None, "e", 3, None)], "tenant_id string, workflow_id string, receipt_id string, chain_height int, parent_id string")
+    order = {r.step: (r.place, r.acyclic) for r in ledger.workflow_order(rows, ledger.workflow_edges(rows)).collect()}
+    assert order["c"] == (0, True) and order["d"] == (1, True) and order["a"] == (None, False) and "e" not in order
+
+
+def test_chain_of_links(spark):
+    rows = [("a", "t", 1, "h1", "0" * 64), ("b", "t", 2, "h2", "h1"), ("c", "t", 3, "h3", "bad"), ("d", "u", 2, "x", "0" * 64)]
+    links = ledger.verify_links(spark.createDataFrame(rows, "receipt_id string, tenant_id string, chain_height int, receipt_hash string, previous_receipt_hash string"))
+    assert {r.receipt_id: r.link_ok for r in links.collect()} == {"a": True, "b": True, "c": False, "d": False}
+    chains = {r.tenant_id: (r.first_broken, r.complete, r.valid) for r in ledger.verify_chains(links).collect()}
+    assert chains == {"t": (3, True, False), "u": (2, False, False)}
+
+
+def test_personal_data():
+    assert [f[0] for f in safety.findings("mail a.b@example.com or 4111 1111 1111 1111, IBAN GB82WEST12345698765432")] == ["email", "credit_card", "iban"]
+    assert safety.findings("card 4111 1111 1111 1112") == [] or all(f[0] != "credit_card" for f in safety.findings("card 4111 1111 1111 1112"))
+    assert safety.findings(None) == [] and safety.findings("") == []
+    assert safety.redacted("secret-value") == "secr…ue"
+
+
+def test_model_names(spark):
+    names = {"gpt-5-2025-08-01": ("openai", "gpt-5"), "gpt-5-pro": ("unknown", "gpt-5-pro"), "Claude-Opus-4-6-20260501": ("anthropic", "claude-opus-4-6"), "gemini-2.5-flash": ("google", "gemini-2-5-flash"), "": ("unknown", "unknown"), "gpt-4o-mini": ("openai", "gpt-4o-mini")}
+    vendor, model = spend.normalize_model(F.col("m"))
+    got = {r.m: (r.v, r.n) for r in spark.createDataFrame([(k,) for k in names], "m string").select("m", vendor.alias("v"), model.alias("n")).collect()}
+    assert got == names
+
+
+def test_savings_of_equal_rates_is_zero(spark):
+    one = spark.createDataFrame([(1000, 500, 20_000_000_000, 0)], "input_tokens long, output_tokens long, input_nano long, output_nano long")
+    two = spark.createDataFrame([(1500, 750, 30_000_000_000, 0)], "input_tokens long, output_tokens long, input_nano long, output_nano long")
+    r = spend.prove_savings(one, two).first()
+    assert (r.baseline_usd, r.actual_usd, r.counterfactual_usd, r.saving_usd) == (20.0, 30.0, 30.0, 0.0)
+
+
+def test_usage_shapes(spark):
+    texts = [
+        json.dumps([{"snapshot_id": "gpt-5", "n_requests": 3, "n_context_tokens_total": 30, "n_generated_tokens_total": 6, "aggregation_timestamp": 1750000000, "api_key_name": "k"}, {"model": "x", "requests": 0}]),
+        json.dumps({"usage": [{"snapshot_id": "", "model": "claude-haiku-4-5", "n_requests": 0, "requests": 2, "input_tokens": 8, "date": "2026-01-02"}]}),
+        "not json",
+    ]
+    rows = readers.usage_rows(spark.createDataFrame([(t,) for t in texts], "text string")).orderBy("raw_model").collect()
+    assert [(r.raw_model, r.app, r.requests, r.input_total, r.output_total, r.at_iso) for r in rows] == [("claude-haiku-4-5", "unknown", 2, 8, 0, "2026-01-02T12:00:00Z"), ("gpt-5", "k", 3, 30, 6, "2025-06-15T15:06:40Z")]
+
+
+def test_reader_skips_other_json(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.json").write_text(json.dumps([{"receipt": {"receipt_id": "r1"}, "signatures": []}, {"other": 1}]))
+    (tmp_path / "sub" / "b.json").write_text(json.dumps({"receipt": {"receipt_id": "r2"}, "signatures": [{"kid": "k"}]}))
+    (tmp_path / "c.json").write_text("{broken")
+    assert sorted(r.receipt.receipt_id for r in readers.read_receipts(spark, str(tmp_path)).collect()) == ["r1", "r2"]
+
+
+def test_fanout_reports_by_place(spark):
+    seen = []
+
+    def bad(_):
+        raise OSError("down")
+
+    report = readers.export_fanout(spark.range(5), [bad, lambda df: seen.append(df.count())], attempts=2)
+    assert report == [(0, False, 0, "down"), (1, True, 5, None)] and seen == [5]
+
+
+def test_validation_order(spark):
+    row = ("1.0", "t", "a.b", "s", "e", "2026-01-01T00:00:00Z", "production", "pii", None)
+    schema = "schema_version string, tenant_id string, event_type string, source_system string, event_id string, captured_at string, environment string, input_class string, output_class string"
+    bad = ("0.9", "bad tenant", *row[2:])
+    assert [r.error for r in exports.validate_events(spark.createDataFrame([row, bad], schema)).collect()] == [None, "event.schema_version"]
+
+
+def test_empty_tables(spark, sf_dir):
+    from attestry.sources import receipts
+
+    rows = spend.price_usage(receipts.receipts(spark, sf_dir).where("false"), dims.table(spark, "pricing"))
+    totals = spend.summarize_totals(rows).first()
+    assert totals.receipts == 0 and totals.cost_usd == 0 and totals.period_start is None
+    assert governance.model_inventory(rows).count() == 0 and ledger.chain_gaps_forks(rows).count() == 0
