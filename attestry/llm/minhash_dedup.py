@@ -246,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     return (
         signed.join(reps, ["f1", "f2", "n_shingles"], "left")
         .join(final, "node", "left")
-        .withColumn("component_id", F.coalesce("component", "node", "doc_id"))
+        .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")))
         .select("_id", "_th", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
     )
 
