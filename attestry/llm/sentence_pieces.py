@@ -24,6 +24,9 @@ then the greater id; further columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import unicodedata
 import uuid
@@ -44,7 +47,7 @@ from .shared import keyed, shared_dir, written
 
 MARK = "▁"
 LONGEST = 48
-CHUNK = 16 << 20
+CHUNK = 28 << 20
 UNKNOWN = -100.0
 
 
@@ -117,11 +120,20 @@ class _Numbers(dict):
         return k
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on after its task, beside those of other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 CHUNKS = "chunk long, file string, offset long, length long, rows int, words array<string>"
 
 
-def _chunked(base: str, crossed: np.ndarray):
+def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         classes = _classes()
         store, root = fs.FileSystem.from_uri(base)
         name, out, offset, made = f"{uuid.uuid4().hex}.chunks", None, 0, 0
@@ -132,11 +144,7 @@ def _chunked(base: str, crossed: np.ndarray):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
-            flat = np.concatenate([x[3] for x in rows])
-            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-            rank = np.empty(len(numbers), np.uint32)  # frequent words get small numbers, whose upper half compresses away
-            rank[order] = np.arange(len(numbers), dtype=np.uint32)
-            halves = rank[flat].view(np.uint16).reshape(-1, 2).T.tobytes()
+            count = len(rows)
             docs = pa.table(
                 {
                     "_id": pa.array([x[0] for x in rows], pa.int64()),
@@ -145,16 +153,23 @@ def _chunked(base: str, crossed: np.ndarray):
                     "n": pa.array([len(x[3]) for x in rows], pa.int64()),
                 }
             )
+            flat = np.concatenate([x[3] for x in rows])
+            rows.clear()
+            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(numbers), np.uint32)  # frequent words get small numbers, whose upper bytes compress away
+            rank[order] = np.arange(len(numbers), dtype=np.uint32)
+            planes = rank[flat].view(np.uint8).reshape(-1, 4).T.tobytes()
+            del flat
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema) as writer:
                 writer.write_table(docs)
             head = sink.getvalue().to_pybytes()
-            data = len(head).to_bytes(8, "little") + len(halves).to_bytes(8, "little") + zstandard.compress(head + halves, 6)
+            data = len(head).to_bytes(8, "little") + len(planes).to_bytes(8, "little") + zstandard.compress(head + planes, 6)
             out.write(data)
             words = list(numbers)
             words = [words[k] for k in order.tolist()]
             fields = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), len(rows), words]
+            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), count, words]
             offset, made = offset + len(data), made + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, fields, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -164,13 +179,16 @@ def _chunked(base: str, crossed: np.ndarray):
                 words = cut(text, classes, crossed)
                 rows.append((*(x.as_py() for x in row[:3]), np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
                 size += len(text) + 64
-                if size > CHUNK:
+                if size > chunk_bytes:
                     yield chunk()
                     numbers, rows, size = _Numbers(), [], 0
+                    give_back()
         if rows:
             yield chunk()
+            numbers, rows = _Numbers(), []
         if out is not None:
             out.close()
+        give_back()
 
     return run
 
@@ -238,8 +256,10 @@ def best_path(words: DataFrame, table: Table) -> DataFrame:
 
 def _assembled(texts: list[bytes] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         made = _documents(batches)
-        return made if texts is None else _decoded(texts)(made)
+        yield from made if texts is None else _decoded(texts)(made)
+        give_back()
 
     return run
 
@@ -259,7 +279,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             head, body = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
             data = zstandard.decompress(data[16:], head + body)
             docs = pa.ipc.open_stream(data[:head]).read_all().combine_chunks()
-            numbers = np.ascontiguousarray(np.frombuffer(data, np.uint16, body // 2, head).reshape(2, -1).T).view(np.uint32).ravel() if body else np.zeros(0, np.uint32)
+            numbers = np.ascontiguousarray(np.frombuffer(data, np.uint8, body, head).reshape(4, -1).T).view(np.uint32).ravel() if body else np.zeros(0, np.uint32)
             cuts = np.concatenate([[0], np.cumsum(docs["n"].to_numpy())]).astype(np.int64)
             a = 0
             while a < docs.num_rows:  # some documents at a time
@@ -280,10 +300,13 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 a = b
 
 
-def encode(docs: DataFrame, table: Table, decoded: bool = False) -> DataFrame:
-    """_id, _th, doc_id, ids for each row of docs (doc_id, text); with `decoded` also the text that the ids give, in the same task."""
+def encode(docs: DataFrame, table: Table, decoded: bool = False, chunk_bytes: int = CHUNK) -> DataFrame:
+    """_id, _th, doc_id, ids for each row of docs (doc_id, text); with `decoded` also the text that the ids give, in the same task.
+
+    chunk_bytes: text of a chunk. Larger chunks shuffle fewer words, smaller ones take less memory; the ids don't depend on it.
+    """
     rows = keyed(docs).select("_id", "_th", "doc_id", "text")
-    chunks = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed), CHUNKS), compression="zstd")
+    chunks = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed, chunk_bytes), CHUNKS), compression="zstd")
     spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     each = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
     # one number says chunk and word; both uses below read the same two columns, so they share one exchange

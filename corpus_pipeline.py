@@ -50,7 +50,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every row."""
     table = sentence_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    return sentence_pieces.encode(docs, table).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return sentence_pieces.encode(docs, table, chunk_bytes=8 << 20).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("repeated passages", passages), ("source mix", mixed), ("token ids", tokens)]
