@@ -1,13 +1,19 @@
 """Quality rules whose cutoffs are chosen on labelled holdouts with exact binomial bounds. DataFrame functions only.
 
-Measures are made from the whole text. A rule rejects a document whose measure exceeds the cutoff of its stratum. For
-each stratum, rule and cutoff of a fixed grid, the holdout (labelled documents that pass the base rules) gives the number
-n of good documents and the number k of those that the cutoff rejects. If the true false-rejection rate were above RISK
-shared out over the rules, k or fewer rejections would have at most the probability P(Bin(n, risk) <= k), summed exactly.
-A cutoff is certified where that p-value is at most ALPHA divided by the number of all tests (strata x rules x cutoffs).
-Among its certified cutoffs a rule uses that which rejects most bad holdout documents less good ones (the largest on a
-tie); a rule that has none, or never rejects more bad than good ones, rejects nothing in that stratum. So, with confidence 1 - ALPHA,
-no stratum loses more than RISK of its good documents, whatever the measures are worth; few labels mean no rejections.
+Measures are made from the whole text. A rule rejects a document whose measure exceeds the cutoff of its stratum. The
+holdout (labelled documents that pass the base rules) gives the number n of a stratum's good documents. Rules are taken in
+the order of GRIDS; a rule's cutoffs are tested from the loosest to the tightest, and each test counts the k good documents
+that the cutoff rejects together with the cutoffs which the rules before it use. If the true false-rejection rate of that
+union were above RISK, k or fewer rejections would have at most the probability P(Bin(n, RISK) <= k), summed exactly; the
+cutoff is certified where that p-value is at most ALPHA / (strata x rules x ways). k only grows along a rule's cutoffs, so
+the certified ones are the first of the chain, and a chain needs one share of ALPHA, not one for each cutoff. ways is the
+number of choices that the rules before could have made (the chain depends on their choice): candidate cutoffs plus one
+each, multiplied; 1 for the first rule. A candidate rejects more bad documents than the next looser cutoff; that depends
+on the bad documents alone, so on nothing that the tests count. Among its certified candidates a rule uses that which adds
+most bad holdout documents less good ones (the largest on a tie); one that has none, or never adds more bad than good
+ones, rejects nothing in that stratum. So, with confidence 1 - ALPHA, no stratum loses more than RISK of its good
+documents, whatever the measures are worth; few labels mean no rejections (a clean cutoff of the first rule needs 286 good
+documents with four strata).
 
 Cases: null, empty and blank texts have no words and fail the base rules; a null stratum is a stratum; documents without
 a label, labels without a document and null labels are not in the holdout; several labels of a document count as often;
@@ -112,22 +118,44 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float =
     """stratum, rule, cutoff: the certified cutoff that each rule uses in each stratum, where there is a useful one.
 
     measured: rows of `measures` with the stratum's column. labels: doc_id, quality (1 is good, 0 bad). Holdout rows are
-    counted by stratum, rule and cutoff before they are shuffled; the result has strata x rules rows at most.
+    counted by stratum and the cutoffs that they pass (at most 5,184 cells a stratum) before they are shuffled; the result
+    has strata x rules rows at most.
     """
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
-    held = measured.where("not base_failed").join(known, "doc_id").select("good", F.col(stratum).cast("string").alias("stratum"), *[c.alias(r) for r, c in _shares().items()])
-    counts = [F.count_if("good").alias("n")]
-    tests = [(rule, cut) for rule, grid in GRIDS.items() for cut in grid]
-    for i, (rule, cut) in enumerate(tests):
-        counts += [F.count_if((F.col(rule) > cut) & F.col("good")).alias(f"k{i}"), F.count_if((F.col(rule) > cut) & ~F.col("good")).alias(f"b{i}")]
-    summed = held.groupBy("stratum").agg(*counts)
-    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cutoff"), F.col(f"k{i}").alias("k"), F.col(f"b{i}").alias("b")) for i, (rule, cut) in enumerate(tests)]))
-    total = summed.agg(F.count(F.lit(1)).alias("strata"))
-    tested = summed.select("stratum", "n", each.alias("x")).select("stratum", "n", "x.*").join(F.broadcast(total))
-    p = binomial_tail(F.col("n"), F.col("k"), risk / len(GRIDS))
-    certified = tested.where(p <= alpha / (F.col("strata") * len(tests)))
-    useful = certified.where("b > k")
-    return useful.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("b") - F.col("k"), "cutoff")).alias("cutoff"))
+    shares = _shares()
+    levels = [sum((F.when(shares[r] > cut, 1).otherwise(0) for cut in grid), F.lit(0)).alias(f"l{j}") for j, (r, grid) in enumerate(GRIDS.items())]
+    held = measured.where("not base_failed").join(known, "doc_id").select("good", F.col(stratum).cast("string").alias("stratum"), *levels)
+    at = [f"l{j}" for j in range(len(GRIDS))]
+    cells = written(held.groupBy("stratum", *at).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")))
+    bad = [F.sum(F.when(F.col(f"l{j}") > i, F.col("b")).otherwise(0)).alias(f"b{j}_{i}") for j, grid in enumerate(GRIDS.values()) for i in range(len(grid))]
+    state = cells.groupBy("stratum").agg(F.sum("g").alias("n"), *bad).withColumn("ways", F.lit(1.0)).join(F.broadcast(cells.agg(F.count_distinct(F.struct("stratum")).alias("strata"))))
+    for j, (rule, grid) in enumerate(GRIDS.items()):
+        state = written(_chosen(cells, state, j, rule, grid, risk, alpha))
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.get(F.lit(grid), F.col(f"c{j}")).alias("cutoff")) for j, (r, grid) in enumerate(GRIDS.items())]))
+    return state.select("stratum", each.alias("x")).select("stratum", "x.*").where("cutoff is not null")
+
+
+def _chosen(cells: DataFrame, state: DataFrame, j: int, rule: str, grid: list[float], risk: float, alpha: float) -> DataFrame:
+    """state (a row a stratum) with c<j>, the place in the grid of the cutoff that rule j uses or null, and ways for the next rule."""
+    taken = F.lit(False)
+    for i in range(j):
+        taken = taken | F.coalesce(F.col(f"l{i}") > F.col(f"c{i}"), F.lit(False))
+    hit = lambda i: F.when(~F.col("taken") & (F.col(f"l{j}") > i), F.col("g")).otherwise(0)
+    new = lambda i: F.when(~F.col("taken") & (F.col(f"l{j}") > i), F.col("b")).otherwise(0)
+    sums = [F.sum(f(i)).alias(f"{name}{i}") for i in range(len(grid)) for name, f in (("k", hit), ("d", new))]
+    joined = cells.withColumnRenamed("stratum", "_s").join(F.broadcast(state), F.col("_s").eqNullSafe(F.col("stratum"))).withColumn("taken", taken)
+    summed = joined.groupBy(*state.columns).agg(F.sum(F.when(F.col("taken"), F.col("g")).otherwise(0)).alias("before"), *sums)
+    looser = [F.col(f"b{j}_{i + 1}") if i + 1 < len(grid) else F.lit(0) for i in range(len(grid))]
+    better = [F.col(f"b{j}_{i}") > looser[i] for i in range(len(grid))]
+    level = F.lit(alpha) / (F.col("strata") * len(GRIDS) * F.col("ways"))
+    options = []
+    for i in range(len(grid)):
+        sure = binomial_tail(F.col("n"), F.col("before") + F.col(f"k{i}"), risk) <= level
+        gain = F.col(f"d{i}") - F.col(f"k{i}")
+        options.append(F.when(better[i] & (gain > 0) & sure, F.struct(gain.alias("gain"), F.lit(i).alias("i"))))
+    best = F.array_max(F.array(*options))["i"]
+    more = sum((F.when(x, 1).otherwise(0) for x in better), F.lit(1))
+    return summed.select(*[c for c in state.columns if c != "ways"], best.alias(f"c{j}"), (F.col("ways") * more).alias("ways"))
 
 
 def judged(measured: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:

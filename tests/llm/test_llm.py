@@ -87,6 +87,24 @@ def test_quality_cutoffs_keep_their_risk(spark):
     assert quality_rules.judge(spark.createDataFrame([], "doc_id long, text string, lang string"), labels).count() == 0
 
 
+def test_quality_cutoffs_act_in_small_strata(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1000 * s + i, words + (" #####" * 20 if i >= 307 else ""), lang) for s, lang in enumerate(["de", "es", "fr", None]) for i in range(339)]
+    labels = spark.createDataFrame([(k, int(k % 1000 < 307)) for k, _, _ in rows], "doc_id long, quality int")
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert len(found) == len(rows) and {(r.doc_id % 1000 < 307, r.kept) for r in found} == {(True, True), (False, False)}
+
+
+def test_quality_rules_share_one_risk(spark):
+    """Each of two rules alone rejects 7 of 1,200 good rows, which is certified; both together reject 14, which is not."""
+    words = [f"w{i}" for i in range(60)]
+    plain, marked, long_ = " ".join(words), " ".join(words) + " #####" * 20, " ".join(w + "x" * 30 for w in words)
+    rows = [(i, marked if i < 7 or 1200 <= i < 1300 else long_ if i < 14 or i >= 1300 else plain, "en") for i in range(1390)]
+    labels = spark.createDataFrame([(i, int(i < 1200)) for i, _, _ in rows], "doc_id long, quality int")
+    found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
+    assert Counter(tuple(r.rejected_by) for r in found.collect()) == {(): 1283, ("symbol_share",): 107}
+
+
 @pytest.mark.parametrize(("n", "k", "p"), [(1000, 3, 0.005), (40, 0, 0.05), (300, 2, 0.02), (5, 5, 0.1)])
 def test_binomial_tail(spark, n, k, p):
     from math import comb
