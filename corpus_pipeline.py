@@ -28,8 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
-    found = minhash_dedup.near_duplicates(docs).where("kept").select(*KEY)
+    """One document of each group of near duplicates (0.8 or more of five-word shingles): that with the smallest doc_id."""
+    found = minhash_dedup.near_duplicates(docs, percent=80).where("kept").select(*KEY)
     return keyed(docs, *REST).join(found, KEY, "left_semi").dropDuplicates(KEY).select(*COLUMNS)
 
 

@@ -114,6 +114,17 @@ def test_binomial_tail(spark, n, k, p):
     assert got == pytest.approx(1.0 if k >= n * p else exact, rel=1e-9)
 
 
+# ---- pipeline stages
+
+
+def test_near_copies_from_four_fifths_are_one_document(spark, sf_dir):
+    words = [f"w{i}" for i in range(100)]
+    other = ["x" if i in (30, 60) else w for i, w in enumerate(words)]  # 86 of 106 five-word shingles in common
+    rows = [(1, " ".join(words), "en", "web", 0), (2, " ".join(other), "en", "web", 0)]
+    found = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA + ", lang string, source string, n_chars long"), sf_dir)
+    assert [r.doc_id for r in found.collect()] == [1]
+
+
 # ---- pieces
 
 
