@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding with a relational lattice.
 
 Words. A blank becomes the piece mark, one mark goes in front of a text, and the text is cut before each run of marks,
-wherever no piece of the table crosses (found from the table, by classes of characters, so the cut changes no result),
-and after LONGEST characters of a word without a cut. Documents become numbers of words: each task writes its documents
+wherever no piece of the table crosses (found from the table, by classes of characters, so the cut changes no result);
+a word has any length. Documents become numbers of words: each task writes its documents
 as chunks of word numbers to a file in the shared folder, and gives Spark the distinct words of each chunk. Texts aren't
 shuffled.
 
 Lattice. Of all distinct words once: substrings of up to the longest piece's length are exploded and joined by equality
 with the piece table (a broadcast of the vocabulary, whose size the model file fixes); a character without a piece gets
 an unknown edge. Edges are grouped by word, and a higher-order aggregate folds Viterbi over the end positions, then
-another walks back. Unknown characters become byte pieces.
+another walks back. Unknown characters become byte pieces. Words beyond LONGEST characters, whose positions don't fit the
+packed numbers, take the same join and fold in blocks of BLOCK end positions: a block's text reaches back by the longest
+piece, and its fold begins with the states of as many positions before it. Their best path is that of the whole word.
 
 Scores. A unigram model's scores are its log-probabilities. The scores of a BPE model are merge ranks, no probabilities;
 for such a model a piece of rank r counts -ln(1 + r), and the best path need not be the order of merges that the
@@ -46,7 +48,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .shared import keyed, shared_dir, written
 
 MARK = "▁"
-LONGEST = 48
+LONGEST, BLOCK = 48, 512
 CHUNK = 28 << 20
 UNKNOWN = -100.0
 
@@ -71,6 +73,8 @@ class Table:
         if n >= NONE:
             raise ValueError(f"ids need 16 bits: {n} pieces")
         self.longest = max(len(p) for p, _, _ in self.rows)
+        if self.longest > 63:
+            raise ValueError(f"lengths need 6 bits: a piece has {self.longest} characters")
         self.text = [b""] * n
         for p, i, _ in self.rows:
             self.text[i] = p.replace(MARK, " ").encode()
@@ -108,9 +112,7 @@ def cut(text: str, classes: np.ndarray, crossed: np.ndarray) -> list[str]:
     n = len(kind)
     begin = np.ones(n, bool)
     begin[1:] = ~crossed[kind[:-1], kind[1:]] | ((kind[1:] == 0) & (kind[:-1] != 0))
-    first = np.flatnonzero(begin)
-    since = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    at = np.flatnonzero(since % LONGEST == 0).tolist()
+    at = np.flatnonzero(begin).tolist()
     return [marked[a:b] for a, b in zip(at, [*at[1:], n], strict=True)]
 
 
@@ -128,7 +130,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-CHUNKS = "chunk long, file string, offset long, length long, rows int, words array<string>"
+CHUNKS = "chunk long, file string, offset long, length long, rows int, words array<string>, long_at array<int>, long_words array<string>"
 
 
 def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
@@ -168,8 +170,12 @@ def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
             out.write(data)
             words = list(numbers)
             words = [words[k] for k in order.tolist()]
-            fields = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string())]
-            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), count, words]
+            long_at = [k for k, w in enumerate(words) if len(w) > LONGEST]
+            long_words = [words[k] for k in long_at]
+            for k in long_at:
+                words[k] = None
+            fields = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), count, words, long_at, long_words]
             offset, made = offset + len(data), made + 1
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, fields, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
 
@@ -254,6 +260,75 @@ def best_path(words: DataFrame, table: Table) -> DataFrame:
     return best.select("word", F.unhex(path).alias("ids"))
 
 
+def best_path_long(words: DataFrame, table: Table) -> DataFrame:
+    """word, ids for each row of words (word, p: a number of its own) of any length.
+
+    A packed edge holds the end's place in its block (1 to BLOCK) and the piece's length; a state the cost, the length and
+    NONE - id, which orders states of one end as `best_path` does. Costs run on from the least of the states at hand.
+    """
+    back_by, reach = table.longest - 1, F.lit(table.longest).cast("long")
+    pieces = words.sparkSession.createDataFrame([(p, i, round(-s * (1 << 20))) for p, i, s in table.rows], "piece string, id int, cost long")
+    n = F.length("word")
+    blocks = words.select("p", "word", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(BLOCK))).alias("b"))
+    first = F.greatest(F.col("b") - back_by, F.lit(0))
+    m = F.least(F.lit(BLOCK), F.col("n") - F.col("b"))
+    texts = blocks.select("p", "b", m.alias("m"), (F.col("b") - first).alias("before"), F.substring(F.col("word"), first + 1, F.col("b") - first + m).alias("text"))
+    ends = texts.select("p", "b", "before", "text", F.explode(F.sequence(F.lit(1), "m")).alias("e"))
+    reached = F.least(F.lit(table.longest), F.col("e") + F.col("before"))
+    parts = ends.select("p", "b", "before", "text", "e", F.explode(F.sequence(F.lit(1), reached)).alias("s"))
+    parts = parts.select("p", "b", "e", "s", F.substring(F.col("text"), F.col("before") + F.col("e") - F.col("s") + 1, F.col("s")).alias("piece"))
+    met = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or s = 1")
+    edge = _edge(F.coalesce("id", F.lit(NONE)), F.coalesce("cost", F.lit(round(-UNKNOWN * (1 << 20)))))
+    edges = met.groupBy("p", "b").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    whole = edges.groupBy("p").agg(F.sort_array(F.collect_list(F.struct("b", "edges"))).alias("blocks"))
+
+    def grown(acc: Column, x: Column) -> Column:
+        e, length = _bits(x, 52, 11), _bits(x, 46, 6)
+        same = acc["e"] == e
+        done = F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"])))
+        before = F.get(done, (reach - 1 + e - length).cast("int"))
+        told = F.shiftleft(F.shiftright(before, 22) + _bits(x, 16, 30), 22) + F.shiftleft(length, 16) + (F.lit(NONE).cast("long") - _bits(x, 0, 16))
+        return F.struct(done.alias("done"), e.alias("e"), F.when(same, F.least(acc["best"], told)).otherwise(told).alias("best"))
+
+    def block(acc: Column, x: Column) -> Column:
+        tail = acc["tail"]
+        start = F.struct(F.slice(tail, 1, back_by).alias("done"), F.lit(0).cast("long").alias("e"), F.element_at(tail, -1).alias("best"))
+
+        def finished(last: Column) -> Column:
+            states = F.concat(last["done"], F.array(last["best"]))
+            kept = F.slice(states, -table.longest, table.longest)
+            least = F.shiftright(F.array_min(kept), 22)
+            made = F.slice(states, table.longest + 1, F.lit(BLOCK))
+            return F.struct(F.concat(acc["made"], F.array(made)).alias("made"), F.transform(kept, lambda k: F.shiftleft(F.shiftright(k, 22) - least, 22)).alias("tail"))
+
+        return F.aggregate(x["edges"], start, grown, finished)
+
+    # positions before the word are never asked for; their cost is the most, so that it is not the least of the first tail
+    tail = F.concat(F.array_repeat(F.lit(1 << 62), back_by), F.array(F.lit(0).cast("long")))
+    none = F.struct(F.array().cast("array<array<bigint>>").alias("made"), tail.alias("tail"))
+    best = whole.select("p", F.aggregate("blocks", none, block, lambda acc: F.flatten(acc["made"])).alias("best"))
+    rows = best.join(words, "p").select("word", "best", F.split("word", "").alias("chars"))
+    two = lambda x: F.lpad(F.hex(x), 4, "0")
+
+    def spelled(at: Column) -> Column:
+        if table.byte is None:
+            return two(F.lit(table.unknown))
+        code = F.hex(F.encode(F.get("chars", at), "UTF-8"))
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda k: two(F.conv(F.substring(code, k, F.lit(2)), 16, 10).cast("int") + table.byte)), "")
+
+    def back(acc: Column, _: Column) -> Column:
+        state = F.get(F.col("best"), acc["at"] - 1)
+        s, id_ = acc["at"] - _bits(state, 16, 6).cast("int"), F.lit(NONE).cast("long") - _bits(state, 0, 16)
+        text = F.concat(F.when(id_ == NONE, spelled(s)).otherwise(two(id_)), acc["text"])
+        full = F.octet_length(acc["text"]) > 4 * BLOCK  # texts are put by, so that a step copies a short one only
+        by = F.struct(s.alias("at"), F.when(id_ == NONE, spelled(s)).otherwise(two(id_)).alias("text"), F.concat(F.array(acc["text"]), acc["parts"]).alias("parts"))
+        return F.when(acc["at"] <= 0, acc).when(full, by).otherwise(F.struct(s.alias("at"), text.alias("text"), acc["parts"].alias("parts")))
+
+    start = F.struct(F.size("best").alias("at"), F.lit("").alias("text"), F.array().cast("array<string>").alias("parts"))
+    path = F.aggregate(F.sequence(F.lit(1), F.size("best")), start, back, lambda acc: F.concat(acc["text"], F.array_join(acc["parts"], "")))
+    return rows.select("word", F.unhex(path).alias("ids"))
+
+
 def _assembled(texts: list[bytes] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
@@ -313,8 +388,12 @@ def encode(docs: DataFrame, table: Table, decoded: bool = False, chunk_bytes: in
     asked = each.select("word", (F.col("chunk") * (1 << 24) + F.col("at")).alias("place")).where("word is not null and place is not null").repartition(spread, "word")
     distinct = asked.groupBy("word").agg(F.min("place").alias("p")).where("p >= 0").select("word")
     known = best_path(lattice(distinct, table), table)
+    told = asked.join(known, "word").select("place", "ids")
+    longer = chunks.select("chunk", "long_at", F.posexplode("long_words").alias("k", "word")).select("word", (F.col("chunk") * (1 << 24) + F.get("long_at", "k")).alias("place"))
+    paths = best_path_long(written(longer.groupBy("word").agg(F.min("place").alias("p"))), table)
+    told = told.unionByName(longer.join(paths, "word").select("place", "ids"))
     chunk = F.coalesce(F.shiftright("place", 24), F.lit(-1).cast("long"))  # never null, else the join adds a filter to one use of the exchange
-    told = asked.join(known, "word").select("place", "ids").groupBy(chunk.alias("chunk")).agg(F.collect_list((F.col("place") % (1 << 24)).cast("int")).alias("at"), F.collect_list("ids").alias("ids"))
+    told = told.groupBy(chunk.alias("chunk")).agg(F.collect_list((F.col("place") % (1 << 24)).cast("int")).alias("at"), F.collect_list("ids").alias("ids"))
     back = chunks.select("chunk", "file", "offset", "length").join(told, "chunk", "left")
     back = back.select("file", "offset", "length", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("ids", F.array().cast("array<binary>")).alias("ids"))
     return back.mapInArrow(_assembled(table.text if decoded else None), "_id long, _th long, doc_id long, ids array<int>" + ", text string" * decoded)

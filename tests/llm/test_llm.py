@@ -170,6 +170,19 @@ def test_pieces(spark, table, docs, texts):
     assert sentence_pieces.encode(some.where("false"), table).count() == 0
 
 
+def test_pieces_of_long_words(spark, table):
+    rng = random.Random(5)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    odd = [letters(n, "etaoinsrh") for n in (46, 47, 48, 62, 63, 64, 510, 511, 512, 1023, 1024, 2000)]
+    odd += ["a" * 200, "internationalization" * 40, letters(1300, "日本語文字列の処理😀é"), "=" * 120, " " * 130 + "x", "x " + letters(300, "абвгд") + " y"]
+    rows = list(enumerate(odd)) + [(99, odd[-1])]
+    coded = shared.written(sentence_pieces.encode(spark.createDataFrame(rows, SCHEMA), table, decoded=True))
+    got = {r.doc_id: (r.ids, r.text) for r in coded.collect()}
+    assert got.keys() == dict(rows).keys()
+    for k, t in rows:
+        assert got[k] == (viterbi(table, t), t), k
+
+
 # ---- language
 
 
