@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from attestry.functions.canonical import body_hash, ed25519_valid
+from attestry.functions.canonical import body_hash, ed25519_sign, ed25519_valid
 
 ZERO = "0" * 64
 BLOCK_BITS = 12
@@ -85,6 +86,23 @@ def registry_history(entries: DataFrame) -> DataFrame:
     return entries.withColumn("link_ok", ok).withColumn("current", F.lead("version").over(own).isNull()).select("id", "version", "current", "link_ok")
 
 
+def sign_receipts(rows: DataFrame, seeds: dict[str, str]) -> DataFrame:
+    """rows with signature (hex): Ed25519 over the bytes of receipt_hash with the seed (hex) of the row's kid; empty where there is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = {k: bytes.fromhex(v) for k, v in seeds.items()}
+        for b in batches:
+            yield b.assign(signature=[ed25519_sign(known[kid], bytes.fromhex(h)).hex() if kid in known else "" for kid, h in zip(b["kid"], b["receipt_hash"], strict=True)])
+
+    return rows.drop("signature").mapInPandas(run, StructType([*rows.drop("signature").schema.fields, StructField("signature", StringType())]))
+
+
+def verify_pack(checks: DataFrame) -> DataFrame:
+    """Per tenant of checks (tenant_id, hash_ok, signature_ok, included): receipts, failed ones, and whether none failed."""
+    bad = ~F.coalesce(F.col("hash_ok") & F.col("signature_ok") & F.col("included"), F.lit(False))
+    return checks.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("receipts"), F.count_if(bad).alias("failed"), (F.count_if(bad) == 0).alias("valid"))
+
+
 def verify_receipts(rows: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
     """receipt_id, hash_ok, signature_ok of rows (receipt_id, raw: JSON text of the body, receipt_hash, kid, signature: hex).
 

@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions.canonical import body_hash, ed25519_valid, jcs
+from attestry.functions.canonical import body_hash, ed25519_public, ed25519_sign, ed25519_valid, jcs
+from attestry.jobs import ledger as ledger_jobs
 from attestry.operators import exports, governance, ledger, safety, spend
 from attestry.sources import dims, readers
 
@@ -150,3 +151,20 @@ def test_empty_tables(spark, sf_dir):
     totals = spend.summarize_totals(rows).first()
     assert totals.receipts == 0 and totals.cost_usd == 0 and totals.period_start is None
     assert governance.model_inventory(rows).count() == 0 and ledger.chain_gaps_forks(rows).count() == 0
+
+
+def test_signing_vectors():
+    seed = bytes.fromhex("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60")
+    assert ed25519_public(seed).hex() == "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a"
+    assert ed25519_sign(seed, b"").hex().startswith("e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e06522490155")
+
+
+def test_a_pack_needs_signatures(spark, sf_dir):
+    found = ledger_jobs.verify_receipts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if("signature_ok").alias("signed"), F.count_if("hash_ok").alias("hashed")).first()
+    assert found.n == found.signed > found.hashed > 0
+    checks = spark.createDataFrame([("a", True, True, True), ("b", True, False, True), ("b", True, True, True), ("c", True, None, True)], "tenant_id string, hash_ok boolean, signature_ok boolean, included boolean")
+    assert {tuple(r) for r in ledger.verify_pack(checks).collect()} == {("a", 1, 0, True), ("b", 2, 1, False), ("c", 1, 1, False)}
+    body = '{"a":1}'
+    rows = spark.createDataFrame([("r", body, body_hash(body), "kid-0")], "receipt_id string, raw string, receipt_hash string, kid string")
+    signed = ledger.sign_receipts(rows, ledger_jobs.test_seeds())
+    assert [tuple(r) for r in ledger.verify_receipts(signed).collect()] == [("r", True, False)], "no keys, no valid signature"
