@@ -8,6 +8,8 @@ directions, so a block is labelled with the context of the whole page.
 Training. The network is fitted here, on the driver, on SAMPLE pages at most (the least hashes of page_id; the bound is a
 parameter). A teacher labels their blocks by the semantic elements around them; besides the page itself, their blocks are
 set anew into random layouts (below), so that the network learns class and id words, order and text, not one template.
+A page in which the teacher finds no content is no example; if that is all of them, their longer unlinked blocks outside
+named boilerplate are set into random layouts.
 The seed is fixed: equal samples give equal networks.
 
 Cases: a null or empty html, and one without content blocks, give an empty text; unclosed and cut markup ends at the end
@@ -39,7 +41,7 @@ PARTING = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav "
     "ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul button iframe noscript label".split()
 )
-SILENT = set("script style head template noscript svg math iframe object canvas select textarea title".split())
+SILENT = set("script style head template noscript iframe canvas select textarea title".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the same kind, or of the named kinds, ends.
 ENDS = {"p": PARTING, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -54,7 +56,7 @@ def _words(text: str) -> list[str]:
 
 
 def blocks(page: str) -> list[tuple[str, tuple, float]]:
-    """(text, path, link share) of each block with text, in page order. path: (tag, name words) from the root."""
+    """(text, path, link share) of each block with text, in page order. path: (tag, name words, whole names) from the root."""
     out: list[tuple[str, tuple, float]] = []
     path: list[tuple] = []
     silent = links = 0
@@ -72,7 +74,7 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
 
     def pop(k: int) -> None:
         nonlocal silent, links
-        for tag, _ in path[k:]:
+        for tag, *_ in path[k:]:
             silent -= tag in SILENT
             links -= tag == "a"
         del path[k:]
@@ -116,8 +118,8 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
                     break
         if tag in VOID or m[3].endswith("/") and tag not in PARTING:
             continue
-        names = tuple(w for x in NAMES.findall(m[3]) for w in _words(x[0] or x[1] or x[2])) if "=" in m[3] else ()
-        path.append((tag, names))
+        named = [x[0] or x[1] or x[2] for x in NAMES.findall(m[3])] if "=" in m[3] else []
+        path.append((tag, tuple(w for x in named for w in _words(x)), tuple(w for x in named for w in x.lower().split())))
         silent += tag in SILENT
         links += tag == "a"
     close()
@@ -132,7 +134,7 @@ def _place(word: str, dims: int) -> int:
 @lru_cache(50_000)
 def _path_features(path: tuple) -> np.ndarray:
     out = np.zeros(PATH_DIMS, np.float32)
-    for tag, names in path:
+    for tag, names, *_ in path:
         if tag in ("html", "body"):
             continue
         out[_place("<" + tag, PATH_DIMS)] = 1
@@ -249,15 +251,17 @@ LAYOUT = {
 }
 TEACHER_CONTENT = {"article", "main"}
 TEACHER_OTHER = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "label"}
-TEACHER_WORDS = {w for kind in LAYOUT.values() for x in kind for w in _words(re.sub(r"^[a-z]+", "", x))} | {"ad", "ads", "comments", "comment"}
+TEACHER_NAMES = {re.sub(r"^[a-z]+[.#]?", "", x) for kind in LAYOUT.values() for x in kind} - {""}
 
 
 def taught(path: tuple) -> bool:
     """The teacher: inside an article or main element (or body text proper), and in nothing that is named as boilerplate."""
-    for tag, names in path:
-        if tag in TEACHER_OTHER or TEACHER_WORDS & set(names):
-            return False
-    return any(tag in TEACHER_CONTENT for tag, _ in path)
+    return not _boilerplate(path) and any(tag in TEACHER_CONTENT for tag, *_ in path)
+
+
+def _boilerplate(path: tuple) -> bool:
+    """Whether an element below body is boilerplate by its tag or by a whole class, id or role name."""
+    return any(tag in TEACHER_OTHER or tag not in ("html", "body") and any(not TEACHER_NAMES.isdisjoint(x) for x in whole) for tag, _, *whole in path)
 
 
 def _element(spec: str) -> tuple:
@@ -323,16 +327,23 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
 def train(pages: list[str], seed: int = 7, layouts: int = 4, longest: int = 80) -> Network:
     rng = np.random.default_rng(seed)
     examples = []
-    for page in pages:
-        found = blocks(page)
+
+    def lay(found: list, good: list[bool]) -> None:
+        for _ in range(layouts):
+            laid, marks = relaid(found, good, rng)
+            examples.append((features(laid), np.array(marks, np.float32)))
+
+    parted = [blocks(page) for page in pages]
+    for found in parted:
         good = [taught(p) for _, p, _ in found]
-        if not found:
-            continue
-        examples.append((features(found), np.array(good, np.float32)))
-        if any(good):
-            for _ in range(layouts):
-                laid, marks = relaid(found, good, rng)
-                examples.append((features(laid), np.array(marks, np.float32)))
+        if any(good):  # a page without semantic markup teaches nothing, above all not that its text is boilerplate
+            examples.append((features(found), np.array(good, np.float32)))
+            lay(found, good)
+    if not examples:  # no page has any: their running text is set into layouts whose labels are known
+        for found in parted:
+            good = [not _boilerplate(p) and linked < 0.3 and len(text.split()) >= 10 for text, p, linked in found]
+            if any(good):
+                lay(found, good)
     net = Network.fresh(rng)
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}

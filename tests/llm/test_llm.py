@@ -415,3 +415,19 @@ def test_pipeline(spark, sf_dir, docs, texts, table):
     for _, stage in corpus_pipeline.STAGES:
         empty = shared.written(stage(spark, empty, sf_dir))
     assert empty.count() == 0
+
+
+def test_html_pages_without_article_keep_their_text():
+    words = [f"word{i}" for i in range(400)]
+    body = lambda k: [" ".join(words[(7 * k + 31 * j + i) % 400] for i in range(25)) + "." for j in range(5)]
+    page = lambda k: "<body class=site><div class=nav><a href=/>Home</a></div><div id=main>" + "".join(f"<p>{x}</p>" for x in body(k)) + "</div><div class=footer><a href=/>About</a></div>"
+    pages = [page(k) for k in range(60)]
+    net = html_extract.train(pages)
+    found = [html_extract.blocks(p) for p in pages[:20]]
+    texts = [[b[0] for b, s in zip(f, scores, strict=True) if s > 0.5] for f, scores in zip(found, html_extract.label(net, found), strict=True)]
+    assert sum(t == body(k) for k, t in enumerate(texts)) >= 18
+
+
+def test_html_teacher_takes_whole_names():
+    found = html_extract.blocks("<body class=site><div class=site-box id=main><article class=box>A <math><mi>x</mi></math> b<div class='author-box'>Ann</div></article></div>")
+    assert [(b[0], html_extract.taught(b[1])) for b in found] == [("A x b", True), ("Ann", False)]
