@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import keyed, written
-from .words import mix, powers, rolling, slices, word_hashes
+from .words import Key, fresh_key, mix, rolling, slices, word_hashes
 
 ROWS, BANDS = 4, 28
 BINS = ROWS * BANDS
@@ -55,22 +55,21 @@ def least_bins(similarity: float, bins: int) -> int:
     return k
 
 
-def shingle_sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingle hashes of each row, ascending, and where each row's begin (one more for the end)."""
-    words, first = word_hashes(batch.column("text"), lower=True)
+def shingle_sets(batch: pa.RecordBatch, width: int, key: Key) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle names of each row, ascending, and where each row's begin (one more for the end)."""
+    words, first = word_hashes(batch.column("text"), key, lower=True)
     sizes = np.diff(first)
     counts = np.where(sizes >= width, sizes - width + 1, np.minimum(sizes, 1))
     bound = np.concatenate([[0], np.cumsum(counts)])
     out = np.zeros(bound[-1], np.uint64)
-    full = rolling(words, width)
+    full = rolling(words, width, key)
     for k in np.flatnonzero(counts):
         own = out[bound[k] : bound[k + 1]]
         if sizes[k] >= width:
             own[:] = full[first[k] : first[k] + counts[k]]
             own.sort()
         else:
-            up, _ = powers(width)
-            own[0] = mix(np.array([(words[first[k] : first[k + 1]] * up[: sizes[k]]).sum(dtype=np.uint64) + np.uint64(sizes[k])]))[0]
+            own[0] = rolling(words[first[k] : first[k + 1]], sizes[k], key, lane=1)[0]
     new = np.ones(len(out), bool)
     new[1:] = out[1:] != out[:-1]
     new[bound[:-1][counts > 0]] = True
@@ -109,11 +108,12 @@ def _sums(values: np.ndarray, bound: np.ndarray) -> np.ndarray:
     return total[bound[1:]] - total[bound[:-1]]
 
 
-def _signatures(width: int):
+def _signatures(width: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Key(key)
         for batch in batches:
             for part in slices(batch):
-                sets, bound = shingle_sets(part, width)
+                sets, bound = shingle_sets(part, width, own)
                 keys = packed(sketch(sets, bound))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,11 +131,12 @@ def _signatures(width: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Key(key)
         for batch in batches:
             for part in slices(batch):
-                sets, bound = shingle_sets(part, width)
+                sets, bound = shingle_sets(part, width, own)
                 fine = (mix(sketch(sets, bound, FINE)) >> np.uint64(56)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -202,10 +203,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
 
     Rows are linked where 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles.
     """
-    rows = keyed(docs)
+    rows, key = keyed(docs), fresh_key()
     signed = written(
         rows.select("_id", "_th", "doc_id", "text").mapInArrow(
-            _signatures(width), "_id long, _th long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+            _signatures(width, key), "_id long, _th long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
         )
     )
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     best = best.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     texts = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "_id", "_th")
     texts = rows.select("_id", "_th", "text").join(texts, ["_id", "_th"]).select("node", "text")
-    sets = written(texts.mapInArrow(_sets(width), "node long, set array<long>, fine binary"))
+    sets = written(texts.mapInArrow(_sets(width, key), "node long, set array<long>, fine binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are close enough."""

@@ -1,20 +1,25 @@
 """Removes long passages that occur more than once, by recompression.
 
-A text is a row of word names. Each round names a run of equal neighbours, or a pair of neighbours whose names fall in
-a left and a right class, by a fingerprint of what it replaces; a name is the same wherever it arises, so no dictionary
-is shuffled and no round waits for another machine. Whether two neighbours merge depends on at most CONTEXT words on
-either side, so all occurrences of a passage get the same symbols but for its ends.
+A text is a row of symbols, at first its words' names. In each of ROUNDS rounds a run of equal neighbours becomes one
+symbol, and so does a pair of neighbours whose names fall in a left and in a right class of that round (a run on either
+side of such a pair goes with it). A new symbol is named by what it replaces, so a name is the same wherever it arises,
+no dictionary is shuffled and no round waits for another machine. Symbols grow by a third a round, without a bound for
+runs.
 
-The smallest symbol name inside a window (leftmost on ties) is the window's anchor, and the words that surely lie inside
-every window with that anchor form a phrase. Two equal windows have the same anchor at the same place, hence the same
-phrase. Spark then runs two rounds, each with one shuffle that is combined before it:
+Whether two neighbours merge depends on these two symbols only. Of a window (a run of words of one document) the symbols
+at its ends may reach outside; each round can spoil one symbol more at either end. `interior` follows that bound through
+the rounds for every window: between its two ends, equal windows have equal symbols, wherever they stand.
 
-1. phrases are counted; a phrase with one occurrence tells where it is, and no window anchored there can repeat;
-2. the other windows are counted by a fingerprint of all their words; those with one occurrence are taken out.
+Spark then runs two rounds, each with one shuffle that is combined before it:
+
+1. the last symbols, in pairs of neighbours (the symbols of the next round, some six words), are counted over all
+   documents; a window with a pair inside its interior that occurs once cannot repeat;
+2. the windows whose interior symbols are all shared are counted by 128 keyed bits of all their words; those that occur
+   once are taken out.
 
 What is left are the windows that start somewhere else too. Nothing is gathered in one task: a passage in a third of all
-documents is one row for each task after the partial count. The texts are shuffled once, by row key, and that exchange
-serves both joins.
+documents is one row for each task after the partial count. Texts are not shuffled: they lie in chunk files, and what is
+found out goes to their chunks as word positions.
 
 Cases: null, empty and short texts keep all their words; a row repeated in full is a second document; rows with one
 doc_id and different texts are different documents; further columns are ignored; no rows give no rows.
@@ -22,6 +27,7 @@ doc_id and different texts are different documents; further columns are ignored;
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import compress
 
@@ -31,143 +37,136 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .shared import keyed
-from .words import mix, rolling, slices, word_hashes
+from .chunks import fetch, stored
+from .shared import keyed, written
+from .words import Key, fresh_key, mix, rolling, word_hashes
+
+#: Four rounds leave some three words a symbol and half of a 35-word window as its interior.
+ROUNDS = 4
+#: A place in one number: the chunk's number, then the word's position in it (a text of 2**31 bytes has fewer words).
+WITHIN_CHUNK = 30
+_A, _B, _C = (np.uint64(x) for x in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0xA0761D6478BD642F))
+
+
+def one_round(name: np.ndarray, head: np.ndarray, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """The names after a round, and which old symbols begin a new one. head: symbols that begin a document."""
+    right = (mix(name ^ np.uint64(0x1F83D9ABFB41BD6B + number)) >> np.uint64(63)).astype(bool)
+    same = (name[1:] == name[:-1]) & ~head[1:]
+    joins = ~right[:-1] & right[1:] & ~head[1:]
+    begins = np.ones(len(name), bool)
+    begins[1:] = ~(same | joins)
+    at = np.flatnonzero(begins)
+    count = np.diff(at, append=len(name)).astype(np.uint64)
+    lefts = count.copy()  # a new symbol is a run, or a run of one name and then a run of another
+    seam = np.flatnonzero(joins)
+    group = np.cumsum(begins)[seam] - 1
+    lefts[group] = (seam + 1 - at[group]).astype(np.uint64)
+    last = np.append(at[1:], len(name)) - 1
+    new = mix(name[at] * _A + mix(name[last] + lefts * _C) * _B + count)
+    return np.where(count > np.uint64(1), new, name[at]), begins
+
+
+def interior(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """After all rounds: the symbols' names, the word each begins at, and where the interior of each window begins and ends.
+
+    The third gives for each word the first sure bound of a window that begins there, the fourth for each word the last
+    sure bound of a window that ends before it.
+    """
+    n = len(words)
+    name, at = words, np.arange(n)
+    is_head = np.zeros(n, bool)
+    is_head[first[first < n]] = True
+    low, high = np.arange(n + 1), np.arange(n + 1)
+    for number in range(ROUNDS):
+        name, begins = one_round(name, is_head[at], number)
+        at = at[begins]
+        bound = np.zeros(n + 1, np.int64)
+        bound[at] = 1
+        bound[n] = 1
+        upto = np.cumsum(bound)  # bounds at or before a word
+        ends = np.append(at, [n, n])
+        low = ends[upto[low]]  # the next bound
+        high = np.where(high > 0, ends[np.maximum(upto[np.maximum(high - 1, 0)] - 1, 0)], 0)  # the one before
+    return name, at, low, high
 
-#: Words on either side that decide whether two neighbours merge: a run round needs 3, a pair round 1, three of them.
-CONTEXT = 6
-#: The most words of a symbol with 1-word operands.
-LONGEST = 2
 
+def _window_starts(first: np.ndarray, window: int) -> np.ndarray:
+    """The word indices at which a window begins that ends in the same document."""
+    counts = np.maximum(np.diff(first) - window + 1, 0)
+    total = np.cumsum(counts) - counts
+    return np.repeat(first[:-1] - total, counts) + np.arange(counts.sum())
 
-def _starts(is_start: np.ndarray, firsts: np.ndarray) -> None:
-    is_start[firsts[firsts < len(is_start)]] = True
 
+def _long_places(chunk: int, at: np.ndarray) -> pa.Array:
+    return pa.array((chunk << WITHIN_CHUNK) | at)
+
+
+def _pairs(key: int, window: int):
+    """h, place of each pair of neighbouring last symbols; place is the bound between them."""
 
-def symbols(words: np.ndarray, doc_first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The names left after one run round and three pair rounds, and the word each begins at."""
-    n = len(words)
-    name, at, size = words.copy(), np.arange(n), np.ones(n, np.int8)
-    head = np.zeros(n, bool)
-    _starts(head, doc_first)
-    # runs of exactly two single words; a longer run stays single words, whose bounds every window inside it sees
-    same = np.zeros(n + 1, bool)
-    same[1:n] = (name[1:] == name[:-1]) & ~head[1:]
-    if same.any():
-        left = np.flatnonzero(same[1:] & ~same[:-1])  # a run begins here
-        left = left[~np.concatenate([same, [False]])[left + 2]]  # and has two members
-        name[left] = mix(name[left] + np.uint64(0xA0761D6478BD642F))
-        size[left] = 2
-        keep = np.ones(n, bool)
-        keep[left + 1] = False
-        name, at, size, head = name[keep], at[keep], size[keep], head[keep]
-    for k in range(3):
-        kind = (mix(name ^ np.uint64(0x1F83D9ABFB41BD6B + k)) >> np.uint64(63)).astype(bool)
-        single = size == 1
-        left = np.flatnonzero(single[:-1] & single[1:] & ~kind[:-1] & kind[1:] & ~head[1:])
-        name[left] = mix(name[left] * np.uint64(0xE7037ED1A0B428DB) + name[left + 1] * np.uint64(0x8EBC6AF09C88C6E3))
-        size[left] = 2
-        keep = np.ones(len(name), bool)
-        keep[left + 1] = False
-        name, at, size, head = name[keep], at[keep], size[keep], head[keep]
-    return name, at
-
-
-def anchors(words: np.ndarray, doc_first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where windows start that lie in one document, and the word index of each window's anchor."""
-    n = len(words)
-    sizes = np.diff(doc_first)
-    if n < window or sizes.max(initial=0) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = window - 2 * CONTEXT - LONGEST + 1
-    name, at = symbols(words, doc_first)
-    rank = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    rank[at] = name
-    place = np.arange(n)
-    span = 1
-    while span < width:  # leftmost smallest name of growing spans
-        step = min(span, width - span)
-        m = len(rank) - step
-        right = rank[step:] < rank[:m]
-        place = np.where(right, place[step:], place[:m])
-        rank = np.where(right, rank[step:], rank[:m])
-        span += step
-    inside = np.ones(n, bool)
-    for back in range(1, window):  # the last window-1 words of a document start none
-        ends = doc_first[1:] - back
-        ends = ends[ends >= doc_first[:-1]]
-        inside[ends] = False
-    start = np.flatnonzero(inside[: n - window + 1])
-    return start, place[start + CONTEXT]
-
-
-def phrase_words(window: int) -> int:
-    return CONTEXT + LONGEST + CONTEXT  # from anchor - CONTEXT on, inside every window with that anchor
-
-
-def _rows(batch: pa.RecordBatch, window: int):
-    words, first = word_hashes(batch.column("text"))
-    start, anchor = anchors(words, first, window)
-    return words, first, start, anchor
-
-
-def _phrases(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Key(key)
         for batch in batches:
-            for part in slices(batch):
-                words, first, _, anchor = _rows(part, window)
-                at = np.unique(anchor)
+            for k in range(batch.num_rows):
+                words, first = word_hashes(fetch(batch, k).column("text"), own)
+                if np.diff(first).max(initial=0) < window:
+                    continue
+                name, at, _, _ = interior(words, first, window)
                 doc = np.searchsorted(first, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rolling(words, phrase_words(window))[at - CONTEXT].view(np.int64)),
-                        part.column("_id").take(pa.array(doc)),
-                        part.column("_th").take(pa.array(doc)),
-                        pa.array((at - first[doc]).astype(np.int32)),
-                    ],
-                    names=["h", "_id", "_th", "at"],
-                )
+                met = np.flatnonzero((doc[1:] == doc[:-1]) & (np.diff(first)[doc[1:]] >= window)) + 1
+                h = mix(name[met - 1] * _A + name[met] * _B)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), _long_places(batch.column("chunk")[k].as_py(), at[met])], names=["h", "place"])
 
     return run
 
 
-def _single(lists: pa.Array, first: np.ndarray, n: int) -> np.ndarray:
-    """A flag per word from the per-document lists of word positions."""
-    flag = np.zeros(n + 1, bool)
-    counts = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64) if len(lists) else np.zeros(0, np.int64)
-    flag[np.asarray(lists.flatten()) + np.repeat(first[:-1], counts)] = True
+def _flags(places: pa.Scalar, n: int) -> np.ndarray:
+    flag = np.zeros(n, bool)
+    if places.is_valid:
+        flag[np.asarray(places.values)] = True
     return flag
 
 
-def _candidates(words, first, start, anchor, alone: pa.Array) -> np.ndarray:
-    return start[~_single(alone, first, len(words))[anchor]]
+def _candidates(key: int, window: int):
+    """Adds to each chunk the starts of its windows whose interior symbols are all shared, as compressed bits of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Key(key)
+        for batch in batches:
+            kept = []
+            for k in range(batch.num_rows):
+                words, first = word_hashes(fetch(batch, k).column("text"), own)
+                _, _, low, high = interior(words, first, window)
+                start = _window_starts(first, window)
+                alone = np.concatenate([[0], np.cumsum(_flags(batch.column("alone")[k], len(words)))])
+                low, high = low[start], high[start + window]
+                inside = low < high
+                unique = np.zeros(len(start), bool)
+                unique[inside] = alone[high[inside]] > alone[low[inside] + 1]
+                flag = np.zeros(len(words), bool)
+                flag[start[~unique]] = True
+                kept.append(zlib.compress(np.packbits(flag).tobytes(), 1) if flag.any() else b"")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("chunk", "file", "offset", "length")), pa.array(kept, pa.binary())], names=["chunk", "file", "offset", "length", "candidates"])
+
+    return run
+
 
+def _starts(bits: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(bits), np.uint8))) if bits else np.zeros(0, np.int64)
 
-def _fingerprints(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """96 bits of each window."""
-    other = rolling(mix(words + np.uint64(0x589965CC75374CC3)), window)
-    return rolling(words, window), (other >> np.uint64(32)).astype(np.uint32)
 
+def _windows(key: int, window: int):
+    """h, g, place of each candidate."""
 
-def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Key(key)
         for batch in batches:
-            for part in slices(batch):
-                words, first, start, anchor = _rows(part, window)
-                at = _candidates(words, first, start, anchor, part.column("alone"))
+            for k in range(batch.num_rows):
+                at = _starts(batch.column("candidates")[k].as_py())
                 if len(at):
-                    one, two = _fingerprints(words, window)
-                    doc = np.searchsorted(first, at, side="right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(one[at].view(np.int64)),
-                            pa.array(two[at].view(np.int32)),
-                            part.column("_id").take(pa.array(doc)),
-                            part.column("_th").take(pa.array(doc)),
-                            pa.array((at - first[doc]).astype(np.int32)),
-                        ],
-                        names=["h", "g", "_id", "_th", "at"],
-                    )
+                    words, _ = word_hashes(fetch(batch, k).column("text"), own)
+                    h, g = (rolling(words, window, own, lane)[at].view(np.int64) for lane in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), _long_places(batch.column("chunk")[k].as_py(), at)], names=["h", "g", "place"])
 
     return run
 
@@ -175,31 +174,28 @@ def _windows(window: int):
 def _kept(window: int, carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                words, first, start, anchor = _rows(part, window)
-                at = _candidates(words, first, start, anchor, part.column("alone"))
-                at = at[~_single(part.column("unique"), first, len(words))[at]]
-                step = np.zeros(len(words) + 1, np.int64)
+            for k in range(batch.num_rows):
+                rows = fetch(batch, k)
+                own = [(text.as_py() or "").encode().split() for text in rows.column("text")]
+                sizes = np.array([len(x) for x in own], np.int64)
+                first = np.concatenate([[0], np.cumsum(sizes)])
+                step = np.zeros(first[-1] + 1, np.int64)
+                at = _starts(batch.column("candidates")[k].as_py())
+                at = at[~_flags(batch.column("single")[k], len(step))[at]]
                 step[at] += 1
                 step[at + window] -= 1
                 gone = np.cumsum(step)[:-1] > 0
                 removed = np.concatenate([[0], np.cumsum(gone)])
                 removed = removed[first[1:]] - removed[first[:-1]]
-                texts = []
-                for k, text in enumerate(part.column("text")):
-                    own = (text.as_py() or "").encode().split()
-                    if removed[k]:
-                        own = compress(own, (~gone[first[k] : first[k + 1]]).tolist())
-                    texts.append(b" ".join(own))
+                for d in np.flatnonzero(removed).tolist():
+                    own[d] = compress(own[d], (~gone[first[d] : first[d + 1]]).tolist())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("_id"),
-                        part.column("_th"),
-                        part.column("doc_id"),
-                        pa.array(np.diff(first)),
+                        *(rows.column(c) for c in ("_id", "_th", "doc_id")),
+                        pa.array(sizes),
                         pa.array(removed),
-                        pa.array(texts, pa.binary()).cast(pa.string()),
-                        *(part.column(c) for c in carry),
+                        pa.array([b" ".join(x) for x in own], pa.binary()).cast(pa.string()),
+                        *(rows.column(c) for c in carry),
                     ],
                     names=["_id", "_th", "doc_id", "n_words", "n_removed", "kept_text", *carry],
                 )
@@ -214,24 +210,21 @@ def remove_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = (
 
     A word goes if a run of `window` words that holds it, all in one document, also starts anywhere else.
     """
-    if window < 2 * CONTEXT + 2 * LONGEST:
-        raise ValueError(f"a window needs {2 * CONTEXT + 2 * LONGEST} words at least")
     rows = keyed(docs, *(c for c in carry if c != "text"))
-    key = ["_id", "_th"]
-    along = [c for c in carry if c != "text"]
+    key = fresh_key()
+    chunks = stored(rows)
 
     def once(found: DataFrame, by: list[str], name: str) -> DataFrame:
-        """Of what occurs once: its places, by document."""
-        single = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*key, "at")]).where("n = 1")
-        return single.groupBy(*key).agg(F.collect_list("at").alias(name))
-
-    phrases = rows.select(*key, "text").mapInArrow(_phrases(window), "h long, _id long, _th long, at int")
-    alone = once(phrases, ["h"], "alone")
-    empty = F.array().cast("array<int>")
-    slim = rows.select(*key, "doc_id", "text", *along).join(alone, key, "left").withColumn("alone", F.coalesce("alone", empty))
-    counted = slim.mapInArrow(_windows(window), "h long, g int, _id long, _th long, at int")
-    unique = once(counted, ["h", "g"], "unique")
-    both = slim.join(unique, key, "left").withColumn("unique", F.coalesce("unique", empty))
+        """Of what occurs once: its places, by chunk."""
+        single = found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")).where("n = 1")
+        at = F.col("place").bitwiseAND(F.lit((1 << WITHIN_CHUNK) - 1).cast("long")).cast("int")
+        return single.groupBy(F.shiftright("place", WITHIN_CHUNK).alias("chunk")).agg(F.collect_list(at).alias(name))
+
+    alone = once(chunks.mapInArrow(_pairs(key, window), "h long, place long"), ["h"], "alone")
+    asked = chunks.join(alone, "chunk", "left").select("chunk", "file", "offset", "length", "alone")
+    asked = written(asked.mapInArrow(_candidates(key, window), "chunk long, file string, offset long, length long, candidates binary"))
+    single = once(asked.mapInArrow(_windows(key, window), "h long, g long, place long"), ["h", "g"], "single")
+    both = asked.join(single, "chunk", "left").select("file", "offset", "length", "candidates", "single")
     out = StructType.fromDDL("_id long, _th long, doc_id long, n_words long, n_removed long, kept_text string")
     return both.mapInArrow(_kept(window, carry), StructType([*out.fields, *(rows.schema[c] for c in carry)]))
 

@@ -1,36 +1,46 @@
-"""Words of an Arrow text column as arrays: hashes, positions and document bounds, without a Python loop per word."""
+"""Words of an Arrow text column as arrays: keyed names, positions and document bounds, without a Python loop per word.
+
+A name is a keyed hash whose key is drawn when a job is planned, after its input was written, so no text can be made to
+give two words, shingles or windows one name: two different words share a name with a probability of 2**-64, two
+different rows of words a `rolling` name with about 2**-59.
+"""
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
+#: Bytes of a word that the multipliers reach; longer words are named by BLAKE2.
+REACH = 64
+#: Multipliers of one level of `rolling`.
+SPAN = 8
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(20240607).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOWER = np.arange(256)
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+
+
+def fresh_key() -> int:
+    return secrets.randbits(128)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, n of them at least."""
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, 1 << 16)
-        grow = np.full(size, _BASE, np.uint64)
-        grow[0] = 1
-        back = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        back[0] = 1
-        _pow, _inv = np.cumprod(grow), np.cumprod(back)
-    return _pow, _inv
+class Key:
+    """The multipliers of one job, the same in all its tasks."""
+
+    def __init__(self, key: int):
+        rng = np.random.Generator(np.random.Philox(key=key))
+        draw = lambda *shape: rng.integers(0, 1 << 64, shape, np.uint64)
+        self.secret = key.to_bytes(16, "little")
+        self.word = draw(2, 2 + REACH // 4)
+        self.roll = draw(2, 8, SPAN) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,40 +74,58 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
-def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash per word in order, and the index of each document's first word (one more for the end).
+def word_hashes(texts: pa.Array, key: Key, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit name per word in order, and the index of each document's first word (one more for the end).
 
-    Equal words have equal hashes wherever they stand: a polynomial over the bytes, moved to power 0, then mixed.
+    Multilinear hashing over the word's length and its 4-byte parts, 32 bits from each of two sums.
     """
     raw, bounds = text_bytes(texts)
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
-    space = _SPACE[raw]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
+    space = _SPACE[raw]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[0], before[1:] = True, space[:-1]
     after[-1], after[:-1] = True, space[1:]
     before |= edge[:-1]
     after |= edge[1:]
     first = np.flatnonzero(~space & before)
-    last = np.flatnonzero(~space & after)
-    up, down = powers(n)
-    total = np.cumsum((_BYTE_LOWER if lower else _BYTE)[raw] * up[:n])
-    value = total[last] - total[first]
-    value += (_BYTE_LOWER if lower else _BYTE)[raw[first]] * up[first]
-    value *= down[first]
-    value += (last - first + 1).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(value), np.searchsorted(first, bounds)
-
-
-def rolling(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash per run of `width` consecutive words (over document bounds too; callers mask those)."""
-    n = len(words)
-    if n < width:
+    size = np.flatnonzero(~space & after) - first + 1
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[raw] if lower else raw
+    eight = np.ndarray(n, "<u8", padded.data, strides=(1,))
+    sums = [k[0] + k[1] * size.astype(np.uint64) for k in key.word]
+    own: np.ndarray | slice = slice(None)
+    for at in range(0, min(REACH, size.max(initial=0)), 8):
+        if at:
+            own = np.flatnonzero(size > at)
+        part = eight[first[own] + at] & _MASK[np.minimum(size[own] - at, 8)]
+        low, high = part & _LOW, part >> _HALF
+        for total, k in zip(sums, key.word, strict=True):
+            total[own] += low * k[2 + at // 4] + high * k[3 + at // 4]
+    names = (sums[0] & ~_LOW) | (sums[1] >> _HALF)
+    for k in np.flatnonzero(size > REACH).tolist():
+        word = padded[first[k] : first[k] + size[k]].tobytes()
+        names[k] = int.from_bytes(blake2b(word, digest_size=8, key=key.secret).digest(), "little")
+    return names, np.searchsorted(first, bounds)
+
+
+def rolling(words: np.ndarray, width: int, key: Key, lane: int = 0) -> np.ndarray:
+    """A name per run of `width` consecutive words (over document bounds too; callers mask those); lanes are independent."""
+
+    def over(x: np.ndarray, width: int, level: int) -> np.ndarray:
+        kept, step = len(x) - width + 1, 1
+        if width > SPAN:  # of names of shorter runs, the last of which is drawn back to the end
+            step = -(-width // SPAN)
+            x = over(x, step, level + 1)
+        places = sorted({min(k, width - step) for k in range(0, width, step)})
+        total = np.zeros(kept, np.uint64)
+        for k, at in zip(key.roll[lane, level], places, strict=False):
+            total += k * x[at : at + kept]
+        return mix(total)
+
+    if len(words) < width:
         return np.zeros(0, np.uint64)
-    up, down = powers(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * up[:n], out=total[1:])
-    return mix((total[width:] - total[:-width]) * down[: n - width + 1])
+    return over(words, width, 0)
