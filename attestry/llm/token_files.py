@@ -1,15 +1,18 @@
 """Token ids in a compressed binary format, readable in parallel.
 
-Encoding. A text is cut at blanks; each distinct word that a Python worker meets is encoded once by the tokenizers library and looked up
-afterwards. Texts where that could differ (odd white space, a special token's string) are encoded by the library whole.
+Encoding. Texts are cut at blanks, numbered and made distinct by Arrow, some MB at a time; each distinct word that a Python
+worker meets is encoded once by the tokenizers library and looked up afterwards. Texts where that could differ (odd white
+space, a special token's string) are encoded by the library whole.
 
 Format. The ids of all documents, each ended by END, form one stream in ascending doc_id order. It is cut into blocks of
-whole documents, about BLOCK ids each (a larger document is a block). A block is a row of a Parquet table: its first
-id's place in the stream, the doc_ids and lengths, the number of ids, a CRC-32 of the ids, checkpoints, and a payload. The payload is a
-static range asymmetric numeral system with LANES interleaved 64-bit states, which emit 32-bit words; all blocks share
-one frequency table with a sum of 2**BITS, made from the ids of all documents and stored with the files. A checkpoint
-every STRIDE steps holds the states and the place in the payload, so that decoding can begin there. Blocks don't depend
-on each other: any subset can be decoded anywhere.
+whole documents, about BLOCK ids each (a larger document is a block). A folder holds two Parquet tables and needs nothing
+else to be read. `blocks` has a row for each block: its first id's place in the stream, the doc_ids and lengths, the
+number of ids, a CRC-32 of the ids, checkpoints, and a payload. `frequencies` is the table that all blocks share: id and
+frequency, 2**BITS in all, made from the ids of all documents (2**16 rows at most, whatever the input's size).
+
+A payload is a static range asymmetric numeral system with LANES interleaved 64-bit states, which emit 32-bit words. A
+checkpoint every STRIDE steps holds the states and the place in the payload, so that decoding can begin there
+(`read_range` does). Blocks don't depend on each other: any subset can be decoded anywhere.
 
 Cases: a null or empty text is the end id alone; rows with one doc_id stand after each other in order of their texts'
 hash; a null doc_id comes first; further columns are ignored; no rows give no blocks.
@@ -18,17 +21,18 @@ hash; a null doc_id comes first; further columns are ignored; no rows give no bl
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import keyed, written
+from .shared import keyed, shared_dir, written
+from .words import slices
 
 END = 2
 LANES = 1024
@@ -39,16 +43,10 @@ STRIDE = 256
 MEMORY = 1_200_000
 #: Stands before the first word of a text, which has no blank; texts that hold it are encoded whole.
 HEAD = "\x1c"
-_BLANKS = re.compile(r" [ \t\n\r\x0b\x0c]| $")
-_BLANKS_ODD = re.compile(r"[ \t\n\r\x0b\x0c] (?:[ \t\n\r\x0b\x0c]|$)")
-_SPACES_ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-
-
-def odd(text: str) -> bool:
-    """White space beyond ASCII's, or a blank that has white space on both sides or ends the text after some."""
-    if any(c in text for c in "\x1c\x1d\x1e\x1f") or (not text.isascii() and _SPACES_ODD.search(text)):
-        return True
-    return bool(_BLANKS.search(text) and _BLANKS_ODD.search(text))
+#: White space beyond ASCII's, or a blank that has white space on both sides or ends the text after some.
+ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \t\n\r\x0b\x0c] (?:[ \t\n\r\x0b\x0c]|\z)"
+#: Text that is cut and numbered at once.
+PART = 4 << 20
 
 
 class _Places(dict):
@@ -67,7 +65,7 @@ class Encoder:
     """Texts to ids, with a memory of words: a blank and what follows it up to the next one are encoded alike everywhere.
 
     That holds for byte-level pre-tokens, which take in one blank on their left, unless a run of white space holds a
-    blank that isn't its last character and isn't its first one. Those texts are `odd`; the library encodes them whole.
+    blank that isn't its last character and isn't its first one. Those texts are ODD; the library encodes them whole.
     """
 
     def __init__(self, path: str):
@@ -75,6 +73,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids need 16 bits")
         self.bytes = np.zeros(1 << 16, np.int64)
         for token, k in self.tokenizer.get_vocab().items():
             self.bytes[k] = len(token)
@@ -115,31 +115,33 @@ class Encoder:
         self.flat = np.concatenate([*flat, *each])
         self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts after each other, and where each text's begin (one more for the end); null is empty."""
         if len(self.place) > MEMORY:
             self._forget()
-        whole = [odd(t) or any(s in t for s in self.special) for t in texts]
-        words: list[str] = []
-        ends = [0]
-        for text, w in zip(texts, whole, strict=True):
-            if text and not w:
-                cut = text.split(" ")
-                cut[0] = HEAD + cut[0]
-                words += cut
-            ends.append(len(words))
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        texts = pc.fill_null(texts, "")
+        whole = pc.match_substring_regex(texts, ODD)
+        for special in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, special))
+        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(HEAD), pc.if_else(whole, "", texts), ""), " ")
+        words = cut.flatten().dictionary_encode()
+        own = words.dictionary.to_pylist()
+        place = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
         if self.place.new:
             self._learn(self.place.new)
             self.place.new = []
-        first, n = self.first[at], self.size[at]
+        at = place[words.indices.to_numpy()]
+        n = self.size[at]
         total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
-        out = [ids[a:b] for a, b in zip(total[ends[:-1]], total[ends[1:]], strict=True)]
-        if any(whole):
-            at = [k for k, w in enumerate(whole) if w]
-            for k, x in zip(at, self._encode([texts[k] for k in at]), strict=True):
-                out[k] = x
-        return out
+        ids = self.flat[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
+        bound = total[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])]
+        odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        if odd:
+            parts = [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+            for k, x in zip(odd, self._encode(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                parts[k] = x
+            ids, bound = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+        return ids, bound
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,14 +171,14 @@ def _encoded(path: str):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in RAW.split(", ")])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                own = batch.slice(a, 128)
-                for doc, ids in zip(own.column("doc_id").to_pylist(), encoder.ids([x.as_py() or "" for x in own.column("text")]), strict=True):
-                    if held and size + len(ids) + 1 > BLOCK:
+            for own in slices(batch, most=PART):
+                ids, bound = encoder.ids(own.column("text"))
+                for doc, a, b in zip(own.column("doc_id").to_pylist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
+                    if held and size + b - a + 1 > BLOCK:
                         yield block()
                         start, held, size = start + size, [], 0
-                    held.append((doc, np.append(ids, np.uint16(END))))
-                    size += len(ids) + 1
+                    held.append((doc, np.append(ids[a:b], np.uint16(END))))
+                    size += b - a + 1
         if held:
             yield block()
 
@@ -234,14 +236,14 @@ def rans_encode(ids: np.ndarray, table: np.ndarray) -> tuple[bytes, list[bytes],
     return payload, [s for _, s in marks], [emitted - at for at, _ in marks]
 
 
-def rans_decode(payload: bytes, states: list[bytes], places: list[int], n: int, table: np.ndarray, slots: np.ndarray, since: int = 0) -> np.ndarray:
-    """The block's ids from checkpoint `since` on. slots: the id of each of the 2**BITS slots."""
+def rans_decode(payload: bytes, states: list[bytes], places: list[int], n: int, table: np.ndarray, slots: np.ndarray, since: int = 0, until: int | None = None) -> np.ndarray:
+    """The block's ids from checkpoint `since` on, before place `until`. slots: the id of each of the 2**BITS slots."""
     begin = np.concatenate([[0], np.cumsum(table)])[:-1].astype(np.uint64)
     freq = table.astype(np.uint64)
     words = np.frombuffer(payload, "<u4").astype(np.uint64)
     state = np.frombuffer(states[since], "<u8").astype(np.uint64)
     at, first = places[since], since * STRIDE
-    out = np.empty(n - first * LANES, np.uint16)
+    out = np.empty((n if until is None else until) - first * LANES, np.uint16)
     mask, shift, low, least = np.uint64((1 << BITS) - 1), np.uint64(BITS), np.uint64(32), np.uint64(1 << 31)
     for base in range(0, len(out), LANES):
         m = min(LANES, len(out) - base)
@@ -257,7 +259,7 @@ def rans_decode(payload: bytes, states: list[bytes], places: list[int], n: int,
     return out
 
 
-BLOCKS = "part int, start long, n long, doc_ids array<long>, lengths array<long>, crc long, states array<binary>, places array<int>, payload binary"
+BLOCKS = "start long, n long, doc_ids array<long>, lengths array<long>, crc long, states array<binary>, places array<int>, payload binary"
 
 
 def _blocks(table: np.ndarray):
@@ -272,7 +274,7 @@ def _blocks(table: np.ndarray):
                     "places": pa.array([places], pa.list_(pa.int32())),
                     "payload": pa.array([payload], pa.binary()),
                 }
-                kept = {c: batch.column(c).slice(k, 1) for c in ("part", "start", "n", "doc_ids", "lengths")}
+                kept = {c: batch.column(c).slice(k, 1) for c in ("start", "n", "doc_ids", "lengths")}
                 yield pa.RecordBatch.from_pydict(kept | made)
 
     return run
@@ -312,27 +314,64 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return written(rows.select("doc_id", "text").mapInArrow(_encoded(path), RAW), compression="zstd")
 
 
-def write_files(raw: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """The table of blocks, and the shared frequency table (2**16 numbers, whatever the input's size)."""
-    counts = raw.select("ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    table = shared_table({r.id: r.n for r in counts.collect()})
-    return written(raw.mapInArrow(_blocks(table), BLOCKS)), table
+def _decoded_from(table: np.ndarray, first: int, count: int):
+    """Of each block the ids whose places in the stream are in [first, first + count), from the checkpoint before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.repeat(np.arange(len(table), dtype=np.uint16), table)
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = {c: batch.column(c)[k].as_py() for c in ("payload", "states", "places", "n", "start")}
+                a, b = max(first - x["start"], 0), min(first + count - x["start"], x["n"])
+                since = a // (STRIDE * LANES)
+                ids = rans_decode(x["payload"], x["states"], x["places"], x["n"], table, slots, since, b)[a - since * STRIDE * LANES :]
+                yield pa.RecordBatch.from_arrays([pa.array([x["start"] + a]), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    return run
 
 
-def read_files(blocks: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) from the blocks, each checked against its checksum.
+def write_files(raw: DataFrame, path: str) -> None:
+    """Writes the folder: the frequencies of all ids, then the blocks, with their places in the stream.
 
     A range's place in the stream is the total of those before it: one row for each shuffle partition, broadcast.
     """
-    sums = blocks.groupBy("part").agg(F.sum("n").alias("ids"))
+    spark = raw.sparkSession
+    counts = raw.select("ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    table = shared_table({r.id: r.n for r in counts.collect()})
+    used = np.flatnonzero(table).tolist()
+    spark.createDataFrame([(k, int(table[k])) for k in used], "id int, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    placed = blocks.join(F.broadcast(bases), "part").withColumn("start", F.col("start") + F.col("base")).drop("part", "base")
-    return placed.mapInArrow(_decoded(table), "doc_id long, start long, n_tokens long, ids binary")
+    bases = raw.groupBy("part").agg(F.sum("n").alias("ids")).select("part", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
+    placed = raw.join(F.broadcast(bases), "part").withColumn("start", F.col("start") + F.col("base")).drop("part", "base")
+    placed.mapInArrow(_blocks(table), BLOCKS).write.parquet(f"{path}/blocks")
+
+
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
+    table = np.zeros(1 << 16, np.int64)
+    for r in spark.read.schema("id int, frequency long").parquet(f"{path}/frequencies").collect():
+        table[r.id] = r.frequency
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), table
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit) from a folder, each block checked against its checksum."""
+    blocks, table = _opened(spark, path)
+    return blocks.mapInArrow(_decoded(table), "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_range(spark: SparkSession, path: str, first: int, count: int) -> DataFrame:
+    """start, ids: the ids at places first to first + count - 1 of the stream, a row for each block that holds some.
+
+    Only those blocks are read, each from the last checkpoint before its first id asked for (without a checksum).
+    """
+    blocks, table = _opened(spark, path)
+    asked = blocks.where((F.col("start") < first + count) & (F.col("start") + F.col("n") > first)).select("start", "n", "states", "places", "payload")
+    return asked.mapInArrow(_decoded_from(table, first, count), "start long, ids array<int>")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    raw = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_files(*write_files(raw)).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    path = shared_dir(spark)
+    write_files(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")), path)
+    return read_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

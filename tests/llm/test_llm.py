@@ -345,9 +345,16 @@ def test_token_files(spark, docs, texts):
         ids = [*known.encode(t or "", add_special_tokens=False).ids, 2]
         want[k] = (start, len(ids), np.array(ids, "<u4").tobytes())
         start += len(ids)
-    blocks, freq = token_files.write_files(token_files.encode(rows, path))
-    assert {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in token_files.read_files(blocks, freq).collect()} == want
-    assert token_files.read_files(*token_files.write_files(token_files.encode(rows.where("false"), path))).count() == 0
+    folder = shared.shared_dir(spark)
+    token_files.write_files(token_files.encode(rows, path), folder)
+    assert {r.doc_id: (r.start, r.n_tokens, bytes(r.ids)) for r in token_files.read_files(spark, folder).collect()} == want
+    none = shared.shared_dir(spark)
+    token_files.write_files(token_files.encode(rows.where("false"), path), none)
+    assert token_files.read_files(spark, none).count() == 0 and token_files.read_range(spark, none, 0, 5).count() == 0
+    stream = np.concatenate([np.frombuffer(ids, "<u4") for _, _, ids in sorted(want.values())])
+    for first, count in ((0, 3), (1000, 5000), (len(stream) - 4, 10), (0, len(stream)), (len(stream), 5)):
+        found = token_files.read_range(spark, folder, first, count).orderBy("start").collect()
+        assert [i for r in found for i in r.ids] == stream[first : first + count].tolist()
 
 
 def test_rans_checkpoints():
@@ -358,6 +365,8 @@ def test_rans_checkpoints():
     assert (token_files.rans_decode(payload, states, places, len(ids), table, slots) == ids).all()
     since = len(states) - 1
     assert (token_files.rans_decode(payload, states, places, len(ids), table, slots, since) == ids[since * token_files.STRIDE * token_files.LANES :]).all()
+    part = token_files.rans_decode(payload, states, places, len(ids), table, slots, since, len(ids) - 5000)
+    assert (part == ids[since * token_files.STRIDE * token_files.LANES : -5000]).all()
     assert len(payload) * 8 < 12 * len(ids)
 
 
