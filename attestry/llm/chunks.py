@@ -68,6 +68,16 @@ def stored(rows: DataFrame, most: int = 4 << 20) -> DataFrame:
     return written(rows.mapInArrow(_stored(shared_dir(rows.sparkSession), most), CHUNKS))
 
 
+def dealt(chunks: DataFrame) -> DataFrame:
+    """Chunks over all shuffle partitions: as a table they are a few KB, which Spark would read in a few tasks."""
+    return chunks.repartition(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chunk")
+
+
+def told(chunks: DataFrame, found: DataFrame) -> DataFrame:
+    """Chunks with what was found out about them (a row a chunk at most). Never a broadcast: sizes of what tasks make from chunks can't be estimated."""
+    return dealt(chunks).join(found.hint("merge"), "chunk", "left")
+
+
 def fetch(batch: pa.RecordBatch, k: int) -> pa.RecordBatch | None:
     """The rows of the chunk that row k of a batch of CHUNKS names."""
     store, path = fs.FileSystem.from_uri(batch.column("file")[k].as_py())
