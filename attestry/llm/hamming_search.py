@@ -2,14 +2,18 @@
 
 A code of BITS bits is cut into segments; the index holds a row for each distinct code and segment. Two codes at distance
 d = m * r + a or less (m segments, a < m) agree within r in one of the first a + 1 segments or within r - 1 in one of the
-others. So a round that probes those segment radii has found every code within d. A query leaves the rounds once its
-codes within the covered radius stand for k rows or more: its k-th distance is then provably covered, ties included.
-Probes are rows (query, segment, value) joined with the index by equality; the distance is a condition of that join, so
-only verified neighbours leave it.
+others. So once those segment radii are probed, every code within d has been found. The radii grow round by round, and a
+round probes only the shell that is new: the segment values at a distance not probed before.
+
+Each query keeps the codes up to its bound, the least distance within which it knows k + 1 rows; the bound is a condition
+of the join with the index, so nothing farther leaves it. A query leaves the rounds once the covered radius reaches its
+bound: its k-th distance is then provably covered, ties included. Where the next shell would touch more codes than there
+are, the rest of the queries is compared with all codes instead, QUERIES of them at a time and by distance to the bound.
 
 Equal codes are one index row with their count and their k + 1 least ids, and equal queries are one query; a code that a
-third of all rows share costs one comparison. Segments have about log2(rows) - 8 bits, 8 at least, so that a bucket of
-the index stays a few hundred codes at any size.
+third of all rows share costs one comparison. Segments have about log2(rows) - 8 bits, 8 at least and 22 at most, so that
+a bucket of the index stays a few hundred codes at any size. The table of masks of a shell is made by Spark and has at
+most as many rows as a segment has values.
 
 Cases: a null id or code is in neither side; a query isn't its own neighbour, other rows with its code are; ties are
 ordered by id; ids that repeat count once; fewer than k other rows give them all; further columns are ignored; no rows or
@@ -18,8 +22,7 @@ no queries give no rows.
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import log2
+from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from .shared import written
 
 BITS = 64
+#: Queries that are compared with all codes at once, where shells no longer pay.
+QUERIES = 50_000
 
 
 def sign_code(vector: Column) -> Column:
@@ -58,6 +63,30 @@ def _value(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def _probed(asking: DataFrame, index: DataFrame, shell: list[tuple[int, int, int, int, int]], distance: Column) -> DataFrame:
+    """q, code, n, distance of the codes in the shell (segment, shift, width, least and most bits that differ) of each query."""
+    widest = max(width for _, _, width, _, _ in shell)
+    masks = asking.sparkSession.range(1 << widest).select(F.col("id").alias("mask"), F.bit_count("id").alias("ones"))
+    masks = masks.where(F.col("ones").between(min(x[3] for x in shell), max(x[4] for x in shell)))
+    starts = [F.struct(F.lit(s).alias("s"), F.lit(1 << w).alias("limit"), F.sequence(F.lit(low), F.lit(high)).alias("shells"), _value(F.col("q"), shift, w).alias("own")) for s, shift, w, low, high in shell if low <= high]
+    probes = asking.select("q", "bound", F.explode(F.array(*starts)).alias("p")).select("q", "bound", "p.*").withColumn("ones", F.explode("shells"))
+    probes = probes.join(F.broadcast(masks), "ones").where("mask < limit").select("q", "bound", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+    return probes.join(index, ["s", "value"]).where(distance <= F.col("bound")).select("q", "code", "n", distance.alias("distance"))
+
+
+def _scanned(codes: DataFrame, asking: DataFrame, distance: Column) -> DataFrame:
+    """The same from all codes; asking holds a bounded number of queries."""
+    return codes.select("code", "n").join(F.broadcast(asking.select("q", "bound")), distance <= F.col("bound")).select("q", "code", "n", distance.alias("distance"))
+
+
+def _bounds(held: DataFrame, k: int) -> DataFrame:
+    """q, bound: the least distance within which a query has k + 1 rows; none if it has fewer. A query has BITS + 1 distances."""
+    each = held.groupBy("q", "distance").agg(F.sum("n").alias("n")).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("distance", "n"))).alias("x"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("bound"))
+    step = lambda acc, x: F.when(acc["n"] > k, acc).otherwise(F.struct((acc["n"] + x["n"]).alias("n"), x["distance"].alias("bound")))
+    return each.select("q", F.aggregate("x", start, step, lambda acc: F.when(acc["n"] > k, acc["bound"])).alias("bound"))
+
+
 def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank (from 1), neighbor_id, distance. base, queries: id long, code long."""
     spark = base.sparkSession
@@ -70,26 +99,36 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     m = len(cuts)
     pieces = F.array(*[F.struct(F.lit(s).alias("s"), _value(F.col("code"), *cut).alias("value")) for s, cut in enumerate(cuts)])
     index = written(codes.select("code", "n", F.explode(pieces).alias("p")).select("p.s", "p.value", "code", "n"))
-    open_queries, done = written(asked.select("q").distinct()), None
+    total = codes.count()
+    distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+    asking = written(asked.select("q").distinct().withColumn("bound", F.lit(BITS)))
+    held = spark.createDataFrame([], "q long, code long, n long, distance int")
+    done, probed = held, [-1] * m
     for d in radii(m):
         r, a = divmod(min(d, BITS - 1), m)
-        plan = [(s, shift, width, min(width, r if s <= a else r - 1)) for s, (shift, width) in enumerate(cuts)]
-        masks = sorted({(width, sum(1 << b for b in bits), n) for width in {w for _, w in cuts} for n in range(max(x[3] for x in plan) + 1) for bits in combinations(range(width), n)})
-        known = spark.createDataFrame(masks, "width int, mask long, ones int")
-        starts = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(w).alias("width"), F.lit(t).alias("most"), _value(F.col("q"), shift, w).alias("own")) for s, shift, w, t in plan])
-        probes = open_queries.select("q", F.explode(starts).alias("p")).select("q", "p.*").where("most >= 0")
-        probes = probes.join(F.broadcast(known), "width").where("ones <= most").select("q", "s", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
-        distance = F.bit_count(F.col("x.q").bitwiseXOR(F.col("y.code")))
-        met = probes.alias("x").join(index.alias("y"), (F.col("x.s") == F.col("y.s")) & (F.col("x.value") == F.col("y.value")) & (distance <= d))
-        found = written(met.select("x.q", "y.code", "y.n", distance.alias("distance")).distinct())
-        full = found.groupBy("q").agg(F.sum("n").alias("n"))
-        closed = full if d >= BITS else full.where(F.col("n") >= k + 1)
-        won = found.join(closed.select("q"), "q", "left_semi").select("q", "code", "distance")
-        done = won if done is None else done.union(won)
-        open_queries = written(open_queries.join(closed, "q", "left_anti"))
-        if not open_queries.take(1):
+        shell = [(s, *cuts[s], probed[s] + 1, min(cuts[s][1], r if s <= a else r - 1)) for s in range(m)]
+        touched = sum(comb(width, ones) * (1 + total / (1 << width)) for _, _, width, low, high in shell for ones in range(low, high + 1))
+        last = touched > total
+        if last:
+            count = asking.count()
+            parts = asking.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(max(1, ceil(count / QUERIES)))))
+            met = [_scanned(codes, parts.where(F.col("part") == k), distance) for k in range(ceil(count / QUERIES))]
+        else:
+            met = [_probed(asking, index, shell, distance)]
+            probed = [max(x[4], was) for x, was in zip(shell, probed, strict=True)]
+        for x in met:
+            held = held.union(x)
+        held = written(held.distinct())
+        bounds = _bounds(held, k)
+        asking = written(asking.drop("bound").join(bounds, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(BITS))))
+        held = held.join(asking, "q").where("distance <= bound")
+        over = F.lit(True) if last else F.col("bound") <= d
+        done = done.union(held.where(over).select("q", "code", "n", "distance"))
+        held = written(held.where(~over).select("q", "code", "n", "distance"))
+        asking = written(asking.where(~over))
+        if last or not asking.take(1):
             break
-    near = done.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy("distance"))).where(F.col("r") <= k + 1)
+    near = done.select("q", "code", "distance")
     ids = near.join(codes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("neighbor_id"))
     top = ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))).where(F.col("r") <= k + 1).drop("r")
     mine = asked.join(top, "q").where("neighbor_id <> query_id")
