@@ -9,18 +9,22 @@ Sampling. The key of a document is -ln(u) / weight with u drawn from its id, so
 without replacement, and reruns agree. Complete epochs take every document; the rest of a target takes documents in key
 order while the middle of a document lies below it, so a source misses its target by half a document at most.
 
-Running totals. Keys are cut into cells (about CELL documents of a source each, from the key's distribution, by source
-and key alone); cell totals are summed by source, and only documents of one cell are sorted together. A source with a
+Running totals. Keys are cut into cells by their logarithm. That of -ln(u) has a density of 1/e at most, and dividing by a
+weight only shifts it, so cells of equal width hold CELL documents of a source each at most on average, whatever the
+weights are; most cells far out are empty and cost nothing. Cell totals are summed by source, and only documents of one cell are sorted together. A source with a
 third of all rows is as many cells as its size asks for; its cells' totals are one row each.
 
-Cases: null, empty and blank texts have size 0 and are taken 0 words; a null source is a source and sorts last; equal
-keys (rows that repeat) are ordered by doc_id and text hash, and are taken one by one; a source whose documents are all
+Cases: null, empty and blank texts have size 0 and are taken 0 words; a null source is a source and sorts last; a null
+doc_id draws its key from the text; equal keys (rows that repeat in full) are ordered by doc_id and text hash, and are
+taken one by one; a source whose documents are all
 empty has target 0; a weight that is null, zero or negative counts as the least weight; further columns are ignored; no
 rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +36,10 @@ CELL = 4096
 LEAST_WEIGHT = 1e-3
 
 
-def uniform(doc_id: Column, seed: str = "mix") -> Column:
-    """A number above 0 and below 1 from 52 bits of an MD5."""
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 13)
+def uniform(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """A number above 0 and below 1 from 52 bits of an MD5 of the doc_id, or of the text where that is null."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null"), F.coalesce(text, F.lit(""))))
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(seed), name)), 1, 13)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -67,7 +72,7 @@ def sized(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     w = F.greatest(F.coalesce(quality_weight(text) if weight is None else weight, F.lit(LEAST_WEIGHT)), F.lit(LEAST_WEIGHT))
     rows = keyed(docs, F.col("source").cast("string").alias("source"))
     size = F.size(word_array(F.coalesce(text, F.lit("")))).cast("long")
-    return rows.select("_id", "_th", "doc_id", "source", size.alias("size"), (-F.log(uniform(F.col("doc_id"))) / w).alias("key"))
+    return rows.select("_id", "_th", "doc_id", "source", size.alias("size"), (-F.log(uniform(F.col("doc_id"), F.col("text"))) / w).alias("key"))
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = SHARE_PERCENT, epochs: int = EPOCHS, weight: Column | None = None) -> DataFrame:
@@ -79,8 +84,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, percent: int = SHARE_PERCENT,
     goal = written(goal.withColumn("cells", F.ceil(F.col("documents") / CELL)))
     known = goal.select(F.col("source").alias("_source"), "source_size", "target", "cells")
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # 1 - exp(-key) grows with the key and spreads keys of weight 1 evenly over the cells
-    placed = placed.withColumn("cell", F.floor((1 - F.exp(-F.col("key"))) * F.col("cells")))
+    placed = placed.withColumn("cell", F.floor(F.log("key") * F.col("cells") / math.e))
     totals = placed.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("source").alias("_source"), F.col("cell").alias("_cell"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
@@ -104,7 +108,7 @@ def op6(spark, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         -ln((CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+         -ln((CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), 'null' || coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
            / greatest(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[#*$%&|<>]+', '', 'g'))::DOUBLE / length(text) ELSE 1.0::DOUBLE END, 0.001::DOUBLE) AS key
   FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),
