@@ -12,8 +12,10 @@ Documents with equal shingle sets are one node. Every link is confirmed on full
 emits all its pairs:
 
 1. each node meets one node: the smallest of the bucket in which most of its bands agree;
-2. buckets that still hold several components are read in blocks of at most about BLOCK nodes: every pair of nodes of
-   different components meets once, in the first bucket that it shares, inside a task. A pair goes on to the full sets
+2. buckets that still hold several components are read in blocks, and every pair of nodes of different components meets
+   once, in the first bucket that it shares, inside a task. A bucket whose nodes all share an earlier bucket is left to
+   that one. A bucket has up to FEW blocks of about BLOCK nodes, a larger one blocks of up to MANY, so that a node is
+   copied FEW times, or a MANY-th of its bucket's size. A pair goes on to the full sets
    only where enough bins agree, first of the sketch and then of a finer one (a byte from each of FINE bins, made for
    nodes that share a bucket); enough is the binomial quantile that a linked pair misses once in a million.
 
@@ -40,7 +42,7 @@ from .words import Key, fresh_key, mix, rolling, slices, word_hashes
 ROWS, BANDS = 4, 28
 BINS = ROWS * BANDS
 FINE = 512
-BLOCK = 512
+BLOCK, FEW, MANY = 512, 8, 16384
 #: Chance that a pair at the threshold has fewer agreeing bins than asked for.
 MISS = 1e-6
 
@@ -234,12 +236,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     links = written(confirmed(best.select(F.col("node").alias("a"), F.col("pivot").alias("b"))))
     first = components(links)
     labelled = written(shared.join(first, "node", "left").select(*bucket, "node", F.coalesce("component", "node").alias("component")))
-    mixed = labelled.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"))
-    mixed = mixed.where("low <> high").select(*bucket, F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    spread = labelled.join(mixed, bucket).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    spread = spread.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    spread = spread.select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
-    loaded = spread.join(nodes.select("node", "n_shingles", "bands"), "node").join(sets.select("node", "fine"), "node")
+    mixed = labelled.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
+    blocks = F.greatest(F.ceil(F.col("n") / MANY), F.least(F.ceil(F.col("n") / BLOCK), F.lit(FEW)))
+    met = labelled.join(mixed.where("low <> high").select(*bucket, "pivot", blocks.alias("blocks")), bucket)
+    loaded = met.join(nodes.select("node", "n_shingles", "bands"), "node").join(nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("pivot_bands")), "pivot")
+    earlier = F.aggregate(F.sequence(F.lit(0), F.lit(BANDS - 1)), F.lit(0), lambda bits, k: bits + F.when((k < F.col("band")) & (F.get("bands", k) == F.get("pivot_bands", k)), F.call_function("shiftleft", F.lit(1), k)).otherwise(0))
+    loaded = written(loaded.withColumn("earlier", earlier).drop("pivot", "pivot_bands"))
+    again = loaded.groupBy(*bucket).agg(F.bit_and("earlier").alias("earlier")).where("earlier <> 0").select(*bucket)
+    spread = loaded.join(again, bucket, "left_anti").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    spread = spread.join(sets.select("node", "fine"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    loaded = spread.select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "bands", "fine")
     dealt = loaded.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
     late = confirmed(written(dealt.mapInArrow(_block_pairs(percent), "a long, b long")))
     final = components(links.union(late))
