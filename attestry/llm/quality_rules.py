@@ -1,7 +1,8 @@
 """Quality rules whose cutoffs are chosen on labelled holdouts with exact binomial bounds. DataFrame functions only.
 
 Measures are made from the whole text. A rule rejects a document whose measure exceeds the cutoff of its stratum. The
-holdout (labelled documents that pass the base rules) gives the number n of a stratum's good documents. Rules are taken in
+holdout (the distinct texts of labelled documents that pass the base rules; copies are no further trials of a bound) gives
+the number n of a stratum's good documents. Rules are taken in
 the order of GRIDS; a rule's cutoffs are tested from the loosest to the tightest, and each test counts the k good documents
 that the cutoff rejects together with the cutoffs which the rules before it use. If the true false-rejection rate of that
 union were above RISK, k or fewer rejections would have at most the probability P(Bin(n, RISK) <= k), summed exactly; the
@@ -16,8 +17,8 @@ documents, whatever the measures are worth; few labels mean no rejections (a cle
 documents with four strata).
 
 Cases: null, empty and blank texts have no words and fail the base rules; a null stratum is a stratum; documents without
-a label, labels without a document and null labels are not in the holdout; several labels of a document count as often;
-rows that repeat are judged alike; further columns are ignored; no rows give no rows.
+a label, labels without a document and null labels are not in the holdout; a text with several
+labels, by its copies or its own, counts once, as good if any label says so; rows that repeat are judged alike; further columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -46,14 +47,14 @@ def _repeat_words(hashes: Column, n: Column) -> Column:
 
 
 def measures(docs: DataFrame, *more: str) -> DataFrame:
-    """_id, _th, doc_id, `more`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed for each row."""
-    rows = keyed(docs, *more)
+    """_id, _th, _text (a hash of the text), doc_id, `more`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed for each row."""
+    rows = keyed(docs, *more).withColumn("_text", F.xxhash64("text"))
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bare = text
     for c in SYMBOLS:
         bare = F.replace(bare, F.lit(c), F.lit(""))
-    base = ["_id", "_th", "doc_id", *more]
+    base = ["_id", "_th", "_text", "doc_id", *more]
     one = rows.select(
         *base,
         word_array(text).alias("w"),
@@ -124,8 +125,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float =
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 1).alias("good"))
     shares = _shares()
     levels = [sum((F.when(shares[r] > cut, 1).otherwise(0) for cut in grid), F.lit(0)).alias(f"l{j}") for j, (r, grid) in enumerate(GRIDS.items())]
-    held = measured.where("not base_failed").join(known, "doc_id").select("good", F.col(stratum).cast("string").alias("stratum"), *levels)
     at = [f"l{j}" for j in range(len(GRIDS))]
+    held = measured.where("not base_failed").join(known, "doc_id").select("_text", "good", F.col(stratum).cast("string").alias("stratum"), *levels)
+    held = held.groupBy("stratum", "_text", *at).agg(F.max("good").alias("good"))  # a text is one trial, however often it stands
     cells = written(held.groupBy("stratum", *at).agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b")))
     bad = [F.sum(F.when(F.col(f"l{j}") > i, F.col("b")).otherwise(0)).alias(f"b{j}_{i}") for j, grid in enumerate(GRIDS.values()) for i in range(len(grid))]
     state = cells.groupBy("stratum").agg(F.sum("g").alias("n"), *bad).withColumn("ways", F.lit(1.0)).join(F.broadcast(cells.agg(F.count_distinct(F.struct("stratum")).alias("strata"))))

@@ -78,7 +78,7 @@ def test_quality_measures(spark, docs, texts):
 
 def test_quality_cutoffs_keep_their_risk(spark):
     words = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, words + (" #####" * 20 if i % 3 == 0 else ""), "en") for i in range(2400)]
+    rows = [(i, f"{words} n{i}" + (" #####" * 20 if i % 3 == 0 else ""), "en") for i in range(2400)]
     labels = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1) for i in range(2400)], "doc_id long, quality int")
     found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
     assert {(r.doc_id % 3 == 0, r.kept) for r in found.collect()} == {(True, False), (False, True)}
@@ -89,17 +89,29 @@ def test_quality_cutoffs_keep_their_risk(spark):
 
 def test_quality_cutoffs_act_in_small_strata(spark):
     words = " ".join(f"w{i}" for i in range(60))
-    rows = [(1000 * s + i, words + (" #####" * 20 if i >= 307 else ""), lang) for s, lang in enumerate(["de", "es", "fr", None]) for i in range(339)]
+    rows = [(1000 * s + i, f"{words} n{i}" + (" #####" * 20 if i >= 307 else ""), lang) for s, lang in enumerate(["de", "es", "fr", None]) for i in range(339)]
     labels = spark.createDataFrame([(k, int(k % 1000 < 307)) for k, _, _ in rows], "doc_id long, quality int")
     found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
     assert len(found) == len(rows) and {(r.doc_id % 1000 < 307, r.kept) for r in found} == {(True, True), (False, False)}
 
 
+def test_quality_counts_a_text_once(spark):
+    """307 good labels of one text, or of one document, are one trial."""
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, words if i < 307 else f"{words} n{i}" + " #####" * 20, "en") for i in range(339)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 307)) for i in range(339)] + [(0, 1)] * 500, "doc_id long, quality int")
+    assert quality_rules.judge(docs, labels).where("not kept").count() == 0
+    both = spark.createDataFrame([(400, f"{words} n", "en")], docs.schema)
+    cells = quality_rules.cutoffs(quality_rules.measures(both, "lang"), spark.createDataFrame([(400, 0), (400, 1)], labels.schema), "lang")
+    assert cells.count() == 0
+
+
 def test_quality_rules_share_one_risk(spark):
     """Each of two rules alone rejects 7 of 1,200 good rows, which is certified; both together reject 14, which is not."""
     words = [f"w{i}" for i in range(60)]
     plain, marked, long_ = " ".join(words), " ".join(words) + " #####" * 20, " ".join(w + "x" * 30 for w in words)
-    rows = [(i, marked if i < 7 or 1200 <= i < 1300 else long_ if i < 14 or i >= 1300 else plain, "en") for i in range(1390)]
+    rows = [(i, f"n{i} " + (marked if i < 7 or 1200 <= i < 1300 else long_ if i < 14 or i >= 1300 else plain), "en") for i in range(1390)]
     labels = spark.createDataFrame([(i, int(i < 1200)) for i, _, _ in rows], "doc_id long, quality int")
     found = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels)
     assert Counter(tuple(r.rejected_by) for r in found.collect()) == {(): 1283, ("symbol_share",): 107}
@@ -227,6 +239,33 @@ def test_hamming_ties_and_copies(spark):
     assert hamming_search.search(base.where("false"), base.where("false")).count() == 0
 
 
+def test_hamming_scan_and_shells_agree(spark, monkeypatch):
+    rng = random.Random(4)
+    centres = [rng.getrandbits(63) for _ in range(40)]
+    codes = [c ^ sum(1 << b for b in rng.sample(range(63), rng.randrange(12))) for c in centres for _ in range(50)] + [rng.getrandbits(63) for _ in range(500)]
+    base = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    asked = [k for k in range(0, len(codes), 61)]
+    want = {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:7] for q in asked}
+    for queries, total in ((5, None), (50_000, None), (50_000, 1e12)):
+        monkeypatch.setattr(hamming_search, "QUERIES", queries)
+        if total:  # shells to the end
+            monkeypatch.setattr(hamming_search, "comb", lambda n, r: -1)
+        got = defaultdict(list)
+        for r in hamming_search.search(base, base.where(F.col("id") % 61 == 0), k=7).orderBy("rank").collect():
+            got[r.query_id].append((r.distance, r.neighbor_id))
+        assert got == want
+
+
+def test_mixing_cells_are_even_at_any_weight(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, F.col("id")).alias("doc_id"), F.concat(F.lit("a b "), "id").alias("text"), F.lit("x").alias("source"))
+    monkeypatch.setattr(mixing, "CELL", 500)
+    for weight in (F.lit(1.0), F.lit(1e-3), F.when(F.col("doc_id") % 2 == 0, 1e-3).otherwise(0.9)):
+        keys = mixing.sized(docs, weight).withColumn("cell", F.floor(F.log("key") * 40 / np.e))
+        assert keys.groupBy("cell").count().agg(F.max("count")).first()[0] < 650
+        found = mixing.mix(docs, weight=weight).agg(F.sum("taken"), F.max("target")).first()
+        assert abs(found[0] - found[1]) <= 3
+
+
 def test_mixing_cases(spark):
     rows = [(1, None, None), (2, "", None), (None, "a b c a b c", "en"), (4, "a b", "x"), (4, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
