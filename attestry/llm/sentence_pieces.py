@@ -2,9 +2,10 @@
 
 Words. A blank becomes the piece mark, one mark goes in front of a text, and the text is cut before each run of marks,
 wherever no piece of the table crosses (found from the table, by classes of characters, so the cut changes no result);
-a word has any length. Documents become numbers of words: each task writes its documents
-as chunks of word numbers to a file in the shared folder, and gives Spark the distinct words of each chunk. Texts aren't
-shuffled.
+a word has any length. Documents become numbers of words: each task writes its documents as chunks of word numbers to a
+file in the shared folder, and gives Spark the distinct words of each chunk. Texts aren't shuffled. Words belong to parts
+by their CRC-32, as many parts as there are shuffle partitions; the words of a chunk and a part travel sorted and
+compressed as one row, and so do their ids on the way back.
 
 Lattice. Of all distinct words once: substrings of up to the longest piece's length are exploded and joined by equality
 with the piece table (a broadcast of the vocabulary, whose size the model file fixes); a character without a piece gets
@@ -17,8 +18,8 @@ Scores. A unigram model's scores are its log-probabilities. The scores of a BPE
 for such a model a piece of rank r counts -ln(1 + r), and the best path need not be the order of merges that the
 model's own library applies. Decoding is that library's: the text comes back but for U+2581, which reads as a blank.
 
-The words' ids go back to their chunks, as (chunk, word number, ids), where a task reads its chunk's range of the file
-and writes out the documents' ids.
+A task holds the known words of one part at a time and answers the rows of that part; the answers go back to their chunks,
+where a task reads its chunk's range of the file and writes out the documents' ids.
 
 Cases: null and empty texts have no ids; rows that repeat are encoded alike; equal scores prefer the shorter last piece,
 then the greater id; further columns are ignored; no rows give no rows.
@@ -32,6 +33,7 @@ import gc
 import math
 import unicodedata
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -130,10 +132,25 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-CHUNKS = "chunk long, file string, offset long, length long, rows int, words array<string>, long_at array<int>, long_words array<string>"
+#: A row with part -1 tells where a chunk is, the others hold its words of a part.
+CHUNKS = "chunk long, part int, file string, offset long, length long, words binary"
+_CHUNK_FIELDS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("words", pa.binary())])
 
 
-def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of 32-bit numbers, all first bytes first: upper bytes of small numbers compress away."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel() if data else np.zeros(0, np.uint32)
+
+
+def _part(word: Column, parts: int) -> Column:
+    return (F.crc32(F.encode(word, "UTF-8")) % parts).cast("int")
+
+
+def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         classes = _classes()
@@ -146,7 +163,6 @@ def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
             if out is None:
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(f"{root}/{name}", compression=None)
-            count = len(rows)
             docs = pa.table(
                 {
                     "_id": pa.array([x[0] for x in rows], pa.int64()),
@@ -157,27 +173,28 @@ def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
             )
             flat = np.concatenate([x[3] for x in rows])
             rows.clear()
-            order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
-            rank = np.empty(len(numbers), np.uint32)  # frequent words get small numbers, whose upper bytes compress away
-            rank[order] = np.arange(len(numbers), dtype=np.uint32)
-            planes = rank[flat].view(np.uint8).reshape(-1, 4).T.tobytes()
-            del flat
+            frequent = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+            rank = np.empty(len(numbers), np.uint32)  # frequent words get small numbers
+            rank[frequent] = np.arange(len(numbers), dtype=np.uint32)
+            words = pa.array(list(numbers), pa.string())
+            part = np.fromiter((zlib.crc32(w.encode()) % parts for w in numbers), np.int32, len(numbers))
+            order = pc.sort_indices(pa.table({"p": part, "w": words}), sort_keys=[("p", "ascending"), ("w", "ascending")]).to_numpy()
+            slot = np.empty(len(numbers), np.uint32)
+            slot[rank[order]] = np.arange(len(numbers), dtype=np.uint32)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, docs.schema) as writer:
                 writer.write_table(docs)
-            head = sink.getvalue().to_pybytes()
-            data = len(head).to_bytes(8, "little") + len(planes).to_bytes(8, "little") + zstandard.compress(head + planes, 6)
+            sections = [sink.getvalue().to_pybytes(), _planes(slot), _planes(rank[flat])]
+            data = b"".join(len(x).to_bytes(8, "little") for x in sections) + zstandard.compress(b"".join(sections), 6)
             out.write(data)
-            words = list(numbers)
-            words = [words[k] for k in order.tolist()]
-            long_at = [k for k, w in enumerate(words) if len(w) > LONGEST]
-            long_words = [words[k] for k in long_at]
-            for k in long_at:
-                words[k] = None
-            fields = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())]
-            values = [TaskContext.get().partitionId() << 16 | made, f"{base}/{name}", offset, len(data), count, words, long_at, long_words]
+            number = TaskContext.get().partitionId() << 16 | made
+            told = [{"chunk": number, "part": -1, "file": f"{base}/{name}", "offset": offset, "length": len(data)}]
+            some, at = np.unique(part[order], return_index=True)
+            for p, a, b in zip(some.tolist(), at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+                own = words.take(pa.array(order[a:b])).to_pylist()
+                told.append({"chunk": number, "part": p, "words": zstandard.compress(" ".join(own).encode(), 3)})
             offset, made = offset + len(data), made + 1
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, fields, strict=True)], names=[c.split()[0] for c in CHUNKS.split(", ")])
+            return pa.RecordBatch.from_pylist(told, _CHUNK_FIELDS)
 
         for batch in batches:
             for row in zip(*(batch.column(c) for c in ("_id", "_th", "doc_id", "text")), strict=True):
@@ -199,6 +216,63 @@ def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int):
     return run
 
 
+def _split(data: bytes) -> list[str]:
+    return zstandard.decompress(data).decode().split(" ")
+
+
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part: the distinct words of one part at a time."""
+    part, held = None, set()
+
+    def told() -> Iterator[pa.RecordBatch]:
+        words = list(held)
+        for a in range(0, len(words), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(words[a : a + 50_000], pa.string())], names=["word"])
+
+    for batch in batches:
+        for p, data in zip(batch.column("part").to_pylist(), batch.column("words"), strict=True):
+            if p != part:
+                yield from told()
+                part, held = p, set()
+            held.update(_split(data.as_py()))
+    yield from told()
+    held.clear()
+    give_back()
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by part and chunk, known words (chunk null) first: chunk, part and the ids of each chunk's words.
+
+    An answer holds the number of words, the number of ids of each (32 bits), and the ids (16 bits), compressed.
+    """
+    part, place, found = None, {}, []
+    flat, first, size = (np.zeros(0, np.int64),) * 3
+
+    for batch in batches:
+        out = []
+        for p, chunk, words, ids in zip(*(batch.column(c) for c in ("part", "chunk", "words", "ids")), strict=True):
+            if p.as_py() != part:
+                part, place, found, flat = p.as_py(), {}, [], None
+            if not chunk.is_valid:
+                place[words.as_py().decode()] = len(found)
+                found.append(ids.as_py())
+                continue
+            if flat is None:
+                size = np.array([len(x) for x in found], np.int64) // 2
+                first = np.cumsum(size) - size
+                flat, found = np.frombuffer(b"".join(found), ">u2").astype("<u2"), []
+            own = _split(words.as_py())
+            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+            n = size[at]
+            total = np.concatenate([[0], np.cumsum(n)])
+            took = flat[np.repeat(first[at] - total[:-1], n) + np.arange(total[-1])]
+            out.append((chunk.as_py(), part, zstandard.compress(len(own).to_bytes(8, "little") + _planes(n) + took.tobytes(), 3)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "part", "ids"])
+    place.clear()
+    give_back()
+
+
 #: An edge in one number: end (6 bits), start (6), cost in 2**-20 (30), id (16); a state likewise: cost, 63 - start, NONE - id.
 NONE = 65535
 
@@ -342,19 +416,21 @@ def _assembled(texts: list[bytes] | None):
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            at = batch.column("at")[k].values
-            ids = batch.column("ids")[k].values
-            ids = ids.take(pa.array(np.argsort(np.asarray(at)))) if len(ids) else pa.array([], pa.binary())
-            sizes = np.asarray(pc.binary_length(ids)).astype(np.int64) // 2
-            flat = np.frombuffer(b"".join(ids.to_pylist()), ">u2")
-            bound = np.concatenate([[0], np.cumsum(sizes)])
+            told = [zstandard.decompress(x["ids"].as_py()) for x in batch.column("told")[k].values or ()]
             store, path = fs.FileSystem.from_uri(batch.column("file")[k].as_py())
             with store.open_input_file(path) as f:
                 data = f.read_at(batch.column("length")[k].as_py(), batch.column("offset")[k].as_py())
-            head, body = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:16], "little")
-            data = zstandard.decompress(data[16:], head + body)
-            docs = pa.ipc.open_stream(data[:head]).read_all().combine_chunks()
-            numbers = np.ascontiguousarray(np.frombuffer(data, np.uint8, body, head).reshape(4, -1).T).view(np.uint32).ravel() if body else np.zeros(0, np.uint32)
+            lengths = [int.from_bytes(data[a : a + 8], "little") for a in (0, 8, 16)]
+            data = zstandard.decompress(data[24:], sum(lengths))
+            docs = pa.ipc.open_stream(data[: lengths[0]]).read_all().combine_chunks()
+            slot = _from_planes(data[lengths[0] : lengths[0] + lengths[1]])
+            numbers = _from_planes(data[lengths[0] + lengths[1] :])
+            ends = [8 + 4 * int.from_bytes(x[:8], "little") for x in told]
+            sizes = np.concatenate([_from_planes(x[8:e]) for x, e in zip(told, ends, strict=True)] or [np.zeros(0, np.uint32)]).astype(np.int64)
+            flat = np.concatenate([np.frombuffer(x, "<u2", offset=e) for x, e in zip(told, ends, strict=True)] or [np.zeros(0, np.uint16)])
+            del told
+            bound = np.concatenate([[0], np.cumsum(sizes)])[slot]
+            sizes = sizes[slot]
             cuts = np.concatenate([[0], np.cumsum(docs["n"].to_numpy())]).astype(np.int64)
             a = 0
             while a < docs.num_rows:  # some documents at a time
@@ -381,21 +457,19 @@ def encode(docs: DataFrame, table: Table, decoded: bool = False, chunk_bytes: in
     chunk_bytes: text of a chunk. Larger chunks shuffle fewer words, smaller ones take less memory; the ids don't depend on it.
     """
     rows = keyed(docs).select("_id", "_th", "doc_id", "text")
-    chunks = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed, chunk_bytes), CHUNKS), compression="zstd")
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = chunks.select("chunk", F.posexplode("words").alias("at", "word"))
-    # one number says chunk and word; both uses below read the same two columns, so they share one exchange
-    asked = each.select("word", (F.col("chunk") * (1 << 24) + F.col("at")).alias("place")).where("word is not null and place is not null").repartition(spread, "word")
-    distinct = asked.groupBy("word").agg(F.min("place").alias("p")).where("p >= 0").select("word")
-    known = best_path(lattice(distinct, table), table)
-    told = asked.join(known, "word").select("place", "ids")
-    longer = chunks.select("chunk", "long_at", F.posexplode("long_words").alias("k", "word")).select("word", (F.col("chunk") * (1 << 24) + F.get("long_at", "k")).alias("place"))
-    paths = best_path_long(written(longer.groupBy("word").agg(F.min("place").alias("p"))), table)
-    told = told.unionByName(longer.join(paths, "word").select("place", "ids"))
-    chunk = F.coalesce(F.shiftright("place", 24), F.lit(-1).cast("long"))  # never null, else the join adds a filter to one use of the exchange
-    told = told.groupBy(chunk.alias("chunk")).agg(F.collect_list((F.col("place") % (1 << 24)).cast("int")).alias("at"), F.collect_list("ids").alias("ids"))
-    back = chunks.select("chunk", "file", "offset", "length").join(told, "chunk", "left")
-    back = back.select("file", "offset", "length", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("ids", F.array().cast("array<binary>")).alias("ids"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed, chunk_bytes, parts), CHUNKS), compression="zstd")
+    asked = told.where("part >= 0").select("chunk", "part", "words")
+    distinct = written(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_distinct, "word string").distinct())
+    known = best_path(lattice(distinct.where(F.length("word") <= LONGEST), table), table)
+    longer = written(distinct.where(F.length("word") > LONGEST).select(F.monotonically_increasing_id().alias("p"), "word"))
+    known = known.unionByName(best_path_long(longer, table))
+    known = known.select(_part(F.col("word"), parts).alias("part"), F.lit(None).cast("long").alias("chunk"), F.encode("word", "UTF-8").alias("words"), "ids")
+    both = known.unionByName(asked.select("part", "chunk", "words", F.lit(None).cast("binary").alias("ids")))
+    answers = both.repartition(parts, "part").sortWithinPartitions("part", F.col("chunk").asc_nulls_first()).mapInArrow(_answered, "chunk long, part int, ids binary")
+    answers = answers.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("part", "ids"))).alias("told"))
+    chunks = told.where("part < 0").select("chunk", "file", "offset", "length").repartition(parts, "chunk")
+    back = chunks.join(answers.hint("merge"), "chunk", "left").select("file", "offset", "length", "told")
     return back.mapInArrow(_assembled(table.text if decoded else None), "_id long, _th long, doc_id long, ids array<int>" + ", text string" * decoded)
 
 
