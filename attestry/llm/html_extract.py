@@ -6,14 +6,15 @@ words), hashed words, and a few measures (length, link share, place). The networ
 directions, so a block is labelled with the context of the whole page.
 
 Training. The network is fitted here, on the driver, on SAMPLE pages at most (the least hashes of page_id; the bound is a
-parameter). A teacher labels their blocks by the semantic elements around them; besides the page itself, their blocks are
+parameter, and so is how much of each the driver gets). A teacher labels their blocks by the semantic elements around them; besides the page itself, their blocks are
 set anew into random layouts (below), so that the network learns class and id words, order and text, not one template.
 A page in which the teacher finds no content is no example; if that is all of them, their longer unlinked blocks outside
 named boilerplate are set into random layouts.
 The seed is fixed: equal samples give equal networks.
 
-Cases: a null or empty html, and one without content blocks, give an empty text; unclosed and cut markup ends at the end
-of the page; unknown character references stay; rows that repeat are extracted alike; further columns are ignored; no
+Cases: a null or empty html, and one without content blocks, give an empty text; a tag that the page's end cuts is no
+text, and one with an unclosed quote ends at its first >; elements without an end tag end with the page, and end tags
+without an element are left out; a page takes time in proportion to its length, whatever it holds; unknown character references stay; rows that repeat are extracted alike; further columns are ignored; no
 rows give no rows.
 """
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,8 +35,12 @@ from pyspark.sql import functions as F
 PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 6
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 20
-SAMPLE = 300
+SAMPLE, LONGEST = 300, 1 << 16
 EPOCHS = 8
+#: Share of containers in training layouts whose class says nothing.
+UNNAMED = 0.35
+#: Training examples at least; few pages are set into more layouts each.
+EXAMPLES = 1500
 
 # Elements that part blocks, elements whose content is no text, and void elements.
 PARTING = set(
@@ -45,21 +51,53 @@ SILENT = set("script style head template noscript iframe canvas select textarea
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the same kind, or of the named kinds, ends.
 ENDS = {"p": PARTING, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-RAW = {"script": re.compile(r"</script\b[^>]*>", re.I), "style": re.compile(r"</style\b[^>]*>", re.I)}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+RAW = {"script": re.compile(r"</script(?=[\s/>])", re.I), "style": re.compile(r"</style(?=[\s/>])", re.I)}
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What comes next in a tag: a value that begins with a quote, or the tag's end.
+NEXT = re.compile(r"=\s*([\"'])|>")
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z]+")
+#: Elements of a block's path that its features see, from either end; a deeper path loses those between.
+ENDS_SEEN = 32
 
 
 def _words(text: str) -> list[str]:
     return [w for w in SPLIT.split(text.lower()) if w]
 
 
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at `at`: behind its first > outside quoted values, or at the page's end.
+
+    A quote counts only where a value begins. One whose partner is missing, or isn't followed by what may follow a value,
+    was never closed: its tag ends at the first > behind it. No quote is sought twice, so a page takes linear time.
+    """
+    n = len(page)
+    while m := NEXT.search(page, at):
+        if m[0] == ">":
+            return m.end()
+        close = page.find(m[1], m.end())
+        if close < 0 or close + 1 < n and page[close + 1] not in " \t\n\r\f/>":
+            return page.find(">", m.end()) + 1 or n
+        at = close + 1
+    return n
+
+
+def _skipped(page: str, at: int) -> int:
+    """The end of the comment, marked section or declaration that begins at `at`."""
+    for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+        if page.startswith(opening, at):
+            break
+    end = page.find(closing, at + len(opening))
+    return end + len(closing) if end >= 0 else len(page)
+
+
 def blocks(page: str) -> list[tuple[str, tuple, float]]:
     """(text, path, link share) of each block with text, in page order. path: (tag, name words, whole names) from the root."""
     out: list[tuple[str, tuple, float]] = []
-    path: list[tuple] = []
-    silent = links = 0
+    path: list[str] = []  # the tags that are open
+    parting: list[tuple[int, tuple]] = []  # those that part blocks: place in path, element
+    opened: dict[str, list[int]] = defaultdict(list)  # the places of each tag in path
+    silent = 0
     pieces: list[str] = []
     linked = 0
 
@@ -68,60 +106,67 @@ def blocks(page: str) -> list[tuple[str, tuple, float]]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append((text, tuple(p for p in path if p[0] in PARTING), min(1.0, linked / len(text))))
+                seen = parting if len(parting) <= 2 * ENDS_SEEN else parting[:ENDS_SEEN] + parting[-ENDS_SEEN:]
+                out.append((text, tuple(x for _, x in seen), min(1.0, linked / len(text))))
             pieces.clear()
         linked = 0
 
     def pop(k: int) -> None:
-        nonlocal silent, links
-        for tag, *_ in path[k:]:
+        nonlocal silent
+        for tag in path[k:]:
             silent -= tag in SILENT
-            links -= tag == "a"
+            opened[tag].pop()
         del path[k:]
+        while parting and parting[-1][0] >= k:
+            parting.pop()
 
     at, n = 0, len(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else n]
+        begin = page.find("<", at)
+        m = None
+        while begin >= 0 and not (m := TAG.match(page, begin)) and page[begin + 1 : begin + 2] not in ("!", "?"):
+            begin = page.find("<", begin + 1)  # a lone < is text
+        text = page[at : begin if begin >= 0 else n]
         if text and not silent:
             pieces.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text)
-        if not m:
+        if begin < 0:
             break
-        at = m.end()
-        tag = m[2]
-        if not tag:
+        if not m:
+            at = _skipped(page, begin)
             continue
-        tag = tag.lower()
+        at = _tag_end(page, m.end())
+        tag = m[2].lower()
         if tag == "br":
             pieces.append(" ")
             continue
         if tag in PARTING:
             close()
         if m[1]:
-            for k in range(len(path) - 1, -1, -1):
-                if path[k][0] == tag:
-                    pop(k)
-                    break
+            if opened[tag]:
+                pop(opened[tag][-1])
             continue
         if tag in RAW:
             end = RAW[tag].search(page, at)
-            at = end.end() if end else n
+            at = page.find(">", end.end()) + 1 or n if end else n
             continue
         if tag in PARTING:
-            for k in range(len(path) - 1, -1, -1):
-                if tag in ENDS.get(path[k][0], ()):
+            for k, (own, *_) in reversed(parting):
+                if tag in ENDS.get(own, ()):
                     pop(k)
                     break
-                if path[k][0] in PARTING and path[k][0] not in ENDS:
+                if own not in ENDS:
                     break
-        if tag in VOID or m[3].endswith("/") and tag not in PARTING:
+        attributes = page[m.end() : at - 1]
+        if tag in VOID or tag not in PARTING and attributes.endswith("/") and attributes[-2:-1] in ("", " ", "\"", "'"):  # not href=/
             continue
-        named = [x[0] or x[1] or x[2] for x in NAMES.findall(m[3])] if "=" in m[3] else []
-        path.append((tag, tuple(w for x in named for w in _words(x)), tuple(w for x in named for w in x.lower().split())))
+        if tag in PARTING:
+            named = [x[0] or x[1] or x[2] for x in NAMES.findall(attributes)] if "=" in attributes else []
+            parting.append((len(path), (tag, tuple(w for x in named for w in _words(x)), tuple(w for x in named for w in x.lower().split()))))
+        opened[tag].append(len(path))
+        path.append(tag)
         silent += tag in SILENT
-        links += tag == "a"
     close()
     return out
 
@@ -132,24 +177,25 @@ def _place(word: str, dims: int) -> int:
 
 
 @lru_cache(50_000)
-def _path_features(path: tuple) -> np.ndarray:
+def _path_features(path: tuple, known: frozenset) -> np.ndarray:
     out = np.zeros(PATH_DIMS, np.float32)
     for tag, names, *_ in path:
         if tag in ("html", "body"):
             continue
         out[_place("<" + tag, PATH_DIMS)] = 1
         for w in names:
-            out[_place("." + w, PATH_DIMS)] = 1
+            out[_place("." + w if w in known else "?", PATH_DIMS)] = 1
     if path:
         out[_place("=" + path[-1][0], PATH_DIMS)] += 0.5
     return out
 
 
-def features(found: list[tuple[str, tuple, float]]) -> np.ndarray:
+def features(found: list[tuple[str, tuple, float]], known: frozenset) -> np.ndarray:
+    """A row for each block. known: the class and id words of the training pages and layouts; others are all one feature."""
     out = np.zeros((len(found), DIMS), np.float32)
     for k, (text, path, linked) in enumerate(found):
         row = out[k]
-        row[:PATH_DIMS] = _path_features(path)
+        row[:PATH_DIMS] = _path_features(path, known)
         words = text.split()
         hashed = np.bincount([_place(w, WORD_DIMS) for w in words], minlength=WORD_DIMS)
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = hashed / len(words)
@@ -160,11 +206,11 @@ def features(found: list[tuple[str, tuple, float]]) -> np.ndarray:
 class Network:
     """A bidirectional LSTM with one output a step; weights in one dictionary."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.w = weights
+    def __init__(self, weights: dict[str, np.ndarray], known: frozenset):
+        self.w, self.known = weights, known
 
     @staticmethod
-    def fresh(rng: np.random.Generator) -> Network:
+    def fresh(rng: np.random.Generator, known: frozenset) -> Network:
         w = {}
         for d in "fb":
             w["x" + d] = rng.normal(0, DIMS**-0.5, (DIMS, 4 * HIDDEN)).astype(np.float32)
@@ -173,7 +219,7 @@ class Network:
             w["c" + d][HIDDEN : 2 * HIDDEN] = 1
         w["o"] = rng.normal(0, (2 * HIDDEN) ** -0.5, 2 * HIDDEN).astype(np.float32)
         w["z"] = np.zeros(1, np.float32)
-        return Network(w)
+        return Network(w, known)
 
     @staticmethod
     def _sig(x):
@@ -279,41 +325,52 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
     rest = [b[0] for b, g in zip(found, good, strict=True) if not g] or ["Home"]
     words = " ".join(b[0] for b in text).split() or rest
 
+    def unnamed() -> str:
+        return f"{pick(['div', 'div', 'div', 'section', 'td', 'ul'])}.x{int(rng.integers(1 << 30)):x}"
+
+    def noise(element: tuple) -> tuple:
+        """The element, at times with a further class word that says nothing, and at times inside wrappers of that kind."""
+        tag, names = element
+        extra = _words(unnamed())[1:] if rng.random() < 0.4 else []
+        return tuple(_element(unnamed()) for _ in range(max(0, int(rng.integers(-2, 3))))) + ((tag, (*names, *extra)),)
+
     def some(kind: str) -> list:
-        spec = _element(pick(LAYOUT[kind]))
-        long = kind in ("comments", "notice", "advert") or rng.random() < 0.3
+        bare = rng.random() < UNNAMED and kind not in ("comments", "notice", "advert")
+        spec = noise(_element(unnamed() if bare else pick(LAYOUT[kind])))
+        long = not bare and (kind in ("comments", "notice", "advert") or rng.random() < 0.3)
         out = []
         for _ in range(int(rng.integers(1, 6))):
             m = int(rng.integers(8, 60)) if long else int(rng.integers(1, 6))
             k = int(rng.integers(0, max(1, len(words) - m)))
             body = " ".join(words[k : k + m]) if rng.random() < 0.7 else pick(rest)
             inner = pick([(), (("p", ()),), (("li", ()),), (("ul", ()), ("li", ())), (("div", ()),), (("span", ()),), (("h3", ()),)])
-            linked = float(rng.random() < (0.8 if kind == "before" else 0.3))
-            out.append((body, root + (spec,) + tuple(p for p in inner if p[0] in PARTING), linked))
+            linked = float(rng.random() < (0.8 if kind == "before" or bare else 0.3))
+            out.append((body, root + spec + tuple(p for p in inner if p[0] in PARTING), linked))
         return out
 
     top = [x for kind in ("before", "notice", "advert", "before") if rng.random() < 0.6 for x in some(kind)]
     end = [x for kind in ("after", "form", "comments", "advert", "notice", "after") if rng.random() < 0.5 for x in some(kind)]
-    spec = pick(CONTENT)
-    if rng.random() < 0.15:
-        spec = f"div.x{int(rng.integers(1 << 30)):x}"  # a name that says nothing
-    shell = root + (_element(spec),)
+    spec = unnamed() if rng.random() < UNNAMED else pick(CONTENT)
+    leaf = pick(["div", "td", "span", "li"]) if rng.random() < 0.2 else ""  # a page that has no paragraphs
+    shell = root + noise(_element(spec))
     if rng.random() < 0.25:
         shell += (_element(pick(CONTENT)),)
-    listed = int(rng.integers(len(text) + 1)) if rng.random() < 0.35 else -1
     body, marks = [], []
-    for at, b in enumerate(text):
-        if at == listed:  # a list in the running text
+    for b in [*text, None]:
+        if rng.random() < (0.4 if body and not marks[-1] else 0.08):  # a list in or after the running text
             for _ in range(int(rng.integers(2, 7))):
-                m, k = int(rng.integers(1, 25)), int(rng.integers(len(words)))
+                m, k = int(rng.integers(1, 8) if rng.random() < 0.5 else rng.integers(1, 25)), int(rng.integers(len(words)))
                 body.append((" ".join(words[k : k + m]), shell + (("ul", ()), ("li", ())), 0.0))
                 marks.append(True)
+        if b is None:
+            break
         tag = b[1][-1][0] if b[1] and b[1][-1][0] not in TEACHER_CONTENT else "p"
         if rng.random() < 0.08:
             tag = pick(["blockquote", "li", "h2", "pre", "div", "td", "h3"])
-        body.append((b[0], shell + ((tag, ()),), b[2]))
+        tag = leaf if leaf and tag == "p" else tag
+        body.append((b[0], shell + (((tag, ()),) if tag in PARTING else ()), b[2]))
         marks.append(True)
-        if rng.random() < 0.08:
+        if rng.random() < 0.15:
             for x in some(pick(["advert", "after", "form"])):
                 body.append((x[0], shell + x[1][len(root) :], x[2]))
                 marks.append(False)
@@ -326,30 +383,33 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
 
 def train(pages: list[str], seed: int = 7, layouts: int = 4, longest: int = 80) -> Network:
     rng = np.random.default_rng(seed)
+    layouts = max(layouts, -(-EXAMPLES // max(1, len(pages))))
     examples = []
+    parted = [blocks(page) for page in pages]
+    known = frozenset(w for kind in (CONTENT, *LAYOUT.values()) for x in kind for w in _element(x)[1]) | {w for found in parted for _, path, _ in found for _, names, *_ in path for w in names}
 
     def lay(found: list, good: list[bool]) -> None:
         for _ in range(layouts):
             laid, marks = relaid(found, good, rng)
-            examples.append((features(laid), np.array(marks, np.float32)))
+            examples.append((features(laid, known), np.array(marks, np.float32)))
 
-    parted = [blocks(page) for page in pages]
     for found in parted:
         good = [taught(p) for _, p, _ in found]
         if any(good):  # a page without semantic markup teaches nothing, above all not that its text is boilerplate
-            examples.append((features(found), np.array(good, np.float32)))
+            examples.append((features(found, known), np.array(good, np.float32)))
             lay(found, good)
     if not examples:  # no page has any: their running text is set into layouts whose labels are known
         for found in parted:
             good = [not _boilerplate(p) and linked < 0.3 and len(text.split()) >= 10 for text, p, linked in found]
             if any(good):
                 lay(found, good)
-    net = Network.fresh(rng)
+    net = Network.fresh(rng, known)
     first = {k: np.zeros_like(v) for k, v in net.w.items()}
     second = {k: np.zeros_like(v) for k, v in net.w.items()}
     cut = [(x[a : a + longest], y[a : a + longest]) for x, y in examples for a in range(0, len(x), longest)]
     step = 0
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS):
+        rate = 0.01 * (1 - epoch / EPOCHS)
         order = sorted(rng.permutation(len(cut)).tolist(), key=lambda k: len(cut[k][0]) // 8)
         groups = [order[a : a + 32] for a in range(0, len(order), 32)]
         for g in rng.permutation(len(groups)):
@@ -360,7 +420,7 @@ def train(pages: list[str], seed: int = 7, layouts: int = 4, longest: int = 80)
                 d = np.clip(d, -1, 1)
                 first[k] = 0.9 * first[k] + 0.1 * d
                 second[k] = 0.99 * second[k] + 0.01 * d * d
-                net.w[k] = (net.w[k] - 0.01 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                net.w[k] = (net.w[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return net
 
 
@@ -373,7 +433,7 @@ def label(net: Network, pages: list[list[tuple[str, tuple, float]]]) -> list[np.
         b = a + 1
         while b < len(order) and b - a < 128 and (b - a + 1) * len(pages[order[b]]) <= 4000:
             b += 1
-        x, mask = padded([features(pages[k]) for k in order[a:b]])
+        x, mask = padded([features(pages[k], net.known) for k in order[a:b]])
         scores = net.scores(x, mask)
         for col, k in enumerate(order[a:b]):
             out[k] = scores[: len(pages[k]), col]
@@ -383,7 +443,7 @@ def label(net: Network, pages: list[list[tuple[str, tuple, float]]]) -> list[np.
 
 def _extracted(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(held.value)
+        net = Network(*held.value)
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 part = batch.slice(a, 128)
@@ -394,16 +454,23 @@ def _extracted(held):
     return run
 
 
-def fit(pages: DataFrame, sample: int = SAMPLE) -> Network:
-    """Trains on the `sample` pages whose page_id has the least hashes (ties by html)."""
-    order = [F.xxhash64("page_id"), F.col("page_id"), F.xxhash64("html")]
-    rows = pages.where("html is not null").select("page_id", "html").orderBy(*order).limit(sample).collect()
-    return train([r.html for r in rows])
+def fit(pages: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Network:
+    """Trains on `sample` pages: those of at most `longest` characters first, by the least hashes of page_id (ties by html).
+
+    The pages are chosen by their keys, and only the chosen ones are fetched, `longest` characters of each at most, so the
+    driver gets sample x longest characters whatever the pages are.
+    """
+    rows = pages.where("html is not null").select("page_id", "html", F.xxhash64("html").alias("h"))
+    keys = rows.select("page_id", "h", (F.length("html") > longest).alias("long"))
+    chosen = keys.orderBy("long", F.xxhash64("page_id"), "page_id", "h").limit(sample).select("page_id", "h").distinct()
+    some = rows.join(F.broadcast(chosen), rows["page_id"].eqNullSafe(chosen["page_id"]) & (rows["h"] == chosen["h"]), "left_semi")
+    some = some.groupBy("page_id", "h").agg(F.first(F.substring("html", 1, longest)).alias("html"))
+    return train([r.html for r in sorted(some.collect(), key=lambda r: (r.page_id is None, r.page_id, r.h))])
 
 
 def extract(pages: DataFrame, net: Network) -> DataFrame:
     """page_id, url, text for each row of pages (page_id, url, html)."""
-    held = pages.sparkSession.sparkContext.broadcast(net.w)
+    held = pages.sparkSession.sparkContext.broadcast((net.w, net.known))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extracted(held), "page_id long, url string, text string")
 

@@ -1,11 +1,14 @@
-"""Texts that are made to break the operators."""
+"""Texts and pages that are made to break the operators, and pages in layouts that no list of the operators holds."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
-from attestry.llm import minhash_dedup, substring_dedup, words
+from attestry.llm import html_extract, minhash_dedup, substring_dedup, words
 
 SCHEMA = "doc_id long, text string"
 
@@ -60,3 +63,87 @@ def test_repeats_with_long_runs_and_a_long_text(spark):
     rows = [(1, " ".join(long_text)), (2, "z " * 5000), (3, "q " + " ".join(passage) + " q"), (4, "a b " * 1000 + "c"), (5, "z " * 20)]
     got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: (200_000, 60), 2: (5000, 5000), 3: (62, 60), 4: (2001, 2000), 5: (20, 0)}
+
+
+@pytest.mark.parametrize(
+    ("page", "found"),
+    [
+        ("<p title=\"it's>hello", ["hello"]),
+        ("<footer class='x>menu", ["menu"]),
+        ("<p>cut <a href='", ["cut"]),
+        ("a < b <p don't>x</p> 3<4 <!-- c", ["a < b", "x", "3<4"]),
+        ('<a href="x>y">z</a>', ["z"]),
+        ('<p class="a>one</p><p class="b">two</p>', ["one", "two"]),
+        ("<p>a</i></b>c<div>d</p>e", ["ac", "d", "e"]),
+        ("<ul><li>a<li>b<ul><li>c</ul>d</ul>e", ["a", "b", "c", "d", "e"]),
+        ("<td>a<td>b<tr>c</table></div></div>d", ["a", "b", "c", "d"]),
+        ("<p/>x<br/>y<img src=a alt='>'>z", ["x yz"]),
+        ("<SCRIPT>if (a</b) '</p>'</SCRIPT >t<style>x", ["t"]),
+        ("<p>&amp;&#x41;&bogus;&nbsp;é</p>", ["&A&bogus; é"]),
+    ],
+)
+def test_broken_markup(page, found):
+    assert [b[0] for b in html_extract.blocks(page)] == found
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a '" * 250_000, '<p a="' * 160_000, "<p a=\"x' b='>" * 90_000, "<div>" * 200_000 + "x", "<b>" * 100_000 + "<p>t</p>" * 90_000, "<b>" * 100_000 + "</i>" * 150_000]
+    + ["<b><i>" * 90_000 + "</b>" * 90_000, "<script>" + "</script" * 120_000, "<" * 1_000_000, "<!--" * 250_000, "<div>t" * 160_000, "&" * 1_000_000, "<li><td>" * 120_000],
+    ids=range(13),
+)
+def test_a_page_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.blocks(page)
+    assert time.process_time() - began < 6
+
+
+def prose(rng, n):
+    return [" ".join(rng.choice(WORDS) for _ in range(rng.randint(14, 40))).capitalize() + "." for _ in range(n)]
+
+
+WORDS = "the river was quiet when we left and nobody had asked about old maps which hung beside a door that led into further rooms of stone".split()
+LINKS = "<a href=/a>Alpha</a> <a href=/b>Beta</a> <a href=/c>Gamma</a>"
+#: Layouts labelled by hand: {} is the text's paragraphs, all else is not the article. No class or id stands in a list of the operator.
+LAYOUTS = {
+    "plain divs": ("<div class=k1><a href=/>Start</a> <a href=/x>Topics</a></div><div class=zzz>{p}</div><div class=k9>Copyright 2021 Example Ltd.</div>", "<p>{}</p>"),
+    "hashed names": ("<div class=css-1ab><ul><li><a href=/>Uno</a><li><a href=/>Dos</a></ul></div><div class=css-7xy><div class=css-9q>{p}</div></div><div class=css-0>All rights reserved.</div>", "<p>{}</p>"),
+    "tables": ("<table><tr><td class=l1>" + LINKS + "</td><td class=l2>{p}</td></tr></table><p class=l3><small>Imprint</small></p>", "<p>{}</p>"),
+    "sections": ("<nav>" + LINKS + "</nav><section class=feuille>{p}</section><footer>Contact us</footer>", "<p>{}</p>"),
+    "no paragraphs": ("<header><h2>Gazette</h2></header><div id=zone2>{p}</div><form><label>Mail</label><button>Send</button></form>", "<div>{}</div>"),
+    "deep": ("<div class=q><div class=r><ul class=s><li><a href=/>One</a></li><li><a href=/>Two</a></li></ul></div><div class=t><div class=u><div class=v>{p}</div></div></div></div>", "<p>{}</p>"),
+    "article alone": ("<ul><li><a href=/>One</a></li></ul><article>{p}</article><aside>" + LINKS + "</aside>", "<p>{}</p>"),
+    "quotes": ("<div class=aa>" + LINKS + "</div><div class=bb>{p}</div>", "<blockquote><p>{}</p></blockquote>"),
+}
+
+
+def test_layouts_with_names_of_no_list(spark, sf_dir):
+    """Figures in the README: paragraphs kept, and other blocks that come with them."""
+    net = html_extract.fit(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    rng = random.Random(6)
+    kept, leaked, total, others = {}, {}, 0, 0
+    for name, (page, wrap) in LAYOUTS.items():
+        for _ in range(5):
+            own = prose(rng, 8)
+            found = html_extract.blocks("<html><body>" + page.replace("{p}", "".join(wrap.format(x) for x in own)))
+            out = [b[0] for b, s in zip(found, html_extract.label(net, [found])[0], strict=True) if s > 0.5]
+            kept[name] = kept.get(name, 0) + sum(x in out for x in own)
+            leaked[name] = leaked.get(name, 0) + sum(x not in own for x in out)
+            total, others = total + len(own), others + len(found) - len(own)
+    print(kept, leaked, total, others)
+    assert sum(kept.values()) >= 0.9 * total, kept
+    assert sum(leaked.values()) <= 0.1 * others, leaked
+
+
+def test_the_sample_is_bounded(spark):
+    pages = spark.range(50).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<article><p>"), F.repeat(F.lit("word "), 40_000), F.lit("</article>")).alias("html"))
+    seen = []
+    was, html_extract.train = html_extract.train, lambda pages: seen.extend(pages)
+    try:
+        html_extract.fit(pages.union(pages), sample=20, longest=1000)
+        html_extract.fit(pages.where("false"), sample=20)
+        small = spark.createDataFrame([(99, "u", "<article>a"), (99, "u", "<article>a"), (None, "u", "<article>b"), (98, "u", None)], "page_id long, url string, html string")
+        html_extract.fit(pages.union(small), sample=3, longest=1000)
+    finally:
+        html_extract.train = was
+    assert 10 <= len(seen[:-2]) <= 23 and {len(x) for x in seen[:10]} == {1000} and {"<article>a", "<article>b"} <= set(seen)

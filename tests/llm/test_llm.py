@@ -419,7 +419,7 @@ PAGE = """<html><head><title>T</title><script>var a="</p>";</script></head><body
 def test_blocks():
     found = [b[0] for b in html_extract.blocks(PAGE)]
     assert found == ["Home", "We use cookies.", "A story & more", "First part with bold words.", "Second part.", "Buy now", "one of a list", "two of a list", "Great article!", "© 2020"]
-    assert html_extract.blocks("") == [] and html_extract.blocks("<p>cut <a href='") == html_extract.blocks("<p>cut <a href='")
+    assert html_extract.blocks("") == [] and [b[0] for b in html_extract.blocks("<p>cut <a href='")] == ["cut"]
 
 
 def test_extraction(spark, sf_dir):
