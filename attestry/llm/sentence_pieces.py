@@ -460,8 +460,9 @@ def encode(docs: DataFrame, table: Table, decoded: bool = False, chunk_bytes: in
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = written(rows.mapInArrow(_chunked(shared_dir(docs.sparkSession), table.crossed, chunk_bytes, parts), CHUNKS), compression="zstd")
     asked = told.where("part >= 0").select("chunk", "part", "words")
-    distinct = written(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_distinct, "word string").distinct())
-    known = best_path(lattice(distinct.where(F.length("word") <= LONGEST), table), table)
+    # a word has one part and a part one task, so these are distinct over all chunks
+    distinct = written(asked.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_distinct, "word string"), compression="zstd")
+    known = best_path(lattice(distinct.where(F.length("word") <= LONGEST).repartition(parts, "word"), table), table)
     longer = written(distinct.where(F.length("word") > LONGEST).select(F.monotonically_increasing_id().alias("p"), "word"))
     known = known.unionByName(best_path_long(longer, table))
     known = known.select(_part(F.col("word"), parts).alias("part"), F.lit(None).cast("long").alias("chunk"), F.encode("word", "UTF-8").alias("words"), "ids")
