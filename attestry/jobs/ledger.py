@@ -86,20 +86,60 @@ def test_seeds():
     return {kid: hashlib.sha256(f"attestry test key {kid}".encode()).hexdigest() for kid, *_ in dims.KEYS}
 
 
-@query("verify_receipts")
-def verify_receipts(spark, sf_dir):
-    """Hashes recomputed from canonical text; every 499th body is changed after hashing. Signatures are made here with the test keys and checked under their public keys."""
+def public_keys():
+    return {kid: ed25519_public(bytes.fromhex(seed)).hex() for kid, seed in test_seeds().items()}
+
+
+def signed_bodies(spark, sf_dir):
+    """The ledger with body texts, their hashes and signatures of the test keys.
+
+    Planted: every 499th body is changed after hashing; every 101st signature is of another text, every 103rd kid is unknown.
+    """
     rows = bodies(spark, sf_dir)
     sorted_text = F.to_json(F.struct("captured_at", "input_tokens", "kind", "model", "receipt_id", "tenant_id", "vendor"))
     changed = F.when(F.col("event_id") % 499 == 0, F.regexp_replace("body", "tenant", "tenanT")).otherwise(F.col("body"))
-    hashed = rows.select("receipt_id", changed.alias("raw"), F.sha2(sorted_text, 256).alias("receipt_hash"), "kid")
-    seeds = test_seeds()
-    return op.verify_receipts(op.sign_receipts(hashed, seeds), {kid: ed25519_public(bytes.fromhex(seed)).hex() for kid, seed in seeds.items()})
+    hashed = rows.select("receipt_id", "tenant_id", "chain_height", "event_id", changed.alias("raw"), F.sha2(sorted_text, 256).alias("_hash"), "kid")
+    told = hashed.withColumn("receipt_hash", F.when(F.col("event_id") % 101 == 0, F.sha2("_hash", 256)).otherwise(F.col("_hash")))
+    signed = op.sign_receipts(told, test_seeds()).withColumn("receipt_hash", F.col("_hash")).drop("_hash")
+    return signed.withColumn("kid", F.when(F.col("event_id") % 103 == 0, "kid-stranger").otherwise(F.col("kid")))
+
+
+@query("verify_receipts", "SELECT receipt_id, event_id % 499 <> 0 AS hash_ok, event_id % 101 <> 0 AND event_id % 103 <> 0 AS signature_ok FROM receipts", "receipts")
+def verify_receipts(spark, sf_dir):
+    """Hashes recomputed from canonical text, signatures checked under the public keys."""
+    return op.verify_receipts(signed_bodies(spark, sf_dir), public_keys())
+
+
+def envelopes(spark, sf_dir):
+    """Whole envelopes. Planted: every 107th has no signature, every 109th a previous hash that isn't its place's, every 113th a foreign time stamp, every 127th a first signature of another kind."""
+    rows = signed_bodies(spark, sf_dir)
+    first, k = F.col("chain_height") == 1, F.col("event_id")
+    zeros, other = F.lit(op.ZERO), F.sha2(F.col("receipt_id"), 256)
+    previous = F.when(first != (k % 109 == 0), zeros).otherwise(other)
+    own = F.struct("kid", F.lit("EdDSA").alias("alg"), F.col("signature").alias("sig"))
+    odd = F.struct("kid", F.lit("ES256").alias("alg"), F.col("signature").alias("sig"))
+    kinds = F.when(k % 107 == 0, F.slice(F.array(own), 1, 0)).when(k % 127 == 0, F.array(odd, own)).otherwise(F.array(own))
+    imprint = F.when(k % 113 == 0, other).otherwise(F.col("receipt_hash"))
+    return rows.select("receipt_id", "tenant_id", "chain_height", "receipt_hash", "raw", previous.alias("previous_receipt_hash"), kinds.alias("signatures"), F.array(F.struct(imprint.alias("imprint"))).alias("timestamps"))
+
+
+_CHECKED = """WITH c AS (SELECT receipt_id, tenant_id, event_id, chain_height, event_id % 107 <> 0 AS envelope_ok, event_id % 499 <> 0 AS hash_ok, event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0 AS signature_ok, event_id % 109 <> 0 AS genesis_ok, event_id % 113 <> 0 AS imprint_ok FROM receipts),
+checked AS (SELECT *, concat_ws(',', CASE WHEN NOT envelope_ok THEN 'envelope' END, CASE WHEN NOT hash_ok THEN 'hash' END, CASE WHEN NOT signature_ok THEN 'signature' END, CASE WHEN NOT genesis_ok THEN 'genesis' END, CASE WHEN NOT imprint_ok THEN 'imprint' END) AS errors FROM c) """
+
+
+@query("verify_envelopes", _CHECKED + "SELECT receipt_id, envelope_ok, hash_ok, signature_ok, genesis_ok, imprint_ok, errors, errors = '' AS valid FROM checked", "receipts")
+def verify_envelopes(spark, sf_dir):
+    return op.verify_envelopes(envelopes(spark, sf_dir), public_keys())
 
 
 @query("seal_chain")
 def seal_chain(spark, sf_dir):
-    return op.seal_chain(bodies(spark, sf_dir))
+    """The events after 2024-01-15 sealed on top of the chains that those before make."""
+    rows = bodies(spark, sf_dir)
+    cut = F.lit("2024-01-15T00:00:00Z")
+    before = op.seal_chain(rows.where(F.col("captured_at") < cut))
+    heads = before.groupBy("tenant_id").agg(F.max("chain_height").alias("chain_height"), F.max_by("receipt_hash", "chain_height").alias("receipt_hash"))
+    return before.unionByName(op.seal_chain(rows.where(F.col("captured_at") >= cut), heads))
 
 
 def leaves(spark, sf_dir):
@@ -107,14 +147,10 @@ def leaves(spark, sf_dir):
     return rows_of(spark, sf_dir).select(F.col("tenant_id").alias("batch"), (F.col("chain_height") - 1).cast("long").alias("idx"), op.leaf_hash(F.col("receipt_hash")).alias("node"))
 
 
-def _most(df):
-    return df.agg(F.max("idx")).first()[0] or 0
-
-
 @query("merkle_batches")
 def merkle_batches(spark, sf_dir):
     rows = leaves(spark, sf_dir)
-    found = op.merkle_batches(rows, _most(rows) + 1)
+    found = op.merkle_batches(rows)
     return found.select("batch", "idx", F.size("path").alias("steps"), F.sha2(F.concat_ws(",", "path"), 256).alias("path_sha256"), "root")
 
 
@@ -123,41 +159,72 @@ def verify_inclusion(spark, sf_dir):
     """Every leaf proved; the leaves of every 499th event are changed first and must fail."""
     rows = leaves(spark, sf_dir)
     changed = rows_of(spark, sf_dir).where("event_id % 499 = 0").select(F.col("tenant_id").alias("batch"), (F.col("chain_height") - 1).cast("long").alias("idx"), F.lit(True).alias("changed"))
-    proofs = op.merkle_batches(rows, _most(rows) + 1).join(rows, ["batch", "idx"]).join(changed, ["batch", "idx"], "left")
+    proofs = op.merkle_batches(rows).join(rows, ["batch", "idx"]).join(changed, ["batch", "idx"], "left")
     checked = op.verify_inclusion(proofs.withColumn("node", F.when(F.col("changed"), F.sha2("node", 256)).otherwise(F.col("node"))))
     return checked.groupBy("batch").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("included").alias("included"))
 
 
-@query("verify_pack", "SELECT tenant_id, count(*) AS receipts, count(*) FILTER (event_id % 499 = 0) AS failed, count(*) FILTER (event_id % 499 = 0) = 0 AS valid FROM receipts GROUP BY 1", "receipts")
+def included_leaves(spark, sf_dir):
+    """tenant_id, chain_height, included: the inclusion proof of every receipt, made and checked."""
+    all_leaves = leaves(spark, sf_dir)
+    proofs = op.verify_inclusion(op.merkle_batches(all_leaves).join(all_leaves, ["batch", "idx"]))
+    return proofs.select(F.col("batch").alias("tenant_id"), (F.col("idx") + 1).alias("chain_height"), "included")
+
+
+_BAD = "event_id % 499 = 0 OR event_id % 101 = 0 OR event_id % 103 = 0 OR event_id % 107 = 0 OR event_id % 109 = 0 OR event_id % 113 = 0"
+
+
+@query("verify_pack", f"SELECT keys, tenant_id, count(*) AS receipts, count(*) FILTER (keys = 'none' OR {_BAD}) AS failed, count(*) FILTER (keys = 'none' OR {_BAD}) = 0 AS valid FROM receipts, (VALUES ('external'), ('none')) AS k(keys) GROUP BY 1, 2", "receipts")
 def verify_pack(spark, sf_dir):
-    """Inclusion, body hash and signature of every receipt of a tenant's pack."""
-    checks = verify_receipts(spark, sf_dir)
+    """Envelope, body hash, signature and inclusion of every receipt of a tenant's pack, under the external keys and, to the same packs, with none."""
+    rows = envelopes(spark, sf_dir)
+    place = rows.select("receipt_id", "tenant_id", F.col("chain_height").cast("long").alias("chain_height")).join(included_leaves(spark, sf_dir), ["tenant_id", "chain_height"])
+    out = []
+    for name, keys in (("external", public_keys()), ("none", None)):
+        checks = op.verify_envelopes(rows, keys).select("receipt_id", (F.col("hash_ok") & F.col("envelope_ok") & F.col("genesis_ok") & F.col("imprint_ok")).alias("hash_ok"), "signature_ok")
+        out.append(op.verify_pack(place.join(checks, "receipt_id")).withColumn("keys", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
+def logged(spark, sf_dir):
+    """The transparency log: idx, node and day of each receipt, by time. Cells of ten minutes, so no day is sorted in one task."""
     rows = rows_of(spark, sf_dir)
-    all_leaves = leaves(spark, sf_dir)
-    proofs = op.verify_inclusion(op.merkle_batches(all_leaves, _most(all_leaves) + 1).join(all_leaves, ["batch", "idx"])).select(F.col("batch").alias("tenant_id"), (F.col("idx") + 1).alias("chain_height"), "included")
-    joined = rows.select("receipt_id", "tenant_id", F.col("chain_height").cast("long").alias("chain_height")).join(checks, "receipt_id").join(proofs, ["tenant_id", "chain_height"])
-    return op.verify_pack(joined)
+    placed = op.indexed(rows.withColumn("log", F.lit("log")), "log", ["ts", "event_id"], F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 600))
+    return placed.select("idx", F.sha2(F.concat_ws(":", "tenant_id", "receipt_hash"), 256).alias("node"), "captured_day")
 
 
 @query("tree_heads")
 def tree_heads(spark, sf_dir):
     """The log's root at the end of each day."""
-    rows = rows_of(spark, sf_dir)
-    placed = op.indexed(rows.withColumn("log", F.lit("log")), "log", ["ts", "event_id"], F.col("captured_day"))
-    logged = placed.select("idx", F.sha2(F.concat_ws(":", "tenant_id", "receipt_hash"), 256).alias("node"), "captured_day")
-    sizes = logged.groupBy("captured_day").agg((F.max("idx") + 1).alias("size"))
-    return op.tree_heads(logged, sizes, _most(logged) + 1)
+    rows = logged(spark, sf_dir)
+    return op.tree_heads(op.tree_nodes(rows), rows.groupBy("captured_day").agg((F.max("idx") + 1).alias("size")))
+
+
+@query("tree_consistency", """WITH s AS (SELECT captured_day, CAST(sum(n) OVER (ORDER BY captured_day) AS BIGINT) AS size FROM (SELECT captured_day, count(*) AS n FROM receipts GROUP BY 1)),
+h AS (SELECT size, lead(size) OVER (ORDER BY size) AS next_size FROM s) SELECT size, next_size, size % 3 <> 0 AND next_size % 3 <> 0 AS consistent FROM h WHERE next_size IS NOT NULL""", "receipts")
+def tree_consistency(spark, sf_dir):
+    """Each day's head against the next one's by a proof; heads of a size that 3 divides are stated with another root."""
+    rows = logged(spark, sf_dir)
+    nodes = op.tree_nodes(rows)
+    heads = op.tree_heads(nodes, rows.groupBy("captured_day").agg((F.max("idx") + 1).alias("size")))
+    stated = heads.withColumn("root", F.when(F.col("size") % 3 == 0, F.sha2("root", 256)).otherwise(F.col("root")))
+    return op.verify_consistency(op.consistency_proofs(nodes, heads), stated)
 
 
 @query("attest_datasets")
 def attest_datasets(spark, sf_dir):
     files = receipts.table(spark, sf_dir, "dataset_files")
-    return op.attest_datasets(files, files.groupBy("dataset_id").count().agg(F.max("count")).first()[0] or 1)
+    fields = [(n, t) for n, t in spark.read.parquet(f"{sf_dir}/documents.parquet").dtypes]
+    names = files.select("dataset_id").distinct()
+    schemas = names.withColumn("f", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in fields]))).select("dataset_id", "f.*")
+    lineage = names.select("dataset_id", F.explode(F.array(F.lit("crawl"), F.concat(F.lit("raw/"), "dataset_id"))).alias("parent"))
+    return op.attest_datasets(files, schemas, lineage)
 
 
-@query("attest_dataset_totals", "SELECT dataset_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM dataset_files GROUP BY 1", "dataset_files")
+@query("attest_dataset_totals", """SELECT dataset_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, sha256('doc_id:bigint' || chr(10) || 'lang:string' || chr(10) || 'n_chars:bigint' || chr(10) || 'source:string' || chr(10) || 'text:string') AS schema_hash,
+  sha256('crawl' || chr(10) || 'raw/' || dataset_id) AS lineage_hash FROM dataset_files GROUP BY 1""", "dataset_files")
 def attest_dataset_totals(spark, sf_dir):
-    return attest_datasets(spark, sf_dir).drop("root")
+    return attest_datasets(spark, sf_dir).drop("root", "manifest_hash")
 
 
 _EDGES = """WITH edges AS (SELECT r.tenant_id, r.workflow_id, r.receipt_id AS step, r.parent_id AS parent, p.receipt_id IS NOT NULL AS present FROM receipts r LEFT JOIN receipts p ON p.tenant_id = r.tenant_id AND p.workflow_id = r.workflow_id AND p.receipt_id = r.parent_id WHERE r.parent_id IS NOT NULL),
@@ -187,10 +254,13 @@ def workflow_order(spark, sf_dir):
     return op.workflow_order(rows, op.workflow_edges(rows))
 
 
-@query("verify_workflows", _LINKS.strip() + _EDGES.strip().replace("WITH ", ", ", 1) + """, b AS (SELECT tenant_id, workflow_id, count(*) AS steps, bool_and(link_ok) AS verified FROM receipts JOIN links USING (receipt_id, tenant_id) GROUP BY ALL),
-c AS (SELECT tenant_id, workflow_id, bool_and(present) AS complete FROM edges GROUP BY ALL)
+@query("verify_workflows", _CHECKED + _LINKS.strip().replace("WITH ", ", ", 1) + _EDGES.strip().replace("WITH ", ", ", 1) + """, b AS (SELECT r.tenant_id, workflow_id, count(*) AS steps, bool_and(link_ok AND hash_ok AND signature_ok) AS verified FROM receipts r JOIN links USING (receipt_id) JOIN checked USING (receipt_id) GROUP BY ALL),
+g AS (SELECT tenant_id, workflow_id, bool_and(present) AS complete FROM edges GROUP BY ALL)
 SELECT b.*, coalesce(complete, true) AS complete, true AS acyclic, (b.tenant_id, b.workflow_id) IN (SELECT (tenant_id, workflow_id) FROM grafts) AS grafted, verified AND coalesce(complete, true) AND NOT ((b.tenant_id, b.workflow_id) IN (SELECT (tenant_id, workflow_id) FROM grafts)) AS valid
-FROM b LEFT JOIN c USING (tenant_id, workflow_id)""", "receipts")
+FROM b LEFT JOIN g USING (tenant_id, workflow_id)""", "receipts")
 def verify_workflows(spark, sf_dir):
+    """A receipt is verified by its link, its hash and its signature (which verify_workflows of unsigned envelopes lack too)."""
     rows = rows_of(spark, sf_dir)
-    return op.verify_workflows(rows, op.verify_links(rows))
+    links = op.verify_links(rows).select("receipt_id", "link_ok")
+    checks = op.verify_envelopes(envelopes(spark, sf_dir), public_keys()).select("receipt_id", "hash_ok", "signature_ok")
+    return op.verify_workflows(rows, links.join(checks, "receipt_id").select("receipt_id", (F.col("link_ok") & F.col("hash_ok") & F.col("signature_ok")).alias("ok")))

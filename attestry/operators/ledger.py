@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from attestry.functions.canonical import body_hash, ed25519_sign, ed25519_valid
+from attestry.functions.tables import written
 
 ZERO = "0" * 64
 BLOCK_BITS = 12
@@ -124,29 +125,65 @@ def verify_receipts(rows: DataFrame, keys: dict[str, str] | None = None) -> Data
     return rows.select("receipt_id", "raw", "receipt_hash", "kid", "signature").mapInPandas(run, "receipt_id string, hash_ok boolean, signature_ok boolean")
 
 
-def seal_chain(events: DataFrame) -> DataFrame:
+def verify_envelopes(rows: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
+    """receipt_id, envelope_ok, hash_ok, signature_ok, genesis_ok, imprint_ok, valid, errors for whole envelopes.
+
+    rows: receipt_id, chain_height, previous_receipt_hash, receipt_hash, raw (JSON text of the body), signatures (array of
+    kid, alg, sig: hex), timestamps (array of imprint: hex). An envelope needs an id, a body, a hash of 64 hex digits, a
+    height of 1 or more and a signature; its body must have the stated hash; one signature at least must be an EdDSA one
+    of a known kid that holds; at height 1 the previous hash is zeros, and nowhere else; each time stamp's imprint is the
+    receipt's hash. A null check fails. errors: the names of the checks that fail, in this order.
+    """
+    hex64 = "^[0-9a-f]{64}$"
+    envelope = F.col("receipt_id").isNotNull() & F.col("raw").isNotNull() & F.col("receipt_hash").rlike(hex64) & F.col("previous_receipt_hash").rlike(hex64) & (F.col("chain_height") >= 1) & (F.size("signatures") > 0)
+    genesis = (F.col("chain_height") == 1) == (F.col("previous_receipt_hash") == ZERO)
+    imprint = F.forall(F.coalesce("timestamps", F.array().cast("array<struct<imprint:string>>")), lambda t: F.coalesce(t["imprint"] == F.col("receipt_hash"), F.lit(False)))
+    each = rows.select("receipt_id", "raw", "receipt_hash", F.explode_outer("signatures").alias("_s"))
+    each = each.select("receipt_id", "raw", "receipt_hash", F.when(F.col("_s.alg") == "EdDSA", F.col("_s.kid")).alias("kid"), F.col("_s.sig").alias("signature"))
+    checked = verify_receipts(each, keys).groupBy("receipt_id").agg(F.bool_and("hash_ok").alias("hash_ok"), F.bool_or("signature_ok").alias("signature_ok"))
+    flags = rows.select("receipt_id", envelope.alias("envelope_ok"), genesis.alias("genesis_ok"), imprint.alias("imprint_ok")).join(checked, "receipt_id", "left")
+    names = ["envelope_ok", "hash_ok", "signature_ok", "genesis_ok", "imprint_ok"]
+    out = flags.select("receipt_id", *[F.coalesce(n, F.lit(False)).alias(n) for n in names])
+    errors = F.concat_ws(",", *[F.when(~F.col(n), n.removesuffix("_ok")) for n in names])
+    return out.withColumn("errors", errors).withColumn("valid", F.col("errors") == "")
+
+
+def seal_chain(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """tenant_id, event_id, chain_height, previous_hash, receipt_hash of events (tenant_id, event_id, ts, body: JSON text).
 
-    Bodies are made canonical and hashed in parallel; only 32-byte hashes go through the sequential link of a tenant:
-    hash(height) = SHA-256(hash(height - 1) | height | body hash). A tenant's links are inherently one after another.
+    heads: tenant_id, chain_height, receipt_hash of chains that go on; others begin at height 1 with zeros. Bodies are made
+    canonical and hashed in parallel; only 32-byte hashes go through the link of a tenant, which is one after another by
+    its nature: hash(height) = SHA-256(hash(height - 1) | height | body hash). Tenants are sorted by Spark, which spills,
+    and read as a stream that keeps the last hash alone, so a tenant of any size takes no memory.
     """
+    columns = "tenant_id string, event_id long, ts timestamp_ntz, body string"
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(body=[body_hash(t) or hashlib.sha256((t or "").encode()).hexdigest() for t in b["body"]])
 
-    def linked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-        last, out = ZERO, []
-        for height, body in enumerate(pdf["body"], 1):
-            own = hashlib.sha256(f"{last}|{height}|{body}".encode()).hexdigest()
-            out.append((height, last, own))
-            last = own
-        made = pd.DataFrame(out, columns=["chain_height", "previous_hash", "receipt_hash"])
-        return pd.concat([pdf[["tenant_id", "event_id"]].reset_index(drop=True), made], axis=1)
-
-    slim = events.select("tenant_id", "event_id", "ts", "body").mapInPandas(hashed, "tenant_id string, event_id long, ts timestamp_ntz, body string")
-    return slim.groupBy("tenant_id").applyInPandas(linked, "tenant_id string, event_id long, chain_height long, previous_hash string, receipt_hash string")
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tenant, height, last = None, 0, ZERO
+        for b in batches:
+            out = []
+            for own, event, at, body in zip(b["tenant_id"], b["event_id"], b["height"], b["body"], strict=True):
+                if own != tenant:
+                    tenant, height, last = own, 0, ZERO
+                if at > 0:  # the head of a chain that goes on comes first
+                    height, last = int(at), body
+                    continue
+                height += 1
+                made = hashlib.sha256(f"{last}|{height}|{body}".encode()).hexdigest()
+                out.append((own, event, height, last, made))
+                last = made
+            yield pd.DataFrame(out, columns=["tenant_id", "event_id", "chain_height", "previous_hash", "receipt_hash"])
+
+    slim = events.select("tenant_id", "event_id", "ts", "body").mapInPandas(hashed, columns).withColumn("height", F.lit(0).cast("long"))
+    if heads is not None:
+        known = heads.select("tenant_id", F.lit(0).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"), F.col("receipt_hash").alias("body"), F.col("chain_height").cast("long").alias("height"))
+        slim = slim.unionByName(known)
+    dealt = slim.repartition("tenant_id").sortWithinPartitions("tenant_id", F.desc("height"), "ts", "event_id")
+    return dealt.mapInPandas(linked, "tenant_id string, event_id long, chain_height long, previous_hash string, receipt_hash string")
 
 
 def _pair(left: bytes, right: bytes) -> bytes:
@@ -158,11 +195,11 @@ def leaf_hash(data: Column) -> Column:
     return F.sha2(F.concat(F.unhex(F.lit("00")), F.encode(data, "UTF-8")), 256)
 
 
-NODES = "batch string, level int, pos long, hash string"
+def _level(nodes: DataFrame, base: int, proofs: bool) -> tuple[DataFrame, DataFrame]:
+    """(complete aligned nodes inside blocks, a row a block or leaf) of nodes (batch, idx, node) that stand at level `base`.
 
-
-def _level(nodes: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
-    """(complete aligned nodes inside blocks, paths) of nodes (batch, idx, node) that stand at level `base`."""
+    The second holds batch, block and root, and with `proofs` also idx and path of each leaf. Both read one written table.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         batch, block = key
@@ -173,10 +210,11 @@ def _level(nodes: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
         complete, n = len(row), len(row)
         rows = []
         for level in range(BLOCK_BITS + 1):
-            rows += [(batch, base + level, (int(block) << (BLOCK_BITS - level)) + k, row[k].hex()) for k in range(complete)]
+            if not proofs:
+                rows += [(batch, base + level, (int(block) << (BLOCK_BITS - level)) + k, row[k].hex()) for k in range(complete)]
             if level == BLOCK_BITS:
                 break
-            for leaf in range(n):
+            for leaf in range(n) if proofs else ():
                 at = where[leaf]
                 if at ^ 1 < len(row):
                     paths[leaf].append(("L" if at & 1 else "R") + row[at ^ 1].hex())
@@ -184,25 +222,27 @@ def _level(nodes: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
             row = [_pair(row[k], row[k + 1]) if k + 1 < len(row) else row[k] for k in range(0, len(row), 2)]
             complete >>= 1
         out = pd.DataFrame(rows, columns=["batch", "level", "pos", "hash"]).assign(path=None, idx=None, root=None)
-        own = pd.DataFrame({"batch": batch, "level": -1, "pos": int(block), "hash": None, "path": [json.dumps(p) for p in paths], "idx": pdf["idx"].to_list(), "root": row[0].hex()})
+        at = {"path": [json.dumps(p) for p in paths], "idx": pdf["idx"].to_list()} if proofs else {"path": [None], "idx": [None]}
+        own = pd.DataFrame({"batch": batch, "level": -1, "pos": int(block), "hash": None, **at, "root": row[0].hex()})
         return pd.concat([out.astype(object), own.astype(object)], ignore_index=True)
 
     blocks = nodes.withColumn("block", F.shiftright("idx", BLOCK_BITS)).groupBy("batch", "block")
-    made = blocks.applyInPandas(run, "batch string, level int, pos long, hash string, path string, idx long, root string")
-    paths = made.where("level = -1").select("batch", "idx", F.col("pos").alias("block"), F.from_json("path", "array<string>").alias("path"), "root")
-    return made.where("level >= 0").select("batch", "level", "pos", "hash"), paths
+    made = written(blocks.applyInPandas(run, "batch string, level int, pos long, hash string, path string, idx long, root string"))
+    rows = made.where("level = -1").select("batch", "idx", F.col("pos").alias("block"), F.from_json("path", "array<string>").alias("path"), "root")
+    return made.where("level >= 0").select("batch", "level", "pos", "hash"), rows
 
 
-def merkle_batches(leaves: DataFrame, most: int) -> DataFrame:
-    """batch, idx, path, root for leaves (batch, idx from 0, node: hex). most: an upper bound of the leaves of a batch.
+def merkle_batches(leaves: DataFrame) -> DataFrame:
+    """batch, idx, path, root for leaves (batch, idx from 0, node: hex).
 
-    path: siblings from the leaf up, each with its side. An odd last node moves up unpaired.
+    path: siblings from the leaf up, each with its side. An odd last node moves up unpaired. The roots of blocks are the
+    leaves of the next step, until no batch has two blocks; each step is computed once.
     """
-    _, paths = _level(leaves, 0)
-    if most <= BLOCK:
-        return paths.select("batch", "idx", "path", "root")
+    _, paths = _level(leaves, 0, proofs=True)
     tops = paths.groupBy("batch", "block").agg(F.min("root").alias("node")).select("batch", F.col("block").alias("idx"), "node")
-    upper = merkle_batches(tops, -(-most // BLOCK)).select("batch", F.col("idx").alias("block"), F.col("path").alias("more"), F.col("root").alias("top"))
+    if not tops.where("idx > 0").take(1):
+        return paths.select("batch", "idx", "path", "root")
+    upper = merkle_batches(tops).select("batch", F.col("idx").alias("block"), F.col("path").alias("more"), F.col("root").alias("top"))
     return paths.join(upper, ["batch", "block"]).select("batch", "idx", F.concat("path", "more").alias("path"), F.col("top").alias("root"))
 
 
@@ -216,25 +256,89 @@ def verify_inclusion(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("included", F.coalesce(F.aggregate("path", F.col("node"), up) == F.col("root"), F.lit(False)))
 
 
-def tree_heads(leaves: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
-    """size, root: the root over the first `size` leaves, for leaves (idx, node) and sizes (size).
+def tree_nodes(leaves: DataFrame) -> DataFrame:
+    """level, pos, hash of every complete aligned subtree over leaves (idx, node): 2**level leaves from pos * 2**level on."""
+    found, rows, base = None, leaves.select(F.lit("log").alias("batch"), "idx", "node"), 0
+    while True:
+        nodes, blocks = _level(rows, base, proofs=False)
+        if base:
+            nodes = nodes.where(F.col("level") > base)  # the leaves of this step are the last nodes of the one before
+        found = nodes if found is None else found.unionByName(nodes)
+        if not blocks.where("block > 0").take(1):
+            return found.select("level", "pos", "hash")
+        base += BLOCK_BITS
+        rows = nodes.where(F.col("level") == base).select("batch", F.col("pos").alias("idx"), F.col("hash").alias("node"))
+
+
+def _folded(peaks: Column) -> Column:
+    """The root of an array of (level, hash) peaks, lowest level first."""
+    return F.aggregate(F.slice(peaks, 2, F.size(peaks)), F.get(peaks, F.lit(0))["hash"], lambda h, x: F.sha2(F.unhex(F.concat(F.lit("01"), x["hash"], h)), 256))
+
+
+def tree_heads(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """size, root: the root over the first `size` leaves, for the tree's nodes (level, pos, hash) and sizes (size).
 
     A root is folded from the complete subtrees that the bits of the size name, so every head reuses the same nodes.
     """
-    level, rows, base = None, leaves.select(F.lit("log").alias("batch"), "idx", "node"), 0
-    while True:
-        nodes, _ = _level(rows, base)
-        level = nodes if level is None else level.unionByName(nodes)
-        if most <= BLOCK:
-            break
-        rows = nodes.where(F.col("level") == base + BLOCK_BITS).select("batch", F.col("pos").alias("idx"), F.col("hash").alias("node"))
-        base, most = base + BLOCK_BITS, -(-most // BLOCK)
-    level = level.dropDuplicates(["level", "pos"])
     bits = sizes.where("size > 0").select("size", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")).where("(shiftright(size, level) & 1) = 1")
-    peaks = bits.withColumn("pos", F.expr("shiftright(size, level + 1) * 2")).join(level.select("level", "pos", "hash"), ["level", "pos"])
+    peaks = bits.withColumn("pos", F.expr("shiftright(size, level + 1) * 2")).join(nodes, ["level", "pos"])
     packed = peaks.groupBy("size").agg(F.sort_array(F.collect_list(F.struct("level", "hash"))).alias("p"))
-    fold = F.aggregate(F.slice("p", 2, F.size("p")), F.get("p", F.lit(0))["hash"], lambda h, x: F.sha2(F.unhex(F.concat(F.lit("01"), x["hash"], h)), 256))
-    return packed.select("size", fold.alias("root"))
+    return packed.select("size", _folded(F.col("p")).alias("root"))
+
+
+def consistency_proofs(nodes: DataFrame, heads: DataFrame) -> DataFrame:
+    """size, next_size, old, more: what shows that the head of `size` is a prefix of the next greater one of heads (size).
+
+    old: the subtrees (level, pos, hash) of the smaller size; more: aligned subtrees that cover the leaves added since.
+    Both have at most two for each bit of the sizes.
+    """
+    pairs = heads.select("size", F.lead("size").over(Window.orderBy("size")).alias("next_size")).where("next_size is not null")
+    level = F.explode(F.sequence(F.lit(0), F.lit(62))).alias("level")
+    old = pairs.select("size", "next_size", level).where("(shiftright(size, level) & 1) = 1").select("size", "next_size", F.lit(0).alias("part"), "level", F.expr("shiftright(size, level + 1) * 2").alias("pos"))
+    up = "shiftright(size, level) + (CASE WHEN (size & (shiftleft(1L, level) - 1)) > 0 THEN 1 ELSE 0 END)"  # the first subtree of a level at or after the old end
+    ends = pairs.select("size", "next_size", level).select("size", "next_size", "level", F.expr(up).alias("lo"), F.expr("shiftright(next_size, level)").alias("hi"))
+    # of the subtrees inside the added range, those whose parent isn't inside: the first if it is a right child, the last if a left one
+    inside = ends.where("lo < hi")
+    more = inside.where("lo % 2 = 1").select("size", "next_size", F.lit(1).alias("part"), "level", F.col("lo").alias("pos"))
+    more = more.unionByName(inside.where("hi % 2 = 1 and not (lo = hi - 1 and lo % 2 = 1)").select("size", "next_size", F.lit(1).alias("part"), "level", (F.col("hi") - 1).alias("pos")))
+    found = old.unionByName(more).join(nodes, ["level", "pos"])
+    packed = found.groupBy("size", "next_size").agg(F.collect_list(F.struct("part", "level", "pos", "hash")).alias("x"))
+    only = lambda k: F.sort_array(F.transform(F.filter("x", lambda e: e["part"] == k), lambda e: F.struct(e["level"].alias("level"), e["pos"].alias("pos"), e["hash"].alias("hash"))))
+    return packed.select("size", "next_size", only(0).alias("old"), only(1).alias("more"))
+
+
+def verify_consistency(proofs: DataFrame, heads: DataFrame) -> DataFrame:
+    """size, next_size, consistent: both stated roots (heads: size, root) follow from the proof alone.
+
+    The older root is folded from `old`; `old` and `more` together, joined pairwise level by level, give the newer one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = []
+            for size, after, old, more, root, newer in zip(*(b[c] for c in ("size", "next_size", "old", "more", "root", "next_root")), strict=True):
+                held = {(x["level"], x["pos"]): bytes.fromhex(x["hash"]) for x in (*old, *more)}
+                for level in range(63):
+                    for at in sorted(p for v, p in held if v == level and not p & 1):
+                        if (level, at + 1) in held:
+                            held[level + 1, at >> 1] = _pair(held[level, at], held[level, at + 1])
+                good.append(_root_of(held, size) == root and _root_of(held, after) == newer)
+            yield pd.DataFrame({"size": b["size"], "next_size": b["next_size"], "consistent": good})
+
+    told = proofs.join(heads.select("size", "root"), "size").join(heads.select(F.col("size").alias("next_size"), F.col("root").alias("next_root")), "next_size")
+    return told.mapInPandas(run, "size long, next_size long, consistent boolean")
+
+
+def _root_of(held: dict[tuple[int, int], bytes], size: int) -> str | None:
+    """The root over `size` leaves from its peaks; null if one isn't there."""
+    root = None
+    for level in range(63):
+        if size >> level & 1:
+            peak = held.get((level, (size >> level) - 1))
+            if peak is None:
+                return None
+            root = peak if root is None else _pair(peak, root)
+    return root.hex() if root else None
 
 
 def indexed(rows: DataFrame, batch: str, order: list[str], cell: Column) -> DataFrame:
@@ -247,14 +351,26 @@ def indexed(rows: DataFrame, batch: str, order: list[str], cell: Column) -> Data
     return own.withColumn("_r", F.row_number().over(inside) - 1).join(bases, [batch, "_cell"]).withColumn("idx", F.col("_base") + F.col("_r")).drop("_cell", "_base", "_r")
 
 
-def attest_datasets(files: DataFrame, most: int) -> DataFrame:
-    """dataset_id, files, bytes, root over its file records in order of (sha256, path, size)."""
-    placed = indexed(files, "dataset_id", ["sha256", "path", "size_bytes"], F.substring("sha256", 1, 2))
+def attest_datasets(files: DataFrame, schemas: DataFrame | None = None, lineage: DataFrame | None = None) -> DataFrame:
+    """dataset_id, files, bytes, root over its file records in order of (sha256, path, size), and three hashes of its manifest.
+
+    schemas: dataset_id, name, type: schema_hash is that of `name:type` lines in order of name. lineage: dataset_id, parent:
+    lineage_hash is that of the parents in order. Either is the hash of no lines where a dataset has none. manifest_hash
+    binds id, files, bytes, root and the two, so a change of any of them changes it.
+    """
+    cell = F.concat(F.coalesce(F.substring("sha256", 1, 4), F.lit("")))  # as many cells as four hex digits, in the order of the records
+    placed = indexed(files, "dataset_id", ["sha256", "path", "size_bytes"], cell)
     text = F.concat_ws("|", "sha256", "path", F.col("size_bytes").cast("string"))
     leaves = placed.select(F.col("dataset_id").alias("batch"), "idx", leaf_hash(text).alias("node"))
-    roots = merkle_batches(leaves, most).where("idx = 0").select(F.col("batch").alias("dataset_id"), "root")
-    totals = files.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
-    return totals.join(roots, "dataset_id")
+    roots = merkle_batches(leaves).where("idx = 0").select(F.col("batch").alias("dataset_id"), "root")
+    out = files.groupBy("dataset_id").agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes")).join(roots, "dataset_id")
+    for name, rows, line in (("schema_hash", schemas, "concat(name, ':', type)"), ("lineage_hash", lineage, "parent")):
+        lines = F.lit("")
+        if rows is not None:
+            own = rows.groupBy("dataset_id").agg(F.array_join(F.sort_array(F.collect_set(F.expr(line))), "\n").alias("_lines"))
+            out, lines = out.join(own, "dataset_id", "left"), F.coalesce("_lines", F.lit(""))
+        out = out.withColumn(name, F.sha2(lines, 256)).drop("_lines")
+    return out.withColumn("manifest_hash", F.sha2(F.concat_ws("|", "dataset_id", F.col("files").cast("string"), F.col("bytes").cast("string"), "root", "schema_hash", "lineage_hash"), 256))
 
 
 def workflow_edges(rows: DataFrame) -> DataFrame:
@@ -282,8 +398,22 @@ def foreign_grafts(rows: DataFrame) -> DataFrame:
     return steps.join(owners, "workflow_id").where("tenant_id <> owner").select("receipt_id", "tenant_id", "workflow_id", "owner")
 
 
+def _inverted(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """tenant_id, workflow_id of workflows with a step that doesn't stand above all its parents; all others have no cycle."""
+    key = ["tenant_id", "workflow_id"]
+    height = rows.where("workflow_id is not null").select(*key, F.col("receipt_id").alias("step"), F.col("chain_height").alias("_own"))
+    met = edges.where("present").select(*key, "step", "parent").join(height, [*key, "step"])
+    met = met.join(height.select(*key, F.col("step").alias("parent"), F.col("_own").alias("_above")), [*key, "parent"])
+    return met.where("_above >= _own").select(*key).distinct()
+
+
 def workflow_order(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """tenant_id, workflow_id, step, place, acyclic: parents first, ties by (height, id). Steps of a cycle have no place."""
+    """tenant_id, workflow_id, step, place, acyclic: parents first, ties by (height, id). Steps of a cycle have no place.
+
+    Where every step stands above its parents, that order is the one of heights, counted by cells of heights, so that a
+    runaway workflow isn't sorted in one task. Only workflows with other steps, which a ledger that is written in order
+    hasn't, are ordered one by one in Python.
+    """
     steps = rows.where("workflow_id is not null").select("tenant_id", "workflow_id", F.col("receipt_id").alias("step"), "chain_height")
     key = ["tenant_id", "workflow_id"]
 
@@ -308,20 +438,30 @@ def workflow_order(rows: DataFrame, edges: DataFrame) -> DataFrame:
         acyclic = len(order) == len(height)
         return pd.DataFrame({"tenant_id": nodes["tenant_id"], "workflow_id": nodes["workflow_id"], "step": nodes["step"], "place": nodes["step"].map(place).astype("Int64"), "acyclic": acyclic})
 
-    good = edges.where("present").select(*[F.col(c).alias(c) for c in (*key, "step", "parent")])
-    steps = steps.select(*[F.col(c).alias(c) for c in steps.columns])
+    odd = written(_inverted(rows, edges))
+    plain = steps.join(odd, key, "left_anti").withColumn("_wf", F.struct(*key))
+    placed = indexed(plain, "_wf", ["chain_height", "step"], F.floor(F.col("chain_height") / BLOCK))
+    placed = placed.select(*key, "step", F.col("idx").cast("long").alias("place"), F.lit(True).alias("acyclic"))
+    good = edges.where("present").join(odd, key, "left_semi").select(*[F.col(c).alias(c) for c in (*key, "step", "parent")])
+    rest = steps.join(odd, key, "left_semi").select(*[F.col(c).alias(c) for c in steps.columns])
     schema = "tenant_id string, workflow_id string, step string, place long, acyclic boolean"
-    return steps.groupBy(*key).cogroup(good.groupBy(*key)).applyInPandas(run, schema)
+    return placed.unionByName(rest.groupBy(*key).cogroup(good.groupBy(*key)).applyInPandas(run, schema))
+
 
+def verify_workflows(rows: DataFrame, verified: DataFrame) -> DataFrame:
+    """Per tenant and workflow: steps, all receipts verified, graph complete, acyclic, no foreign graft, and all of these.
 
-def verify_workflows(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """Per tenant and workflow: steps, all links good, graph complete, acyclic, no foreign graft, and all of these."""
-    edges = workflow_edges(rows)
+    verified: receipt_id, ok. The ledger's columns that all parts read are written once.
+    """
+    rows = written(rows.where("workflow_id is not null").select("tenant_id", "workflow_id", "receipt_id", "parent_id", "chain_height", "captured_at"))
+    edges = written(workflow_edges(rows))
     key = ["tenant_id", "workflow_id"]
-    steps = rows.where("workflow_id is not null").select(*key, "receipt_id").join(links.select("receipt_id", "link_ok"), "receipt_id")
-    base = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("steps"), F.bool_and("link_ok").alias("verified"))
+    steps = rows.select(*key, "receipt_id").join(verified.select("receipt_id", "ok"), "receipt_id", "left")
+    base = steps.groupBy(*key).agg(F.count(F.lit(1)).alias("steps"), F.bool_and(F.coalesce("ok", F.lit(False))).alias("verified"))
     whole = edges.groupBy(*key).agg(F.bool_and("present").alias("complete"))
-    order = workflow_order(rows, edges).groupBy(*key).agg(F.bool_and("acyclic").alias("acyclic"))
+    odd = written(_inverted(rows, edges))
+    some = rows.join(odd, key, "left_semi")
+    cyclic = workflow_order(some, edges.join(odd, key, "left_semi")).where("not acyclic").select(*key, F.lit(False).alias("acyclic")).distinct()
     graft = foreign_grafts(rows).select(*key, F.lit(True).alias("grafted")).distinct()
-    out = base.join(whole, key, "left").join(order, key).join(graft, key, "left").na.fill({"complete": True, "grafted": False})
+    out = base.join(whole, key, "left").join(cyclic, key, "left").join(graft, key, "left").na.fill({"complete": True, "acyclic": True, "grafted": False})
     return out.withColumn("valid", F.col("verified") & F.col("complete") & F.col("acyclic") & ~F.col("grafted"))

@@ -65,13 +65,23 @@ def test_merkle_proofs_and_heads(spark, monkeypatch, bits):
     sizes = [1, 2, 3, 5, 8, 21, 37]
     rows = [(str(n), k, nodes[k].hex()) for n in sizes for k in range(n)]
     leaves = spark.createDataFrame(rows, "batch string, idx long, node string")
-    proofs = ledger.merkle_batches(leaves, 37)
+    proofs = ledger.merkle_batches(leaves)
     assert {(r.batch, r.root) for r in proofs.collect()} == {(str(n), root_of(nodes[:n]).hex()) for n in sizes}
     checked = ledger.verify_inclusion(proofs.join(leaves, ["batch", "idx"]))
     assert checked.where("not included").count() == 0 and checked.count() == len(rows)
     assert ledger.verify_inclusion(proofs.join(leaves, ["batch", "idx"]).withColumn("node", F.sha2("node", 256))).where("included").count() == 0
-    heads = ledger.tree_heads(leaves.where("batch = '37'").select("idx", "node"), spark.createDataFrame([(n,) for n in sizes], "size long"), 37)
+    tree = ledger.tree_nodes(leaves.where("batch = '37'").select("idx", "node"))
+    assert tree.count() == tree.distinct().count() == sum(37 >> k for k in range(6))
+    heads = ledger.tree_heads(tree, spark.createDataFrame([(n,) for n in sizes], "size long"))
     assert {r["size"]: r.root for r in heads.collect()} == {n: root_of(nodes[:n]).hex() for n in sizes}
+    every = ledger.tree_heads(tree, spark.range(1, 38).withColumnRenamed("id", "size"))
+    some = every.where("size in (1, 2, 3, 6, 7, 8, 13, 16, 22, 31, 32, 33, 37)")
+    proofs = ledger.consistency_proofs(tree, some)
+    assert {(r["size"], r.next_size) for r in ledger.verify_consistency(proofs, some).where("consistent").collect()} == set(zip([1, 2, 3, 6, 7, 8, 13, 16, 22, 31, 32, 33], [2, 3, 6, 7, 8, 13, 16, 22, 31, 32, 33, 37], strict=True))
+    forged = some.withColumn("root", F.when(F.col("size") == 13, F.sha2("root", 256)).otherwise(F.col("root")))
+    assert {(r["size"], r.next_size) for r in ledger.verify_consistency(proofs, forged).where("not consistent").collect()} == {(8, 13), (13, 16)}
+    cut = proofs.withColumn("more", F.slice("more", 2, 100))
+    assert ledger.verify_consistency(cut, some).where("consistent").count() == 0
 
 
 def test_workflow_cycle(spark):
@@ -80,6 +90,49 @@ def test_workflow_cycle(spark):
     assert order["c"] == (0, True) and order["d"] == (1, True) and order["a"] == (None, False) and "e" not in order
 
 
+def test_workflow_order_of_late_parents(spark):
+    rows = spark.createDataFrame([("t", "w", "a", 3, None), ("t", "w", "b", 2, "a"), ("t", "w", "c", 1, None), ("t", "w", "d", 4, "b")], "tenant_id string, workflow_id string, receipt_id string, chain_height int, parent_id string")
+    assert {r.step: r.place for r in ledger.workflow_order(rows, ledger.workflow_edges(rows)).collect()} == {"c": 0, "a": 1, "b": 2, "d": 3}
+    more = rows.withColumn("captured_at", F.lit("x"))
+    ok = more.select("receipt_id", (F.col("receipt_id") != "c").alias("ok"))
+    r = ledger.verify_workflows(more, ok).first()
+    assert (r.steps, r.verified, r.complete, r.acyclic, r.grafted, r.valid) == (4, False, True, True, False, False)
+    loop = more.withColumn("parent_id", F.when(F.col("receipt_id") == "a", "d").otherwise(F.col("parent_id")))
+    assert not ledger.verify_workflows(loop, ok).first().acyclic
+
+
+def test_sealing_goes_on_from_a_head(spark):
+    rows = [("t", k, f"2024-01-{k:02d} 00:00:00", json.dumps({"b": k, "a": 1})) for k in range(1, 9)] + [("u", 9, "2024-01-01 00:00:00", "not json")]
+    events = spark.createDataFrame(rows, "tenant_id string, event_id long, ts string, body string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want, last = {}, "0" * 64
+    for _, k, _, body in rows[:8]:
+        own = hashlib.sha256(f"{last}|{k}|{body_hash(body)}".encode()).hexdigest()
+        want[k] = (k, last, own)
+        last = own
+    want[9] = (1, "0" * 64, hashlib.sha256(f"{'0' * 64}|1|{hashlib.sha256(b'not json').hexdigest()}".encode()).hexdigest())
+    got = lambda df: {r.event_id: (r.chain_height, r.previous_hash, r.receipt_hash) for r in df.collect()}
+    assert got(ledger.seal_chain(events)) == want
+    heads = spark.createDataFrame([("t", 5, want[5][2]), ("z", 3, "0" * 64)], "tenant_id string, chain_height long, receipt_hash string")
+    assert got(ledger.seal_chain(events.where("event_id > 5"), heads)) == {k: v for k, v in want.items() if k > 5}
+
+
+def test_dataset_manifests(spark):
+    files = [("d", f"d/{k}", k, hashlib.sha256(str(k % 5).encode()).hexdigest()) for k in range(11)]
+    rows = spark.createDataFrame(files, "dataset_id string, path string, size_bytes long, sha256 string")
+    schema = spark.createDataFrame([("d", "b", "int"), ("d", "a", "text")], "dataset_id string, name string, type string")
+    nodes = [hashlib.sha256(b"\x00" + f"{h}|{p}|{n}".encode()).digest() for h, p, n in sorted((h, p, n) for _, p, n, h in files)]
+    r = ledger.attest_datasets(rows, schema).first()
+    text = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert (r.files, r.bytes, r.root, r.schema_hash, r.lineage_hash) == (11, 55, root_of(nodes).hex(), text("a:text\nb:int"), text(""))
+    assert r.manifest_hash == text(f"d|11|55|{r.root}|{r.schema_hash}|{r.lineage_hash}")
+
+
+def test_envelopes_of_bad_input(spark):
+    rows = spark.createDataFrame([("r", None, None, None, None, None, None), ("s", 1, "0" * 64, "a" * 64, "{", [("kid-0", "EdDSA", "zz")], [(None,)])], "receipt_id string, chain_height int, previous_receipt_hash string, receipt_hash string, raw string, signatures array<struct<kid:string,alg:string,sig:string>>, timestamps array<struct<imprint:string>>")
+    got = {r.receipt_id: (r.valid, r.errors) for r in ledger.verify_envelopes(rows, ledger_jobs.public_keys()).collect()}
+    assert got == {"r": (False, "envelope,hash,signature,genesis"), "s": (False, "hash,signature,imprint")}
+
+
 def test_chain_of_links(spark):
     rows = [("a", "t", 1, "h1", "0" * 64), ("b", "t", 2, "h2", "h1"), ("c", "t", 3, "h3", "bad"), ("d", "u", 2, "x", "0" * 64)]
     links = ledger.verify_links(spark.createDataFrame(rows, "receipt_id string, tenant_id string, chain_height int, receipt_hash string, previous_receipt_hash string"))
@@ -161,7 +214,7 @@ def test_signing_vectors():
 
 def test_a_pack_needs_signatures(spark, sf_dir):
     found = ledger_jobs.verify_receipts(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"), F.count_if("signature_ok").alias("signed"), F.count_if("hash_ok").alias("hashed")).first()
-    assert found.n == found.signed > found.hashed > 0
+    assert found.n > found.hashed > found.signed > 0
     checks = spark.createDataFrame([("a", True, True, True), ("b", True, False, True), ("b", True, True, True), ("c", True, None, True)], "tenant_id string, hash_ok boolean, signature_ok boolean, included boolean")
     assert {tuple(r) for r in ledger.verify_pack(checks).collect()} == {("a", 1, 0, True), ("b", 2, 1, False), ("c", 1, 1, False)}
     body = '{"a":1}'
