@@ -98,7 +98,8 @@ def signed_bodies(spark, sf_dir):
     rows = bodies(spark, sf_dir)
     sorted_text = F.to_json(F.struct("captured_at", "input_tokens", "kind", "model", "receipt_id", "tenant_id", "vendor"))
     changed = F.when(F.col("event_id") % 499 == 0, F.regexp_replace("body", "tenant", "tenanT")).otherwise(F.col("body"))
-    hashed = rows.select("receipt_id", "tenant_id", "chain_height", "event_id", changed.alias("raw"), F.sha2(sorted_text, 256).alias("_hash"), "kid")
+    # heights are made by tenant; from here on a tenant's receipts are dealt over all tasks
+    hashed = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "receipt_id").select("receipt_id", "tenant_id", "chain_height", "event_id", changed.alias("raw"), F.sha2(sorted_text, 256).alias("_hash"), "kid")
     told = hashed.withColumn("receipt_hash", F.when(F.col("event_id") % 101 == 0, F.sha2("_hash", 256)).otherwise(F.col("_hash")))
     signed = op.sign_receipts(told, test_seeds()).withColumn("receipt_hash", F.col("_hash")).drop("_hash")
     return signed.withColumn("kid", F.when(F.col("event_id") % 103 == 0, "kid-stranger").otherwise(F.col("kid")))
