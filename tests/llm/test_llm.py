@@ -450,7 +450,7 @@ def test_pipeline(spark, sf_dir, docs, texts, table):
         if name == "quality rules":
             assert {r.doc_id for r in rows} <= {k for k, t in before.items() if not base_measures(t)[-1]}
         elif name == "near duplicates":
-            assert sorted(r.doc_id for r in rows) == sorted(d for d, (_, c) in near(before.items()).items() if c == d)
+            assert sorted(r.doc_id for r in rows) == sorted(d for d, (_, c) in near(before.items(), percent=80).items() if c == d)
         elif name == "repeated passages":
             want = {d: (before[d] if not gone else kept) for d, _, gone, kept in repeats(before.items())}
             assert {r.doc_id: r.text for r in rows} == want
