@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry.jobs import ledger
 from attestry.jobs.catalog import query
 from attestry.jobs.spend import _PRICED, OVER, priced
 from attestry.operators import governance as op
+from attestry.operators import ledger as chain
 from attestry.operators import spend
 from attestry.sources import dims, receipts
 
@@ -139,14 +141,14 @@ def approval_status(spark, sf_dir):
 _STATES = ["received", "validated", "sealed", "signed", "stored"]
 
 
-@query("invalid_transitions", """WITH log AS (SELECT workflow_id AS subject, chain_height AS seq, (chain_height - 1) % 4 AS k, event_id FROM receipts WHERE event_id % 211 <> 0),
+@query("invalid_transitions", """WITH log AS (SELECT workflow_id AS subject, chain_height AS seq, (chain_height - 1) % 4 AS k, event_id FROM receipts),
 s AS (SELECT subject, seq, CASE k WHEN 0 THEN 'received' WHEN 1 THEN 'validated' WHEN 2 THEN 'sealed' ELSE 'signed' END AS from_state, CASE WHEN event_id % 89 = 0 THEN 'received' WHEN k = 0 THEN 'validated' WHEN k = 1 THEN 'sealed' WHEN k = 2 THEN 'signed' ELSE 'stored' END AS to_state FROM log),
 l AS (SELECT *, lag(to_state) OVER (PARTITION BY subject ORDER BY seq) AS last FROM s)
 SELECT subject, seq, from_state, to_state, why FROM (SELECT *, CASE WHEN (from_state || '>' || to_state) NOT IN ('received>validated', 'validated>sealed', 'sealed>signed', 'signed>stored') THEN 'not_permitted' WHEN last IS NOT NULL AND last <> from_state THEN 'broken_sequence' END AS why FROM l) WHERE why IS NOT NULL""", "receipts")
 def invalid_transitions(spark, sf_dir):
     states = F.array(*[F.lit(s) for s in _STATES])
     k = ((F.col("chain_height") - 1) % 4).cast("int")
-    log = rows_of(spark, sf_dir).where("event_id % 211 <> 0").select(
+    log = rows_of(spark, sf_dir).select(
         F.col("workflow_id").alias("subject"), F.col("chain_height").alias("seq"), F.get(states, k).alias("from_state"), F.when(F.col("event_id") % 89 == 0, F.lit("received")).otherwise(F.get(states, k + 1)).alias("to_state")
     )
     return op.invalid_transitions(log, spark.createDataFrame(list(zip(_STATES[:-1], _STATES[1:], strict=True)), "from_state string, to_state string"))
@@ -214,42 +216,41 @@ def run_alerts(spark, sf_dir):
     return op.run_alerts(rows_of(spark, sf_dir), [broken, lambda rows: op.alert_over_tiering(rows, tiered)])
 
 
-_TENANTS = """f AS (SELECT tenant_id, count(*) FILTER (outcome = 'error' AND decision = 'block') AS high_findings, count(*) FILTER (event_id % 499 = 0) % 3 AS incidents FROM receipts GROUP BY 1),
-g AS (SELECT tenant_id, count(DISTINCT p) AS covered FROM (SELECT tenant_id, unnest(applied_policies) AS p FROM receipts) GROUP BY 1)"""
+_WEEK = "strftime(date_trunc('week', ts), '%Y-%m-%d')"
+_TENANTS = f"""f AS (SELECT tenant_id, {_WEEK} AS period, count(*) FILTER (outcome = 'error' AND decision = 'block') AS high_findings, count(*) FILTER (event_id % 499 = 0) % 3 AS incidents FROM receipts GROUP BY ALL),
+g AS (SELECT tenant_id, period, count(DISTINCT p) AS covered FROM (SELECT tenant_id, {_WEEK} AS period, unnest(applied_policies) AS p FROM receipts) GROUP BY ALL)"""
 
 
-def tenant_counters(spark, sf_dir):
-    rows = rows_of(spark, sf_dir)
-    findings = rows.groupBy("tenant_id").agg(F.count_if((F.col("outcome") == "error") & (F.col("decision") == "block")).alias("high_findings"), (F.count_if(F.col("event_id") % 499 == 0) % 3).alias("incidents"))
-    covered = rows.select("tenant_id", F.explode("applied_policies").alias("p")).groupBy("tenant_id").agg(F.countDistinct("p").alias("covered"))
-    return rows, findings, covered
-
-
-@query("underwriting_exposure", f"""WITH {_TENANTS}, b AS (SELECT tenant_id, count(*) AS receipts, {_share("count(*) FILTER (outcome = 'error')", 'count(*)')} AS error_rate, {_share("count(*) FILTER (decision = 'block')", 'count(*)')} AS block_rate, {_share('count(*) FILTER (signed)', 'count(*)')} AS posture,
-  {_up("1 - count(*) FILTER (outcome = 'error') / count(*)::DOUBLE")} AS uptime, count(DISTINCT model) AS models FROM receipts GROUP BY 1),
-c AS (SELECT tenant_id, receipts, error_rate, block_rate, posture, greatest(0::DOUBLE, least(100::DOUBLE, {_up("0.0::DOUBLE + error_rate * 0.2::DOUBLE * 100 + block_rate * 0.1::DOUBLE * 100 + (" + _up("coalesce(high_findings, 0) / greatest(1, models)::DOUBLE") + ") * 0.15::DOUBLE * 100 + coalesce(incidents, 0)::DOUBLE * 0.15::DOUBLE * 100 + (" + _up("1 - posture") + ") * 0.15::DOUBLE * 100 + (" + _up("1 - uptime") + ") * 0.1::DOUBLE * 100 + (" + _up("1 - coalesce(covered, 0) / 6::DOUBLE") + ") * 0.15::DOUBLE * 100")})) AS composite FROM b LEFT JOIN f USING (tenant_id) LEFT JOIN g USING (tenant_id))
-SELECT *, CASE WHEN composite <= 20 THEN 'A' WHEN composite <= 35 THEN 'B' WHEN composite <= 55 THEN 'C' WHEN composite <= 75 THEN 'D' ELSE 'E' END AS carrier_class FROM c""", "receipts")
+@query("underwriting_exposure", f"""WITH {_TENANTS}, b AS (SELECT tenant_id, {_WEEK} AS period, count(*) AS receipts, {_share("count(*) FILTER (outcome = 'error')", 'count(*)')} AS error_rate, {_share("count(*) FILTER (decision = 'block')", 'count(*)')} AS block_rate, {_share('count(*) FILTER (signed)', 'count(*)')} AS controls_posture,
+  {_up("1 - count(*) FILTER (outcome = 'error') / count(*)::DOUBLE")} AS uptime, count(DISTINCT model) AS models FROM receipts GROUP BY ALL),
+c AS (SELECT tenant_id, period, receipts, error_rate, block_rate, controls_posture, {_up('error_rate * 0.2::DOUBLE * 100')} AS risk_error, {_up('block_rate * 0.1::DOUBLE * 100')} AS risk_block, {_up('coalesce(high_findings, 0) / greatest(1, models)::DOUBLE * 0.15::DOUBLE * 100')} AS risk_findings,
+  {_up('coalesce(incidents, 0)::DOUBLE * 0.15::DOUBLE * 100')} AS risk_incidents, {_up('(1 - controls_posture) * 0.15::DOUBLE * 100')} AS risk_posture, {_up('(1 - uptime) * 0.1::DOUBLE * 100')} AS risk_downtime, {_up('(1 - coalesce(covered, 0) / 6::DOUBLE) * 0.15::DOUBLE * 100')} AS risk_uncovered
+  FROM b LEFT JOIN f USING (tenant_id, period) LEFT JOIN g USING (tenant_id, period)),
+d AS (SELECT *, greatest(0::DOUBLE, least(100::DOUBLE, {_up('0.0::DOUBLE + risk_error + risk_block + risk_findings + risk_incidents + risk_posture + risk_downtime + risk_uncovered')})) AS composite FROM c)
+SELECT *, CASE WHEN composite <= 20 THEN 'A' WHEN composite <= 35 THEN 'B' WHEN composite <= 55 THEN 'C' WHEN composite <= 75 THEN 'D' ELSE 'E' END AS carrier_class FROM d""", "receipts")
 def underwriting_exposure(spark, sf_dir):
-    return op.underwriting_exposure(*tenant_counters(spark, sf_dir))
+    """By week."""
+    rows = rows_of(spark, sf_dir).withColumn("period", F.date_format(F.date_trunc("week", F.col("ts").cast("timestamp")), "yyyy-MM-dd"))
+    key = ["tenant_id", "period"]
+    findings = rows.groupBy(*key).agg(F.count_if((F.col("outcome") == "error") & (F.col("decision") == "block")).alias("high_findings"), (F.count_if(F.col("event_id") % 499 == 0) % 3).alias("incidents"))
+    covered = rows.select(*key, F.explode("applied_policies").alias("p")).groupBy(*key).agg(F.countDistinct("p").alias("covered"))
+    return op.underwriting_exposure(rows, findings, covered)
 
 
 def _sub(a: str, b: str, empty: int) -> str:
     return f"CASE WHEN {b} = 0 THEN {empty}::DOUBLE ELSE {_up(f'greatest(0.0::DOUBLE, least(100.0::DOUBLE, 100.0::DOUBLE * {a} / {b}))', 1)} END"
 
 
-@query("receipt_score", f"""WITH k AS (SELECT tenant_id, count(*) AS invocations, count(*) FILTER (signed) AS with_receipt, count(*) FILTER (signed AND event_id % 499 <> 0) AS verified, count(*) FILTER (signed) AS checked, count(*) FILTER (outcome <> 'success') AS findings,
-  count(*) FILTER (outcome <> 'success' AND decision IS NOT NULL) AS handled, count(*) FILTER (signed AND event_id % 5 <> 0) AS logged FROM receipts GROUP BY 1), {_TENANTS},
+@query("receipt_score", f"""WITH k AS (SELECT tenant_id, count(*) AS invocations, count(*) FILTER (signed) AS with_receipt, count(*) FILTER (signed AND NOT ({ledger._BAD})) AS verified, count(*) FILTER (signed) AS checked, count(*) FILTER (outcome <> 'success') AS findings,
+  count(*) FILTER (outcome <> 'success' AND decision IS NOT NULL) AS handled, count(*) FILTER (signed AND event_id % 5 <> 0) AS logged FROM receipts GROUP BY 1), g AS (SELECT tenant_id, count(DISTINCT p) AS covered FROM (SELECT tenant_id, unnest(applied_policies) AS p FROM receipts) GROUP BY 1),
 s AS (SELECT tenant_id, {_sub('with_receipt', 'invocations', 0)} AS coverage, {_sub('verified', 'checked', 0)} AS verification, {_sub('handled', 'findings', 100)} AS safety, {_up('least(100.0::DOUBLE, 100.0::DOUBLE * coalesce(covered, 0) / 5)', 1)} AS regulatory, {_sub('logged', 'with_receipt', 0)} AS transparency FROM k LEFT JOIN g USING (tenant_id)),
 t AS (SELECT *, {_up('coverage * 0.25::DOUBLE + verification * 0.25::DOUBLE + safety * 0.2::DOUBLE + regulatory * 0.15::DOUBLE + transparency * 0.15::DOUBLE', 1)} AS score FROM s)
 SELECT *, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM t""", "receipts")
 def receipt_score(spark, sf_dir):
-    rows, _, covered = tenant_counters(spark, sf_dir)
-    signed, bad = F.col("signed"), F.col("outcome") != "success"
-    counters = rows.groupBy("tenant_id").agg(
-        F.count(F.lit(1)).alias("invocations"), F.count_if(signed).alias("with_receipt"), F.count_if(signed & (F.col("event_id") % 499 != 0)).alias("verified"), F.count_if(signed).alias("checked"),
-        F.count_if(bad).alias("findings"), F.count_if(bad & F.col("decision").isNotNull()).alias("handled"), F.count_if(signed & (F.col("event_id") % 5 != 0)).alias("logged"),
-    )
-    return op.receipt_score(counters.join(covered.withColumnRenamed("covered", "regulators"), "tenant_id", "left").na.fill(0))
+    """Verification from the envelopes' checks; the log holds four of five receipts."""
+    rows = rows_of(spark, sf_dir)
+    checks = chain.verify_envelopes(ledger.envelopes(spark, sf_dir), ledger.public_keys())
+    return op.receipt_score(op.score_counters(rows, checks, rows.where("event_id % 5 <> 0").select("receipt_id")))
 
 
 _BENCH = f"""WITH s AS (SELECT vendor, model, count(*) AS invocations, count(*) FILTER (decision = 'block') AS blocked, count(*) FILTER (decision = 'flag') AS flagged, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (reviewer <> 'pending') AS reviewed,
@@ -300,11 +301,14 @@ def spend_by_vendor(spark, sf_dir):
     return op.spend_by_vendor(priced(spark, sf_dir))
 
 
-@query("ops_kpis", f"""SELECT count(*) FILTER (d) AS receipts_24h, count(*) FILTER (d AND outcome = 'error') AS errors_24h, count(DISTINCT vendor) FILTER (d) AS active_vendors, count(*) FILTER (w AND previous_receipt_hash = repeat('f', 64)) AS chain_breaks_7d,
-  {_up('quantile_cont(input_tokens, 0.5)', 1)} AS tokens_p50, {_up('quantile_cont(input_tokens, 0.95)', 1)} AS tokens_p95, {_up('quantile_cont(input_tokens, 0.99)', 1)} AS tokens_p99
-  FROM (SELECT *, ts > TIMESTAMP '{NOW[:10]} {NOW[11:19]}' - INTERVAL 24 HOUR AS d, ts > TIMESTAMP '{NOW[:10]} {NOW[11:19]}' - INTERVAL 7 DAY AS w FROM receipts)""", "receipts")
+@query("ops_kpis", f"""WITH l AS (SELECT *, ts > TIMESTAMP '{NOW[:10]} {NOW[11:19]}' - INTERVAL 24 HOUR AS d, ts > TIMESTAMP '{NOW[:10]} {NOW[11:19]}' - INTERVAL 7 DAY AS w, CASE WHEN chain_height = 1 THEN previous_receipt_hash = repeat('0', 64) ELSE coalesce(previous_receipt_hash = lag(receipt_hash) OVER (PARTITION BY tenant_id ORDER BY chain_height), false) END AS link_ok FROM receipts),
+t AS (SELECT tenant_id, count(*) AS n FROM l WHERE d GROUP BY 1 ORDER BY n DESC, tenant_id LIMIT 10)
+SELECT count(*) FILTER (d) AS receipts_24h, count(*) FILTER (d AND outcome = 'error') AS errors_24h, {_share(f"count(*) FILTER (d AND ({ledger._BAD}))", 'count(*) FILTER (d)')} AS verification_failure_rate, count(DISTINCT vendor) FILTER (d) AS active_vendors, count(*) FILTER (w AND NOT link_ok) AS chain_breaks_7d,
+  {_up('quantile_cont(latency_ms, 0.5)', 1)} AS latency_p50, {_up('quantile_cont(latency_ms, 0.95)', 1)} AS latency_p95, {_up('quantile_cont(latency_ms, 0.99)', 1)} AS latency_p99, coalesce((SELECT string_agg(tenant_id || ':' || n, ',' ORDER BY n DESC, tenant_id) FROM t), '') AS top_tenants FROM l""", "receipts")
 def ops_kpis(spark, sf_dir):
-    return op.ops_kpis(rows_of(spark, sf_dir), f"{NOW[:10]} {NOW[11:19]}")
+    rows = rows_of(spark, sf_dir)
+    checks = chain.verify_envelopes(ledger.envelopes(spark, sf_dir), ledger.public_keys()).select("receipt_id", "valid")
+    return op.ops_kpis(rows, chain.verify_links(rows).select("receipt_id", "link_ok").join(checks, "receipt_id"), f"{NOW[:10]} {NOW[11:19]}")
 
 
 @query("list_receipts", "SELECT receipt_id, CAST(chain_height AS INT) AS chain_height FROM receipts WHERE tenant_id = 'tenant-0' ORDER BY chain_height DESC LIMIT 25 OFFSET 50", "receipts")

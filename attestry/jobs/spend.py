@@ -45,6 +45,20 @@ def query_receipts(spark, sf_dir):
     return op.query_receipts(priced(spark, sf_dir), "model", "cost", 5)
 
 
+_FOUND = "contains(lower(model), 'gpt') AND environment = 'production'"
+
+
+@query("query_receipts_count", _PRICED + f"""SELECT count(*) AS matched, CAST(coalesce(sum(input_tokens + output_tokens), 0) AS BIGINT) AS tokens, CAST(coalesce(sum(nano), 0) AS BIGINT) / 1e9::DOUBLE AS cost_usd, count(*) FILTER (nano IS NULL) AS unpriced,
+  coalesce((SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT vendor || ':' || model AS m FROM priced WHERE nano IS NULL AND {_FOUND})), '') AS unpriced_models, (SELECT string_agg(receipt_id, ',' ORDER BY receipt_id) FROM (SELECT receipt_id FROM priced WHERE {_FOUND} ORDER BY 1 LIMIT 20)) AS citations FROM priced WHERE {_FOUND}""", "receipts", "pricing")
+def query_receipts_count(spark, sf_dir):
+    return op.query_totals(op.filter_receipts(priced(spark, sf_dir), model="GPT", environment="production"))
+
+
+@query("query_receipts_list", _PRICED + f"SELECT receipt_id, captured_at, model, coalesce(nano, 0) / 1e9::DOUBLE AS cost_usd FROM priced WHERE {_FOUND} ORDER BY captured_at DESC, receipt_id LIMIT 15", "receipts", "pricing")
+def query_receipts_list(spark, sf_dir):
+    return op.query_list(op.filter_receipts(priced(spark, sf_dir), model="GPT", environment="production"), 15)
+
+
 @query("unpriced_models", _PRICED + """SELECT count(*) FILTER (nano IS NULL AND model IS NOT NULL) AS unpriced,
   coalesce((SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT vendor || ':' || model AS m FROM priced WHERE nano IS NULL AND model IS NOT NULL)), '') AS models FROM priced""", "receipts", "pricing")
 def unpriced_models(spark, sf_dir):
@@ -181,11 +195,16 @@ def fit_score(spark, sf_dir):
     return op.fit_score(runs.select("run_id", "intent", F.col("planner_in").alias("expected_output"), (F.col("risk") == "medium").alias("has_tools"), (F.col("planner_out") * 8).alias("prompt_chars")), dims.table(spark, "intents"))
 
 
-_PERIODS = _NORMAL + """, p AS (SELECT at_iso < '1998-07-01' AS old, sum(input_total) AS i, sum(output_total) AS o, CAST(sum(input_total * nano_in) AS BIGINT) AS ci, CAST(sum(output_total * nano_out) AS BIGINT) AS co
+def _round(x: str, digits: int = 2) -> str:
+    return f"floor(({x}) * {10**digits}::DOUBLE + 0.5::DOUBLE) / {10**digits}::DOUBLE"
+
+
+_PERIODS = _NORMAL + f""", q AS (SELECT at_iso < '1998-07-01' AS old, CAST(sum(input_total) AS BIGINT) AS i, CAST(sum(output_total) AS BIGINT) AS o, CAST(sum(input_total * nano_in) AS BIGINT) AS ci, CAST(sum(output_total * nano_out) AS BIGINT) AS co
   FROM normal JOIN pricing USING (vendor, model) WHERE requests > 0 GROUP BY 1),
-f AS (SELECT floor((b.ci + b.co) / 1e9::DOUBLE * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS baseline_usd, floor((c.ci + c.co) / 1e9::DOUBLE * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS actual_usd,
-  floor((CAST(c.i AS BIGINT) * (b.ci / CAST(b.i AS DOUBLE)) + CAST(c.o AS BIGINT) * (b.co / CAST(b.o AS DOUBLE))) / 1e9::DOUBLE * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS counterfactual_usd FROM p b, p c WHERE b.old AND NOT c.old),
-g AS (SELECT *, floor((counterfactual_usd - actual_usd) * 100::DOUBLE + 0.5::DOUBLE) / 100::DOUBLE AS saving_usd FROM f) """
+p AS (SELECT *, {_round('(ci + co) / 1e9::DOUBLE')} AS total_usd, {_round('ci / 1e9::DOUBLE')} AS input_usd, {_round('ci / CAST(i AS DOUBLE) / 1e9::DOUBLE', 12)} AS input_rate, {_round('co / CAST(o AS DOUBLE) / 1e9::DOUBLE', 12)} AS output_rate FROM q),
+f AS (SELECT b.total_usd AS baseline_usd, c.total_usd AS actual_usd, {_round('(c.i * (b.ci / CAST(b.i AS DOUBLE)) + c.o * (b.co / CAST(b.o AS DOUBLE))) / 1e9::DOUBLE')} AS counterfactual_usd, b.input_rate, b.output_rate, {_round('c.i * (b.ci / CAST(b.i AS DOUBLE)) / 1e9::DOUBLE')} AS input_counterfactual_usd, {_round('b.total_usd - c.total_usd')} AS delta_usd,
+  sha256('{{"input_nano":' || b.ci || ',"input_tokens":' || b.i || ',"output_nano":' || b.co || ',"output_tokens":' || b.o || '}}') AS baseline_sha256 FROM p b, p c WHERE b.old AND NOT c.old),
+h AS (SELECT *, {_round('counterfactual_usd - actual_usd')} AS saving_usd FROM f), g AS (SELECT *, {_round('saving_usd / counterfactual_usd', 4)} AS saving_share FROM h) """
 
 
 def periods(spark, sf_dir):
@@ -193,21 +212,30 @@ def periods(spark, sf_dir):
     return [op.period_summary(op.summarize_workloads(rows.where(w), pricing).drop("cost_usd"), pricing) for w in ("at_iso < '1998-07-01'", "at_iso >= '1998-07-01'")]
 
 
-@query("period_summary", _PERIODS + "SELECT CAST(i AS BIGINT) AS input_tokens, CAST(o AS BIGINT) AS output_tokens, ci AS input_nano, co AS output_nano FROM p", "workloads", "pricing")
+@query("period_summary", _PERIODS + f"SELECT i AS input_tokens, o AS output_tokens, ci AS input_nano, co AS output_nano, total_usd, input_usd, {_round('total_usd - input_usd')} AS output_usd, input_rate, output_rate FROM p", "workloads", "pricing")
 def period_summary(spark, sf_dir):
     baseline, current = periods(spark, sf_dir)
     return baseline.unionByName(current)
 
 
-@query("prove_savings", _PERIODS + "SELECT *, floor(saving_usd / counterfactual_usd * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS saving_share FROM g", "workloads", "pricing")
+@query("prove_savings", _PERIODS + "SELECT * FROM g", "workloads", "pricing")
 def prove_savings(spark, sf_dir):
     return op.prove_savings(*periods(spark, sf_dir))
 
 
-@query("verify_savings", _PERIODS + "SELECT *, floor(saving_usd / counterfactual_usd * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS saving_share, true AS valid FROM g", "workloads", "pricing")
+_FIGURES = ["baseline_usd", "actual_usd", "counterfactual_usd", "input_rate", "output_rate", "input_counterfactual_usd", "delta_usd", "saving_usd", "saving_share"]
+
+
+@query("verify_savings", _PERIODS + "SELECT '' AS damaged, '' AS failed, true AS valid FROM g UNION ALL " + " UNION ALL ".join(f"SELECT '{c}', '{c}', false FROM g" for c in [*_FIGURES, "baseline_sha256"]), "workloads", "pricing")
 def verify_savings(spark, sf_dir):
+    """The proof as it is, and once with each figure and the hash changed."""
     baseline, current = periods(spark, sf_dir)
-    return op.verify_savings(op.prove_savings(baseline, current), baseline, current)
+    proof = op.prove_savings(baseline, current)
+    stated = proof.withColumn("damaged", F.lit(""))
+    for c in _FIGURES:
+        stated = stated.unionByName(proof.withColumn("damaged", F.lit(c)).withColumn(c, F.col(c) + 0.01))
+    stated = stated.unionByName(proof.withColumn("damaged", F.lit("baseline_sha256")).withColumn("baseline_sha256", F.sha2("baseline_sha256", 256)))
+    return op.verify_savings(stated, baseline, current).select("damaged", "failed", "valid")
 
 
 @query("top_receipts", _PRICED + "SELECT receipt_id, captured_at, nano / 1e9::DOUBLE AS cost_usd FROM priced WHERE nano IS NOT NULL ORDER BY nano DESC, captured_at DESC, receipt_id LIMIT 20", "receipts", "pricing")
@@ -215,11 +243,13 @@ def top_receipts(spark, sf_dir):
     return op.top_receipts(priced(spark, sf_dir))
 
 
-@query("alert_cost_spike", _PRICED + """, days AS (SELECT captured_day, CAST(coalesce(sum(nano), 0) AS BIGINT) AS nano FROM priced WHERE event_id % 3 = 0 OR captured_day = DATE '2024-01-20' GROUP BY 1),
+@query("alert_cost_spike", _PRICED + """, dear AS (SELECT captured_day, nano * CASE WHEN captured_day = DATE '2024-01-20' THEN 5 ELSE 1 END AS nano FROM priced), days AS (SELECT captured_day, CAST(coalesce(sum(nano), 0) AS BIGINT) AS nano FROM dear GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY nano, captured_day) AS r, count(*) OVER () AS n FROM days), m AS (SELECT nano AS median FROM r WHERE n >= 3 AND r = n // 2 + 1)
-SELECT captured_day, nano / 1e9::DOUBLE AS cost_usd, median / 1e9::DOUBLE AS median_usd FROM days, m WHERE nano > 2 * median AND nano > 10000000 AND median > 0 ORDER BY 1 LIMIT 1""", "receipts", "pricing")
+SELECT captured_day, nano / 1e9::DOUBLE AS cost_usd, median / 1e9::DOUBLE AS median_usd FROM days, m WHERE nano > 3 * median AND nano > 10000000 AND median > 0 ORDER BY 1 LIMIT 1""", "receipts", "pricing")
 def alert_cost_spike(spark, sf_dir):
-    return op.cost_spike(priced(spark, sf_dir).where("event_id % 3 = 0 or captured_day = date'2024-01-20'"), times=2)
+    """Over all receipts, with one day's prices five times as high."""
+    rows = priced(spark, sf_dir)
+    return op.cost_spike(rows.withColumn("nano", F.col("nano") * F.when(F.col("captured_day") == F.lit("2024-01-20").cast("date"), 5).otherwise(1)))
 
 
 _GUARD = _PRICED + """, spent AS (SELECT receipt_id, tenant_id, CAST(sum(coalesce(nano, 0)) OVER (PARTITION BY tenant_id, date_trunc('month', ts) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS s FROM priced),

@@ -17,7 +17,7 @@ from attestry.functions.columns import half_up, share, usd
 def keys_valid_at(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows (kid, captured_at) with key_ok: an active key, or a retired one up to its retirement moment; else closed."""
     status = keys.select("kid", F.col("status").alias("_status"), F.try_to_timestamp("retired_at").alias("_until"))
-    joined = rows.join(F.broadcast(status), "kid", "left")
+    joined = rows.join(status, "kid", "left")
     ok = (F.col("_status") == "active") | ((F.col("_status") == "retired") & (F.try_to_timestamp("captured_at") <= F.col("_until")))
     return joined.withColumn("key_ok", F.coalesce(ok, F.lit(False))).drop("_status", "_until")
 
@@ -84,7 +84,7 @@ def compliance_gaps(rows: DataFrame, articles: DataFrame) -> DataFrame:
 def validate_use_case(rows: DataFrame, use_cases: DataFrame) -> DataFrame:
     """receipt_id, ok, reasons: unknown or ended use cases stop there; else model, source and class are checked."""
     registry = use_cases.select("use_case_id", F.col("status").alias("_status"), "models", "sources", "classes")
-    joined = rows.join(F.broadcast(registry), "use_case_id", "left")
+    joined = rows.join(registry, "use_case_id", "left")
     none = F.array().cast("array<string>")
     checks = F.array(
         F.when(F.col("model").isNotNull() & ~F.array_contains("models", F.col("model")), "model_not_approved_for_use_case"),
@@ -102,7 +102,7 @@ def validate_use_case(rows: DataFrame, use_cases: DataFrame) -> DataFrame:
 def validate_model_assignment(rows: DataFrame, models: DataFrame) -> DataFrame:
     """receipt_id, reason: the first thing against the receipt's model in its use case; null if there is none."""
     registry = models.select("model", F.col("status").alias("_status"), "use_cases")
-    joined = rows.where("model is not null").join(F.broadcast(registry), "model", "left")
+    joined = rows.where("model is not null").join(registry, "model", "left")
     reason = (
         F.when(F.col("_status").isNull(), "unknown_model")
         .when(F.col("_status") == "revoked", "model_revoked")
@@ -170,7 +170,7 @@ def invalid_transitions(log: DataFrame, permitted: DataFrame) -> DataFrame:
     """Rows of log (subject, seq, from_state, to_state) that aren't permitted, or don't start where the one before ended."""
     last = F.lag("to_state").over(Window.partitionBy("subject").orderBy("seq"))
     rules = permitted.select("from_state", "to_state", F.lit(True).alias("_known"))
-    joined = log.withColumn("_last", last).join(F.broadcast(rules), ["from_state", "to_state"], "left")
+    joined = log.withColumn("_last", last).join(rules, ["from_state", "to_state"], "left")
     why = F.when(F.col("_known").isNull(), "not_permitted").when(F.col("_last").isNotNull() & (F.col("_last") != F.col("from_state")), "broken_sequence")
     return joined.select("subject", "seq", "from_state", "to_state", why.alias("why")).where("why is not null")
 
@@ -251,7 +251,7 @@ def alert_rules_per_receipt(rows: DataFrame, rules: list[tuple[str, str, str | C
 
 def alert_over_tiering(rows: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Receipts of the (model, app) pairs of over_tiering."""
-    return rows.join(F.broadcast(suggestions.select("model", "app").distinct()), ["model", "app"], "left_semi").select(F.lit("over-tiering").alias("rule"), F.lit("medium").alias("severity"), "receipt_id")
+    return rows.join(suggestions.select("model", "app").distinct(), ["model", "app"], "left_semi").select(F.lit("over-tiering").alias("rule"), F.lit("medium").alias("severity"), "receipt_id")
 
 
 def run_alerts(rows: DataFrame, more: list[Callable[[DataFrame], DataFrame]] = (), cap: int = 20) -> DataFrame:
@@ -269,13 +269,19 @@ def run_alerts(rows: DataFrame, more: list[Callable[[DataFrame], DataFrame]] = (
     return counts.join(sampled(found, "rule", cap), "rule").orderBy(F.col("severity") != "high", F.desc("receipts"), "rule")
 
 
+#: The parts of the exposure and their weights.
+RISKS = {"error": 0.20, "block": 0.10, "findings": 0.15, "incidents": 0.15, "posture": 0.15, "downtime": 0.10, "uncovered": 0.15}
+
+
 def underwriting_exposure(rows: DataFrame, findings: DataFrame, regulators: DataFrame) -> DataFrame:
-    """Per tenant: rates, seven weighted risk components and the composite with its class.
+    """Per tenant and period: rates, the seven risk components, weighted, and their sum with its class.
 
-    findings: tenant_id, high_findings, incidents. regulators: tenant_id, covered. Controls pass where receipts are signed.
+    rows have `period`. findings: tenant_id, period, high_findings, incidents. regulators: tenant_id, period, covered.
+    Controls pass where receipts are signed. A component is its value times its weight times 100, with four digits; the
+    composite is clamped to 0 to 100.
     """
-    n = F.count(F.lit(1))
-    base = rows.groupBy("tenant_id").agg(
+    key, n = ["tenant_id", "period"], F.count(F.lit(1))
+    base = rows.groupBy(*key).agg(
         n.alias("receipts"),
         share(F.count_if(F.col("outcome") == "error"), n).alias("error_rate"),
         share(F.count_if(F.col("decision") == "block"), n).alias("block_rate"),
@@ -283,24 +289,39 @@ def underwriting_exposure(rows: DataFrame, findings: DataFrame, regulators: Data
         half_up(1 - F.count_if(F.col("outcome") == "error") / n, 4).alias("uptime"),
         F.countDistinct("model").alias("models"),
     )
-    joined = base.join(findings, "tenant_id", "left").join(regulators, "tenant_id", "left").na.fill(0)
-    density = half_up(F.col("high_findings") / F.greatest(F.lit(1), F.col("models")), 4)
-    parts = [
-        (F.col("error_rate"), 0.20),
-        (F.col("block_rate"), 0.10),
-        (density, 0.15),
-        (F.col("incidents").cast("double"), 0.15),
-        (half_up(1 - F.col("posture"), 4), 0.15),
-        (half_up(1 - F.col("uptime"), 4), 0.10),
-        (half_up(1 - F.col("covered") / 6, 4), 0.15),
-    ]
+    joined = base.join(findings, key, "left").join(regulators, key, "left").na.fill(0)
+    values = {
+        "error": F.col("error_rate"),
+        "block": F.col("block_rate"),
+        "findings": F.col("high_findings") / F.greatest(F.lit(1), F.col("models")),
+        "incidents": F.col("incidents").cast("double"),
+        "posture": 1 - F.col("posture"),
+        "downtime": 1 - F.col("uptime"),
+        "uncovered": 1 - F.col("covered") / 6,
+    }
+    out = joined.select(*key, "receipts", "error_rate", "block_rate", F.col("posture").alias("controls_posture"), *[half_up(values[k] * w * 100, 4).alias(f"risk_{k}") for k, w in RISKS.items()])
     total = F.lit(0.0)
-    for value, weight in parts:
-        total = total + value * weight * 100
+    for k in RISKS:
+        total = total + F.col(f"risk_{k}")
     composite = F.greatest(F.lit(0.0), F.least(F.lit(100.0), half_up(total, 4)))
-    out = joined.withColumn("composite", composite)
-    letter = F.when(F.col("composite") <= 20, "A").when(F.col("composite") <= 35, "B").when(F.col("composite") <= 55, "C").when(F.col("composite") <= 75, "D").otherwise("E")
-    return out.select("tenant_id", "receipts", "error_rate", "block_rate", "posture", "composite", letter.alias("carrier_class"))
+    c = F.col("composite")
+    return out.withColumn("composite", composite).withColumn("carrier_class", F.when(c <= 20, "A").when(c <= 35, "B").when(c <= 55, "C").when(c <= 75, "D").otherwise("E"))
+
+
+def score_counters(rows: DataFrame, checks: DataFrame, log: DataFrame) -> DataFrame:
+    """The eight counters of receipt_score per tenant.
+
+    rows: receipts with signed, outcome, decision, applied_policies. checks: receipt_id, valid (verify_envelopes). log:
+    receipt_id of the entries of the transparency log.
+    """
+    joined = rows.join(checks.select("receipt_id", "valid"), "receipt_id", "left").join(log.select("receipt_id", F.lit(True).alias("_logged")).distinct(), "receipt_id", "left")
+    signed, bad = F.col("signed"), F.col("outcome") != "success"
+    counted = joined.groupBy("tenant_id").agg(
+        F.count(F.lit(1)).alias("invocations"), F.count_if(signed).alias("with_receipt"), F.count_if(signed & F.col("valid")).alias("verified"), F.count_if(signed).alias("checked"),
+        F.count_if(bad).alias("findings"), F.count_if(bad & F.col("decision").isNotNull()).alias("handled"), F.count_if(signed & F.col("_logged")).alias("logged"),
+    )
+    covered = rows.select("tenant_id", F.explode("applied_policies").alias("p")).groupBy("tenant_id").agg(F.countDistinct("p").alias("regulators"))
+    return counted.join(covered, "tenant_id", "left").na.fill(0)
 
 
 def receipt_score(counters: DataFrame) -> DataFrame:
@@ -333,7 +354,7 @@ def vendor_benchmark(rows: DataFrame, pricing: DataFrame) -> DataFrame:
         F.sum("output_tokens").alias("output_tokens"),
         F.count_if((F.col("outcome") == "error") & (F.col("decision") == "block")).alias("severe"),
     )
-    joined = samples.join(F.broadcast(pricing), ["vendor", "model"], "left")
+    joined = samples.join(pricing, ["vendor", "model"], "left")
     fine = F.greatest(F.lit(1), F.col("invocations") - F.col("errors") - F.col("blocked"))
     nano = F.col("input_tokens") * F.col("nano_in") + F.col("output_tokens") * F.col("nano_out")
     out = joined.select(
@@ -402,19 +423,29 @@ def spend_by_vendor(rows: DataFrame) -> DataFrame:
     )
 
 
-def ops_kpis(rows: DataFrame, now: str) -> DataFrame:
-    """One row: receipts of the last day, failures, active vendors, chain breaks of a week, token-count percentiles."""
+def ops_kpis(rows: DataFrame, checks: DataFrame, now: str) -> DataFrame:
+    """One row: receipts, failures and the verification failure rate of the last day, active vendors, chain breaks of a week, latency percentiles, top tenants.
+
+    checks: receipt_id, link_ok, valid of every receipt (verify_links, verify_envelopes); one without counts as failed.
+    Percentiles are exact and taken from the counts of whole milliseconds, not from the receipts. top_tenants: the ten
+    with most receipts of the day, as tenant:count.
+    """
     at = F.lit(now).cast("timestamp_ntz")
     day, week = F.col("ts") > at - F.expr("interval 24 hours"), F.col("ts") > at - F.expr("interval 7 days")
-    return rows.agg(
+    ok = lambda c: F.coalesce(c, F.lit(False))
+    slim = rows.select("receipt_id", "tenant_id", "ts", "outcome", "vendor").join(checks.select("receipt_id", "link_ok", "valid"), "receipt_id", "left")
+    one = slim.agg(
         F.count_if(day).alias("receipts_24h"),
         F.count_if(day & (F.col("outcome") == "error")).alias("errors_24h"),
+        share(F.count_if(day & ~ok(F.col("valid"))), F.count_if(day)).alias("verification_failure_rate"),
         F.countDistinct(F.when(day, F.col("vendor"))).alias("active_vendors"),
-        F.count_if(week & (F.col("previous_receipt_hash") == "f" * 64)).alias("chain_breaks_7d"),
-        half_up(F.percentile("input_tokens", F.lit(0.5)), 1).alias("tokens_p50"),
-        half_up(F.percentile("input_tokens", F.lit(0.95)), 1).alias("tokens_p95"),
-        half_up(F.percentile("input_tokens", F.lit(0.99)), 1).alias("tokens_p99"),
+        F.count_if(week & ~ok(F.col("link_ok"))).alias("chain_breaks_7d"),
     )
+    counts = rows.where("latency_ms is not null").groupBy("latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    percentiles = counts.agg(*[half_up(F.percentile("latency_ms", F.lit(q), F.col("n")), 1).alias(f"latency_p{round(q * 100)}") for q in (0.5, 0.95, 0.99)])
+    tenants = rows.where(day).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tenant_id").limit(10)
+    top = tenants.agg(F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("k"), "tenant_id"))), lambda x: F.concat(x["tenant_id"], F.lit(":"), -x["k"]))).alias("top_tenants"))
+    return one.join(percentiles).join(top)
 
 
 def list_receipts(rows: DataFrame, tenant: str, limit: int, offset: int) -> DataFrame:

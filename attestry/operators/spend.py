@@ -17,7 +17,7 @@ from attestry.functions.columns import cost_nano, half_up, share, usd
 
 def price_usage(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """usage (vendor, model, input_tokens, output_tokens) with nano: the cost, null for a model without a price."""
-    return usage.join(F.broadcast(pricing), ["vendor", "model"], "left").withColumn("nano", cost_nano()).drop("nano_in", "nano_out", "nano_read", "nano_write")
+    return usage.join(pricing, ["vendor", "model"], "left").withColumn("nano", cost_nano()).drop("nano_in", "nano_out", "nano_read", "nano_write")
 
 
 # Tier names in the order in which they are tried, with the vendor and model they stand for.
@@ -101,6 +101,26 @@ def query_receipts(rows: DataFrame, group_by: str, metric: str = "cost", limit:
     return summed.orderBy(F.desc(by), "key").limit(limit).select("key", "count", "tokens", usd(F.col("nano")).alias("cost_usd"))
 
 
+def query_totals(rows: DataFrame, cited: int = 20) -> DataFrame:
+    """One row for the rows that a query matches: matched, tokens, cost_usd, unpriced and its models, and the first `cited` ids."""
+    bare = F.col("nano").isNull() & F.col("model").isNotNull()
+    totals = rows.agg(
+        F.count(F.lit(1)).alias("matched"),
+        F.coalesce(F.sum(F.col("input_tokens") + F.col("output_tokens")), F.lit(0)).alias("tokens"),
+        usd(F.coalesce(F.sum("nano"), F.lit(0))).alias("cost_usd"),
+        F.count_if(bare).alias("unpriced"),
+        F.concat_ws(",", F.sort_array(F.collect_set(F.when(bare, F.concat_ws(":", "vendor", "model"))))).alias("unpriced_models"),
+    )
+    ids = rows.select("receipt_id").orderBy("receipt_id").limit(cited).agg(F.concat_ws(",", F.sort_array(F.collect_list("receipt_id"))).alias("citations"))
+    return totals.join(ids)
+
+
+def query_list(rows: DataFrame, limit: int = 10) -> DataFrame:
+    """receipt_id, captured_at, model, cost_usd of the newest `limit` rows; ties by id. Unpriced rows cost 0."""
+    found = rows.orderBy(F.desc("captured_at"), "receipt_id").limit(limit)
+    return found.select("receipt_id", "captured_at", "model", usd(F.coalesce("nano", F.lit(0))).alias("cost_usd"))
+
+
 def unpriced_models(rows: DataFrame) -> DataFrame:
     """One row: how many receipts with a model have no price, and those models in order."""
     bare = F.col("nano").isNull() & F.col("model").isNotNull()
@@ -184,14 +204,14 @@ def expand_workloads(bill: DataFrame, *keys: str) -> DataFrame:
 def carbon_of(rows: DataFrame, energy: DataFrame) -> DataFrame:
     """rows with wh and g_co2e, 4 digits; null for a model without a profile."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
-    joined = rows.join(F.broadcast(energy), ["vendor", "model"], "left")
+    joined = rows.join(energy, ["vendor", "model"], "left")
     return joined.withColumn("wh", half_up(tokens * F.col("deci_wh_1k") / 1e4, 4)).withColumn("g_co2e", half_up(tokens * F.col("deci_wh_1k") * F.col("grid_g") / 1e7, 4)).drop("deci_wh_1k", "grid_g")
 
 
 def carbon_rollup(rows: DataFrame, energy: DataFrame) -> DataFrame:
     """vendor (null: total), wh, g_co2e: exact sums rounded once."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
-    joined = rows.join(F.broadcast(energy), ["vendor", "model"])
+    joined = rows.join(energy, ["vendor", "model"])
     summed = joined.rollup("vendor").agg(F.sum(tokens * F.col("deci_wh_1k")).alias("w"), F.sum(tokens * F.col("deci_wh_1k") * F.col("grid_g")).alias("g"))
     return summed.select("vendor", half_up(F.coalesce("w", F.lit(0)) / 1e4, 4).alias("wh"), half_up(F.coalesce("g", F.lit(0)) / 1e7, 4).alias("g_co2e"))
 
@@ -200,7 +220,7 @@ def cascade_pairs(runs: DataFrame, intents: DataFrame, pricing: DataFrame) -> Da
     """Each planner-executor run: its cost, all its tokens at the executor's price, and the saving, which may be negative."""
     plan = pricing.select(F.col("vendor").alias("planner_vendor"), F.col("model").alias("planner_model"), F.col("nano_in").alias("p_in"), F.col("nano_out").alias("p_out"))
     execute = pricing.select(F.col("vendor").alias("executor_vendor"), F.col("model").alias("executor_model"), F.col("nano_in").alias("e_in"), F.col("nano_out").alias("e_out"))
-    joined = runs.join(F.broadcast(intents), "intent").join(F.broadcast(plan), ["planner_vendor", "planner_model"]).join(F.broadcast(execute), ["executor_vendor", "executor_model"])
+    joined = runs.join(intents, "intent").join(F.broadcast(plan), ["planner_vendor", "planner_model"]).join(F.broadcast(execute), ["executor_vendor", "executor_model"])
     more_in, more_out = F.coalesce("executor_in", F.lit(0)), F.coalesce("executor_out", F.lit(0))
     cost = F.col("planner_in") * F.col("p_in") + F.col("planner_out") * F.col("p_out") + more_in * F.col("e_in") + more_out * F.col("e_out")
     base = (F.col("planner_in") + more_in) * F.col("e_in") + (F.col("planner_out") + more_out) * F.col("e_out")
@@ -249,7 +269,7 @@ def recommend(rows: DataFrame, tiers: DataFrame, pricing: DataFrame, days: int =
 def choose_cascade(rules: DataFrame, intents: DataFrame) -> DataFrame:
     """Planner and executor for each rule (intent, risk, estimated_input_tokens); risky or small tasks skip the planner."""
     skip = (F.col("risk") == "high") | (F.col("estimated_input_tokens") < 200)
-    joined = rules.join(F.broadcast(intents), "intent")
+    joined = rules.join(intents, "intent")
     executor = F.concat_ws(":", "executor_vendor", "executor_model")
     reason = F.when(F.col("risk") == "high", "high risk").when(F.col("estimated_input_tokens") < 200, "small input").otherwise("cascade")
     return joined.select("run_id", F.when(skip, executor).otherwise(F.concat_ws(":", "planner_vendor", "planner_model")).alias("planner"), executor.alias("executor"), reason.alias("reason"))
@@ -257,7 +277,7 @@ def choose_cascade(rules: DataFrame, intents: DataFrame) -> DataFrame:
 
 def fit_score(prompts: DataFrame, intents: DataFrame) -> DataFrame:
     """run_id, score (hundredths / 100), recommended_model for (run_id, intent, expected_output, has_tools, prompt_chars)."""
-    joined = prompts.join(F.broadcast(intents), "intent")
+    joined = prompts.join(intents, "intent")
     tokens = F.ceil(F.col("prompt_chars") / 4)
     points = F.col("base_score") - F.when(F.col("expected_output") > 2000, 10).otherwise(0) - F.when(F.col("has_tools"), 15).otherwise(0) + F.when(tokens < 400, 5).otherwise(0) - F.when(tokens > 4000, 10).otherwise(0)
     points = F.greatest(F.lit(0), F.least(F.lit(100), points))
@@ -265,33 +285,61 @@ def fit_score(prompts: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 def period_summary(by_model: DataFrame, pricing: DataFrame) -> DataFrame:
-    """Priced tokens and dollars by class of one period, for each group of by_model (vendor, model, tokens), as one row."""
-    priced = by_model.join(F.broadcast(pricing), ["vendor", "model"])
-    return priced.agg(
-        F.sum("input_tokens").alias("input_tokens"),
-        F.sum("output_tokens").alias("output_tokens"),
-        F.sum(F.col("input_tokens") * F.col("nano_in")).alias("input_nano"),
-        F.sum(F.col("output_tokens") * F.col("nano_out")).alias("output_nano"),
+    """Priced tokens, nano-dollars and dollars by class of one period, and each class's rate (dollars a token, 12 digits), as one row.
+
+    by_model: vendor, model, input_tokens, output_tokens. Models without a price are left out. The output class takes what
+    the rounded total leaves beside the rounded input class, so that the classes add up to it.
+    """
+    found = by_model.join(pricing, ["vendor", "model"]).agg(
+        F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
+        F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
+        F.coalesce(F.sum(F.col("input_tokens") * F.col("nano_in")), F.lit(0)).alias("input_nano"),
+        F.coalesce(F.sum(F.col("output_tokens") * F.col("nano_out")), F.lit(0)).alias("output_nano"),
     )
+    rate = lambda k: F.when(F.col(f"{k}_tokens") > 0, half_up(F.col(f"{k}_nano") / F.col(f"{k}_tokens") / 1e9, 12)).otherwise(0.0).alias(f"{k}_rate")
+    priced = found.withColumn("total_usd", half_up((F.col("input_nano") + F.col("output_nano")) / 1e9, 2)).withColumn("input_usd", half_up(F.col("input_nano") / 1e9, 2))
+    return priced.select("*", half_up(F.col("total_usd") - F.col("input_usd"), 2).alias("output_usd"), rate("input"), rate("output"))
+
+
+def _baseline_hash() -> Column:
+    """SHA-256 of the canonical JSON of a period's whole numbers (keys in order, no spaces): what a proof binds itself to."""
+    names = ["input_nano", "input_tokens", "output_nano", "output_tokens"]
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), F.col(f"b_{n}").cast("string")) for n in names]), F.lit("}")), 256)
 
 
 def prove_savings(baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """One row: what the current volume would cost at the baseline's rate of each class, less what it did cost."""
+    """One row of nine figures and the baseline's hash: what the current volume would cost at the baseline's rates, less what it did cost.
+
+    delta_usd is the plain difference of the two periods, which volume moves too.
+    """
     joined = baseline.select(*[F.col(c).alias("b_" + c) for c in baseline.columns]).join(current)
     rate = lambda k: F.when(F.col(f"b_{k}_tokens") > 0, F.col(f"b_{k}_nano") / F.col(f"b_{k}_tokens")).otherwise(0.0)
     counterfactual = half_up((F.col("input_tokens") * rate("input") + F.col("output_tokens") * rate("output")) / 1e9, 2)
-    actual = half_up((F.col("input_nano") + F.col("output_nano")) / 1e9, 2)
-    before = half_up((F.col("b_input_nano") + F.col("b_output_nano")) / 1e9, 2)
-    return joined.select(before.alias("baseline_usd"), actual.alias("actual_usd"), counterfactual.alias("counterfactual_usd")).withColumn("saving_usd", half_up(F.col("counterfactual_usd") - F.col("actual_usd"), 2)).withColumn(
-        "saving_share", share(F.col("saving_usd"), F.col("counterfactual_usd"))
+    first = joined.select(
+        F.col("b_total_usd").alias("baseline_usd"),
+        F.col("total_usd").alias("actual_usd"),
+        counterfactual.alias("counterfactual_usd"),
+        F.col("b_input_rate").alias("input_rate"),
+        F.col("b_output_rate").alias("output_rate"),
+        half_up(F.col("input_tokens") * rate("input") / 1e9, 2).alias("input_counterfactual_usd"),
+        half_up(F.col("b_total_usd") - F.col("total_usd"), 2).alias("delta_usd"),
+        _baseline_hash().alias("baseline_sha256"),
     )
+    saved = first.withColumn("saving_usd", half_up(F.col("counterfactual_usd") - F.col("actual_usd"), 2))
+    return saved.withColumn("saving_share", share(F.col("saving_usd"), F.col("counterfactual_usd")))
 
 
 def verify_savings(stated: DataFrame, baseline: DataFrame, current: DataFrame) -> DataFrame:
-    """stated (the columns of prove_savings) with valid: whether every figure is what the summaries give."""
+    """stated (the columns of prove_savings) with failed (the figures that aren't what the summaries give, in order) and valid.
+
+    A figure that is missing or null fails.
+    """
     own = prove_savings(baseline, current)
-    equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col("_" + c)) for c in own.columns])
-    return stated.join(own.select(*[F.col(c).alias("_" + c) for c in own.columns])).select(*stated.columns, equal.alias("valid"))
+    missing = [c for c in own.columns if c not in stated.columns]
+    told = stated.select("*", *[F.lit(None).alias(c) for c in missing])
+    joined = told.join(own.select(*[F.col(c).alias("_" + c) for c in own.columns]))
+    failed = F.concat_ws(",", *[F.when(~F.coalesce(F.col(c) == F.col("_" + c), F.lit(False)), c) for c in own.columns])
+    return joined.withColumn("failed", failed).select(*stated.columns, "failed", (F.col("failed") == "").alias("valid"))
 
 
 def top_receipts(rows: DataFrame, limit: int = 20) -> DataFrame:

@@ -19,9 +19,13 @@ RECEIPT = """receipt struct<schema_version string, receipt_id string, tenant_id
  signatures array<struct<alg string, kid string, sig string>>, timestamps array<struct<tsa string, timestamp_token string>>, _bad string"""
 
 
-def read_receipts(spark: SparkSession, *paths: str) -> DataFrame:
-    """Receipts of JSON files below paths; arrays are flattened; other or unreadable JSON is left out."""
-    rows = spark.read.schema(RECEIPT).option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(list(paths))
+def read_receipts(spark: SparkSession, *paths: str, lines: bool = False) -> DataFrame:
+    """Receipts of JSON files below paths; other or unreadable JSON is left out.
+
+    A file is one JSON value, whose array is flattened, or with `lines` one value a line, which Spark also splits.
+    """
+    reader = spark.read.schema(RECEIPT).option("recursiveFileLookup", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    rows = reader.option("multiLine", str(not lines).lower()).json(list(paths))
     return rows.where("receipt is not null and signatures is not null").drop("_bad")
 
 

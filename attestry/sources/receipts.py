@@ -29,7 +29,7 @@ SELECT event_id, user_id, event_type AS kind, value, ts,
   CASE event_id % 6 WHEN 0 THEN 'rev-1' WHEN 1 THEN 'pending' END AS reviewer,
   CASE event_id % 6 WHEN 0 THEN 'pii' WHEN 1 THEN 'pci' WHEN 2 THEN 'mnpi' WHEN 3 THEN 'internal' WHEN 4 THEN 'public' ELSE 'pii_redacted' END AS input_class,
   CASE (event_id + 3) % 13 WHEN 0 THEN 'pii' WHEN 1 THEN 'pci' WHEN 2 THEN 'mnpi' WHEN 4 THEN 'public' WHEN 5 THEN 'pii_redacted' ELSE 'internal' END AS output_class,
-  event_id % 3 AS evidence_refs, event_id % 50 <> 0 AS signed, 'kid-' || CAST(event_id % 4 AS STRING) AS kid
+  event_id % 3 AS evidence_refs, 20 + CAST(floor(value * 4) AS BIGINT) AS latency_ms, event_id % 50 <> 0 AS signed, 'kid-' || CAST(event_id % 4 AS STRING) AS kid
 FROM {events}
 """
 _HEIGHT = f"SELECT *, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, event_id) AS chain_height FROM ({_CORE}) AS core"
