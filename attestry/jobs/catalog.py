@@ -18,7 +18,9 @@ def query(name: str, sql: str | None = None, *tables: str):
         if sql is not None:
             parts = [dims.cte(t) if t in dims.TABLES else receipts.cte(t) for t in tables]
             body = sql.strip()
-            if body.upper().startswith("WITH "):
+            if body.upper().startswith("WITH RECURSIVE "):
+                ORACLES[name] = "WITH RECURSIVE " + ", ".join([*parts, body[15:]])
+            elif body.upper().startswith("WITH "):
                 parts.append(body[5:])
                 ORACLES[name] = "WITH " + ", ".join(parts)
             else:

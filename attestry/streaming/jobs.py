@@ -1,14 +1,14 @@
 """The receipt jobs as Structured Streaming queries.
 
-Every function takes a streaming (or static) DataFrame of receipts and returns a DataFrame; `run_available` drains a
-source and returns what came out, which is how the registered queries and the tests use them. Watermarks bound all
-state: one hour by default for windows, a day for replays. Rows later than the watermark are dropped by Spark.
+Every function takes a streaming (or static) DataFrame of receipts and returns a DataFrame. `in_slices` feeds a table to
+one of them slice by slice, as a job that is run again and again with what has come since: this is how the registered
+queries and the tests use them. Watermarks bound the state of windows, replays, the prompt cache and approvals: event-time
+timers take out what has expired. Chains and budgets keep a few values for each tenant, for as long as the tenant is
+there. Rows later than the watermark are dropped by Spark.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,44 +17,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from attestry.functions.tables import shared_dir, written
 from attestry.operators.exports import validate_events
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_dir(spark, "stream")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over all that is there, into a Parquet table (append) or batch by batch (update, complete)."""
-    spark, base = stream.sparkSession, folder(stream.sparkSession)
-    if mode == "append":
-        query = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
-        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], slices: int = 4, order: str = "ts") -> DataFrame | None:
+    """What a streaming query (append mode) makes of rows that come in slices of equal time, one batch a slice.
 
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/part={number}")
-
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("part")
-
-
-def stream_of(rows: DataFrame, files: int = 4, order: str = "ts") -> DataFrame:
-    """rows written as a few files one after another in the order of a numeric or time column, then read as a stream, a file a batch."""
-    spark, path = rows.sparkSession, folder(rows.sparkSession) + "/in"
+    order: a time or number column. A slice is written by as many tasks as hold its rows, and read as one batch of all its
+    files; the query stops after each batch and goes on from its checkpoint. A query that returns nothing has its own sink,
+    and is called for each slice.
+    """
+    spark, base = rows.sparkSession, folder(rows.sparkSession)
     place = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order] else F.col(order).cast("double")
-    held = rows.withColumn("_place", place).persist()
-    cuts = held.approxQuantile("_place", [k / files for k in range(1, files)], 0.001) if files > 1 else []
-    part = sum([(F.col("_place") > c).cast("int") for c in cuts], F.lit(0))
-    for k in range(files):
-        held.where(part == k).drop("_place").coalesce(1).write.mode("append").parquet(path)
-    held.unpersist()
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-
-
-def stream_ingest(events: DataFrame, good: Callable[[DataFrame], None], bad: Callable[[DataFrame], None]) -> None:
+    staged = written(rows.withColumn("_place", place))
+    low, high = staged.agg(F.min("_place"), F.max("_place")).first()
+    width = ((high or 0.0) - (low or 0.0)) / slices or 1.0
+    part = F.least(F.lit(slices - 1), F.floor((F.coalesce("_place", F.lit(low or 0.0)) - (low or 0.0)) / width))
+    staged.where("false").drop("_place").write.mode("append").parquet(f"{base}/in")
+    for k in range(slices):
+        staged.where(part == k).drop("_place").write.mode("append").parquet(f"{base}/in")
+        found = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        if found is not None:
+            found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return None if found is None else spark.read.schema(found.schema).parquet(f"{base}/out")
+
+
+def stream_ingest(events: DataFrame, good: Callable[[DataFrame], None], bad: Callable[[DataFrame], None], checkpoint: str) -> None:
     """Capture stream: valid events go to one writer, others with their error to another; drains what is there."""
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -63,8 +56,7 @@ def stream_ingest(events: DataFrame, good: Callable[[DataFrame], None], bad: Cal
         bad(checked.where("error is not null"))
         checked.unpersist()
 
-    base = folder(events.sparkSession)
-    events.writeStream.foreachBatch(batch).option("checkpointLocation", base).trigger(availableNow=True).start().awaitTermination()
+    events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def stream_dedup(rows: DataFrame, key: str = "request_id", within: str = "24 hours") -> DataFrame:
@@ -72,6 +64,33 @@ def stream_dedup(rows: DataFrame, key: str = "request_id", within: str = "24 hou
     return rows.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
+def stream_conflicts(rows: DataFrame, within_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+    """request_id, capture_id, verdict of rows (request_id, capture_id, body_hash, ts): accepted, replay (of the body that was accepted inside the time) or conflict (another body).
+
+    The accepted body is forgotten when the time is over; of captures at one time the lesser capture_id comes first.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held, at = state.get if state.exists else (None, 0)
+        out = []
+        for f in frames:
+            for ts, capture, body in sorted(zip(f["ts"].astype("datetime64[ms]").astype("int64"), f["capture_id"], f["body_hash"], strict=True)):
+                if held is None or ts - at >= 1000 * within_seconds:
+                    held, at, verdict = body, int(ts), "accepted"
+                else:
+                    verdict = "replay" if body == held else "conflict"
+                out.append((key[0], capture, verdict))
+        state.update((held, at))
+        state.setTimeoutTimestamp(max(at + 1000 * within_seconds, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["request_id", "capture_id", "verdict"])
+
+    slim = rows.select("request_id", "capture_id", "body_hash", "ts").withWatermark("ts", late)
+    return _stateful(slim, "request_id", run, "request_id string, capture_id string, verdict string", "held string, at long", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_windows(rows: DataFrame, every: str = "5 minutes", late: str = "1 hour") -> DataFrame:
     """Receipts, tokens and nano-dollars per tenant and tumbling window, once the window has closed."""
     w = F.window("ts", every)
@@ -85,8 +104,8 @@ def stream_rate_alerts(rows: DataFrame, threshold: float, span: str = "5 minutes
     return out.where(F.col("errors") > threshold * F.col("receipts")).select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "receipts", "errors")
 
 
-def _stateful(rows: DataFrame, key: str, run: Callable, out: str, state: str) -> DataFrame:
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+def _stateful(rows: DataFrame, key: str, run: Callable, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", timeout)
 
 
 def stream_chain(rows: DataFrame, kept: int = 10_000) -> DataFrame:
@@ -150,10 +169,16 @@ def stream_budget(rows: DataFrame, limit_nano: int) -> DataFrame:
     return _stateful(slim, "tenant_id", run, "tenant_id string, month string, action string, spent_nano long", "month string, spent long, last string")
 
 
-def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
-    """prompt_key, event_id, hit: a prompt seen within the time since it was stored is a hit, and doesn't renew it."""
+def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """prompt_key, event_id, hit: a prompt seen within the time since it was stored is a hit, and doesn't renew it.
+
+    rows: prompt_key, event_id, at_s (whole seconds), ts. An entry is dropped when the watermark has passed its time.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         stored = state.get[0] if state.exists else None
         out = []
         for f in frames:
@@ -163,36 +188,48 @@ def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
                     stored = int(at)
                 out.append((key[0], int(event), bool(hit)))
         state.update((stored,))
+        state.setTimeoutTimestamp(max(1000 * (stored + ttl_seconds), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["prompt_key", "event_id", "hit"])
 
-    return _stateful(rows.select("prompt_key", "event_id", "at_s"), "prompt_key", run, "prompt_key string, event_id long, hit boolean", "stored long")
+    slim = rows.select("prompt_key", "event_id", "at_s", "ts").withWatermark("ts", late)
+    return _stateful(slim, "prompt_key", run, "prompt_key string, event_id long, hit boolean", "stored long", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_approvals(decisions: DataFrame, threshold: int = 2) -> DataFrame:
-    """request, status, seq as soon as a request is decided: rejected by a rejection, approved by enough approvers in time.
+def stream_approvals(rows: DataFrame, threshold: int = 2, late: str = "1 day") -> DataFrame:
+    """request, status, seq as soon as a request is decided: rejected by a rejection, approved by enough approvers in time, or expired at its deadline.
 
-    decisions: request, approver, decision, at_s, deadline_s, seq; later decisions on a decided request are ignored.
+    rows: request, approver, decision, at_s, deadline_s, seq, ts. A request opens with a row without a decision. A timer
+    stands at the deadline, so a request that nobody decides on expires when the watermark has passed it (seq null);
+    decisions at or after the deadline don't count. Later decisions on a decided request are ignored, and its state is
+    dropped once the watermark has passed the deadline.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, names = state.get if state.exists else ("pending", "")
+        status, names, deadline = state.get if state.exists else ("pending", "", 0)
+        columns = ["request", "status", "seq"]
+        if state.hasTimedOut:
+            state.remove()
+            if status == "pending":
+                yield pd.DataFrame([(key[0], "expired", None)], columns=columns).astype({"seq": "Int64"})
+            return
         seen = dict(x.split("=") for x in filter(None, names.split(";")))
         out = []
         for f in frames:
             for r in f.sort_values(["at_s", "seq"]).itertuples(index=False):
-                if status != "pending" or r.approver in seen:
+                deadline = int(r.deadline_s)
+                if status != "pending" or r.decision is None or r.approver in seen:
                     continue
-                if r.at_s >= r.deadline_s:
-                    status = "expired"
-                else:
-                    seen[r.approver] = r.decision
-                    if r.decision == "reject":
-                        status = "rejected"
-                    elif sum(v == "approve" for v in seen.values()) >= threshold:
-                        status = "approved"
+                seen[r.approver] = r.decision
+                if r.decision == "reject":
+                    status = "rejected"
+                elif sum(v == "approve" for v in seen.values()) >= threshold:
+                    status = "approved"
                 if status != "pending":
                     out.append((key[0], status, int(r.seq)))
-        state.update((status, ";".join(f"{k}={v}" for k, v in seen.items())))
-        yield pd.DataFrame(out, columns=["request", "status", "seq"])
+        state.update((status, ";".join(f"{k}={v}" for k, v in seen.items()), deadline))
+        state.setTimeoutTimestamp(max(1000 * deadline, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=columns).astype({"seq": "Int64"})
 
-    return _stateful(decisions.select("request", "approver", "decision", "at_s", "deadline_s", "seq"), "request", run, "request string, status string, seq long", "status string, names string")
+    in_time = rows.where("decision is null or at_s < deadline_s")  # what comes later finds no state any more, and must not open one
+    slim = in_time.select("request", "approver", "decision", "at_s", "deadline_s", "seq", "ts").withWatermark("ts", late)
+    return _stateful(slim, "request", run, "request string, status string, seq long", "status string, names string, deadline long", GroupStateTimeout.EventTimeTimeout)
