@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .shared import shared_dir, written
-from .words import slices
+from .words import slices, trimmed
 
 CHUNKS = "chunk long, file string, offset long, length long"
 #: Bits of a chunk's number within its task.
@@ -65,7 +65,7 @@ def _stored(base: str, most: int):
 
 def stored(rows: DataFrame, most: int = 4 << 20) -> DataFrame:
     """The table of chunks (CHUNKS) of rows, which hold a column `text`; about `most` bytes each, one row at least."""
-    return written(rows.mapInArrow(_stored(shared_dir(rows.sparkSession), most), CHUNKS))
+    return written(rows.mapInArrow(trimmed(_stored(shared_dir(rows.sparkSession), most)), CHUNKS))
 
 
 def dealt(chunks: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import keyed, written
-from .words import Key, fresh_key, mix, rolling, slices, word_hashes
+from .words import Key, fresh_key, mix, rolling, slices, trimmed, word_hashes
 
 ROWS, BANDS = 4, 28
 BINS = ROWS * BANDS
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     rows, key = keyed(docs), fresh_key()
     signed = written(
         rows.select("_id", "_th", "doc_id", "text").mapInArrow(
-            _signatures(width, key), "_id long, _th long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
+            trimmed(_signatures(width, key)), "_id long, _th long, doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
         )
     )
     full = signed.where("n_shingles > 0 and doc_id is not null")
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     best = best.groupBy("node").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot"))
     texts = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("node", "_id", "_th")
     texts = rows.select("_id", "_th", "text").join(texts, ["_id", "_th"]).select("node", "text")
-    sets = written(texts.mapInArrow(_sets(width, key), "node long, set array<long>, fine binary"))
+    sets = written(texts.mapInArrow(trimmed(_sets(width, key)), "node long, set array<long>, fine binary"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are close enough."""
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85) -> DataF
     spread = spread.join(sets.select("node", "fine"), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     loaded = spread.select(*bucket, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n_shingles", "bands", "fine")
     dealt = loaded.repartition(*bucket, "i", "j").sortWithinPartitions(*bucket, "i", "j")
-    late = confirmed(written(dealt.mapInArrow(_block_pairs(percent), "a long, b long")))
+    late = confirmed(written(dealt.mapInArrow(trimmed(_block_pairs(percent)), "a long, b long")))
     final = components(links.union(late))
 
     return (

@@ -7,8 +7,8 @@ file in the shared folder, and gives Spark the distinct words of each chunk. Tex
 by their CRC-32, as many parts as there are shuffle partitions; the words of a chunk and a part travel sorted and
 compressed as one row, and so do their ids on the way back.
 
-Lattice. Of all distinct words once: substrings of up to the longest piece's length are exploded and joined by equality
-with the piece table (a broadcast of the vocabulary, whose size the model file fixes); a character without a piece gets
+Lattice. Of all distinct words once: substrings of the lengths that pieces with their first two characters have are
+exploded and joined by equality with the piece table (broadcasts of the vocabulary, whose size the model file fixes); a character without a piece gets
 an unknown edge. Edges are grouped by word, and a higher-order aggregate folds Viterbi over the end positions, then
 another walks back. Unknown characters become byte pieces. Words beyond LONGEST characters, whose positions don't fit the
 packed numbers, take the same join and fold in blocks of BLOCK end positions: a block's text reaches back by the longest
@@ -27,9 +27,6 @@ then the greater id; further columns are ignored; no rows give no rows.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
-import gc
 import math
 import unicodedata
 import uuid
@@ -48,6 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .shared import keyed, shared_dir, written
+from .words import give_back
 
 MARK = "▁"
 LONGEST, BLOCK = 48, 512
@@ -77,6 +75,12 @@ class Table:
         self.longest = max(len(p) for p, _, _ in self.rows)
         if self.longest > 63:
             raise ValueError(f"lengths need 6 bits: a piece has {self.longest} characters")
+        by_begin: dict[str, set[int]] = {}
+        for p, _, _ in self.rows:
+            if len(p) > 1:
+                by_begin.setdefault(p[:2], set()).add(len(p))
+        #: The lengths above 1 of the pieces with each pair of first characters.
+        self.lengths = sorted((k, sorted(v)) for k, v in by_begin.items())
         self.text = [b""] * n
         for p, i, _ in self.rows:
             self.text[i] = p.replace(MARK, " ").encode()
@@ -124,14 +128,6 @@ class _Numbers(dict):
         return k
 
 
-def give_back() -> None:
-    """Returns freed memory to the system: a Python worker lives on after its task, beside those of other tasks."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 #: A row with part -1 tells where a chunk is, the others hold its words of a part.
 CHUNKS = "chunk long, part int, file string, offset long, length long, words binary"
 _CHUNK_FIELDS = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("words", pa.binary())])
@@ -288,11 +284,14 @@ def _bits(x: Column, at: int, n: int) -> Column:
 
 def lattice(words: DataFrame, table: Table) -> DataFrame:
     """word, edges for each row of words (word): the packed edges, by end position."""
-    pieces = words.sparkSession.createDataFrame([(p, i, round(-s * (1 << 20))) for p, i, s in table.rows], "piece string, id int, cost long")
+    spark = words.sparkSession
+    pieces = spark.createDataFrame([(p, i, round(-s * (1 << 20))) for p, i, s in table.rows], "piece string, id int, cost long")
+    lengths = spark.createDataFrame(table.lengths, "begin string, lengths array<int>")
     n = F.length("word")
     from_each = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    to_each = from_each.select("word", "i", F.explode(F.sequence(F.col("i"), F.least(n, F.col("i") + (table.longest - 1)))).alias("e"))
-    parts = to_each.select("word", (F.col("i") - 1).alias("s"), "e", F.substring(F.col("word"), F.col("i"), F.col("e") - F.col("i") + 1).alias("piece"))
+    begun = from_each.withColumn("begin", F.substring(F.col("word"), F.col("i"), F.lit(2))).join(F.broadcast(lengths), "begin", "left")
+    to_each = begun.select("word", "i", F.explode(F.concat(F.array(F.lit(1)), F.coalesce("lengths", F.array().cast("array<int>")))).alias("k")).where(F.col("i") + F.col("k") <= n + 1)
+    parts = to_each.select("word", (F.col("i") - 1).alias("s"), (F.col("i") + F.col("k") - 1).alias("e"), F.substring("word", F.col("i"), F.col("k")).alias("piece"))
     met = parts.join(F.broadcast(pieces), "piece", "left").where("id is not null or e = s + 1")
     edge = _edge(F.coalesce("id", F.lit(NONE)), F.coalesce("cost", F.lit(round(-UNKNOWN * (1 << 20)))))
     return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))

@@ -1,42 +1,18 @@
-"""Written tables in the folder that the cluster shares, and row keys for documents.
-
-Lineage is cut with written tables, never with executor-local copies: a lost executor costs a re-read at most.
-"""
+"""Row keys for documents and their words. Lineage is cut with written tables, never with executor-local copies."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestry.functions.tables import shared_dir, written  # noqa: F401
+
 #: The six ASCII white-space bytes that separate words.
 SPACES = " \t\n\x0b\f\r"
 #: Java regex of one word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests), below a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="attestry-"))
-            found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get()
-    return f"{base.rstrip('/')}/attestry-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder: computed once, read as often as needed."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keyed(docs: DataFrame, *more: str) -> DataFrame:
     """_id and _th name a row by its doc_id and text; rows equal in both share a name. Null texts and ids keep theirs."""
     return docs.select(

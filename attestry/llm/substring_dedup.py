@@ -39,7 +39,7 @@ from pyspark.sql.types import StructType
 
 from .chunks import dealt, fetch, stored, told
 from .shared import keyed, written
-from .words import Key, fresh_key, mix, rolling, word_hashes
+from .words import Key, fresh_key, mix, rolling, trimmed, word_hashes
 
 #: Four rounds leave some three words a symbol and half of a 35-word window as its interior.
 ROUNDS = 4
@@ -220,13 +220,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, carry: tuple[str, ...] = (
         at = F.col("place").bitwiseAND(F.lit((1 << WITHIN_CHUNK) - 1).cast("long")).cast("int")
         return single.groupBy(F.shiftright("place", WITHIN_CHUNK).alias("chunk")).agg(F.collect_list(at).alias(name))
 
-    alone = once(dealt(chunks).mapInArrow(_pairs(key, window), "h long, place long"), ["h"], "alone")
+    alone = once(dealt(chunks).mapInArrow(trimmed(_pairs(key, window)), "h long, place long"), ["h"], "alone")
     asked = told(chunks, alone).select("chunk", "file", "offset", "length", "alone")
-    asked = written(asked.mapInArrow(_candidates(key, window), "chunk long, file string, offset long, length long, candidates binary"))
-    single = once(dealt(asked).mapInArrow(_windows(key, window), "h long, g long, place long"), ["h", "g"], "single")
+    asked = written(asked.mapInArrow(trimmed(_candidates(key, window)), "chunk long, file string, offset long, length long, candidates binary"))
+    single = once(dealt(asked).mapInArrow(trimmed(_windows(key, window)), "h long, g long, place long"), ["h", "g"], "single")
     both = told(asked, single).select("file", "offset", "length", "candidates", "single")
     out = StructType.fromDDL("_id long, _th long, doc_id long, n_words long, n_removed long, kept_text string")
-    return both.mapInArrow(_kept(window, carry), StructType([*out.fields, *(rows.schema[c] for c in carry)]))
+    return both.mapInArrow(trimmed(_kept(window, carry)), StructType([*out.fields, *(rows.schema[c] for c in carry)]))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
