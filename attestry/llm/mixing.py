@@ -32,7 +32,7 @@ from .shared import keyed, word_array, written
 
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT, EPOCHS = 150, 2
-CELL = 4096
+CELL = 1024
 LEAST_WEIGHT = 1e-3
 
 
