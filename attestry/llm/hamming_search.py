@@ -5,10 +5,11 @@ d = m * r + a or less (m segments, a < m) agree within r in one of the first a +
 others. So once those segment radii are probed, every code within d has been found. The radii grow round by round, and a
 round probes only the shell that is new: the segment values at a distance not probed before.
 
-Each query keeps the codes up to its bound, the least distance within which it knows k + 1 rows; the bound is a condition
-of the join with the index, so nothing farther leaves it. A query leaves the rounds once the covered radius reaches its
-bound: its k-th distance is then provably covered, ties included. Where the next shell would touch more codes than there
-are, the rest of the queries is compared with all codes instead, QUERIES of them at a time and by distance to the bound.
+Each query keeps the codes up to its bound, the least distance within which it knows k + 1 rows, and at first what all
+rounds together cover; the bound is a condition of the join with the index, so nothing farther leaves it. A query leaves
+the rounds once the covered radius reaches its bound: its k-th distance is then provably covered, ties included. Once the
+shells together would touch more codes than there are, the rest of the queries is compared with all codes instead, QUERIES
+of them at a time, and what lies within a reach leaves that join; the reach grows by STEP until it holds enough.
 
 Equal codes are one index row with their count and their k + 1 least ids, and equal queries are one query; a code that a
 third of all rows share costs one comparison. Segments have about log2(rows) - 8 bits, 8 at least and 22 at most, so that
@@ -32,6 +33,7 @@ from .shared import written
 BITS = 64
 #: Queries that are compared with all codes at once, where shells no longer pay.
 QUERIES = 50_000
+STEP = 2
 
 
 def sign_code(vector: Column) -> Column:
@@ -63,6 +65,20 @@ def _value(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def planned(cuts: list[tuple[int, int]], total: int) -> list[tuple[int, list]]:
+    """(radius covered, new shell) of the rounds that together touch fewer codes than there are; the rest is for a scan."""
+    out, spent, probed = [], 0.0, [-1] * len(cuts)
+    for d in radii(len(cuts)):
+        r, a = divmod(min(d, BITS - 1), len(cuts))
+        shell = [(s, *cut, probed[s] + 1, min(cut[1], r if s <= a else r - 1)) for s, cut in enumerate(cuts)]
+        spent += sum(comb(width, ones) * (1 + total / (1 << width)) for _, _, width, low, high in shell for ones in range(low, high + 1))
+        if spent > total:
+            break
+        probed = [max(x[4], was) for x, was in zip(shell, probed, strict=True)]
+        out.append((d, shell))
+    return out
+
+
 def _probed(asking: DataFrame, index: DataFrame, shell: list[tuple[int, int, int, int, int]], distance: Column) -> DataFrame:
     """q, code, n, distance of the codes in the shell (segment, shift, width, least and most bits that differ) of each query."""
     widest = max(width for _, _, width, _, _ in shell)
@@ -101,33 +117,32 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = written(codes.select("code", "n", F.explode(pieces).alias("p")).select("p.s", "p.value", "code", "n"))
     total = codes.count()
     distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-    asking = written(asked.select("q").distinct().withColumn("bound", F.lit(BITS)))
+    rounds = planned(cuts, total)
+    covered = rounds[-1][0] if rounds else -1  # what all shells together cover; a code beyond is of no use to them
+    asking = written(asked.select("q").distinct().withColumn("bound", F.lit(covered)))
     held = spark.createDataFrame([], "q long, code long, n long, distance int")
-    done, probed = held, [-1] * m
-    for d in radii(m):
-        r, a = divmod(min(d, BITS - 1), m)
-        shell = [(s, *cuts[s], probed[s] + 1, min(cuts[s][1], r if s <= a else r - 1)) for s in range(m)]
-        touched = sum(comb(width, ones) * (1 + total / (1 << width)) for _, _, width, low, high in shell for ones in range(low, high + 1))
-        last = touched > total
-        if last:
-            count = asking.count()
-            parts = asking.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(max(1, ceil(count / QUERIES)))))
-            met = [_scanned(codes, parts.where(F.col("part") == k), distance) for k in range(ceil(count / QUERIES))]
-        else:
-            met = [_probed(asking, index, shell, distance)]
-            probed = [max(x[4], was) for x, was in zip(shell, probed, strict=True)]
-        for x in met:
-            held = held.union(x)
-        held = written(held.distinct())
-        bounds = _bounds(held, k)
-        asking = written(asking.drop("bound").join(bounds, "q", "left").withColumn("bound", F.coalesce("bound", F.lit(BITS))))
+    done = held
+    for d, shell in rounds:
+        held = written(held.union(_probed(asking, index, shell, distance)).distinct())
+        asking = written(asking.join(_bounds(held, k).withColumnRenamed("bound", "known"), "q", "left").select("q", F.coalesce("known", F.lit(covered)).alias("bound"), (F.col("known") <= d).alias("over")))
         held = held.join(asking, "q").where("distance <= bound")
-        over = F.lit(True) if last else F.col("bound") <= d
-        done = done.union(held.where(over).select("q", "code", "n", "distance"))
-        held = written(held.where(~over).select("q", "code", "n", "distance"))
-        asking = written(asking.where(~over))
-        if last or not asking.take(1):
+        done = done.union(held.where("over").select("q", "code", "n", "distance"))
+        held = written(held.where("over is null or not over").select("q", "code", "n", "distance"))
+        asking = written(asking.where("over is null or not over").drop("over"))
+        if not asking.take(1):
             break
+    count = asking.count()
+    for k_part in range(ceil(count / QUERIES)):
+        some = written(asking.where(F.pmod(F.xxhash64("q"), F.lit(ceil(count / QUERIES))) == k_part).select("q"))
+        reach = covered
+        while some.take(1):  # all codes within `reach`, which grows until it holds enough of them
+            reach = min(BITS, reach + STEP)
+            met = written(_scanned(codes, some.withColumn("bound", F.lit(reach)), distance))
+            found = _bounds(met, k).where("bound is not null").select("q", "bound")
+            if reach == BITS:
+                found = some.select("q", F.lit(BITS).alias("bound"))
+            done = done.union(met.join(found, "q").where("distance <= bound").select("q", "code", "n", "distance"))
+            some = written(some.join(found, "q", "left_anti"))
     near = done.select("q", "code", "distance")
     ids = near.join(codes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("neighbor_id"))
     top = ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))).where(F.col("r") <= k + 1).drop("r")

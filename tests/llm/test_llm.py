@@ -245,10 +245,10 @@ def test_hamming_scan_and_shells_agree(spark, monkeypatch):
     base = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
     asked = [k for k in range(0, len(codes), 61)]
     want = {q: sorted(((codes[q] ^ c).bit_count(), i) for i, c in enumerate(codes) if i != q)[:7] for q in asked}
-    for queries, total in ((5, None), (50_000, None), (50_000, 1e12)):
+    for queries, cost in ((5, None), (50_000, None), (50_000, 0), (50_000, 1e9)):
         monkeypatch.setattr(hamming_search, "QUERIES", queries)
-        if total:  # shells to the end
-            monkeypatch.setattr(hamming_search, "comb", lambda n, r: -1)
+        if cost is not None:  # shells to the end, or none
+            monkeypatch.setattr(hamming_search, "comb", lambda n, r, cost=cost: cost)
         got = defaultdict(list)
         for r in hamming_search.search(base, base.where(F.col("id") % 61 == 0), k=7).orderBy("rank").collect():
             got[r.query_id].append((r.distance, r.neighbor_id))
