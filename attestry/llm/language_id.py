@@ -30,6 +30,8 @@ from .words import slices, text_bytes
 DIMS = 4096
 CENTROIDS = 4
 SAMPLE = 500
+#: Languages of a model at most.
+LANGUAGES = 2000
 QUANTILE = 0.005
 #: Bytes of text that a task turns into vectors at once.
 SLICE = 1 << 18
@@ -131,20 +133,23 @@ def _predicted(model):
     return run
 
 
-def fit(train: DataFrame):
+def fit(train: DataFrame, languages: int = LANGUAGES):
     """The model of train (doc_id, text, lang): names, floors and vectors of the centroids, and the inverse document frequencies.
 
-    What comes to the driver is DIMS counts, and CENTROIDS vectors for each language.
+    What comes to the driver is DIMS counts, and CENTROIDS vectors for each language; more than `languages` of them are an error.
     """
-    known = train.where("lang is not null and text is not null and doc_id is not null")
+    known = train.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null and doc_id is not null")
     sizes = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total, found = sizes.agg(F.sum("n"), F.count(F.lit(1))).first()
+    if found > languages:
+        raise ValueError(f"lang has {found} values; a model takes {languages} languages at most")
+    total = total or 0
     df = np.zeros(DIMS)
     for r in known.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():
         df[r.dim] = r.n
     idf = (np.log((total + 1) / (df + 1)) + 1).astype(np.float32)
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(F.broadcast(sizes), "lang").where(drawn < SAMPLE / F.col("n")).select("lang", "text")
+    sample = known.join(sizes, "lang").where(drawn < SAMPLE / F.col("n")).select("lang", "text")
     rows = sample.mapInArrow(_vectorised(idf), "lang string, v binary").groupBy("lang").applyInPandas(_fitted, "lang string, c int, v binary, floor double")
     rows = sorted(rows.collect(), key=lambda r: (r.lang, r.c))
     centroids = np.frombuffer(b"".join(bytes(r.v) for r in rows), np.float32).reshape(len(rows), DIMS)
