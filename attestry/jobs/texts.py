@@ -96,12 +96,12 @@ def read_receipt_store(spark, sf_dir):
 
 @query("read_usage_export", "SELECT raw_model, app, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(input_total) AS BIGINT) AS input_total, CAST(sum(output_total) AS BIGINT) AS output_total, count(*) AS rows FROM workloads WHERE requests > 0 GROUP BY ALL", "workloads")
 def read_usage_export(spark, sf_dir):
-    """Bills written as export documents in three shapes, then read back."""
-    bill = receipts.table(spark, sf_dir, "workloads").withColumn("k", F.col("l_orderkey") % 50)
-    first = bill.where("k < 20").groupBy("k").agg(F.to_json(F.collect_list(F.struct(F.col("raw_model").alias("snapshot_id"), F.col("app").alias("api_key_name"), F.col("requests").alias("n_requests"), F.col("input_total").alias("n_context_tokens_total"), F.col("output_total").alias("n_generated_tokens_total")))).alias("text"))
+    """Bills written as export documents in three shapes, then read back. A document holds the lines of a hundred orders."""
+    bill = receipts.table(spark, sf_dir, "workloads").withColumn("k", F.col("l_orderkey") % 50).withColumn("block", F.floor(F.col("l_orderkey") / 5000))
+    first = bill.where("k < 20").groupBy("k", "block").agg(F.to_json(F.collect_list(F.struct(F.col("raw_model").alias("snapshot_id"), F.col("app").alias("api_key_name"), F.col("requests").alias("n_requests"), F.col("input_total").alias("n_context_tokens_total"), F.col("output_total").alias("n_generated_tokens_total")))).alias("text"))
     row = F.collect_list(F.struct(F.lit(" ").alias("snapshot_id"), F.col("raw_model").alias("model"), F.col("app").alias("workspace"), F.lit(0).alias("n_requests"), "requests", F.col("input_total").alias("input_tokens"), F.col("output_total").alias("output_tokens"), F.col("at_iso").alias("date")))
-    second = bill.where("k >= 20 and k < 35").groupBy("k").agg(F.to_json(F.struct(row.alias("data"))).alias("text"))
-    third = bill.where("k >= 35").groupBy("k").agg(F.to_json(F.struct(row.alias("results"))).alias("text"))
+    second = bill.where("k >= 20 and k < 35").groupBy("k", "block").agg(F.to_json(F.struct(row.alias("data"))).alias("text"))
+    third = bill.where("k >= 35").groupBy("k", "block").agg(F.to_json(F.struct(row.alias("results"))).alias("text"))
     read = readers.usage_rows(first.union(second).union(third).select("text"))
     return read.groupBy("raw_model", "app").agg(*[F.sum(c).alias(c) for c in ("requests", "input_total", "output_total")], F.count(F.lit(1)).alias("rows"))
 

@@ -54,13 +54,18 @@ def present_paths(rows: DataFrame) -> DataFrame:
 def cite_receipts(rows: DataFrame, articles: DataFrame) -> DataFrame:
     """receipt_id, framework, regulator, article_id, confidence (present / required, 2 digits) where a required field is there.
 
-    The articles are one array, so each receipt meets them without a shuffle or a join of rows.
+    Receipts that hold the same fields have the same citations: those are found once for each set of fields that occurs
+    (at most two to the number of PATHS), and only then told to the receipts.
     """
-    packed = articles.agg(F.collect_list(F.struct("framework", "regulator", "article_id", "fields")).alias("articles"))
-    met = present_paths(rows).select("receipt_id", "present").join(F.broadcast(packed))
-    each = met.select("receipt_id", "present", F.explode("articles").alias("a"))
-    n = F.size(F.array_intersect("a.fields", "present"))
-    return each.withColumn("n", n).where("n > 0").select("receipt_id", "a.framework", "a.regulator", "a.article_id", half_up(F.col("n") / F.size("a.fields"), 2).alias("confidence"))
+    bits = sum((F.when(F.expr(e), 1 << k).otherwise(0) for k, e in enumerate(PATHS.values())), F.lit(0))
+    told = rows.select("receipt_id", bits.alias("_fields"))
+    present = F.filter(F.array(*[F.when(F.col("_fields").bitwiseAND(F.lit(1 << k)) != 0, F.lit(p)) for k, p in enumerate(PATHS)]), lambda x: x.isNotNull())
+    packed = articles.agg(F.collect_list(F.struct("framework", "regulator", "article_id", "fields")).alias("a"))  # one row
+    met = told.select("_fields").distinct().withColumn("present", present).join(packed).select("_fields", "present", F.explode("a").alias("a")).select("_fields", "present", "a.*")
+    n = F.size(F.array_intersect("fields", "present"))
+    cited = met.withColumn("n", n).where("n > 0").withColumn("confidence", half_up(F.col("n") / F.size("fields"), 2))
+    packed = cited.groupBy("_fields").agg(F.collect_list(F.struct("framework", "regulator", "article_id", "confidence")).alias("_cited"))
+    return told.join(packed, "_fields").select("receipt_id", F.explode("_cited").alias("c")).select("receipt_id", "c.*")
 
 
 def regulator_coverage(citations: DataFrame, articles: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def compliance_gaps(rows: DataFrame, articles: DataFrame) -> DataFrame:
     counts = present_paths(rows).select(F.explode("present").alias("field")).groupBy("field").agg(F.count(F.lit(1)).alias("n"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     fields = articles.select("framework", "article_id", "severity", F.explode("fields").alias("field"))
-    joined = F.broadcast(fields).join(counts, "field", "left").join(F.broadcast(total))
+    joined = fields.join(counts, "field", "left").join(total)
     return joined.select("framework", "article_id", "field", "severity", (F.col("total") - F.coalesce("n", F.lit(0))).alias("missing")).where("missing > 0")
 
 
