@@ -41,6 +41,20 @@ SELECT *,
   CASE WHEN event_id % 97 = 0 THEN 'r-missing' WHEN (chain_height - 1) % 5 <> 0 THEN lag(receipt_id) OVER (PARTITION BY tenant_id ORDER BY chain_height) END AS parent_id
 FROM ({_HASH}) AS hashed
 """
+#: The same rows by Spark without a window over a whole tenant: heights count on from those of the hours before, and what
+#: precedes the first receipt of an hour is the last one of the tenant's hour before it. Hours of a tenant are few rows.
+_CELLED = f"""
+WITH celled AS (SELECT *, CAST(floor(unix_timestamp(CAST(ts AS TIMESTAMP)) / 3600) AS BIGINT) AS cell FROM ({_CORE}) AS core),
+hours AS (SELECT tenant_id, cell, count(*) AS n, max_by(receipt_id, struct(ts, event_id)) AS last_id FROM celled GROUP BY tenant_id, cell),
+bases AS (SELECT tenant_id, cell, coalesce(sum(n) OVER (PARTITION BY tenant_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, lag(last_id) OVER (PARTITION BY tenant_id ORDER BY cell) AS before_id FROM hours),
+placed AS (SELECT c.*, CAST(base + row_number() OVER (PARTITION BY c.tenant_id, c.cell ORDER BY ts, event_id) AS INT) AS chain_height, coalesce(lag(receipt_id) OVER (PARTITION BY c.tenant_id, c.cell ORDER BY ts, event_id), before_id) AS before
+  FROM celled AS c JOIN bases AS b ON c.tenant_id <=> b.tenant_id AND c.cell <=> b.cell)
+SELECT * EXCEPT (cell, before), @SHA(tenant_id || '|' || CAST(chain_height AS STRING) || '|' || receipt_id) AS receipt_hash,
+  CASE WHEN event_id % 499 = 0 THEN repeat('f', 64) ELSE coalesce(@SHA(tenant_id || '|' || CAST(chain_height - 1 AS STRING) || '|' || before), repeat('0', 64)) END AS previous_receipt_hash,
+  CASE WHEN event_id % 211 = 0 THEN 'wf-tenant-0-0' ELSE 'wf-' || tenant_id || '-' || CAST(CAST(floor((chain_height - 1) / 5.0) AS BIGINT) AS STRING) END AS workflow_id,
+  CASE WHEN event_id % 97 = 0 THEN 'r-missing' WHEN (chain_height - 1) % 5 <> 0 THEN before END AS parent_id
+FROM placed
+"""
 _WORKLOADS = """
 SELECT CASE l_partkey % 12 WHEN 0 THEN 'claude-opus-4-6-20260501' WHEN 1 THEN 'claude-sonnet-4-6' WHEN 2 THEN 'claude-haiku-4.5' WHEN 3 THEN 'gpt-5-2025-08-01' WHEN 4 THEN 'gpt-5-mini'
     WHEN 5 THEN 'GPT-5-nano-2025' WHEN 6 THEN 'gpt-4o' WHEN 7 THEN 'gemini-2.5-pro' WHEN 8 THEN 'gemini-2.5-flash' WHEN 9 THEN 'mistral-large' WHEN 10 THEN 'gpt-5-pro' ELSE 'claude-opus-4-6-thinking' END AS raw_model,
@@ -92,7 +106,8 @@ def _calls(text: str, name: str, before: str, after: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = _calls(_calls(_TEXTS[name], "@SHA", "sha2(", ", 256)"), "@ISO", "date_format(", ", \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
+    text = _CELLED if name == "receipts" else _TEXTS[name]
+    text = _calls(_calls(text, "@SHA", "sha2(", ", 256)"), "@ISO", "date_format(", ", \"yyyy-MM-dd'T'HH:mm:ss'Z'\")")
     text = text.replace("@LIST", "array").replace("@STRINGS", "array<string>")
     source = _SOURCES[name]
     return spark.sql(text, **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
