@@ -7,11 +7,12 @@ chosen bytes are read. A task that is run again writes an archive of another nam
 its rows in the index.
 
 Duplicates: of records with equal payloads of `least` bytes or more, that with the largest page_id is the response, and
-the others are revisit records without a payload that refer to it. Digests are counted with a partial aggregate and
-joined as slim rows, so a payload that a third of all pages share costs one row a task.
+the others are revisit records without a payload that refer to it. Digests are counted with a partial aggregate; rows
+without their payloads are joined with one row a digest, a join that adaptive execution splits where a payload is shared
+by a large part of the pages.
 
-Cases: a null html is an empty payload; a null or ill-formed url is written as an empty target; equal rows that repeat
-(page_id and payload) have one type; a null page_id sorts below all others and refers like any other page; further
+Cases: a null html is an empty payload; a target holds no blanks and control characters, but
+the url comes back as it was, null too; equal rows that repeat (page_id and payload) have one type and one record id; a null page_id sorts below all others and refers like any other page; further
 columns are ignored; no rows give an empty index.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -56,6 +58,8 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
     if revisit:
         lines += [f"WARC-Refers-To: <{_URN}{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     body = b"" if revisit else payload
+    if target != url:  # null, or with characters that a header can't hold: the url itself comes along
+        lines.append(f"X-Page-URL: {json.dumps(url)}")
     lines += [f"X-Payload-Length: {len(payload)}", "Content-Type: text/html", f"Content-Length: {len(body)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -163,7 +167,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([number(h["WARC-Record-ID"][len(_URN) + 1 : -1]) for _, h, _ in out], pa.int64()),
-                    pa.array([h["WARC-Target-URI"] for _, h, _ in out]),
+                    pa.array([json.loads(h["X-Page-URL"]) if "X-Page-URL" in h else h["WARC-Target-URI"] for _, h, _ in out], pa.string()),
                     pa.array([h["WARC-Type"] for _, h, _ in out]),
                     pa.array([number(h["WARC-Refers-To"][len(_URN) + 1 : -1]) if "WARC-Refers-To" in h else None for _, h, _ in out], pa.int64()),
                     pa.array([h["WARC-Payload-Digest"][5:] for _, h, _ in out]),

@@ -43,6 +43,7 @@ def test_warc_round_trip(spark):
         [(1, "revisit", 2, 1), (2, "response", None, 1), (2, "response", None, 1), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, len("é\r\n\r\nWARC/1.1".encode())), (None, "revisit", 2, 1)]
     )
     assert {r.payload_digest for r in found if r.page_id == 1} == {base64.b32encode(hashlib.sha1(b"x").digest()).decode()}
+    assert Counter((r.page_id, r.url) for r in found) == Counter((k, u) for k, u, _ in rows), "urls come back as they were"
     some = warc.read_archives(index.where("page_id = 5")).collect()
     assert [bytes(r.payload) for r in some] == ["é\r\n\r\nWARC/1.1".encode()]
     assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0
