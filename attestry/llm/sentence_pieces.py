@@ -49,7 +49,7 @@ from .words import give_back
 
 MARK = "▁"
 LONGEST, BLOCK = 48, 512
-CHUNK = 28 << 20
+CHUNK = 16 << 20
 UNKNOWN = -100.0
 
 
@@ -181,7 +181,11 @@ def _chunked(base: str, crossed: np.ndarray, chunk_bytes: int, parts: int):
             with pa.ipc.new_stream(sink, docs.schema) as writer:
                 writer.write_table(docs)
             sections = [sink.getvalue().to_pybytes(), _planes(slot), _planes(rank[flat])]
-            data = b"".join(len(x).to_bytes(8, "little") for x in sections) + zstandard.compress(b"".join(sections), 6)
+            del flat, rank, slot
+            packer = zstandard.ZstdCompressor(level=6).compressobj()
+            lengths = b"".join(len(x).to_bytes(8, "little") for x in sections)
+            data = b"".join([lengths, *map(packer.compress, sections), packer.flush()])
+            del sections
             out.write(data)
             number = TaskContext.get().partitionId() << 16 | made
             told = [{"chunk": number, "part": -1, "file": f"{base}/{name}", "offset": offset, "length": len(data)}]
