@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, html_extract, language_id, minhash_dedup, mixing, quality_rules, sentence_pieces, substring_dedup, token_files, warc
+from . import hamming_search, html_extract, language_id, minhash_dedup, mixing, quality_rules, sentence_pieces, substring_dedup, token_files, vector_codes, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -15,4 +15,6 @@ QUERIES = {
     "op8_html_extract": html_extract.op8,
     "op9_token_files": token_files.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_whitening": whitening.op11,
+    "op12_vector_codes": vector_codes.op12,
 }
