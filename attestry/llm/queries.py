@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hamming_search, html_extract, language_id, minhash_dedup, mixing, quality_rules, sentence_pieces, substring_dedup, token_files, vector_codes, warc, whitening
+from . import hamming_search, html_extract, language_id, licenses, minhash_dedup, mixing, quality_rules, sentence_pieces, substring_dedup, token_files, vector_codes, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1,
@@ -17,4 +17,5 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10,
     "op11_whitening": whitening.op11,
     "op12_vector_codes": vector_codes.op12,
+    "op13_license_scan": licenses.op13,
 }
