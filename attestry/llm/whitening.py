@@ -7,9 +7,9 @@ once; a task sends one row a dimension, and these are added up by dimension.
 
 The subspace has COMPONENTS + EXTRA columns. A cycle runs the three-term recurrence of a Chebyshev polynomial that is small
 on [low, high] and grows fast above it, one pass a degree; then QR, a pass for V Q, and Rayleigh-Ritz. high is the least
-Ritz value of the subspace. low comes from a Lanczos column that rides along in the first cycle's passes (its least Ritz
-value less its last residual), 0 before that. The degree is bounded by MOST_DEGREE, and so that the largest eigenvalue isn't
-raised more than 10**8 times above the last component's. V Q of the Rayleigh-Ritz pass is the first step of the next cycle.
+Ritz value of the subspace. low comes from a Lanczos column that rides along in the first RIDES passes (its least Ritz
+value less its last residual), 0 before that. Components that are certified are held out of all later steps. The degree is bounded by MOST_DEGREE, and so that the largest eigenvalue isn't
+raised more than 10**8 times above the last component's, among those not held. V Q of the Rayleigh-Ritz pass is the first step of the next cycle.
 
 Certificate: every component has |V q - e q| <= TOLERANCE * e_1, so e is within that of an eigenvalue, and q within that
 over the gap of its eigenvector. A subspace that stops improving before is accepted below ROUNDING * e_1 (sums of very many
@@ -36,7 +36,7 @@ from .words import trimmed
 
 SCALE, SHIFT = 64, 1_000_000
 COMPONENTS, EXTRA = 16, 16
-TOLERANCE, ROUNDING, CYCLES, MOST_DEGREE = 1e-13, 1e-10, 60, 10
+TOLERANCE, ROUNDING, CYCLES, MOST_DEGREE, RIDES = 1e-13, 1e-10, 60, 10, 12
 SCHEMA = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
 
 
@@ -177,6 +177,8 @@ class _Lanczos:
         self.basis.append(rest / self.beta[-1] if self.beta[-1] else rest)
 
     def least(self) -> float:
+        if not self.alpha:
+            return 0.0
         t = np.diag(self.alpha) + np.diag(self.beta[:-1], 1) + np.diag(self.beta[:-1], -1)
         values, vectors = np.linalg.eigh(t)
         return max(0.0, float(values[0] - abs(self.beta[-1] * vectors[-1, 0]) - 1e-3 * abs(values[0])))
@@ -194,40 +196,45 @@ def components(times: Callable[[np.ndarray], np.ndarray], d: int, count: int = C
     width, wanted = min(d, count + EXTRA), min(d, count)
     rng = np.random.Generator(np.random.Philox(key=11))
     q = np.eye(d) if width == d else np.linalg.qr(times(np.linalg.qr(rng.standard_normal((d, width)))[0]))[0]
-    image, low, lanczos, best = times(q), 0.0, None, np.inf
+    image, low, best, top = times(q), 0.0, np.inf, 0.0
+    lanczos = _Lanczos(rng.standard_normal(d))
+    held, known = np.zeros((d, 0)), np.zeros(0)  # certified components, kept out of all that follows
     for _ in range(CYCLES):
         inner = q.T @ image
         values, turn = np.linalg.eigh((inner + inner.T) / 2)
         values, turn = values[::-1], turn[:, ::-1]
         q, image = q @ turn, image @ turn
-        error = float(np.linalg.norm(image - q * values, axis=0)[:wanted].max(initial=0.0))
-        if error <= TOLERANCE * values[0] or width == d or (error <= ROUNDING * values[0] and error > best / 2):
-            return values[:wanted], q[:, :wanted]
-        best = min(best, error)
+        top = max(top, float(values[0]))
+        errors = np.linalg.norm(image - q * values, axis=0)
+        error = float(errors[: wanted - len(known)].max(initial=0.0))
+        if error <= TOLERANCE * top or width == d or (error <= ROUNDING * top and error > best / 2):
+            order = np.argsort(-np.concatenate([known, values]), kind="stable")[:wanted]
+            return np.concatenate([known, values])[order], np.hstack([held, q])[:, order]
+        sure = int(np.argmax(errors > TOLERANCE * top))
+        best = min(best, error) if not sure else error
+        held, known = np.hstack([held, q[:, :sure]]), np.concatenate([known, values[:sure]])
+        q, image, values = q[:, sure:], image[:, sure:], values[sure:]
+        away = lambda y, held=held: y - held @ (held.T @ y)
         high = max(float(values[-1]), 1e-10 * float(values[0]))
         low = min(low, high / 2) if low >= high else low
         centre, half = (high + low) / 2, (high - low) / 2
-        first = lanczos is None
-        if first:
-            lanczos = _Lanczos(rng.standard_normal(d))
         # T_k((V - centre) / half) Q, scaled by its own growth at the largest eigenvalue so that nothing overflows
         sigma = rate = half / (float(values[0]) - centre)
-        older, y = q, (image - centre * q) * (sigma / half)
-        for _ in range(_degree(values[0], values[wanted - 1], low, high) - 1):
-            if first and lanczos.beta[-1:] != [0.0] and len(lanczos.alpha) < d:
-                both = times(np.column_stack([y, lanczos.basis[-1]]))
-                found = both[:, :-1]
-                lanczos.take(both[:, -1])
-            else:
-                found = times(y)
+        older, y = q, away((image - centre * q) * (sigma / half))
+        for _ in range(_degree(values[0], values[wanted - len(known) - 1], low, high) - 1):
+            rides = len(lanczos.alpha) < min(RIDES, d) and 0.0 not in lanczos.beta
+            found = times(np.column_stack([y, lanczos.basis[-1]]) if rides else y)
+            if rides:
+                lanczos.take(found[:, -1])
+                found = found[:, :-1]
             fresh = 1 / (2 / rate - sigma)
-            older, y = y, (found - centre * y) * (2 * fresh / half) - (sigma * fresh) * older
+            older, y = y, away((found - centre * y) * (2 * fresh / half) - (sigma * fresh) * older)
             sigma = fresh
-        if first:
-            low = lanczos.least()
-        q = np.linalg.qr(y / np.maximum(np.linalg.norm(y, axis=0), 1e-300))[0]
-        image = times(q)
-    raise RuntimeError(f"the components are not certified after {CYCLES} cycles: residual {error:.3g}, largest eigenvalue {values[0]:.3g}")
+        low = max(low, lanczos.least())
+        q = away(np.linalg.qr(y / np.maximum(np.linalg.norm(y, axis=0), 1e-300))[0])
+        q = np.linalg.qr(q)[0]
+        image = away(times(q))
+    raise RuntimeError(f"the components are not certified after {CYCLES} cycles: residual {error:.3g}, largest eigenvalue {top:.3g}")
 
 
 def whiten(rows: DataFrame, count: int = COMPONENTS) -> DataFrame:
