@@ -9,6 +9,7 @@ from attestry.jobs.spend import _PRICED, priced
 from attestry.jobs.texts import raw_events
 from attestry.sources import receipts
 from attestry.streaming import jobs as op
+from attestry.streaming import sinks
 
 
 def timed(spark, sf_dir):
@@ -35,10 +36,9 @@ def stream_rate_alerts(spark, sf_dir):
 @query("stream_ingest", """SELECT receipt_id, event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0 AND event_id % 109 <> 0 AND event_id % 113 <> 0 AND event_id % 127 <> 0 AND event_id % 131 <> 0 AND event_id % 137 <> 0 AND event_id % 139 <> 0 AS accepted FROM receipts""", "receipts")
 def stream_ingest(spark, sf_dir):
     base = op.folder(spark)
-    keep = lambda name: lambda rows: rows.write.mode("append").parquet(f"{base}/{name}")
     events = raw_events(spark, sf_dir).withColumn("n", F.substring("receipt_id", 3, 10).cast("long"))
-    op.in_slices(events, lambda rows: op.stream_ingest(rows, keep("good"), keep("bad"), f"{base}/state"), order="n")
-    read = lambda name: spark.read.schema("receipt_id string").parquet(f"{base}/{name}")
+    op.in_slices(events, lambda rows: op.stream_ingest(rows, f"{base}/good", f"{base}/bad", f"{base}/state"), order="n")
+    read = lambda name: sinks.read_once(spark, f"{base}/{name}", "receipt_id string")
     return read("good").withColumn("accepted", F.lit(True)).unionByName(read("bad").withColumn("accepted", F.lit(False)))
 
 
@@ -61,19 +61,19 @@ def stream_conflicts(spark, sf_dir):
         rows.where(f"event_id % {every} = 0").select(F.col("receipt_id").alias("request_id"), F.concat_ws("-", "receipt_id", F.lit(n)).alias("capture_id"), F.col(body).alias("body_hash"), (F.col("ts") + F.expr(f"interval {after} seconds")).alias("ts"))
         for n, every, after, body in each
     ]
-    return op.in_slices(copies[0].unionByName(copies[1]).unionByName(copies[2]).unionByName(copies[3]), op.stream_conflicts)
+    return op.in_slices(copies[0].unionByName(copies[1]).unionByName(copies[2]).unionByName(copies[3]), op.stream_conflicts, flush="2 hours")
 
 
 @query("stream_chain", "SELECT tenant_id, CAST(chain_height AS BIGINT) AS chain_height, CASE WHEN event_id % 499 = 0 THEN 'broken' ELSE 'ok' END AS verdict FROM receipts", "receipts")
 def stream_chain(spark, sf_dir):
-    return op.in_slices(timed(spark, sf_dir), op.stream_chain)
+    return op.in_slices(timed(spark, sf_dir), op.stream_chain, flush="2 hours")
 
 
 @query("stream_budget", _PRICED + """, s AS (SELECT tenant_id, captured_at[1:7] AS month, captured_at, event_id, CAST(sum(coalesce(nano, 0)) OVER (PARTITION BY tenant_id, captured_at[1:7] ORDER BY captured_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent_nano FROM priced),
 a AS (SELECT *, CASE WHEN spent_nano >= 20000000000 THEN 'deny' WHEN spent_nano >= 18000000000 THEN 'throttle' WHEN spent_nano >= 15000000000 THEN 'warn' ELSE 'allow' END AS action FROM s),
 l AS (SELECT *, lag(action, 1, 'allow') OVER (PARTITION BY tenant_id, month ORDER BY captured_at, event_id) AS last FROM a) SELECT tenant_id, month, action, spent_nano FROM l WHERE action <> last""", "receipts", "pricing")
 def stream_budget(spark, sf_dir):
-    return op.in_slices(timed(spark, sf_dir), lambda rows: op.stream_budget(rows, 20_000_000_000))
+    return op.in_slices(timed(spark, sf_dir), lambda rows: op.stream_budget(rows, 20_000_000_000), flush="2 hours")
 
 
 @query("stream_prompt_cache", """WITH RECURSIVE e AS (SELECT user_name || '|' || kind AS k, kind, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_name, kind ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS r FROM receipts),
@@ -83,7 +83,7 @@ def stream_prompt_cache(spark, sf_dir):
     """Prompts keyed by user and event kind; the hit rate per kind."""
     ts = F.col("ts").cast("timestamp")
     rows = receipts.receipts(spark, sf_dir).select(F.concat_ws("|", "user_name", "kind").alias("prompt_key"), "event_id", F.unix_timestamp(ts).alias("at_s"), ts.alias("ts"))
-    found = op.in_slices(rows, lambda x: op.stream_prompt_cache(x, ttl_seconds=86_400))
+    found = op.in_slices(rows, lambda x: op.stream_prompt_cache(x, ttl_seconds=86_400), flush="2 hours")
     return found.groupBy(F.substring_index("prompt_key", "|", -1).alias("kind")).agg(F.count(F.lit(1)).alias("calls"), F.count_if("hit").alias("hits"))
 
 
@@ -95,10 +95,12 @@ fin AS (SELECT request, CASE WHEN no > 0 THEN 'rejected' ELSE 'approved' END AS
 mark AS (SELECT greatest((SELECT max(requested_ts) FROM req), (SELECT max(ts) FROM dec WHERE ts < deadline)) - INTERVAL 1 DAY AS last)
 SELECT req.request, coalesce(status, 'expired') AS status, seq FROM req LEFT JOIN fin ON fin.request = req.request AND k = 1, mark WHERE status IS NOT NULL OR req.deadline < mark.last""", "verdicts", "actions")
 def stream_approvals(spark, sf_dir):
-    """Requests that expire after 60 days, and the decisions on them."""
+    """Requests that expire after 60 days, and the decisions on them, which the tables date up to seven years before; those still open at the last watermark are not told."""
     at = lambda c: F.col(c).cast("timestamp")
     asked = receipts.table(spark, sf_dir, "actions").select(F.col("action_hash").alias("request"), at("requested_ts").alias("ts"), (F.unix_timestamp(at("requested_ts")) + 60 * 86_400).alias("deadline_s"))
     told = receipts.table(spark, sf_dir, "verdicts").select(F.col("action_hash").alias("request"), F.col("reviewer").alias("approver"), F.when(F.col("verdict") == "reject", "reject").otherwise("approve").alias("decision"), at("decided_ts").alias("ts"), F.col("line").cast("long").alias("seq"))
-    opened = asked.select("request", F.lit(None).cast("string").alias("approver"), F.lit(None).cast("string").alias("decision"), "ts", F.lit(0).cast("long").alias("seq"), "deadline_s")
-    rows = opened.unionByName(told.join(asked.select("request", "deadline_s"), "request")).withColumn("at_s", F.unix_timestamp("ts"))
-    return op.in_slices(rows, op.stream_approvals)
+    rows = asked.withColumn("side", F.lit("asked")).unionByName(told.withColumn("side", F.lit("told")), allowMissingColumns=True)
+    side = lambda rows, name: rows.where(f"side = '{name}' or side is null")
+    found = op.in_slices(rows, lambda rows: op.stream_approvals(side(rows, "asked"), side(rows, "told"), early="3000 days"), flush="9000 days")
+    newest = asked.agg(F.max("ts").alias("ts")).union(told.join(asked.select("request", "deadline_s"), "request").where("ts < timestamp_seconds(deadline_s)").agg(F.max("ts"))).agg((F.max("ts") - F.expr("interval 1 day")).alias("mark"))
+    return found.join(F.broadcast(newest)).where("status <> 'expired' or timestamp_seconds(deadline_s) < mark").select("request", "status", "seq")

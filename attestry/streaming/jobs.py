@@ -2,35 +2,35 @@
 
 Every function takes a streaming (or static) DataFrame of receipts and returns a DataFrame. `in_slices` feeds a table to
 one of them slice by slice, as a job that is run again and again with what has come since: this is how the registered
-queries and the tests use them. Watermarks bound the state of windows, replays, the prompt cache and approvals: event-time
-timers take out what has expired. Chains and budgets keep a few values for each tenant, for as long as the tenant is
-there. Rows later than the watermark are dropped by Spark.
+queries and the tests use them. Watermarks bound all state: windows and joins drop what they have passed; jobs with keyed
+state take rows in event-time order as the watermark passes them (`ordered.in_order`), so their answer is that of a batch
+over the same rows. Rows later than the watermark are dropped by Spark; `sinks.gate` puts them into a table of their own first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from attestry.functions.tables import shared_dir, written
 from attestry.operators.exports import validate_events
+from attestry.streaming.ordered import in_order, state_on_disk
+from attestry.streaming.sinks import write_once
 
 
 def folder(spark: SparkSession) -> str:
     return shared_dir(spark, "stream")
 
 
-def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], slices: int = 4, order: str = "ts") -> DataFrame | None:
+def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], slices: int = 4, order: str = "ts", flush: str | None = None) -> DataFrame | None:
     """What a streaming query (append mode) makes of rows that come in slices of equal time, one batch a slice.
 
     order: a time or number column. A slice is written by as many tasks as hold its rows, and read as one batch of all its
     files; the query stops after each batch and goes on from its checkpoint. A query that returns nothing has its own sink,
-    and is called for each slice.
+    and is called for each slice. flush: a heartbeat follows the last slice, a row of nulls with a ts that much after the
+    newest, so that the watermark passes all rows.
     """
     spark, base = rows.sparkSession, folder(rows.sparkSession)
     place = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order] else F.col(order).cast("double")
@@ -39,21 +39,29 @@ def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], s
     width = ((high or 0.0) - (low or 0.0)) / slices or 1.0
     part = F.least(F.lit(slices - 1), F.floor((F.coalesce("_place", F.lit(low or 0.0)) - (low or 0.0)) / width))
     staged.where("false").drop("_place").write.mode("append").parquet(f"{base}/in")
-    for k in range(slices):
-        staged.where(part == k).drop("_place").write.mode("append").parquet(f"{base}/in")
-        found = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-        if found is not None:
-            found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    parts = [staged.where(part == k).drop("_place") for k in range(slices)]
+    if flush is not None:
+        newest = staged.agg((F.max("ts") + F.expr(f"interval {flush}")).alias("ts"))
+        parts.append(newest.select(*[F.col("ts").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
+    for one in parts:
+        one.write.mode("append").parquet(f"{base}/in")
+        with state_on_disk(spark):
+            found = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+            if found is not None:
+                found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return None if found is None else spark.read.schema(found.schema).parquet(f"{base}/out")
 
 
-def stream_ingest(events: DataFrame, good: Callable[[DataFrame], None], bad: Callable[[DataFrame], None], checkpoint: str) -> None:
-    """Capture stream: valid events go to one writer, others with their error to another; drains what is there."""
+def stream_ingest(events: DataFrame, good: str, bad: str, checkpoint: str) -> None:
+    """Capture stream: valid events go to one table, others with their error to another; drains what is there.
 
-    def batch(rows: DataFrame, _: int) -> None:
+    Both tables are keyed by the batch: one that is run again after a failure leaves no second copy.
+    """
+
+    def batch(rows: DataFrame, k: int) -> None:
         checked = validate_events(rows).persist()
-        good(checked.where("error is null").drop("error"))
-        bad(checked.where("error is not null"))
+        write_once(checked.where("error is null").drop("error"), good, k)
+        write_once(checked.where("error is not null"), bad, k)
         checked.unpersist()
 
     events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -64,31 +72,21 @@ def stream_dedup(rows: DataFrame, key: str = "request_id", within: str = "24 hou
     return rows.withWatermark("ts", within).dropDuplicatesWithinWatermark([key])
 
 
-def stream_conflicts(rows: DataFrame, within_seconds: int = 86_400, late: str = "1 hour") -> DataFrame:
+def stream_conflicts(rows: DataFrame, within_seconds: int = 86_400, late: str = "1 hour", groups: int = 64) -> DataFrame:
     """request_id, capture_id, verdict of rows (request_id, capture_id, body_hash, ts): accepted, replay (of the body that was accepted inside the time) or conflict (another body).
 
     The accepted body is forgotten when the time is over; of captures at one time the lesser capture_id comes first.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, at = state.get if state.exists else (None, 0)
-        out = []
-        for f in frames:
-            for ts, capture, body in sorted(zip(f["ts"].astype("datetime64[ms]").astype("int64"), f["capture_id"], f["body_hash"], strict=True)):
-                if held is None or ts - at >= 1000 * within_seconds:
-                    held, at, verdict = body, int(ts), "accepted"
-                else:
-                    verdict = "replay" if body == held else "conflict"
-                out.append((key[0], capture, verdict))
-        state.update((held, at))
-        state.setTimeoutTimestamp(max(at + 1000 * within_seconds, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["request_id", "capture_id", "verdict"])
-
-    slim = rows.select("request_id", "capture_id", "body_hash", "ts").withWatermark("ts", late)
-    return _stateful(slim, "request_id", run, "request_id string, capture_id string, verdict string", "held string, at long", GroupStateTimeout.EventTimeTimeout)
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        key, at, capture, body = row
+        if held is None or at - held[1] >= 1000 * within_seconds:
+            return (body, at), [(key, capture, "accepted")]
+        return held, [(key, capture, "replay" if body == held[0] else "conflict")]
+
+    return in_order(
+        rows, "request_id", F.unix_millis("ts"), ["capture_id"], ["body_hash"], step, "body string, at long", "request_id string, capture_id string, verdict string", late, expires=lambda held: held[1] + 1000 * within_seconds, groups=groups
+    )
 
 
 def stream_windows(rows: DataFrame, every: str = "5 minutes", late: str = "1 hour") -> DataFrame:
@@ -104,132 +102,75 @@ def stream_rate_alerts(rows: DataFrame, threshold: float, span: str = "5 minutes
     return out.where(F.col("errors") > threshold * F.col("receipts")).select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "receipts", "errors")
 
 
-def _stateful(rows: DataFrame, key: str, run: Callable, out: str, state: str, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", timeout)
+def stream_chain(rows: DataFrame, late: str = "1 hour", groups: int = 64) -> DataFrame:
+    """tenant_id, chain_height, verdict (ok, broken, replay, gap) of receipts in event-time order; state: a tenant's height and head.
 
+    Receipts that come early wait until the watermark has passed them. Heights that are missing then are a gap, told once
+    at the last missing one, and the receipt after it is broken, as its predecessor isn't known.
+    """
 
-def stream_chain(rows: DataFrame, kept: int = 10_000) -> DataFrame:
-    """tenant_id, chain_height, verdict (ok, broken, replay) as receipts arrive; state: the head, and heights ahead of it.
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        tenant, _, height, own, last = row
+        known, head = held or (0, "0" * 64)
+        if height <= known:
+            return (known, head), [(tenant, height, "replay")]
+        gap = [(tenant, height - 1, "gap")] if height > known + 1 else []
+        return (height, own), [*gap, (tenant, height, "ok" if last == head and not gap else "broken")]
+
+    slim = rows.select("tenant_id", "ts", F.col("chain_height").cast("long").alias("chain_height"), "receipt_hash", "previous_receipt_hash")
+    return in_order(slim, "tenant_id", F.unix_millis("ts"), ["chain_height"], ["receipt_hash", "previous_receipt_hash"], step, "height long, head string", "tenant_id string, chain_height long, verdict string", late, groups=groups)
 
-    Heights that come early wait until those below them are there; more than `kept` waiting ones break the chain at the
-    gap (verdict gap) so that the state stays bounded.
-    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        height, head, early = state.get if state.exists else (0, "0" * 64, "")
-        waiting: dict[int, tuple[str, str]] = {}
-        for item in filter(None, early.split(";")):
-            h, own, last = item.split(",")
-            waiting[int(h)] = (own, last)
-        out: list[tuple[Any, ...]] = []
-        for f in frames:
-            for h, own, last in sorted(zip(f["chain_height"], f["receipt_hash"], f["previous_receipt_hash"], strict=True)):
-                if h <= height:
-                    out.append((key[0], int(h), "replay"))
-                else:
-                    waiting[int(h)] = (own, last)
-        while waiting:
-            if height + 1 not in waiting:
-                if len(waiting) <= kept:
-                    break
-                height = min(waiting) - 1
-                out.append((key[0], height, "gap"))
-                head = ""
-            own, last = waiting.pop(height + 1)
-            height += 1
-            out.append((key[0], height, "ok" if last == head else "broken"))
-            head = own
-        state.update((height, head, ";".join(f"{h},{a},{b}" for h, (a, b) in sorted(waiting.items()))))
-        yield pd.DataFrame(out, columns=["tenant_id", "chain_height", "verdict"])
-
-    slim = rows.select("tenant_id", F.col("chain_height").cast("long").alias("chain_height"), "receipt_hash", "previous_receipt_hash")
-    return _stateful(slim, "tenant_id", run, "tenant_id string, chain_height long, verdict string", "height long, head string, early string")
-
-
-def stream_budget(rows: DataFrame, limit_nano: int) -> DataFrame:
-    """tenant_id, month, action, spent_nano each time that a tenant's action of the month changes."""
+def stream_budget(rows: DataFrame, limit_nano: int, late: str = "1 hour", groups: int = 64) -> DataFrame:
+    """tenant_id, month, action, spent_nano each time that a tenant's action of the month changes, by seconds of captured_at and event_id."""
     levels = ((limit_nano, "deny"), (limit_nano * 9 // 10, "throttle"), (limit_nano * 3 // 4, "warn"), (-1, "allow"))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        month, spent, last = state.get if state.exists else ("", 0, "allow")
-        out = []
-        for f in frames:
-            for own, nano in f.sort_values(["captured_at", "event_id"])[["month", "nano"]].itertuples(index=False):
-                if own != month:
-                    month, spent, last = own, 0, "allow"
-                spent += int(nano)
-                action = next(a for least, a in levels if spent >= least)
-                if action != last:
-                    out.append((key[0], month, action, spent))
-                    last = action
-        state.update((month, spent, last))
-        yield pd.DataFrame(out, columns=["tenant_id", "month", "action", "spent_nano"])
-
-    slim = rows.select("tenant_id", "event_id", "captured_at", F.substring("captured_at", 1, 7).alias("month"), F.coalesce("nano", F.lit(0)).cast("long").alias("nano"))
-    return _stateful(slim, "tenant_id", run, "tenant_id string, month string, action string, spent_nano long", "month string, spent long, last string")
-
-
-def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        tenant, _, _, month, nano = row
+        spent, last = held[1:] if held and held[0] == month else (0, "allow")
+        spent += nano
+        action = next(a for least, a in levels if spent >= least)
+        return (month, spent, action), [(tenant, month, action, spent)] if action != last else []
+
+    slim = rows.select("tenant_id", "event_id", "ts", F.substring("captured_at", 1, 7).alias("month"), F.coalesce("nano", F.lit(0)).cast("long").alias("nano"))
+    return in_order(slim, "tenant_id", F.unix_seconds("ts") * 1000, ["event_id"], ["month", "nano"], step, "month string, spent long, action string", "tenant_id string, month string, action string, spent_nano long", late, 1000, groups=groups)
+
+
+def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600, late: str = "1 hour", groups: int = 64) -> DataFrame:
     """prompt_key, event_id, hit: a prompt seen within the time since it was stored is a hit, and doesn't renew it.
 
-    rows: prompt_key, event_id, at_s (whole seconds), ts. An entry is dropped when the watermark has passed its time.
+    rows: prompt_key, event_id, at_s (whole seconds of ts), ts. An entry is dropped when the watermark has passed its time.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        stored = state.get[0] if state.exists else None
-        out = []
-        for f in frames:
-            for at, event in f.sort_values(["at_s", "event_id"])[["at_s", "event_id"]].itertuples(index=False):
-                hit = stored is not None and at - stored < ttl_seconds
-                if not hit:
-                    stored = int(at)
-                out.append((key[0], int(event), bool(hit)))
-        state.update((stored,))
-        state.setTimeoutTimestamp(max(1000 * (stored + ttl_seconds), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["prompt_key", "event_id", "hit"])
-
-    slim = rows.select("prompt_key", "event_id", "at_s", "ts").withWatermark("ts", late)
-    return _stateful(slim, "prompt_key", run, "prompt_key string, event_id long, hit boolean", "stored long", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_approvals(rows: DataFrame, threshold: int = 2, late: str = "1 day") -> DataFrame:
-    """request, status, seq as soon as a request is decided: rejected by a rejection, approved by enough approvers in time, or expired at its deadline.
-
-    rows: request, approver, decision, at_s, deadline_s, seq, ts. A request opens with a row without a decision. A timer
-    stands at the deadline, so a request that nobody decides on expires when the watermark has passed it (seq null);
-    decisions at or after the deadline don't count. Later decisions on a decided request are ignored, and its state is
-    dropped once the watermark has passed the deadline.
-    """
+    def step(held: tuple | None, row: tuple) -> tuple[tuple, list[tuple]]:
+        key, at, event = row
+        hit = held is not None and at - held[0] < 1000 * ttl_seconds
+        return held if hit else (at,), [(key, event, hit)]
+
+    return in_order(rows, "prompt_key", F.col("at_s") * 1000, ["event_id"], [], step, "at long", "prompt_key string, event_id long, hit boolean", late, 1000, lambda held: held[0] + 1000 * ttl_seconds, groups)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, names, deadline = state.get if state.exists else ("pending", "", 0)
-        columns = ["request", "status", "seq"]
-        if state.hasTimedOut:
-            state.remove()
-            if status == "pending":
-                yield pd.DataFrame([(key[0], "expired", None)], columns=columns).astype({"seq": "Int64"})
-            return
-        seen = dict(x.split("=") for x in filter(None, names.split(";")))
-        out = []
-        for f in frames:
-            for r in f.sort_values(["at_s", "seq"]).itertuples(index=False):
-                deadline = int(r.deadline_s)
-                if status != "pending" or r.decision is None or r.approver in seen:
-                    continue
-                seen[r.approver] = r.decision
-                if r.decision == "reject":
-                    status = "rejected"
-                elif sum(v == "approve" for v in seen.values()) >= threshold:
-                    status = "approved"
-                if status != "pending":
-                    out.append((key[0], status, int(r.seq)))
-        state.update((status, ";".join(f"{k}={v}" for k, v in seen.items()), deadline))
-        state.setTimeoutTimestamp(max(1000 * deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns).astype({"seq": "Int64"})
-
-    in_time = rows.where("decision is null or at_s < deadline_s")  # what comes later finds no state any more, and must not open one
-    slim = in_time.select("request", "approver", "decision", "at_s", "deadline_s", "seq", "ts").withWatermark("ts", late)
-    return _stateful(slim, "request", run, "request string, status string, seq long", "status string, names string, deadline long", GroupStateTimeout.EventTimeTimeout)
+
+def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int = 2, late: str = "1 day", longest: str = "60 days", early: str = "0 days") -> DataFrame:
+    """request, deadline_s, status, seq once the watermark has passed a request's time: rejected, approved by enough approvers, or expired (seq null).
+
+    requests: request, ts, deadline_s; decisions: request, approver, decision, ts, seq. A stream-stream join gives each
+    request its decisions from `early` before its own time to before its deadline, at most `longest` after it, which bounds
+    the state of both sides; requests without any come out when no decision can be in time any more. Of an approver the first decision
+    counts; in time order the first rejection rejects, the threshold-th approval before it approves. All by built-in
+    aggregates: no Python call for a request.
+    """
+    asked = requests.select(F.col("request").alias("request"), F.col("ts").alias("asked_ts"), F.col("deadline_s").alias("deadline_s")).withWatermark("asked_ts", late)
+    told = decisions.select(F.col("request").alias("told_request"), F.col("approver").alias("approver"), F.col("decision").alias("decision"), F.col("seq").alias("seq"), F.col("ts").alias("told_ts")).withWatermark("told_ts", late)
+    in_time = F.expr(f"request = told_request and told_ts >= asked_ts - interval {early} and told_ts <= asked_ts + interval {longest} and told_ts < timestamp_seconds(deadline_s)")
+    joined = asked.join(told, in_time, "leftOuter")
+    once = joined.groupBy("request", "asked_ts", "deadline_s", "approver").agg(F.min(F.struct("told_ts", "seq", "decision")).alias("d"))
+    each = once.groupBy("request", "asked_ts", "deadline_s").agg(F.sort_array(F.collect_list("d")).alias("d"))
+    start = F.struct(F.lit(0).alias("yes"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("seq"))
+
+    def told_next(acc, d):
+        yes = acc["yes"] + F.when(d["decision"] == "approve", 1).otherwise(0)
+        status = F.when(d["decision"] == "reject", "rejected").when(yes >= threshold, "approved")
+        return F.when(acc["status"].isNotNull(), acc).otherwise(F.struct(yes.alias("yes"), status.alias("status"), F.when(status.isNotNull(), d["seq"]).alias("seq")))
+
+    end = F.aggregate("d", start, told_next)
+    return each.select("request", "deadline_s", end.alias("e")).where("request is not null").select("request", "deadline_s", F.coalesce("e.status", F.lit("expired")).alias("status"), "e.seq")
