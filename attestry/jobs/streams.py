@@ -24,13 +24,13 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM receipts)"
 @query("stream_windows", _PRICED + f"""SELECT strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%dT%H:%M:%S') AS window_start, tenant_id, count(*) AS receipts, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens, CAST(sum(coalesce(nano, 0)) AS BIGINT) AS nano
   FROM priced GROUP BY ALL HAVING time_bucket(INTERVAL 5 MINUTE, min(ts)) + INTERVAL 5 MINUTE <= {_CLOSED}""", "receipts", "pricing")
 def stream_windows(spark, sf_dir):
-    return op.in_slices(timed(spark, sf_dir), op.stream_windows)
+    return op.in_slices(timed(spark, sf_dir), op.stream_windows, on_disk=False)
 
 
 @query("stream_rate_alerts", f"""WITH w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(k) AS start, count(*) AS receipts, count(*) FILTER (outcome = 'error') AS errors FROM receipts, range(5) AS t(k) GROUP BY 1)
 SELECT strftime(start, '%Y-%m-%dT%H:%M:%S') AS window_start, receipts, errors FROM w WHERE errors > 0.3 * receipts AND start + INTERVAL 5 MINUTE <= {_CLOSED}""", "receipts")
 def stream_rate_alerts(spark, sf_dir):
-    return op.in_slices(timed(spark, sf_dir), lambda rows: op.stream_rate_alerts(rows, 0.3))
+    return op.in_slices(timed(spark, sf_dir), lambda rows: op.stream_rate_alerts(rows, 0.3), on_disk=False)
 
 
 @query("stream_ingest", """SELECT receipt_id, event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0 AND event_id % 109 <> 0 AND event_id % 113 <> 0 AND event_id % 127 <> 0 AND event_id % 131 <> 0 AND event_id % 137 <> 0 AND event_id % 139 <> 0 AS accepted FROM receipts""", "receipts")
@@ -51,6 +51,29 @@ def stream_dedup(spark, sf_dir):
     return kept.agg(F.count(F.lit(1)).alias("receipts"), F.countDistinct("receipt_id").alias("distinct_receipts"))
 
 
+@query("stream_dedup_rows", "SELECT receipt_id, 1 AS kept FROM receipts", "receipts")
+def stream_dedup_rows(spark, sf_dir):
+    """Every twentieth capture comes again after 5 seconds and every 45th after 23 hours: how often each receipt is kept."""
+    rows = priced(spark, sf_dir).select("receipt_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("req-"), "receipt_id").alias("request_id"))
+    again = [rows.where(f"event_id % {every} = 0").withColumn("ts", F.col("ts") + F.expr(f"interval {after}")) for every, after in ((20, "5 seconds"), (45, "23 hours"))]
+    kept = op.in_slices(rows.unionByName(again[0]).unionByName(again[1]), op.stream_dedup, on_disk=False)
+    return kept.groupBy("receipt_id").agg(F.count(F.lit(1)).cast("int").alias("kept"))
+
+
+@query("stream_late_rows", """WITH came AS (SELECT receipt_id, epoch(ts) AS t, epoch(ts) + CASE WHEN event_id % 37 = 0 THEN 432000 WHEN event_id % 41 = 0 THEN 1800 ELSE 0 END AS came_s FROM receipts),
+ends AS (SELECT min(came_s) AS low, (max(came_s) - min(came_s)) / 4 AS width FROM came), put AS (SELECT *, CAST(least(3, floor((came_s - low) / width)) AS INT) AS slice FROM came, ends),
+marks AS (SELECT slice, max(t) - 3600 AS mark FROM put GROUP BY 1)
+SELECT receipt_id, coalesce(t <= (SELECT max(mark) FROM marks m WHERE m.slice < put.slice), false) AS late FROM put""", "receipts")
+def stream_late_rows(spark, sf_dir):
+    """Every 37th receipt comes five days after its time, every 41st half an hour: what the gate lets through, and what it puts aside."""
+    base = op.folder(spark)
+    delay = F.when(F.col("event_id") % 37 == 0, 432_000).when(F.col("event_id") % 41 == 0, 1800).otherwise(0)
+    rows = receipts.receipts(spark, sf_dir).select("receipt_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("ts").cast("timestamp").cast("double") + delay).alias("came_s"))
+    op.in_slices(rows, lambda stream: op.drain(stream, sinks.gate(base), f"{base}/state"), order="came_s")
+    read = lambda name: sinks.read_once(spark, f"{base}/{name}", "receipt_id string")
+    return read("main").withColumn("late", F.lit(False)).unionByName(read("side").withColumn("late", F.lit(True)))
+
+
 @query("stream_conflicts", """SELECT receipt_id AS request_id, receipt_id || '-' || copy AS capture_id, CASE copy WHEN '1' THEN 'accepted' WHEN '2' THEN 'replay' WHEN '3' THEN 'conflict' ELSE 'accepted' END AS verdict
   FROM receipts, (VALUES ('1'), ('2'), ('3'), ('4')) AS c(copy) WHERE copy = '1' OR (copy = '2' AND event_id % 20 = 0) OR (copy = '3' AND event_id % 45 = 0) OR (copy = '4' AND event_id % 33 = 0)""", "receipts")
 def stream_conflicts(spark, sf_dir):
@@ -101,6 +124,6 @@ def stream_approvals(spark, sf_dir):
     told = receipts.table(spark, sf_dir, "verdicts").select(F.col("action_hash").alias("request"), F.col("reviewer").alias("approver"), F.when(F.col("verdict") == "reject", "reject").otherwise("approve").alias("decision"), at("decided_ts").alias("ts"), F.col("line").cast("long").alias("seq"))
     rows = asked.withColumn("side", F.lit("asked")).unionByName(told.withColumn("side", F.lit("told")), allowMissingColumns=True)
     side = lambda rows, name: rows.where(f"side = '{name}' or side is null")
-    found = op.in_slices(rows, lambda rows: op.stream_approvals(side(rows, "asked"), side(rows, "told"), early="3000 days"), flush="9000 days")
+    found = op.in_slices(rows, lambda rows: op.stream_approvals(side(rows, "asked"), side(rows, "told"), early="3000 days"), flush="3100 days", on_disk=False)
     newest = asked.agg(F.max("ts").alias("ts")).union(told.join(asked.select("request", "deadline_s"), "request").where("ts < timestamp_seconds(deadline_s)").agg(F.max("ts"))).agg((F.max("ts") - F.expr("interval 1 day")).alias("mark"))
     return found.join(F.broadcast(newest)).where("status <> 'expired' or timestamp_seconds(deadline_s) < mark").select("request", "status", "seq")

@@ -10,6 +10,7 @@ over the same rows. Rows later than the watermark are dropped by Spark; `sinks.g
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,13 +25,13 @@ def folder(spark: SparkSession) -> str:
     return shared_dir(spark, "stream")
 
 
-def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], slices: int = 4, order: str = "ts", flush: str | None = None) -> DataFrame | None:
+def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], slices: int = 4, order: str = "ts", flush: str | None = None, on_disk: bool = True) -> DataFrame | None:
     """What a streaming query (append mode) makes of rows that come in slices of equal time, one batch a slice.
 
     order: a time or number column. A slice is written by as many tasks as hold its rows, and read as one batch of all its
     files; the query stops after each batch and goes on from its checkpoint. A query that returns nothing has its own sink,
     and is called for each slice. flush: a heartbeat follows the last slice, a row of nulls with a ts that much after the
-    newest, so that the watermark passes all rows.
+    newest, so that the watermark passes all rows. on_disk: state in RocksDB, which ordered state needs, else as the session has it.
     """
     spark, base = rows.sparkSession, folder(rows.sparkSession)
     place = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order] else F.col(order).cast("double")
@@ -45,13 +46,18 @@ def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], s
         parts.append(newest.select(*[F.col("ts").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]))
     for one in parts:
         one.write.mode("append").parquet(f"{base}/in")
-        with state_on_disk(spark):
+        with state_on_disk(spark) if on_disk else nullcontext():
             found = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
             if found is not None:
                 found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return None if found is None else spark.read.schema(found.schema).parquet(f"{base}/out")
 
 
+def drain(rows: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Runs batch(rows, number) on each micro-batch of what is there."""
+    rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_ingest(events: DataFrame, good: str, bad: str, checkpoint: str) -> None:
     """Capture stream: valid events go to one table, others with their error to another; drains what is there.
 
@@ -64,7 +70,7 @@ def stream_ingest(events: DataFrame, good: str, bad: str, checkpoint: str) -> No
         write_once(checked.where("error is not null"), bad, k)
         checked.unpersist()
 
-    events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    drain(events, batch, checkpoint)
 
 
 def stream_dedup(rows: DataFrame, key: str = "request_id", within: str = "24 hours") -> DataFrame:
@@ -160,7 +166,8 @@ def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int =
     aggregates: no Python call for a request.
     """
     asked = requests.select(F.col("request").alias("request"), F.col("ts").alias("asked_ts"), F.col("deadline_s").alias("deadline_s")).withWatermark("asked_ts", late)
-    told = decisions.select(F.col("request").alias("told_request"), F.col("approver").alias("approver"), F.col("decision").alias("decision"), F.col("seq").alias("seq"), F.col("ts").alias("told_ts")).withWatermark("told_ts", late)
+    # A heartbeat (nulls but ts) must reach both watermarks: conditions that don't name the time are tested before them.
+    told = decisions.select(F.coalesce("request", F.lit("\0")).alias("told_request"), F.col("approver").alias("approver"), F.col("decision").alias("decision"), F.col("seq").alias("seq"), F.col("ts").alias("told_ts")).withWatermark("told_ts", late)
     in_time = F.expr(f"request = told_request and told_ts >= asked_ts - interval {early} and told_ts <= asked_ts + interval {longest} and told_ts < timestamp_seconds(deadline_s)")
     joined = asked.join(told, in_time, "leftOuter")
     once = joined.groupBy("request", "asked_ts", "deadline_s", "approver").agg(F.min(F.struct("told_ts", "seq", "decision")).alias("d"))
@@ -173,4 +180,4 @@ def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int =
         return F.when(acc["status"].isNotNull(), acc).otherwise(F.struct(yes.alias("yes"), status.alias("status"), F.when(status.isNotNull(), d["seq"]).alias("seq")))
 
     end = F.aggregate("d", start, told_next)
-    return each.select("request", "deadline_s", end.alias("e")).where("request is not null").select("request", "deadline_s", F.coalesce("e.status", F.lit("expired")).alias("status"), "e.seq")
+    return each.select("request", "deadline_s", end.alias("e"), "asked_ts").where("if(request is null, null, asked_ts) is not null").select("request", "deadline_s", F.coalesce("e.status", F.lit("expired")).alias("status"), "e.seq")
