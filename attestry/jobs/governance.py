@@ -16,6 +16,10 @@ NOW = "2024-01-30T23:00:00Z"
 
 
 def rows_of(spark, sf_dir):
+    return receipts.core(spark, sf_dir)
+
+
+def chained(spark, sf_dir):
     return receipts.receipts(spark, sf_dir)
 
 
@@ -36,6 +40,24 @@ def keys_valid_at(spark, sf_dir):
     return found.groupBy("kid", "key_ok").agg(F.count(F.lit(1)).alias("receipts"), F.min("receipt_id").alias("first_receipt"))
 
 
+_WINDOWS = """windows AS (SELECT 'kid-' || CAST(k AS VARCHAR) AS kid, TIMESTAMP '2024-01-01 00:00:00' + to_hours(n * 41 + k * 7) AS valid_from, CASE WHEN n % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(n * 41 + k * 7 + 30) END AS valid_until,
+  CASE WHEN n % 7 = 5 THEN 'revoked' WHEN n % 2 = 0 THEN 'active' ELSE 'retired' END AS status FROM range(3) AS a(k), range(1, 16) AS b(n))"""
+
+
+@query("keys_as_of", f"""WITH {_WINDOWS}, met AS (SELECT receipt_id, ts, r.kid, max(valid_from) AS valid_from FROM receipts r LEFT JOIN windows w ON w.kid = r.kid AND w.valid_from <= date_trunc('second', ts) GROUP BY ALL)
+SELECT receipt_id, status AS key_status, coalesce(status IN ('active', 'retired') AND (valid_until IS NULL OR date_trunc('second', ts) <= valid_until), false) AS key_ok FROM met LEFT JOIN windows USING (kid, valid_from)""", "receipts")
+def keys_as_of(spark, sf_dir):
+    """Keys that rotate every 41 hours: windows with and without an end, retired and revoked ones; kid-3 has none."""
+    hour = lambda h: (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), h.cast("int")))
+    n, k = F.col("n"), F.col("k")
+    begun = n * 41 + k * 7
+    windows = spark.range(3).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(1), F.lit(15))).alias("n")).select(
+        F.concat(F.lit("kid-"), k.cast("string")).alias("kid"), hour(begun).alias("valid_from"), F.when(n % 3 == 0, hour(begun + 30)).alias("valid_until"),
+        F.when(n % 7 == 5, "revoked").when(n % 2 == 0, "active").otherwise("retired").alias("status"),
+    )
+    return op.keys_as_of(rows_of(spark, sf_dir), windows).select("receipt_id", "key_status", "key_ok")
+
+
 _PRESENT = (
     "WITH present AS (SELECT receipt_id, list_filter(["
     + ", ".join(f"CASE WHEN {e} THEN '{p}' END" for p, e in op.PATHS.items())
@@ -46,7 +68,7 @@ _PRESENT = (
 
 @query("cite_receipts", _PRESENT + "SELECT receipt_id, regulator, count(*) AS citations, CAST(sum(round(confidence * 100)) AS BIGINT) AS points FROM cited GROUP BY ALL", "receipts", "articles")
 def cite_receipts(spark, sf_dir):
-    found = op.cite_receipts(rows_of(spark, sf_dir), dims.table(spark, "articles"))
+    found = op.cite_receipts(chained(spark, sf_dir), dims.table(spark, "articles"))
     return found.groupBy("receipt_id", "regulator").agg(F.count(F.lit(1)).alias("citations"), F.sum(F.round(F.col("confidence") * 100).cast("long")).alias("points"))
 
 
@@ -60,13 +82,13 @@ def cite_receipts(spark, sf_dir):
 )
 def regulator_coverage(spark, sf_dir):
     articles = dims.table(spark, "articles")
-    return op.regulator_coverage(op.cite_receipts(rows_of(spark, sf_dir), articles), articles)
+    return op.regulator_coverage(op.cite_receipts(chained(spark, sf_dir), articles), articles)
 
 
 @query("compliance_gaps", _PRESENT + """SELECT framework, article_id, field, severity, (SELECT count(*) FROM present) - (SELECT count(*) FROM present p WHERE list_contains(p.paths, field)) AS missing
   FROM (SELECT framework, article_id, severity, unnest(fields) AS field FROM articles) WHERE missing > 0""", "receipts", "articles")
 def compliance_gaps(spark, sf_dir):
-    return op.compliance_gaps(rows_of(spark, sf_dir), dims.table(spark, "articles"))
+    return op.compliance_gaps(chained(spark, sf_dir), dims.table(spark, "articles"))
 
 
 @query("validate_use_case", """WITH j AS (SELECT receipt_id, CASE WHEN u.status IS NULL THEN 'unknown_use_case:' || r.use_case_id WHEN u.status IN ('retired', 'deprecated') THEN 'use_case_lifecycle:' || u.status ELSE concat_ws(',',
@@ -148,7 +170,7 @@ SELECT subject, seq, from_state, to_state, why FROM (SELECT *, CASE WHEN (from_s
 def invalid_transitions(spark, sf_dir):
     states = F.array(*[F.lit(s) for s in _STATES])
     k = ((F.col("chain_height") - 1) % 4).cast("int")
-    log = rows_of(spark, sf_dir).select(
+    log = chained(spark, sf_dir).select(
         F.col("workflow_id").alias("subject"), F.col("chain_height").alias("seq"), F.get(states, k).alias("from_state"), F.when(F.col("event_id") % 89 == 0, F.lit("received")).otherwise(F.get(states, k + 1)).alias("to_state")
     )
     return op.invalid_transitions(log, spark.createDataFrame(list(zip(_STATES[:-1], _STATES[1:], strict=True)), "from_state string, to_state string"))
@@ -306,19 +328,19 @@ t AS (SELECT tenant_id, count(*) AS n FROM l WHERE d GROUP BY 1 ORDER BY n DESC,
 SELECT count(*) FILTER (d) AS receipts_24h, count(*) FILTER (d AND outcome = 'error') AS errors_24h, {_share(f"count(*) FILTER (d AND ({ledger._BAD}))", 'count(*) FILTER (d)')} AS verification_failure_rate, count(DISTINCT vendor) FILTER (d) AS active_vendors, count(*) FILTER (w AND NOT link_ok) AS chain_breaks_7d,
   {_up('quantile_cont(latency_ms, 0.5)', 1)} AS latency_p50, {_up('quantile_cont(latency_ms, 0.95)', 1)} AS latency_p95, {_up('quantile_cont(latency_ms, 0.99)', 1)} AS latency_p99, coalesce((SELECT string_agg(tenant_id || ':' || n, ',' ORDER BY n DESC, tenant_id) FROM t), '') AS top_tenants FROM l""", "receipts")
 def ops_kpis(spark, sf_dir):
-    rows = rows_of(spark, sf_dir)
+    rows = chained(spark, sf_dir)
     checks = chain.verify_envelopes(ledger.envelopes(spark, sf_dir), ledger.public_keys()).select("receipt_id", "valid")
     return op.ops_kpis(rows, chain.verify_links(rows).select("receipt_id", "link_ok").join(checks, "receipt_id"), f"{NOW[:10]} {NOW[11:19]}")
 
 
 @query("list_receipts", "SELECT receipt_id, CAST(chain_height AS INT) AS chain_height FROM receipts WHERE tenant_id = 'tenant-0' ORDER BY chain_height DESC LIMIT 25 OFFSET 50", "receipts")
 def list_receipts(spark, sf_dir):
-    return op.list_receipts(rows_of(spark, sf_dir), "tenant-0", 25, 50).select("receipt_id", "chain_height")
+    return op.list_receipts(chained(spark, sf_dir), "tenant-0", 25, 50).select("receipt_id", "chain_height")
 
 
 @query("for_tenant", "SELECT tenant_id, receipt_id, receipt_hash FROM receipts WHERE tenant_id = 'tenant-7'", "receipts")
 def for_tenant(spark, sf_dir):
-    return op.for_tenant(rows_of(spark, sf_dir), "tenant-7").select("tenant_id", "receipt_id", "receipt_hash")
+    return op.for_tenant(chained(spark, sf_dir), "tenant-7").select("tenant_id", "receipt_id", "receipt_hash")
 
 
 @query("cross_tenant_attempts", "SELECT 'tenant-' || CAST(user_id % 4 AS VARCHAR) AS session_tenant, tenant_id AS requested_tenant, count(*) AS attempts FROM receipts WHERE 'tenant-' || CAST(user_id % 4 AS VARCHAR) <> tenant_id GROUP BY ALL", "receipts")

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from attestry.functions.canonical import ed25519_public
+from attestry.functions.tables import written
 from attestry.jobs.catalog import query
 from attestry.operators import ledger as op
 from attestry.sources import dims, receipts
@@ -165,6 +166,19 @@ def verify_inclusion(spark, sf_dir):
     return checked.groupBy("batch").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("included").alias("included"))
 
 
+@query("verify_inclusion_planted", """SELECT tenant_id AS batch, CAST(event_id % 11 AS INT) AS kind, count(*) AS leaves, count(*) FILTER (event_id % 11 NOT BETWEEN 1 AND 6) AS included FROM receipts GROUP BY ALL""", "receipts")
+def verify_inclusion_planted(spark, sf_dir):
+    """Proofs with an index that is a tree's size too large, another leaf's index, a spare node, a missing one, a tree that is twice as large, and a negative index."""
+    rows = written(leaves(spark, sf_dir))
+    kind = rows_of(spark, sf_dir).select(F.col("tenant_id").alias("batch"), (F.col("chain_height") - 1).cast("long").alias("idx"), (F.col("event_id") % 11).cast("int").alias("kind"))
+    proofs = op.merkle_batches(rows).join(rows, ["batch", "idx"]).join(kind, ["batch", "idx"])
+    k = F.col("kind")
+    path = F.when(k == 3, F.concat("path", F.array("node"))).when(k == 4, F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0)))).otherwise(F.col("path"))
+    idx = F.when(k == 1, F.col("idx") + F.col("size")).when(k == 2, F.col("idx").bitwiseXOR(F.lit(1))).when(k == 6, -F.col("idx") - 1).otherwise(F.col("idx"))
+    checked = op.verify_inclusion(proofs.withColumn("path", path).withColumn("idx", idx).withColumn("size", F.when(k == 5, 2 * F.col("size")).otherwise(F.col("size"))))
+    return checked.groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("leaves"), F.count_if("included").alias("included"))
+
+
 def included_leaves(spark, sf_dir):
     """tenant_id, chain_height, included: the inclusion proof of every receipt, made and checked."""
     all_leaves = leaves(spark, sf_dir)
@@ -178,12 +192,26 @@ _BAD = "event_id % 499 = 0 OR event_id % 101 = 0 OR event_id % 103 = 0 OR event_
 @query("verify_pack", f"SELECT keys, tenant_id, count(*) AS receipts, count(*) FILTER (keys = 'none' OR {_BAD}) AS failed, count(*) FILTER (keys = 'none' OR {_BAD}) = 0 AS valid FROM receipts, (VALUES ('external'), ('none')) AS k(keys) GROUP BY 1, 2", "receipts")
 def verify_pack(spark, sf_dir):
     """Envelope, body hash, signature and inclusion of every receipt of a tenant's pack, under the external keys and, to the same packs, with none."""
+    return _packs(spark, sf_dir, op.verify_pack)
+
+
+_SIGNED = "event_id % 101 <> 0 AND event_id % 103 <> 0 AND event_id % 107 <> 0"
+
+
+@query("pack_failures", f"""SELECT keys, tenant_id, receipt_id, concat_ws(',', CASE WHEN event_id % 499 = 0 OR event_id % 107 = 0 OR event_id % 109 = 0 OR event_id % 113 = 0 THEN 'body' END, CASE WHEN keys = 'none' OR NOT ({_SIGNED}) THEN 'signature' END) AS failed
+  FROM receipts, (VALUES ('external'), ('none')) AS k(keys) WHERE keys = 'none' OR {_BAD}""", "receipts")
+def pack_failures(spark, sf_dir):
+    """What each receipt of the packs fails."""
+    return _packs(spark, sf_dir, op.pack_failures)
+
+
+def _packs(spark, sf_dir, of):
     rows = envelopes(spark, sf_dir)
     place = rows.select("receipt_id", "tenant_id", F.col("chain_height").cast("long").alias("chain_height")).join(included_leaves(spark, sf_dir), ["tenant_id", "chain_height"])
     out = []
     for name, keys in (("external", public_keys()), ("none", None)):
         checks = op.verify_envelopes(rows, keys).select("receipt_id", (F.col("hash_ok") & F.col("envelope_ok") & F.col("genesis_ok") & F.col("imprint_ok")).alias("hash_ok"), "signature_ok")
-        out.append(op.verify_pack(place.join(checks, "receipt_id")).withColumn("keys", F.lit(name)))
+        out.append(of(place.join(checks, "receipt_id")).withColumn("keys", F.lit(name)))
     return out[0].unionByName(out[1])
 
 
@@ -191,7 +219,7 @@ def logged(spark, sf_dir):
     """The transparency log: idx, node and day of each receipt, by time. Cells of ten minutes, so no day is sorted in one task."""
     rows = rows_of(spark, sf_dir)
     placed = op.indexed(rows.withColumn("log", F.lit("log")), "log", ["ts", "event_id"], F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 600))
-    return placed.select("idx", F.sha2(F.concat_ws(":", "tenant_id", "receipt_hash"), 256).alias("node"), "captured_day")
+    return placed.select("idx", F.sha2(F.concat_ws(":", "tenant_id", "receipt_hash"), 256).alias("node"), "captured_day", "ts")
 
 
 @query("tree_heads")
@@ -201,6 +229,25 @@ def tree_heads(spark, sf_dir):
     return op.tree_heads(op.tree_nodes(rows), rows.groupBy("captured_day").agg((F.max("idx") + 1).alias("size")))
 
 
+@query("log_heads", """WITH w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS start, count(*) AS n FROM receipts GROUP BY 1)
+SELECT strftime(start, '%Y-%m-%dT%H:%M:%S') AS window_start, CAST(sum(n) OVER (ORDER BY start) AS BIGINT) AS size, true AS as_rebuilt FROM w""", "receipts")
+def log_heads(spark, sf_dir):
+    """A head every five minutes in four runs; a run has the peaks that the one before left and reads new leaves only. Each is held against the head of a rebuilt tree."""
+    rows = written(logged(spark, sf_dir))
+    start = F.window(F.col("ts").cast("timestamp"), "5 minutes")["start"]
+    sizes = written(rows.groupBy(start.alias("start")).agg((F.max("idx") + 1).alias("size")))
+    peaks, size, heads = spark.createDataFrame([], "level int, pos long, hash string"), 0, None
+    for until in ("2024-01-08", "2024-01-16", "2024-01-24", "9999-01-01"):
+        nodes, grown = op.extend_log(peaks, size, rows.where((F.col("idx") >= size) & (F.col("ts") < F.lit(until).cast("timestamp_ntz"))).select("idx", "node"))
+        nodes = written(nodes)
+        new = op.tree_heads(nodes, sizes.where((F.col("size") > size) & (F.col("size") <= grown)))
+        heads = new if heads is None else heads.unionByName(new)
+        peaks, size = written(op.peaks_of(nodes, grown)), grown
+    rebuilt = op.tree_heads(op.tree_nodes(rows), sizes).withColumnRenamed("root", "_root")
+    found = sizes.join(heads, "size").join(rebuilt, "size")
+    return found.select(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "size", (F.col("root") == F.col("_root")).alias("as_rebuilt"))
+
+
 @query("tree_consistency", """WITH s AS (SELECT captured_day, CAST(sum(n) OVER (ORDER BY captured_day) AS BIGINT) AS size FROM (SELECT captured_day, count(*) AS n FROM receipts GROUP BY 1)),
 h AS (SELECT size, lead(size) OVER (ORDER BY size) AS next_size FROM s) SELECT size, next_size, size % 3 <> 0 AND next_size % 3 <> 0 AS consistent FROM h WHERE next_size IS NOT NULL""", "receipts")
 def tree_consistency(spark, sf_dir):

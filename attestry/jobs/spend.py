@@ -11,8 +11,9 @@ from attestry.sources import dims, receipts
 _PRICED = "WITH priced AS (SELECT r.*, input_tokens * nano_in + output_tokens * nano_out AS nano FROM receipts r LEFT JOIN pricing USING (vendor, model)) "
 
 
-def priced(spark, sf_dir):
-    return op.price_usage(receipts.receipts(spark, sf_dir), dims.table(spark, "pricing"))
+def priced(spark, sf_dir, chain: bool = False):
+    """Receipts with their cost; with their place in the chain only where a job asks for it."""
+    return op.price_usage((receipts.receipts if chain else receipts.core)(spark, sf_dir), dims.table(spark, "pricing"))
 
 
 @query("flatten_receipts", _PRICED + """SELECT receipt_id, tenant_id, captured_at, coalesce(vendor, 'unknown') AS vendor, coalesce(model, 'unknown') AS model, input_tokens, output_tokens,
@@ -20,7 +21,7 @@ def priced(spark, sf_dir):
 def flatten_receipts(spark, sf_dir):
     unknown = lambda x: F.coalesce(x, F.lit("unknown")).alias(x)
     cost = (F.coalesce("nano", F.lit(0)) / F.lit(1e9)).alias("cost_usd")
-    return priced(spark, sf_dir).select(
+    return priced(spark, sf_dir, chain=True).select(
         "receipt_id", "tenant_id", "captured_at", unknown("vendor"), unknown("model"), "input_tokens", "output_tokens", cost, F.col("nano").isNotNull().alias("priced"), "evidence_refs", "signed", "chain_height"
     )
 
@@ -70,7 +71,7 @@ def unpriced_models(spark, sf_dir):
   CAST(sum(input_tokens + output_tokens) FILTER (nano IS NOT NULL) AS BIGINT) AS priced_tokens, count(*) FILTER (signed) AS signed, CAST(max(chain_height) AS INT) AS max_chain_height,
   count(*) FILTER (evidence_refs > 0) AS with_evidence, min(captured_at) AS period_start, max(captured_at) AS period_end FROM priced""", "receipts", "pricing")
 def summarize_totals(spark, sf_dir):
-    return op.summarize_totals(priced(spark, sf_dir))
+    return op.summarize_totals(priced(spark, sf_dir, chain=True))
 
 
 def _by(keys: str) -> str:
@@ -136,13 +137,13 @@ def expand_workloads(spark, sf_dir):
 @query("carbon_of", """SELECT receipt_id, floor((input_tokens + output_tokens) * deci_wh_1k / 1e4::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS wh,
   floor((input_tokens + output_tokens) * deci_wh_1k * grid_g / 1e7::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS g_co2e FROM receipts LEFT JOIN energy USING (vendor, model)""", "receipts", "energy")
 def carbon_of(spark, sf_dir):
-    return op.carbon_of(receipts.receipts(spark, sf_dir), dims.table(spark, "energy")).select("receipt_id", "wh", "g_co2e")
+    return op.carbon_of(receipts.core(spark, sf_dir), dims.table(spark, "energy")).select("receipt_id", "wh", "g_co2e")
 
 
 @query("carbon_rollup", """SELECT vendor, floor(CAST(sum((input_tokens + output_tokens) * deci_wh_1k) AS BIGINT) / 1e4::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS wh,
   floor(CAST(sum((input_tokens + output_tokens) * deci_wh_1k * grid_g) AS BIGINT) / 1e7::DOUBLE * 10000::DOUBLE + 0.5::DOUBLE) / 10000::DOUBLE AS g_co2e FROM receipts JOIN energy USING (vendor, model) GROUP BY ROLLUP (vendor)""", "receipts", "energy")
 def carbon_rollup(spark, sf_dir):
-    return op.carbon_rollup(receipts.receipts(spark, sf_dir), dims.table(spark, "energy"))
+    return op.carbon_rollup(receipts.core(spark, sf_dir), dims.table(spark, "energy"))
 
 
 _PAIRS = """WITH pairs AS (SELECT run_id, intent, approved, at_iso, planner_in * p.nano_in + planner_out * p.nano_out + coalesce(executor_in, 0) * e.nano_in + coalesce(executor_out, 0) * e.nano_out AS cost_nano,

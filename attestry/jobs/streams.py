@@ -14,7 +14,7 @@ from attestry.streaming import sinks
 
 def timed(spark, sf_dir):
     """Priced receipts with a session-zone timestamp for watermarks."""
-    return priced(spark, sf_dir).select("receipt_id", "event_id", "tenant_id", F.col("ts").cast("timestamp").alias("ts"), "captured_at", "outcome", "input_tokens", "output_tokens", "nano", "chain_height", "receipt_hash", "previous_receipt_hash", "user_name", "kind")
+    return priced(spark, sf_dir, chain=True).select("receipt_id", "event_id", "tenant_id", F.col("ts").cast("timestamp").alias("ts"), "captured_at", "outcome", "input_tokens", "output_tokens", "nano", "chain_height", "receipt_hash", "previous_receipt_hash", "user_name", "kind")
 
 
 # The last window(s) stay open: a window is emitted once the watermark (one hour behind the newest of the batches before) has passed its end.
@@ -68,7 +68,7 @@ def stream_late_rows(spark, sf_dir):
     """Every 37th receipt comes five days after its time, every 41st half an hour: what the gate lets through, and what it puts aside."""
     base = op.folder(spark)
     delay = F.when(F.col("event_id") % 37 == 0, 432_000).when(F.col("event_id") % 41 == 0, 1800).otherwise(0)
-    rows = receipts.receipts(spark, sf_dir).select("receipt_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("ts").cast("timestamp").cast("double") + delay).alias("came_s"))
+    rows = receipts.core(spark, sf_dir).select("receipt_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("ts").cast("timestamp").cast("double") + delay).alias("came_s"))
     op.in_slices(rows, lambda stream: op.drain(stream, sinks.gate(base), f"{base}/state"), order="came_s")
     read = lambda name: sinks.read_once(spark, f"{base}/{name}", "receipt_id string")
     return read("main").withColumn("late", F.lit(False)).unionByName(read("side").withColumn("late", F.lit(True)))
@@ -105,7 +105,7 @@ SELECT kind, count(*) AS calls, count(*) FILTER (hit) AS hits FROM run GROUP BY
 def stream_prompt_cache(spark, sf_dir):
     """Prompts keyed by user and event kind; the hit rate per kind."""
     ts = F.col("ts").cast("timestamp")
-    rows = receipts.receipts(spark, sf_dir).select(F.concat_ws("|", "user_name", "kind").alias("prompt_key"), "event_id", F.unix_timestamp(ts).alias("at_s"), ts.alias("ts"))
+    rows = receipts.core(spark, sf_dir).select(F.concat_ws("|", "user_name", "kind").alias("prompt_key"), "event_id", F.unix_timestamp(ts).alias("at_s"), ts.alias("ts"))
     found = op.in_slices(rows, lambda x: op.stream_prompt_cache(x, ttl_seconds=86_400), flush="2 hours")
     return found.groupBy(F.substring_index("prompt_key", "|", -1).alias("kind")).agg(F.count(F.lit(1)).alias("calls"), F.count_if("hit").alias("hits"))
 

@@ -139,7 +139,7 @@ def write_evidence_pack(spark, sf_dir):
     """A tenant's receipts of a period, an inclusion proof of each that can be checked from the pack alone, the keys and the manifest."""
     path, rows = _folder(spark), rows_of(spark, sf_dir)
     leaves = ledger_jobs.leaves(spark, sf_dir)
-    proofs = ledger.merkle_batches(leaves).join(leaves, ["batch", "idx"]).select(F.col("batch").alias("tenant_id"), (F.col("idx") + 1).cast("int").alias("chain_height"), "node", "path", "root")
+    proofs = ledger.merkle_batches(leaves).join(leaves, ["batch", "idx"]).select(F.col("batch").alias("tenant_id"), (F.col("idx") + 1).cast("int").alias("chain_height"), "idx", "size", "node", "path", "root")
     proofs = rows.select("tenant_id", "receipt_id", "captured_at", "chain_height").join(proofs, ["tenant_id", "chain_height"])
     period = rows.where(_PERIOD)
     known = spark.createDataFrame(list(ledger_jobs.public_keys().items()), "kid string, public_key string").withColumn("alg", F.lit("EdDSA"))

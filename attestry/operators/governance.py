@@ -1,6 +1,6 @@
 """Who may do what, and what regulators ask for: key validity, registries, citations, reviews, approvals, alerts, views.
 
-Dimensions (keys, registries, articles) are broadcast. Evidence samples are cut by row_number before they are collected,
+Dimensions (keys, registries, articles) are looked up: broadcast below a counted size, else joined with hot keys split. Evidence samples are cut by row_number before they are collected,
 so no group is gathered whole. Order ties are broken by receipt_id everywhere.
 """
 
@@ -12,16 +12,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.columns import half_up, share, usd
+from attestry.functions.tables import lookup, written
 
 
 def keys_valid_at(rows: DataFrame, keys: DataFrame) -> DataFrame:
     """rows (kid, captured_at) with key_ok: an active key, or a retired one up to its retirement moment; else closed."""
     status = keys.select("kid", F.col("status").alias("_status"), F.try_to_timestamp("retired_at").alias("_until"))
-    joined = rows.join(status, "kid", "left")
+    joined = lookup(rows, status, ["kid"])
     ok = (F.col("_status") == "active") | ((F.col("_status") == "retired") & (F.try_to_timestamp("captured_at") <= F.col("_until")))
     return joined.withColumn("key_ok", F.coalesce(ok, F.lit(False))).drop("_status", "_until")
 
 
+#: Seconds of a cell of time in which `keys_as_of` orders a key's receipts.
+CELL_SECONDS = 86_400
+
+
+def keys_as_of(rows: DataFrame, windows: DataFrame, at: str = "captured_at") -> DataFrame:
+    """rows with key_status and key_ok: the kid's window (kid, valid_from, valid_until, status) that began last before or at a row's time.
+
+    A key may have any number of windows: rotations, retirements, revocations. The row's key is good if that window is
+    active, or retired, and has not ended (valid_until null: open; the end itself counts). Rows without a kid, a time or a
+    window, and windows without a start, are closed. Of windows with one start the one with the lesser end (open last) comes last.
+
+    An as-of pass, not a range join: rows and window starts are put in order inside cells of a kid's time, so that a hot
+    kid isn't sorted in one task; what held when a cell began comes from the windows and the kid's cells alone.
+    """
+    order = [F.col("_t"), F.col("_kind"), F.col("_end").desc_nulls_first()]
+    second = lambda c: F.unix_micros(F.try_to_timestamp(F.col(c).cast("string")))
+    cell = F.floor(F.col("_t") / (CELL_SECONDS * 1_000_000)).alias("_cell")
+    starts = windows.select("kid", second("valid_from").alias("_t"), second("valid_until").alias("_end"), F.col("status").alias("_status")).where("kid is not null and _t is not null")
+    starts = starts.withColumn("_w", F.struct(F.col("_end").alias("until"), F.col("_status").alias("status"))).withColumn("_kind", F.lit(0))
+    held = rows.withColumn("_t", second(at)).withColumn("_kind", F.lit(1)).withColumn("_end", F.lit(None).cast("long"))
+    cells = held.where("kid is not null and _t is not null").select("kid", cell).distinct()
+    # the last window before each cell: cells take part as rows that begin at their own start, before any window there
+    edges = cells.select("kid", "_cell", (F.col("_cell") * (CELL_SECONDS * 1_000_000)).alias("_t"), F.lit(-1).alias("_kind"), F.lit(None).cast("long").alias("_end"), F.lit(None).cast(starts.schema["_w"].dataType).alias("_w"))
+    both = edges.unionByName(starts.select("kid", F.lit(None).cast("long").alias("_cell"), "_t", "_kind", "_end", "_w"))
+    before = both.withColumn("_before", F.last("_w", ignorenulls=True).over(Window.partitionBy("kid").orderBy(*order))).where("_kind = -1").select("kid", "_cell", "_before")
+    slim = held.withColumn("_row", F.struct(*rows.columns)).select("kid", "_t", cell, "_kind", "_end", "_row")
+    mixed = slim.unionByName(starts.select("kid", "_t", cell, "_kind", "_end", "_w"), allowMissingColumns=True)
+    inside = F.last("_w", ignorenulls=True).over(Window.partitionBy("kid", "_cell").orderBy(*order))
+    known = mixed.withColumn("_in", inside).where("_kind = 1").join(before, ["kid", "_cell"], "left")
+    w = F.coalesce("_in", "_before")
+    ok = w["status"].isin("active", "retired") & F.coalesce(F.col("_t") <= w["until"], F.lit(True))
+    status = F.when(F.col("_t").isNotNull(), w["status"])
+    return known.select("_row", status.alias("key_status"), (F.coalesce(ok, F.lit(False)) & F.col("_t").isNotNull()).alias("key_ok")).select("_row.*", "key_status", "key_ok")
+
+
 #: Where a flat receipt holds each field path of the articles.
 PATHS = {
     "event.context.user_id": "user_name is not null",
@@ -64,8 +100,8 @@ def cite_receipts(rows: DataFrame, articles: DataFrame) -> DataFrame:
     met = told.select("_fields").distinct().withColumn("present", present).join(packed).select("_fields", "present", F.explode("a").alias("a")).select("_fields", "present", "a.*")
     n = F.size(F.array_intersect("fields", "present"))
     cited = met.withColumn("n", n).where("n > 0").withColumn("confidence", half_up(F.col("n") / F.size("fields"), 2))
-    packed = cited.groupBy("_fields").agg(F.collect_list(F.struct("framework", "regulator", "article_id", "confidence")).alias("_cited"))
-    return told.join(packed, "_fields").select("receipt_id", F.explode("_cited").alias("c")).select("receipt_id", "c.*")
+    packed = written(cited.groupBy("_fields").agg(F.collect_list(F.struct("framework", "regulator", "article_id", "confidence")).alias("_cited")))
+    return lookup(told, packed, ["_fields"], "inner").select("receipt_id", F.explode("_cited").alias("c")).select("receipt_id", "c.*")
 
 
 def regulator_coverage(citations: DataFrame, articles: DataFrame) -> DataFrame:
@@ -89,7 +125,7 @@ def compliance_gaps(rows: DataFrame, articles: DataFrame) -> DataFrame:
 def validate_use_case(rows: DataFrame, use_cases: DataFrame) -> DataFrame:
     """receipt_id, ok, reasons: unknown or ended use cases stop there; else model, source and class are checked."""
     registry = use_cases.select("use_case_id", F.col("status").alias("_status"), "models", "sources", "classes")
-    joined = rows.join(registry, "use_case_id", "left")
+    joined = lookup(rows, registry, ["use_case_id"])
     none = F.array().cast("array<string>")
     checks = F.array(
         F.when(F.col("model").isNotNull() & ~F.array_contains("models", F.col("model")), "model_not_approved_for_use_case"),
@@ -107,7 +143,7 @@ def validate_use_case(rows: DataFrame, use_cases: DataFrame) -> DataFrame:
 def validate_model_assignment(rows: DataFrame, models: DataFrame) -> DataFrame:
     """receipt_id, reason: the first thing against the receipt's model in its use case; null if there is none."""
     registry = models.select("model", F.col("status").alias("_status"), "use_cases")
-    joined = rows.where("model is not null").join(registry, "model", "left")
+    joined = lookup(rows.where("model is not null"), registry, ["model"])
     reason = (
         F.when(F.col("_status").isNull(), "unknown_model")
         .when(F.col("_status") == "revoked", "model_revoked")
@@ -175,7 +211,7 @@ def invalid_transitions(log: DataFrame, permitted: DataFrame) -> DataFrame:
     """Rows of log (subject, seq, from_state, to_state) that aren't permitted, or don't start where the one before ended."""
     last = F.lag("to_state").over(Window.partitionBy("subject").orderBy("seq"))
     rules = permitted.select("from_state", "to_state", F.lit(True).alias("_known"))
-    joined = log.withColumn("_last", last).join(rules, ["from_state", "to_state"], "left")
+    joined = lookup(log.withColumn("_last", last), rules, ["from_state", "to_state"])
     why = F.when(F.col("_known").isNull(), "not_permitted").when(F.col("_last").isNotNull() & (F.col("_last") != F.col("from_state")), "broken_sequence")
     return joined.select("subject", "seq", "from_state", "to_state", why.alias("why")).where("why is not null")
 
@@ -256,7 +292,7 @@ def alert_rules_per_receipt(rows: DataFrame, rules: list[tuple[str, str, str | C
 
 def alert_over_tiering(rows: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Receipts of the (model, app) pairs of over_tiering."""
-    return rows.join(suggestions.select("model", "app").distinct(), ["model", "app"], "left_semi").select(F.lit("over-tiering").alias("rule"), F.lit("medium").alias("severity"), "receipt_id")
+    return lookup(rows, written(suggestions.select("model", "app").distinct()), ["model", "app"], "left_semi").select(F.lit("over-tiering").alias("rule"), F.lit("medium").alias("severity"), "receipt_id")
 
 
 def run_alerts(rows: DataFrame, more: list[Callable[[DataFrame], DataFrame]] = (), cap: int = 20) -> DataFrame:
@@ -359,7 +395,7 @@ def vendor_benchmark(rows: DataFrame, pricing: DataFrame) -> DataFrame:
         F.sum("output_tokens").alias("output_tokens"),
         F.count_if((F.col("outcome") == "error") & (F.col("decision") == "block")).alias("severe"),
     )
-    joined = samples.join(pricing, ["vendor", "model"], "left")
+    joined = lookup(samples, pricing, ["vendor", "model"])
     fine = F.greatest(F.lit(1), F.col("invocations") - F.col("errors") - F.col("blocked"))
     nano = F.col("input_tokens") * F.col("nano_in") + F.col("output_tokens") * F.col("nano_out")
     out = joined.select(

@@ -8,7 +8,6 @@ and the blocks' roots go through the same step again, so no task sees a whole tr
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from attestry.functions.canonical import body_hash, ed25519_sign, ed25519_valid
-from attestry.functions.tables import written
+from attestry.functions.tables import lookup, written
 
 ZERO = "0" * 64
 BLOCK_BITS = 12
@@ -104,6 +103,16 @@ def verify_pack(checks: DataFrame) -> DataFrame:
     return checks.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("receipts"), F.count_if(bad).alias("failed"), (F.count_if(bad) == 0).alias("valid"))
 
 
+def pack_failures(checks: DataFrame) -> DataFrame:
+    """tenant_id, receipt_id, failed of checks (tenant_id, receipt_id, hash_ok, signature_ok, included): each receipt that fails, with all checks it fails, in order.
+
+    A check without an answer fails, so a pack without keys lists every receipt.
+    """
+    names = (("body", "hash_ok"), ("inclusion", "included"), ("signature", "signature_ok"))
+    failed = F.filter(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), F.lit(name)) for name, c in names]), lambda x: x.isNotNull())
+    return checks.select("tenant_id", "receipt_id", F.array_join(failed, ",").alias("failed")).where("failed <> ''")
+
+
 def verify_receipts(rows: DataFrame, keys: dict[str, str] | None = None) -> DataFrame:
     """receipt_id, hash_ok, signature_ok of rows (receipt_id, raw: JSON text of the body, receipt_hash, kid, signature: hex).
 
@@ -233,27 +242,52 @@ def _level(nodes: DataFrame, base: int, proofs: bool) -> tuple[DataFrame, DataFr
 
 
 def merkle_batches(leaves: DataFrame) -> DataFrame:
-    """batch, idx, path, root for leaves (batch, idx from 0, node: hex).
+    """batch, idx, size, path, root for leaves (batch, idx from 0, node: hex); size: the leaves of the batch.
 
     path: siblings from the leaf up, each with its side. An odd last node moves up unpaired. The roots of blocks are the
     leaves of the next step, until no batch has two blocks; each step is computed once.
     """
+    proved = _proved(leaves)
+    sizes = written(proved.groupBy("batch").agg((F.max("idx") + 1).alias("size")))
+    return lookup(proved, sizes, ["batch"], "inner").select("batch", "idx", "size", "path", "root")
+
+
+def _proved(leaves: DataFrame) -> DataFrame:
     _, paths = _level(leaves, 0, proofs=True)
     tops = paths.groupBy("batch", "block").agg(F.min("root").alias("node")).select("batch", F.col("block").alias("idx"), "node")
     if not tops.where("idx > 0").take(1):
         return paths.select("batch", "idx", "path", "root")
-    upper = merkle_batches(tops).select("batch", F.col("idx").alias("block"), F.col("path").alias("more"), F.col("root").alias("top"))
+    upper = _proved(tops).select("batch", F.col("idx").alias("block"), F.col("path").alias("more"), F.col("root").alias("top"))
     return paths.join(upper, ["batch", "block"]).select("batch", "idx", F.concat("path", "more").alias("path"), F.col("top").alias("root"))
 
 
 def verify_inclusion(proofs: DataFrame) -> DataFrame:
-    """proofs (node, path, root, ...) with included: the path leads from the node to the root. A null path or node doesn't."""
+    """proofs (node, idx, size, path, root, ...) with included: the path leads from the leaf at idx of a tree of `size` leaves to the root.
 
-    def up(node: Column, step: Column) -> Column:
-        sibling, left = F.substring(step, 2, 64), F.substring(step, 1, 1) == "L"
-        return F.sha2(F.unhex(F.when(left, F.concat(F.lit("01"), sibling, node)).otherwise(F.concat(F.lit("01"), node, sibling))), 256)
+    The sides come from idx and size alone: a node at an even place has its sibling on the right, one at an odd place on
+    the left, and the last node of an odd level moves up by itself. An idx outside the tree, a step too few or too many, a
+    sibling that isn't 32 bytes of hex, and nulls are not included. A letter before a sibling is a note for readers.
+    """
 
-    return proofs.withColumn("included", F.coalesce(F.aggregate("path", F.col("node"), up) == F.col("root"), F.lit(False)))
+    def up(acc: Column, _: Column) -> Column:
+        h, idx, size, used = acc["h"], acc["idx"], acc["size"], acc["used"]
+        alone = (idx == size - 1) & (size % 2 == 1)
+        step = F.lower(F.get("path", used))
+        sibling = F.when(step.rlike("^[lr]?[0-9a-f]{64}$"), F.right(step, F.lit(64)))
+        pair = F.when(idx % 2 == 0, F.concat(F.lit("01"), h, sibling)).otherwise(F.concat(F.lit("01"), sibling, h))
+        over = F.struct(
+            F.when(alone, h).otherwise(F.sha2(F.unhex(pair), 256)).alias("h"),
+            F.floor(idx / 2).alias("idx"),
+            F.ceil(size / 2).alias("size"),
+            (used + F.when(alone, 0).otherwise(1)).alias("used"),
+        )
+        return F.when(size > 1, over).otherwise(acc)
+
+    inside = (F.col("idx") >= 0) & (F.col("idx") < F.col("size"))
+    start = F.struct(F.lower("node").alias("h"), F.col("idx").cast("long").alias("idx"), F.col("size").cast("long").alias("size"), F.lit(0).alias("used"))
+    levels = F.sequence(F.lit(1), F.length(F.bin(F.greatest(F.col("size").cast("long"), F.lit(1)))))
+    good = F.aggregate(levels, start, up, lambda acc: (acc["h"] == F.lower("root")) & (acc["used"] == F.size("path")))
+    return proofs.withColumn("included", F.coalesce(inside & good, F.lit(False)))
 
 
 def tree_nodes(leaves: DataFrame) -> DataFrame:
@@ -270,6 +304,65 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
         rows = nodes.where(F.col("level") == base).select("batch", F.col("pos").alias("idx"), F.col("hash").alias("node"))
 
 
+def _grown(leaves: DataFrame) -> DataFrame:
+    """level, pos, hash of every complete aligned subtree whose leaves are all among these (idx, node); idx starts anywhere."""
+
+    def step(base: int):
+        def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            row = {int(i): bytes.fromhex(h) for i, h in zip(pdf["idx"], pdf["node"], strict=True)}
+            out = [(0, i, h.hex()) for i, h in row.items()] if not base else []
+            for level in range(base + 1, base + BLOCK_BITS + 1):
+                row = {i >> 1: _pair(h, row[i + 1]) for i, h in row.items() if not i & 1 and i + 1 in row}
+                out += [(level, i, h.hex()) for i, h in row.items()]
+            return pd.DataFrame(out, columns=["level", "pos", "hash"])
+
+        return run
+
+    found, rows, base = None, leaves.select("idx", "node"), 0
+    while True:
+        nodes = written(rows.groupBy(F.shiftright("idx", BLOCK_BITS).alias("block")).applyInPandas(step(base), "level int, pos long, hash string"))
+        found = nodes if found is None else found.unionByName(nodes)
+        base += BLOCK_BITS
+        rows = nodes.where(F.col("level") == base).select(F.col("pos").alias("idx"), F.col("hash").alias("node"))
+        if len(rows.take(2)) < 2:
+            return found
+
+
+def peaks_of(nodes: DataFrame, size: int) -> DataFrame:
+    """The nodes that the bits of size name: all that a log of that size has to keep to grow (63 rows at most)."""
+    wanted = [(level, size >> (level + 1) << 1) for level in range(63) if size >> level & 1]
+    return lookup(nodes, nodes.sparkSession.createDataFrame(wanted, "level int, pos long"), ["level", "pos"], "left_semi") if wanted else nodes.where("false")
+
+
+def extend_log(peaks: DataFrame, size: int, leaves: DataFrame) -> tuple[DataFrame, int]:
+    """(nodes, new size) of a log of `size` leaves with these peaks (level, pos, hash) after new leaves (idx from size on, node).
+
+    nodes are the old peaks, the complete subtrees of new leaves alone, and those that join both: on the way up from the
+    old end there is one a level at most, so they are folded from at most 63 rows each of old peaks and new siblings. All
+    heads from `size` on, and all later ones, follow from these nodes: no old leaf is read again.
+    """
+    spark = leaves.sparkSession
+    fresh = _grown(leaves)
+    newest = leaves.agg(F.max("idx")).first()[0]
+    if newest is None:
+        return peaks, size
+    held = {(r["level"], r["pos"]): r["hash"] for r in peaks.collect()} if size else {}
+    at = [(level, ((size - 1) >> level) + 1) for level in range(63) if size and not (size - 1) >> level & 1]
+    if at:
+        held |= {(r["level"], r["pos"]): r["hash"] for r in lookup(fresh, spark.createDataFrame(at, "level int, pos long"), ["level", "pos"], "left_semi").collect()}
+    joined, level = [], (size & -size).bit_length() - 1
+    pos = (size >> level) - 1 if size else 0
+    while size:
+        left, right = held.get((level, pos & ~1)), held.get((level, pos | 1))
+        if left is None or right is None:
+            break
+        level, pos = level + 1, pos >> 1
+        held[level, pos] = _pair(bytes.fromhex(left), bytes.fromhex(right)).hex()
+        joined.append((level, pos, held[level, pos]))
+    bridges = spark.createDataFrame(joined, "level int, pos long, hash string")
+    return peaks.select("level", "pos", "hash").unionByName(fresh).unionByName(bridges), newest + 1
+
+
 def _folded(peaks: Column) -> Column:
     """The root of an array of (level, hash) peaks, lowest level first."""
     return F.aggregate(F.slice(peaks, 2, F.size(peaks)), F.get(peaks, F.lit(0))["hash"], lambda h, x: F.sha2(F.unhex(F.concat(F.lit("01"), x["hash"], h)), 256))
@@ -407,45 +500,60 @@ def _inverted(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return met.where("_above >= _own").select(*key).distinct()
 
 
+def _depths(steps: DataFrame, links: DataFrame) -> DataFrame:
+    """tenant_id, workflow_id, step, depth (parents above it on its longest way up; null on and below a cycle) of steps and links (step, parent).
+
+    Steps with one parent at most jump: each round doubles how far up a step has looked, so a chain of a million steps takes
+    twenty rounds; what hasn't reached a step without a parent after as many rounds as the count has bits is bound to a
+    cycle. Where a step has several parents, rounds peel off steps whose parents all have a depth, one round a depth.
+    """
+    key = ["tenant_id", "workflow_id", "step"]
+    links = links.select(*key, "parent").distinct()
+    if not links.groupBy(*key).count().where("count > 1").take(1):
+        state = written(steps.select(*key).distinct().join(links, key, "left").select(*key, F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
+        for _ in range(max(1, state.count()).bit_length() + 1):
+            if not state.where("up is not null").take(1):
+                break
+            above = state.select("tenant_id", "workflow_id", F.col("step").alias("up"), F.col("up").alias("_next"), F.col("depth").alias("_more"))
+            met = state.where("up is not null").join(above, ["tenant_id", "workflow_id", "up"]).select(*key, F.col("_next").alias("up"), (F.col("depth") + F.col("_more")).alias("depth"))
+            state = written(met.unionByName(state.where("up is null")))
+        return state.select(*key, F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    waiting = written(steps.select(*key).distinct())
+    done = waiting.where("false").withColumn("depth", F.lit(0).cast("long"))
+    for depth in range(waiting.count()):
+        parents = waiting.select("tenant_id", "workflow_id", F.col("step").alias("parent"))
+        blocked = links.join(parents, ["tenant_id", "workflow_id", "parent"], "left_semi").select(*key).distinct()
+        ready = written(waiting.join(blocked, key, "left_anti"))
+        if not ready.take(1):
+            break
+        done = done.unionByName(ready.withColumn("depth", F.lit(depth).cast("long")))
+        waiting = written(waiting.join(ready, key, "left_anti"))
+    return done.unionByName(waiting.withColumn("depth", F.lit(None).cast("long")))
+
+
 def workflow_order(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    """tenant_id, workflow_id, step, place, acyclic: parents first, ties by (height, id). Steps of a cycle have no place.
+    """tenant_id, workflow_id, step, place, acyclic: parents first, ties by (height, id). Steps on or below a cycle have no place.
 
     Where every step stands above its parents, that order is the one of heights, counted by cells of heights, so that a
-    runaway workflow isn't sorted in one task. Only workflows with other steps, which a ledger that is written in order
-    hasn't, are ordered one by one in Python.
+    runaway workflow isn't sorted in one task. Workflows with other steps, which a ledger that is written in order hasn't,
+    are ordered by depth, then height and id; depths come from rounds of joins, places from cells again.
     """
     steps = rows.where("workflow_id is not null").select("tenant_id", "workflow_id", F.col("receipt_id").alias("step"), "chain_height")
     key = ["tenant_id", "workflow_id"]
-
-    def run(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        height = dict(zip(nodes["step"], nodes["chain_height"], strict=True))
-        waits = dict.fromkeys(height, 0)
-        after: dict[str, list[str]] = {}
-        for step, parent in zip(links["step"], links["parent"], strict=True):
-            waits[step] += 1
-            after.setdefault(parent, []).append(step)
-        ready = [(height[s], s) for s, n in waits.items() if not n]
-        heapq.heapify(ready)
-        order = []
-        while ready:
-            _, step = heapq.heappop(ready)
-            order.append(step)
-            for child in after.get(step, ()):
-                waits[child] -= 1
-                if not waits[child]:
-                    heapq.heappush(ready, (height[child], child))
-        place = {s: k for k, s in enumerate(order)}
-        acyclic = len(order) == len(height)
-        return pd.DataFrame({"tenant_id": nodes["tenant_id"], "workflow_id": nodes["workflow_id"], "step": nodes["step"], "place": nodes["step"].map(place).astype("Int64"), "acyclic": acyclic})
-
     odd = written(_inverted(rows, edges))
-    plain = steps.join(odd, key, "left_anti").withColumn("_wf", F.struct(*key))
-    placed = indexed(plain, "_wf", ["chain_height", "step"], F.floor(F.col("chain_height") / BLOCK))
+    placed = indexed(steps.join(odd, key, "left_anti").withColumn("_wf", F.struct(*key)), "_wf", ["chain_height", "step"], F.floor(F.col("chain_height") / BLOCK))
     placed = placed.select(*key, "step", F.col("idx").cast("long").alias("place"), F.lit(True).alias("acyclic"))
-    good = edges.where("present").join(odd, key, "left_semi").select(*[F.col(c).alias(c) for c in (*key, "step", "parent")])
-    rest = steps.join(odd, key, "left_semi").select(*[F.col(c).alias(c) for c in steps.columns])
-    schema = "tenant_id string, workflow_id string, step string, place long, acyclic boolean"
-    return placed.unionByName(rest.groupBy(*key).cogroup(good.groupBy(*key)).applyInPandas(run, schema))
+    if not odd.take(1):
+        return placed
+    rest = written(steps.join(odd, key, "left_semi"))
+    depths = written(_depths(rest, edges.where("present").join(odd, key, "left_semi")))
+    known = rest.join(depths, [*key, "step"])
+    # a cell holds the steps of one depth and block of heights; depths and heights make a number that sorts like the pair
+    cell = F.struct("depth", F.floor(F.col("chain_height") / BLOCK).alias("block"))
+    ordered = indexed(known.where("depth is not null").withColumn("_wf", F.struct(*key)), "_wf", ["depth", "chain_height", "step"], cell)
+    cyclic = depths.where("depth is null").select(*key).distinct().withColumn("_loop", F.lit(True))
+    found = ordered.select(*key, "step", F.col("idx").cast("long").alias("place")).unionByName(known.where("depth is null").select(*key, "step", F.lit(None).cast("long").alias("place")))
+    return placed.unionByName(found.join(cyclic, key, "left").select(*key, "step", "place", F.col("_loop").isNull().alias("acyclic")))
 
 
 def verify_workflows(rows: DataFrame, verified: DataFrame) -> DataFrame:

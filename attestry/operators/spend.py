@@ -1,7 +1,7 @@
 """Usage, cost, carbon and savings over receipts and bills.
 
-Costs are integer nano-dollars until the last step, so sums don't depend on order. Dimensions are broadcast; each job
-shuffles integer partial sums of its group keys only. Null vendors and models have no price: their cost is null in
+Costs are integer nano-dollars until the last step, so sums don't depend on order. Dimensions are looked up (`lookup`: broadcast
+below a counted size, else joined with hot keys split); each job shuffles integer partial sums of its group keys only. Null vendors and models have no price: their cost is null in
 benchmarks and 0 with a caveat in reports, as stated by each function.
 """
 
@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.columns import cost_nano, half_up, share, usd
+from attestry.functions.tables import lookup
 
 
 def price_usage(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """usage (vendor, model, input_tokens, output_tokens) with nano: the cost, null for a model without a price."""
-    return usage.join(pricing, ["vendor", "model"], "left").withColumn("nano", cost_nano()).drop("nano_in", "nano_out", "nano_read", "nano_write")
+    return lookup(usage, pricing, ["vendor", "model"]).withColumn("nano", cost_nano()).drop("nano_in", "nano_out", "nano_read", "nano_write")
 
 
 # Tier names in the order in which they are tried, with the vendor and model they stand for.
@@ -168,10 +169,10 @@ def over_tiering(rows: DataFrame, tiers: DataFrame, pricing: DataFrame, least_ca
 
     Decision-bearing receipts don't count. confidence is high where the average input is at most `high_input` tokens.
     """
-    light = rows.where("decision is null and model is not null").join(F.broadcast(tiers.where("premium")), ["vendor", "model"])
+    light = lookup(rows.where("decision is null and model is not null"), tiers.where("premium"), ["vendor", "model"], "inner")
     summed = light.groupBy("vendor", "model", "app", "cheaper").agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("nano").alias("nano"))
     alt = pricing.select("vendor", F.col("model").alias("cheaper"), "nano_in", "nano_out")
-    met = summed.where((F.col("requests") >= least_calls) & (F.col("output_tokens") <= light_output * F.col("requests"))).join(F.broadcast(alt), ["vendor", "cheaper"])
+    met = lookup(summed.where((F.col("requests") >= least_calls) & (F.col("output_tokens") <= light_output * F.col("requests"))), alt, ["vendor", "cheaper"], "inner")
     met = met.withColumn("alt_nano", cost_nano()).where("alt_nano < nano")
     return met.select(
         "vendor",
@@ -204,14 +205,14 @@ def expand_workloads(bill: DataFrame, *keys: str) -> DataFrame:
 def carbon_of(rows: DataFrame, energy: DataFrame) -> DataFrame:
     """rows with wh and g_co2e, 4 digits; null for a model without a profile."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
-    joined = rows.join(energy, ["vendor", "model"], "left")
+    joined = lookup(rows, energy, ["vendor", "model"])
     return joined.withColumn("wh", half_up(tokens * F.col("deci_wh_1k") / 1e4, 4)).withColumn("g_co2e", half_up(tokens * F.col("deci_wh_1k") * F.col("grid_g") / 1e7, 4)).drop("deci_wh_1k", "grid_g")
 
 
 def carbon_rollup(rows: DataFrame, energy: DataFrame) -> DataFrame:
     """vendor (null: total), wh, g_co2e: exact sums rounded once."""
     tokens = F.col("input_tokens") + F.col("output_tokens")
-    joined = rows.join(energy, ["vendor", "model"])
+    joined = lookup(rows, energy, ["vendor", "model"], "inner")
     summed = joined.rollup("vendor").agg(F.sum(tokens * F.col("deci_wh_1k")).alias("w"), F.sum(tokens * F.col("deci_wh_1k") * F.col("grid_g")).alias("g"))
     return summed.select("vendor", half_up(F.coalesce("w", F.lit(0)) / 1e4, 4).alias("wh"), half_up(F.coalesce("g", F.lit(0)) / 1e7, 4).alias("g_co2e"))
 
@@ -220,7 +221,8 @@ def cascade_pairs(runs: DataFrame, intents: DataFrame, pricing: DataFrame) -> Da
     """Each planner-executor run: its cost, all its tokens at the executor's price, and the saving, which may be negative."""
     plan = pricing.select(F.col("vendor").alias("planner_vendor"), F.col("model").alias("planner_model"), F.col("nano_in").alias("p_in"), F.col("nano_out").alias("p_out"))
     execute = pricing.select(F.col("vendor").alias("executor_vendor"), F.col("model").alias("executor_model"), F.col("nano_in").alias("e_in"), F.col("nano_out").alias("e_out"))
-    joined = runs.join(intents, "intent").join(F.broadcast(plan), ["planner_vendor", "planner_model"]).join(F.broadcast(execute), ["executor_vendor", "executor_model"])
+    joined = lookup(runs, intents, ["intent"], "inner")
+    joined = lookup(lookup(joined, plan, ["planner_vendor", "planner_model"], "inner"), execute, ["executor_vendor", "executor_model"], "inner")
     more_in, more_out = F.coalesce("executor_in", F.lit(0)), F.coalesce("executor_out", F.lit(0))
     cost = F.col("planner_in") * F.col("p_in") + F.col("planner_out") * F.col("p_out") + more_in * F.col("e_in") + more_out * F.col("e_out")
     base = (F.col("planner_in") + more_in) * F.col("e_in") + (F.col("planner_out") + more_out) * F.col("e_out")
@@ -249,7 +251,7 @@ def recommend(rows: DataFrame, tiers: DataFrame, pricing: DataFrame, days: int =
         F.count_if("cache_hit").alias("hits"),
     )
     alt = pricing.select("vendor", F.col("model").alias("cheaper"), "nano_in", "nano_out")
-    joined = summed.where("nano > 0").join(F.broadcast(tiers.where("premium")), ["vendor", "model"], "left").join(F.broadcast(alt), ["vendor", "cheaper"], "left").withColumn("alt", cost_nano())
+    joined = lookup(lookup(summed.where("nano > 0"), tiers.where("premium"), ["vendor", "model"]), alt, ["vendor", "cheaper"]).withColumn("alt", cost_nano())
     month = 30 / max(1, days)
     cents = lambda nano: half_up(nano * month / 1e9, 2)
     name = F.concat_ws(":", "vendor", "model")
@@ -269,7 +271,7 @@ def recommend(rows: DataFrame, tiers: DataFrame, pricing: DataFrame, days: int =
 def choose_cascade(rules: DataFrame, intents: DataFrame) -> DataFrame:
     """Planner and executor for each rule (intent, risk, estimated_input_tokens); risky or small tasks skip the planner."""
     skip = (F.col("risk") == "high") | (F.col("estimated_input_tokens") < 200)
-    joined = rules.join(intents, "intent")
+    joined = lookup(rules, intents, ["intent"], "inner")
     executor = F.concat_ws(":", "executor_vendor", "executor_model")
     reason = F.when(F.col("risk") == "high", "high risk").when(F.col("estimated_input_tokens") < 200, "small input").otherwise("cascade")
     return joined.select("run_id", F.when(skip, executor).otherwise(F.concat_ws(":", "planner_vendor", "planner_model")).alias("planner"), executor.alias("executor"), reason.alias("reason"))
@@ -277,7 +279,7 @@ def choose_cascade(rules: DataFrame, intents: DataFrame) -> DataFrame:
 
 def fit_score(prompts: DataFrame, intents: DataFrame) -> DataFrame:
     """run_id, score (hundredths / 100), recommended_model for (run_id, intent, expected_output, has_tools, prompt_chars)."""
-    joined = prompts.join(intents, "intent")
+    joined = lookup(prompts, intents, ["intent"], "inner")
     tokens = F.ceil(F.col("prompt_chars") / 4)
     points = F.col("base_score") - F.when(F.col("expected_output") > 2000, 10).otherwise(0) - F.when(F.col("has_tools"), 15).otherwise(0) + F.when(tokens < 400, 5).otherwise(0) - F.when(tokens > 4000, 10).otherwise(0)
     points = F.greatest(F.lit(0), F.least(F.lit(100), points))
@@ -290,7 +292,7 @@ def period_summary(by_model: DataFrame, pricing: DataFrame) -> DataFrame:
     by_model: vendor, model, input_tokens, output_tokens. Models without a price are left out. The output class takes what
     the rounded total leaves beside the rounded input class, so that the classes add up to it.
     """
-    found = by_model.join(pricing, ["vendor", "model"]).agg(
+    found = lookup(by_model, pricing, ["vendor", "model"], "inner").agg(
         F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"),
         F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens"),
         F.coalesce(F.sum(F.col("input_tokens") * F.col("nano_in")), F.lit(0)).alias("input_nano"),

@@ -1,11 +1,13 @@
-"""Small dimensions: prices, energy, tiers, keys, registries, articles. Each is a few hundred rows at most, so it is broadcast.
+"""Small dimensions: prices, energy, tiers, keys, registries, articles. Each is a few dozen rows, made as a local table whose size Spark knows.
 
 Prices are whole nano-dollars a token, which makes every sum of costs an exact integer; dollars appear at the edge.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Vendor, model, nano-dollars a token for input, output, cache read and cache write.
 PRICING = [
@@ -146,7 +148,8 @@ TABLES = {
 
 def table(spark: SparkSession, name: str) -> DataFrame:
     rows, schema = TABLES[name]
-    return spark.createDataFrame(rows, schema)
+    kind = spark.createDataFrame([], schema).schema
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(kind.names, r, strict=True)) for r in rows], to_arrow_schema(kind)), kind)
 
 
 def _literal(x) -> str:

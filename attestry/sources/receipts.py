@@ -88,8 +88,8 @@ WHERE role = 'user' AND next_role = 'assistant'
 _FILES = """
 SELECT coalesce(source, 'none') AS dataset_id, coalesce(source, 'none') || '/' || CAST(doc_id AS STRING) AS path, n_chars AS size_bytes, @SHA(coalesce(text, '')) AS sha256 FROM {documents}
 """
-_TEXTS = {"receipts": _FLAT, "workloads": _WORKLOADS, "cascade_runs": _CASCADES, "verdicts": _VERDICTS, "actions": _ACTIONS, "prompt_pairs": _PAIRS, "dataset_files": _FILES}
-_SOURCES = {"receipts": "events", "workloads": "lineitem", "cascade_runs": "orders", "verdicts": "lineitem", "actions": "orders", "prompt_pairs": "conversations", "dataset_files": "documents"}
+_TEXTS = {"receipts": _FLAT, "core": _CORE, "workloads": _WORKLOADS, "cascade_runs": _CASCADES, "verdicts": _VERDICTS, "actions": _ACTIONS, "prompt_pairs": _PAIRS, "dataset_files": _FILES}
+_SOURCES = {"receipts": "events", "core": "events", "workloads": "lineitem", "cascade_runs": "orders", "verdicts": "lineitem", "actions": "orders", "prompt_pairs": "conversations", "dataset_files": "documents"}
 
 
 def _calls(text: str, name: str, before: str, after: str) -> str:
@@ -113,6 +113,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{source: spark.read.parquet(f"{sf_dir}/{source}.parquet")})
 
 
+def core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The receipts without their place in the chain (heights, links, workflows): one pass over the events, no exchange."""
+    return table(spark, sf_dir, "core")
+
+
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat receipt for each event; null parent_id: the first step of its workflow."""
     return table(spark, sf_dir, "receipts")
