@@ -5,11 +5,13 @@ d = m * r + a or less (m segments, a < m) agree within r in one of the first a +
 others. So once those segment radii are probed, every code within d has been found. The radii grow round by round, and a
 round probes only the shell that is new: the segment values at a distance not probed before.
 
-Each query keeps the codes up to its bound, the least distance within which it knows k + 1 rows, and at first what all
-rounds together cover; the bound is a condition of the join with the index, so nothing farther leaves it. A query leaves
-the rounds once the covered radius reaches its bound: its k-th distance is then provably covered, ties included. Once the
-shells together would touch more codes than there are, the rest of the queries is compared with all codes instead, QUERIES
-of them at a time, and what lies within a reach leaves that join; the reach grows by STEP until it holds enough.
+Each query keeps the codes up to its bound, the least distance within which it knows k + 1 rows, and at first a reach: the
+distance within which a query has FEW rows a neighbour if codes were random, so that what leaves the join with the index
+doesn't grow with the table. The bound is a condition of that join. A query leaves the rounds once the covered radius reaches
+its bound: its k-th distance is then provably covered, ties included. Queries that are open when the reach is covered start
+again with a reach that is WIDER greater. Only when the shells together have touched SPEND times as many codes as there are
+(on small tables, or codes without near neighbours) are the queries still open compared with all codes, QUERIES of them at a
+time, and what lies within a reach leaves that join; the reach grows by STEP until it holds enough. `way` tells which.
 
 Equal codes are one index row with their count and their k + 1 least ids, and equal queries are one query; a code that a
 third of all rows share costs one comparison. Segments have about log2(rows) - 8 bits, 8 at least and 22 at most, so that
@@ -23,6 +25,7 @@ no queries give no rows.
 
 from __future__ import annotations
 
+import math
 from math import ceil, comb, log2
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,6 +37,7 @@ BITS = 64
 #: Queries that are compared with all codes at once, where shells no longer pay.
 QUERIES = 50_000
 STEP = 2
+FEW, WIDER, SPEND = 8, 4, 3.0
 
 
 def sign_code(vector: Column) -> Column:
@@ -65,20 +69,35 @@ def _value(code: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(code, shift).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def planned(cuts: list[tuple[int, int]], total: int) -> list[tuple[int, list]]:
-    """(radius covered, new shell) of the rounds that together touch fewer codes than there are; the rest is for a scan."""
-    out, spent, probed = [], 0.0, [-1] * len(cuts)
+def first_reach(rows: int, k: int) -> int:
+    """The greatest distance within which a query has at most FEW * (k + 1) of so many random codes."""
+    within = reach = 0
+    for d in range(BITS + 1):
+        within += math.comb(BITS, d)
+        if within * rows > FEW * (k + 1) * 2**BITS:
+            break
+        reach = d
+    return reach
+
+
+def planned(cuts: list[tuple[int, int]], reach: int) -> list[tuple[int, list]]:
+    """(radius covered, new shell) of the rounds up to the first that covers the reach."""
+    out, probed = [], [-1] * len(cuts)
     for d in radii(len(cuts)):
         r, a = divmod(min(d, BITS - 1), len(cuts))
         shell = [(s, *cut, probed[s] + 1, min(cut[1], r if s <= a else r - 1)) for s, cut in enumerate(cuts)]
-        spent += sum(comb(width, ones) * (1 + total / (1 << width)) for _, _, width, low, high in shell for ones in range(low, high + 1))
-        if spent > total:
-            break
         probed = [max(x[4], was) for x, was in zip(shell, probed, strict=True)]
         out.append((d, shell))
+        if d >= reach:
+            break
     return out
 
 
+def touched(shell: list[tuple[int, int, int, int, int]], total: int) -> float:
+    """Probes of a shell and the codes that they meet, for one query."""
+    return sum(comb(width, ones) * (1 + total / (1 << width)) for _, _, width, low, high in shell for ones in range(low, high + 1))
+
+
 def _probed(asking: DataFrame, index: DataFrame, shell: list[tuple[int, int, int, int, int]], distance: Column) -> DataFrame:
     """q, code, n, distance of the codes in the shell (segment, shift, width, least and most bits that differ) of each query."""
     widest = max(width for _, _, width, _, _ in shell)
@@ -104,7 +123,7 @@ def _bounds(held: DataFrame, k: int) -> DataFrame:
 
 
 def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank (from 1), neighbor_id, distance. base, queries: id long, code long."""
+    """query_id, rank (from 1), neighbor_id, distance, way (rounds or scan). base, queries: id long, code long."""
     spark = base.sparkSession
     rows = base.where("id is not null and code is not null").select("id", "code").distinct()
     first = Window.partitionBy("code").orderBy("id")
@@ -117,44 +136,54 @@ def search(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = written(codes.select("code", "n", F.explode(pieces).alias("p")).select("p.s", "p.value", "code", "n"))
     total = codes.count()
     distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
-    rounds = planned(cuts, total)
-    covered = rounds[-1][0] if rounds else -1  # what all shells together cover; a code beyond is of no use to them
-    asking = written(asked.select("q").distinct().withColumn("bound", F.lit(covered)))
-    held = spark.createDataFrame([], "q long, code long, n long, distance int")
-    done = held
-    for d, shell in rounds:
-        held = written(held.union(_probed(asking, index, shell, distance)).distinct())
-        asking = written(asking.join(_bounds(held, k).withColumnRenamed("bound", "known"), "q", "left").select("q", F.coalesce("known", F.lit(covered)).alias("bound"), (F.col("known") <= d).alias("over")))
-        held = held.join(asking, "q").where("distance <= bound")
-        done = done.union(held.where("over").select("q", "code", "n", "distance"))
-        held = written(held.where("over is null or not over").select("q", "code", "n", "distance"))
-        asking = written(asking.where("over is null or not over").drop("over"))
-        if not asking.take(1):
+    none = spark.createDataFrame([], "q long, code long, n long, distance int")
+    done, reach, spent = none, first_reach(total, k), 0.0
+    asking = written(asked.select("q").distinct())
+    while asking.take(1):
+        rounds = planned(cuts, reach)
+        spent += sum(touched(shell, total) for _, shell in rounds)
+        if spent > SPEND * total:
+            break
+        asking, held = asking.select("q").withColumn("bound", F.lit(reach)), none
+        for d, shell in rounds:
+            held = written(held.union(_probed(asking, index, shell, distance)).distinct())
+            known = asking.join(_bounds(held, k).withColumnRenamed("bound", "known"), "q", "left")
+            asking = written(known.select("q", F.coalesce("known", F.lit(reach)).alias("bound"), (F.col("known") <= d).alias("over")))
+            held = held.join(asking, "q").where("distance <= bound")
+            done = done.union(held.where("over").select("q", "code", "n", "distance"))
+            held = written(held.where("over is null or not over").select("q", "code", "n", "distance"))
+            asking = written(asking.where("over is null or not over").drop("over"))
+            if not asking.take(1):
+                break
+        if reach == BITS:
             break
+        reach = min(BITS, reach + WIDER)
+    asking = written(asking.select("q"))
+    done = done.withColumn("way", F.lit("rounds"))
     count = asking.count()
     for k_part in range(ceil(count / QUERIES)):
         some = written(asking.where(F.pmod(F.xxhash64("q"), F.lit(ceil(count / QUERIES))) == k_part).select("q"))
-        reach = covered
+        reach = max(0, first_reach(total, k) - STEP)
         while some.take(1):  # all codes within `reach`, which grows until it holds enough of them
             reach = min(BITS, reach + STEP)
             met = written(_scanned(codes, some.withColumn("bound", F.lit(reach)), distance))
             found = _bounds(met, k).where("bound is not null").select("q", "bound")
             if reach == BITS:
                 found = some.select("q", F.lit(BITS).alias("bound"))
-            done = done.union(met.join(found, "q").where("distance <= bound").select("q", "code", "n", "distance"))
+            done = done.union(met.join(found, "q").where("distance <= bound").select("q", "code", "n", "distance", F.lit("scan").alias("way")))
             some = written(some.join(found, "q", "left_anti"))
-    near = done.select("q", "code", "distance")
-    ids = near.join(codes.select("code", "ids"), "code").select("q", "distance", F.explode("ids").alias("neighbor_id"))
+    near = done.select("q", "code", "distance", "way")
+    ids = near.join(codes.select("code", "ids"), "code").select("q", "distance", "way", F.explode("ids").alias("neighbor_id"))
     top = ids.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("distance", "neighbor_id"))).where(F.col("r") <= k + 1).drop("r")
     mine = asked.join(top, "q").where("neighbor_id <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbor_id"))
-    return mine.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance")
+    return mine.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", "distance", "way")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """The 10 nearest rows, by sign codes, of every embedding whose vec_id is divisible by 50."""
     base = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
-    return search(base, base.where("id % 50 = 0"))
+    return search(base, base.where("id % 50 = 0")).drop("way")
 
 
 ORACLE = """

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from attestry.llm import licenses, vector_codes, whitening
+from attestry.llm import hamming_search, licenses, vector_codes, whitening
 from attestry.llm import queries as llm_queries
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x int, i string, n long, row long, part string"
@@ -207,3 +207,20 @@ def test_license_cases(spark):
 def test_license_plan_stays_in_the_jvm(spark, sf_dir):
     plan = llm_queries.QUERIES["op13_license_scan"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_most_queries_end_in_the_rounds(spark):
+    """On the largest table: the share of queries that multi-index rounds answer, and all answers by brute force."""
+    rows = [(r.vec_id, r.code) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", hamming_search.sign_code("embedding").alias("code")).collect()]
+    base = spark.createDataFrame(rows, "id long, code long")
+    found = hamming_search.search(base, base.where("id % 50 = 0")).collect()
+    want = {}
+    for q, code in rows:
+        if q % 50 == 0:
+            near = sorted((bin((code ^ c) & (2**64 - 1)).count("1"), i) for i, c in rows if i != q)[:10]
+            want |= {(q, k + 1): (i, d) for k, (d, i) in enumerate(near)}
+    assert {(r.query_id, r["rank"]): (r.neighbor_id, r.distance) for r in found} == want
+    ways = {r.query_id: r.way for r in found}
+    share = sum(w == "rounds" for w in ways.values()) / len(ways)
+    print(f"answered by rounds: {share:.2f}")
+    assert share > 0.9
