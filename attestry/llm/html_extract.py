@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 6
+PATH_DIMS, WORD_DIMS, MEASURES = 256, 32, 12
 DIMS = PATH_DIMS + WORD_DIMS + MEASURES
 HIDDEN = 20
 SAMPLE, LONGEST = 300, 1 << 16
@@ -40,7 +40,7 @@ EPOCHS = 8
 #: Share of containers in training layouts whose class says nothing.
 UNNAMED = 0.35
 #: Training examples at least; few pages are set into more layouts each.
-EXAMPLES = 1500
+EXAMPLES = 2400
 
 # Elements that part blocks, elements whose content is no text, and void elements.
 PARTING = set(
@@ -59,6 +59,9 @@ NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 SPLIT = re.compile(r"[^a-z]+")
 #: Elements of a block's path that its features see, from either end; a deeper path loses those between.
 ENDS_SEEN = 32
+#: Elements that hold running text, not whole parts of a page.
+RUNNING = set("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre blockquote table thead tbody tfoot tr td th figure figcaption caption hgroup address".split())
+GROUPING = {"ul", "ol", "li", "table", "tr", "td", "th", "dl"}
 
 
 def _words(text: str) -> list[str]:
@@ -190,16 +193,48 @@ def _path_features(path: tuple, known: frozenset) -> np.ndarray:
     return out
 
 
+def _container(path: tuple) -> tuple:
+    """The path down to the last element that isn't part of running text; lists and cells with a name are parts of a page."""
+    k = len(path)
+    while k and path[k - 1][0] in RUNNING and not (path[k - 1][1] and path[k - 1][0] in GROUPING):
+        k -= 1
+    return path[:k]
+
+
+def _common(a: tuple, b: tuple) -> float:
+    """The share of a path that another one begins with."""
+    k = 0
+    while k < len(a) and k < len(b) and a[k] == b[k]:
+        k += 1
+    return k / max(1, len(a))
+
+
 def features(found: list[tuple[str, tuple, float]], known: frozenset) -> np.ndarray:
-    """A row for each block. known: the class and id words of the training pages and layouts; others are all one feature."""
+    """A row for each block. known: the class and id words of the training pages and layouts; others are all one feature.
+
+    Besides the path, the words and the block's own measures: how much of its path it shares with its neighbours, whether
+    they stand in the same container, the share of the page's words that its container holds, and whether it stands outside
+    the article or main element of a page that has one.
+    """
     out = np.zeros((len(found), DIMS), np.float32)
+    inside = [_container(path) for _, path, _ in found]
+    held: dict[tuple, int] = defaultdict(int)
+    for (text, _, _), c in zip(found, inside, strict=True):
+        held[c] += text.count(" ") + 1
+    whole = sum(held.values())
+    semantic = [any(tag in TEACHER_CONTENT for tag, *_ in path) for _, path, _ in found]
+    any_semantic = any(semantic)
     for k, (text, path, linked) in enumerate(found):
         row = out[k]
         row[:PATH_DIMS] = _path_features(path, known)
         words = text.split()
         hashed = np.bincount([_place(w, WORD_DIMS) for w in words], minlength=WORD_DIMS)
         row[PATH_DIMS : PATH_DIMS + WORD_DIMS] = hashed / len(words)
-        row[-MEASURES:] = (np.log1p(len(words)) / 5, linked, k / len(found), 1 / (k + 1), text[-1] in ".!?:;”\"", min(len(words), 10) / 10)
+        before, after = found[k - 1][1] if k else (), found[k + 1][1] if k + 1 < len(found) else ()
+        row[-MEASURES:] = (
+            np.log1p(len(words)) / 5, linked, k / len(found), 1 / (k + 1), text[-1] in ".!?:;”\"", min(len(words), 10) / 10,
+            _common(path, before), _common(path, after), k > 0 and inside[k] == inside[k - 1], k + 1 < len(found) and inside[k] == inside[k + 1], held[inside[k]] / whole, semantic[k] - any_semantic,
+        )
     return out
 
 
@@ -326,7 +361,7 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
     words = " ".join(b[0] for b in text).split() or rest
 
     def unnamed() -> str:
-        return f"{pick(['div', 'div', 'div', 'section', 'td', 'ul'])}.x{int(rng.integers(1 << 30)):x}"
+        return f"{pick(['div', 'div', 'div', 'section', 'td', 'ul'])}.{''.join(pick('jkqvwxz') for _ in range(5))}"
 
     def noise(element: tuple) -> tuple:
         """The element, at times with a further class word that says nothing, and at times inside wrappers of that kind."""
@@ -334,16 +369,30 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
         extra = _words(unnamed())[1:] if rng.random() < 0.4 else []
         return tuple(_element(unnamed()) for _ in range(max(0, int(rng.integers(-2, 3))))) + ((tag, (*names, *extra)),)
 
-    def some(kind: str) -> list:
-        bare = rng.random() < UNNAMED and kind not in ("comments", "notice", "advert")
+    def remarks() -> list:
+        """Reader comments in a container whose name says nothing: items of a name and a text."""
+        spec = noise(_element(unnamed()))
+        item = pick([(), (), (("div", ()),), (("li", ()),), (("div", ()), ("div", ())), (_element(unnamed()),)])
+        out = []
+        for _ in range(int(rng.integers(2, 7))):
+            if rng.random() < 0.6:
+                out.append((" ".join(words[int(rng.integers(len(words)))] for _ in range(int(rng.integers(1, 4)))), root + spec + item + pick([(), (("h4", ()),), (("p", ()),)]), float(rng.random() < 0.3)))
+            m = int(rng.integers(5, 45))
+            k = int(rng.integers(0, max(1, len(words) - m)))
+            out.append((" ".join(words[k : k + m]), root + spec + item + pick([(), (("p", ()),), (("p", ()),)]), 0.0))
+        return out
+
+    def some(kind: str, named: bool = False) -> list:
+        bare = not named and rng.random() < UNNAMED and kind not in ("comments", "notice", "advert")
         spec = noise(_element(unnamed() if bare else pick(LAYOUT[kind])))
         long = not bare and (kind in ("comments", "notice", "advert") or rng.random() < 0.3)
         out = []
-        for _ in range(int(rng.integers(1, 6))):
-            m = int(rng.integers(8, 60)) if long else int(rng.integers(1, 6))
+        direct = kind == "advert" and rng.random() < 0.5  # one text, straight in its element
+        for _ in range(1 if direct else int(rng.integers(1, 6))):
+            m = int(rng.integers(4, 60)) if long else int(rng.integers(1, 6))
             k = int(rng.integers(0, max(1, len(words) - m)))
             body = " ".join(words[k : k + m]) if rng.random() < 0.7 else pick(rest)
-            inner = pick([(), (("p", ()),), (("li", ()),), (("ul", ()), ("li", ())), (("div", ()),), (("span", ()),), (("h3", ()),)])
+            inner = () if direct else pick([(), (_element(f"p.{unnamed().split('.')[1]}"),), (("p", ()),), (("li", ()),), (("ul", ()), ("li", ())), (("div", ()),), (("span", ()),), (("h3", ()),)])
             linked = float(rng.random() < (0.8 if kind == "before" or bare else 0.3))
             out.append((body, root + spec + tuple(p for p in inner if p[0] in PARTING), linked))
         return out
@@ -356,7 +405,22 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
     if rng.random() < 0.25:
         shell += (_element(pick(CONTENT)),)
     body, marks = [], []
+    all_linked = rng.random() < 0.12
     for b in [*text, None]:
+        if b and rng.random() < 0.06:  # a table of short cells, or code
+            rows, cells = int(rng.integers(2, 6)), int(rng.integers(2, 5))
+            for k in range(rows * cells):
+                cell = str(int(rng.integers(2000))) if rng.random() < 0.4 else " ".join(words[int(rng.integers(len(words)))] for _ in range(int(rng.integers(1, 4))))
+                body.append((cell, shell + (("table", ()), ("tr", ()), ("th" if k < cells and rng.random() < 0.5 else "td", ())), 0.0))
+                marks.append(True)
+        if b and rng.random() < 0.05:
+            m, k = int(rng.integers(1, 30)), int(rng.integers(len(words)))
+            body.append((" ".join(words[k : k + m]) + pick([" { }", " = 1", "();", ""]), shell + (("pre", ()),), 0.0))
+            marks.append(True)
+        if b and rng.random() < (0.25 if not body else 0.06):  # a heading, at times in a container of its own
+            k = int(rng.integers(len(words)))
+            body.append((" ".join(words[k : k + int(rng.integers(1, 6))]), shell + ((_element(f"div.{unnamed().split('.')[1]}"),) if rng.random() < 0.5 else ()) + ((pick(["h1", "h2", "h2", "h3"]), ()),), 0.0))
+            marks.append(True)
         if rng.random() < (0.4 if body and not marks[-1] else 0.08):  # a list in or after the running text
             for _ in range(int(rng.integers(2, 7))):
                 m, k = int(rng.integers(1, 8) if rng.random() < 0.5 else rng.integers(1, 25)), int(rng.integers(len(words)))
@@ -368,16 +432,19 @@ def relaid(found: list[tuple[str, tuple, float]], good: list[bool], rng: np.rand
         if rng.random() < 0.08:
             tag = pick(["blockquote", "li", "h2", "pre", "div", "td", "h3"])
         tag = leaf if leaf and tag == "p" else tag
-        body.append((b[0], shell + (((tag, ()),) if tag in PARTING else ()), b[2]))
+        own = (_element(f"div.{unnamed().split('.')[1]}"),) if body and b is not text[-1] and rng.random() < 0.04 else ()
+        body.append((b[0], shell + own + (((tag, ()),) if tag in PARTING else ()), 1.0 if rng.random() < (0.9 if all_linked else 0.04) else b[2]))
         marks.append(True)
-        if rng.random() < 0.15:
-            for x in some(pick(["advert", "after", "form"])):
+        if rng.random() < 0.3:
+            for x in some(pick(["advert", "advert", "advert", "after", "form", "notice", "comments"]), named=True)[: int(rng.integers(1, 4))]:
                 body.append((x[0], shell + x[1][len(root) :], x[2]))
                 marks.append(False)
     if rng.random() < 0.15 and text:  # comments inside the content element
         for x in some("comments"):
             body.append((x[0], shell + x[1][len(root) :], x[2]))
             marks.append(False)
+    if rng.random() < 0.4:
+        end = remarks() + end
     return top + body + end, [False] * len(top) + marks + [False] * len(end)
 
 
