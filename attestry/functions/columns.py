@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ def usd(nano: Column) -> Column:
     return nano / F.lit(1e9)
 
 
-def cost_nano(prefix: str = "", tokens_in: str = "input_tokens", tokens_out: str = "output_tokens") -> Column:
-    """Nano-dollars from whole tokens; null without a price."""
-    return F.col(tokens_in) * F.col(f"{prefix}nano_in") + F.col(tokens_out) * F.col(f"{prefix}nano_out")
+#: Token classes of a bill with the price column of each. The last two are the parts of a prompt that a cache gave or kept.
+CLASSES = {"input_tokens": "nano_in", "output_tokens": "nano_out", "cache_read_tokens": "nano_read", "cache_write_tokens": "nano_write"}
+
+
+def cost_nano(*classes: str) -> Column:
+    """Nano-dollars of the token columns (input and output if none is named); null without a price. Null counts of a class are none; a class without a price of its own costs nothing."""
+    own = classes or ("input_tokens", "output_tokens")
+    parts = [F.col(c) * F.col(CLASSES[c]) if c in ("input_tokens", "output_tokens") else F.coalesce(F.col(c), F.lit(0)) * F.when(F.col("nano_in").isNotNull(), F.coalesce(CLASSES[c], F.lit(0))) for c in own]
+    return reduce(lambda a, b: a + b, parts)

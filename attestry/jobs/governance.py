@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.jobs import ledger
+from attestry.functions.tables import written
 from attestry.jobs.catalog import query
 from attestry.jobs.spend import _PRICED, OVER, priced
 from attestry.operators import governance as op
@@ -333,6 +334,18 @@ def ops_kpis(spark, sf_dir):
     return op.ops_kpis(rows, chain.verify_links(rows).select("receipt_id", "link_ok").join(checks, "receipt_id"), f"{NOW[:10]} {NOW[11:19]}")
 
 
+@query("latency_percentiles", "SELECT tenant_id, q AS quantile, count(*) AS receipts, true AS within FROM receipts, (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS t(q) WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-22 00:00:00' GROUP BY 1, 2", "receipts")
+def latency_percentiles(spark, sf_dir):
+    """Two weeks' percentiles of each tenant from its stored hourly sketches, and whether their ranks among the receipts are within twice the stated error."""
+    rows = rows_of(spark, sf_dir)
+    found = written(op.sketched_percentiles(written(op.latency_sketches(rows)), "tenant_id", since="2024-01-08", until="2024-01-22"))
+    period = rows.where("ts >= timestamp_ntz'2024-01-08' and ts < timestamp_ntz'2024-01-22'").groupBy("tenant_id", F.col("latency_ms").alias("ms")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = period.join(F.broadcast(found), "tenant_id").groupBy("tenant_id", "quantile", "receipts", "rank_error").agg(F.sum(F.when(F.col("ms") < F.col("latency_ms"), F.col("n")).otherwise(0)).alias("below"), F.sum(F.when(F.col("ms") <= F.col("latency_ms"), F.col("n")).otherwise(0)).alias("upto"))
+    slack = 2 * F.col("rank_error")
+    within = (F.col("below") / F.col("receipts") <= F.col("quantile") + slack) & (F.col("upto") / F.col("receipts") >= F.col("quantile") - slack)
+    return ranks.select("tenant_id", "quantile", "receipts", within.alias("within"))
+
+
 @query("list_receipts", "SELECT receipt_id, CAST(chain_height AS INT) AS chain_height FROM receipts WHERE tenant_id = 'tenant-0' ORDER BY chain_height DESC LIMIT 25 OFFSET 50", "receipts")
 def list_receipts(spark, sf_dir):
     return op.list_receipts(chained(spark, sf_dir), "tenant-0", 25, 50).select("receipt_id", "chain_height")

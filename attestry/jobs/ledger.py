@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
 from attestry.functions.canonical import ed25519_public
-from attestry.functions.tables import written
+from attestry.functions.tables import shared_dir, written
 from attestry.jobs.catalog import query
 from attestry.operators import ledger as op
 from attestry.sources import dims, receipts
@@ -26,6 +27,17 @@ def verify_links(spark, sf_dir):
     return op.verify_links(rows_of(spark, sf_dir))
 
 
+def stored(spark, sf_dir):
+    name = f"receipts_{uuid.uuid4().hex}"
+    return op.store_receipts(rows_of(spark, sf_dir), name, shared_dir(spark, "receipts"))
+
+
+@query("verify_stored_links", _LINKS + "SELECT * FROM links", "receipts")
+def verify_stored_links(spark, sf_dir):
+    """The same from receipts that are stored by tenant and range of heights."""
+    return op.verify_stored_links(stored(spark, sf_dir))
+
+
 @query("verify_chains", _LINKS + "SELECT tenant_id, count(*) AS length, min(chain_height) = 1 AS complete, min(chain_height) FILTER (NOT link_ok) AS first_broken, count(*) FILTER (NOT link_ok) AS errors, count(*) FILTER (NOT link_ok) = 0 AS valid FROM links GROUP BY 1", "receipts")
 def verify_chains(spark, sf_dir):
     return op.verify_chains(op.verify_links(rows_of(spark, sf_dir)))

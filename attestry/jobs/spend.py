@@ -31,6 +31,28 @@ def price_usage(spark, sf_dir):
     return priced(spark, sf_dir).where("model is not null").select("receipt_id", "nano")
 
 
+_CACHED = """WITH used AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN input_tokens * 2 END AS cache_read_tokens, CASE WHEN event_id % 4 = 0 THEN input_tokens // 2 ELSE 0 END AS cache_write_tokens FROM receipts) """
+
+
+def cached(spark, sf_dir):
+    """Receipts whose prompts a cache gave in part (each third; others don't say) or kept in part (each fourth)."""
+    id_, tokens = F.col("event_id"), F.col("input_tokens")
+    return receipts.core(spark, sf_dir).withColumn("cache_read_tokens", F.when(id_ % 3 == 0, tokens * 2)).withColumn("cache_write_tokens", F.when(id_ % 4 == 0, F.floor(tokens / 2)).otherwise(0))
+
+
+@query("price_usage_classes", _CACHED + """SELECT receipt_id, CAST(input_tokens * nano_in + output_tokens * nano_out + coalesce(cache_read_tokens, 0) * nano_read + cache_write_tokens * nano_write AS BIGINT) AS nano FROM used LEFT JOIN pricing USING (vendor, model) WHERE model IS NOT NULL""", "receipts", "pricing")
+def price_usage_classes(spark, sf_dir):
+    return op.price_usage(cached(spark, sf_dir), dims.table(spark, "pricing")).where("model is not null").select("receipt_id", "nano")
+
+
+@query("cost_by_class", _CACHED + """, c AS (SELECT vendor, model, sum(input_tokens) AS i, sum(output_tokens) AS o, coalesce(sum(cache_read_tokens), 0) AS r, sum(cache_write_tokens) AS w FROM used WHERE model IS NOT NULL GROUP BY 1, 2),
+p AS (SELECT c.*, nano_in, nano_out, nano_read, nano_write FROM c LEFT JOIN pricing USING (vendor, model)),
+e AS (SELECT vendor, model, 'input' AS class, i AS tokens, i * nano_in AS nano FROM p UNION ALL SELECT vendor, model, 'output', o, o * nano_out FROM p UNION ALL SELECT vendor, model, 'cache_read', r, r * nano_read FROM p UNION ALL SELECT vendor, model, 'cache_write', w, w * nano_write FROM p)
+SELECT vendor, model, class, CAST(tokens AS BIGINT) AS tokens, CAST(nano AS BIGINT) / 1e9::DOUBLE AS cost_usd FROM e""", "receipts", "pricing")
+def cost_by_class(spark, sf_dir):
+    return op.cost_by_class(cached(spark, sf_dir), dims.table(spark, "pricing"))
+
+
 @query("filter_receipts", _PRICED + """SELECT receipt_id, nano FROM priced WHERE contains(lower(model), 'gpt') AND environment = 'production' AND captured_at >= '2024-01-05' AND captured_at <= '2024-01-25T12:00:00Z'
   AND coalesce(nano, 0) >= 1000000 AND (coalesce(input_class IN ('pii', 'pci', 'mnpi'), false) OR coalesce(output_class IN ('pii', 'pci', 'mnpi'), false)) AND evidence_refs > 0 AND signed
   AND contains(lower(concat_ws(' ', receipt_id, app, model, event_type, decision)), 'app-2')""", "receipts", "pricing")

@@ -174,6 +174,14 @@ def scan_pii(spark, sf_dir):
     return safety.scan_pii(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
 
 
+@query("scan_pii_lateral")
+def scan_pii_lateral(spark, sf_dir):
+    """The findings of scan_pii by its table function in SQL."""
+    name = safety.register_findings(spark)
+    text = f"SELECT doc_id, f.* FROM {{docs}} AS d, LATERAL {name}(d.text) AS f"
+    return spark.sql(text, docs=spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.col("text").rlike(safety.HINT)).select("doc_id", "text"))
+
+
 @query("pii_counts")
 def pii_counts(spark, sf_dir):
     return safety.pii_counts(scan_pii(spark, sf_dir), "doc_id")

@@ -34,6 +34,29 @@ def verify_links(rows: DataFrame) -> DataFrame:
     return joined.select("receipt_id", "tenant_id", "chain_height", ok.alias("link_ok"))
 
 
+def store_receipts(rows: DataFrame, name: str, path: str, buckets: int = 8, heights: int = BLOCK) -> DataFrame:
+    """rows as the table `name` at path: a folder a tenant, buckets of ranges of `heights` heights in it.
+
+    The last receipt of a range is also kept with the next one (carried), so a range holds all that its links need: one
+    tenant is read from its folder alone, and links are checked where the rows are (`verify_stored_links`).
+    """
+    at = lambda h: F.floor((h - 1) / heights).cast("long")
+    own = rows.withColumn("range", at(F.col("chain_height"))).withColumn("carried", F.lit(False))
+    ends = rows.where(F.col("chain_height") % heights == 0).withColumn("range", at(F.col("chain_height") + 1)).withColumn("carried", F.lit(True))
+    dealt = own.unionByName(ends).repartition("tenant_id", F.pmod(F.hash("range"), F.lit(buckets)))
+    dealt.write.partitionBy("tenant_id").bucketBy(buckets, "range").sortBy("range", "chain_height").option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def verify_stored_links(stored: DataFrame) -> DataFrame:
+    """verify_links over a table of store_receipts, without an exchange. Of receipts at one height the least by hash is the one below."""
+    order = Window.partitionBy("tenant_id", "range").orderBy("chain_height").rangeBetween(-1, -1)
+    below = F.min("receipt_hash").over(order)
+    first = (F.col("chain_height") == 1) & (F.col("previous_receipt_hash") == ZERO)
+    ok = first | ((F.col("chain_height") > 1) & F.coalesce(F.col("previous_receipt_hash") == F.col("_below"), F.lit(False)))
+    return stored.withColumn("_below", below).where("not carried").select("receipt_id", "tenant_id", "chain_height", ok.alias("link_ok"))
+
+
 def verify_chains(links: DataFrame) -> DataFrame:
     """Per tenant: length, whether it begins at height 1, first broken height, number of breaks, valid."""
     bad = ~F.col("link_ok")

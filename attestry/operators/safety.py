@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Category and pattern of personal data, in the order in which they are tried.
@@ -107,6 +107,18 @@ def scan_pii(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.col(text).rlike(HINT)).select(key, text).mapInPandas(run, f"`{key}` {kind}, {FOUND}")
 
 
+class _Findings:
+    def eval(self, text: str):
+        for category, start, end, confidence in findings(text):
+            yield category, start, end, confidence, redacted(text[start:end])
+
+
+def register_findings(spark: SparkSession, name: str = "pii_findings") -> str:
+    """Registers the table function name(text) with the columns of scan_pii but the key, for `FROM t, LATERAL name(text)`. Null texts give no rows."""
+    spark.udtf.register(name, F.udtf(_Findings, returnType=FOUND, useArrow=True))
+    return name
+
+
 def pii_counts(found: DataFrame, key: str) -> DataFrame:
     """key, category, findings, sure from the rows of scan_pii."""
     return found.groupBy(key, "category").agg(F.count(F.lit(1)).alias("findings"), F.bool_or(F.col("confidence") >= 0.9).alias("sure"))

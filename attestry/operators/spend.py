@@ -12,13 +12,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.columns import cost_nano, half_up, share, usd
+from attestry.functions.columns import CLASSES, cost_nano, half_up, share, usd
 from attestry.functions.tables import lookup
 
 
 def price_usage(usage: DataFrame, pricing: DataFrame) -> DataFrame:
-    """usage (vendor, model, input_tokens, output_tokens) with nano: the cost, null for a model without a price."""
-    return lookup(usage, pricing, ["vendor", "model"]).withColumn("nano", cost_nano()).drop("nano_in", "nano_out", "nano_read", "nano_write")
+    """usage (vendor, model, input_tokens, output_tokens and, where it has them, cache_read_tokens, cache_write_tokens) with nano: the cost of all classes, null for a model without a price."""
+    own = [c for c in CLASSES if c in usage.columns]
+    return lookup(usage, pricing, ["vendor", "model"]).withColumn("nano", cost_nano(*own)).drop("nano_in", "nano_out", "nano_read", "nano_write")
+
+
+def cost_by_class(usage: DataFrame, pricing: DataFrame) -> DataFrame:
+    """vendor, model, class, tokens, cost_usd (null without a price) of each token class that usage has. Tokens are summed first, so each sum is priced once."""
+    own = [c for c in CLASSES if c in usage.columns]
+    summed = usage.where("model is not null").groupBy("vendor", "model").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in own])
+    each = F.explode(F.array(*[F.struct(F.lit(c.removesuffix("_tokens")).alias("class"), F.col(c).alias("tokens"), cost_nano(c).alias("nano")) for c in own]))
+    return lookup(summed, pricing, ["vendor", "model"]).select("vendor", "model", each.alias("x")).select("vendor", "model", "x.class", "x.tokens", usd(F.col("x.nano")).alias("cost_usd"))
 
 
 # Tier names in the order in which they are tried, with the vendor and model they stand for.

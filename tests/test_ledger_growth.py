@@ -140,3 +140,41 @@ def test_pack_failures(spark):
     rows = [("t", "a", True, True, True), ("t", "b", False, None, True), ("u", "c", True, False, False), ("u", "d", None, True, None)]
     found = ledger.pack_failures(spark.createDataFrame(rows, "tenant_id string, receipt_id string, hash_ok boolean, signature_ok boolean, included boolean"))
     assert {(r.receipt_id, r.failed) for r in found.collect()} == {("b", "body,signature"), ("c", "inclusion,signature"), ("d", "body,inclusion")}
+
+
+def test_stored_receipts_are_pruned_and_checked_in_place(spark, tmp_path):
+    rows = [("t", h, f"h{h}", f"h{h - 1}" if h % 41 else "broken") for h in range(2, 200)] + [("t", 1, "h1", "0" * 64), ("u", 1, "h1", "0" * 64), ("u", 3, "h3", "h2")]
+    frame = spark.createDataFrame([(f"{t}{h}", t, h, own, last) for t, h, own, last in rows], "receipt_id string, tenant_id string, chain_height int, receipt_hash string, previous_receipt_hash string")
+    stored = ledger.store_receipts(frame, f"stored_{random.randrange(1 << 40)}", f"file://{tmp_path}/receipts", buckets=4, heights=16)
+    links = ledger.verify_stored_links(stored)
+    assert {tuple(r) for r in links.collect()} == {tuple(r) for r in ledger.verify_links(frame).collect()}
+    assert "Exchange" not in links._jdf.queryExecution().executedPlan().toString()
+    pruned = governance.for_tenant(stored.where("not carried"), "u")
+    assert "PartitionFilters: [isnotnull(tenant_id" in pruned._jdf.queryExecution().executedPlan().toString() and pruned.count() == 2
+
+
+def test_rules_that_break_are_left_out(spark, sf_dir):
+    from attestry.sources import receipts
+
+    rows = receipts.core(spark, sf_dir)
+    of = lambda name, col: lambda df: df.where(col).select(F.lit(name).alias("rule"), F.lit("low").alias("severity"), "receipt_id")
+    rules = [of("mine", F.col("vendor") == "google"), of("no column", F.col("nothing") == 1), of("runs into an error", F.when(F.col("event_id") == 70, F.raise_error(F.lit("no"))).otherwise(F.lit(True)).cast("boolean"))]
+    found = {r.rule for r in governance.run_alerts(rows, rules).collect()}
+    assert "mine" in found and not {"no column", "runs into an error"} & found
+
+
+def test_findings_in_sql_are_those_of_the_job(spark, sf_dir):
+    from attestry.jobs import texts
+
+    one = sorted(map(tuple, texts.scan_pii(spark, sf_dir).collect()))
+    assert one == sorted(map(tuple, texts.scan_pii_lateral(spark, sf_dir).collect())) and len(one) > 10
+
+
+def test_costs_of_four_classes(spark):
+    from attestry.operators import spend
+
+    pricing = spark.createDataFrame([("a", "m", 10, 50, 1, 12), ("b", "n", 3, 4, None, 0)], "vendor string, model string, nano_in long, nano_out long, nano_read long, nano_write long")
+    usage = spark.createDataFrame([("a", "m", 100, 10, 1000, 7), ("a", "m", 100, 10, None, None), ("b", "n", 1, 1, 5, 5), ("c", "x", 1, 1, 1, 1)], "vendor string, model string, input_tokens long, output_tokens long, cache_read_tokens long, cache_write_tokens long")
+    assert sorted((r.vendor, r.nano) for r in spend.price_usage(usage, pricing).collect() if r.nano) == [("a", 1500), ("a", 1500 + 1000 + 84), ("b", 7)]
+    assert spend.price_usage(usage, pricing).where("nano is null").count() == 1
+    assert {(r.model, r["class"]): r.cost_usd for r in spend.cost_by_class(usage, pricing).collect()}[("m", "cache_write")] == 84 / 1e9
