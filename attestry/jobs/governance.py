@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.jobs import ledger
 from attestry.functions.tables import written
+from attestry.jobs import ledger, texts
 from attestry.jobs.catalog import query
 from attestry.jobs.spend import _PRICED, OVER, priced
 from attestry.operators import governance as op
@@ -283,6 +283,24 @@ v AS (SELECT vendor, model, invocations, {_share('flagged + errors', 'invocation
 bench AS (SELECT *, CASE WHEN cost_per_outcome_usd IS NOT NULL THEN {_up('hallucination_proxy * 40 + least(1.0::DOUBLE, cost_per_outcome_usd * 1000) * 20 + (1 - compliance_posture) * 20 + supply_chain_risk * 20')} END AS composite FROM v) """
 
 
+_VERDICTS = texts._SAFE.removeprefix("WITH ") + """, r AS (SELECT *, least(10000, 50 * shadow_points + 35 * deviation_points + CASE WHEN event_id % 23 = 0 THEN 2500 ELSE 0 END + CASE WHEN event_id % 19 = 0 THEN 1000 ELSE 0 END) AS points FROM p),
+judged AS (SELECT receipt_id, list_contains(sha, 'consumer_endpoint') OR vendor IS NULL OR list_contains(dev, 'pii_leaked_to_public_surface') OR points >= 3000 AS found FROM r)"""
+
+
+@query("receipt_score_checked", _PRESENT.rstrip() + ", " + _VERDICTS + f""", k AS (SELECT tenant_id, count(*) AS invocations, count(*) FILTER (signed) AS with_receipt, count(*) FILTER (signed AND NOT ({ledger._BAD})) AS verified, count(*) FILTER (signed) AS checked, count(*) FILTER (found) AS findings,
+  count(*) FILTER (found AND decision IS NOT NULL) AS handled, count(*) FILTER (signed AND event_id % 5 <> 0) AS logged FROM receipts JOIN judged USING (receipt_id) GROUP BY 1),
+g AS (SELECT tenant_id, count(DISTINCT framework) AS covered FROM receipts JOIN cited USING (receipt_id) WHERE framework IN ('CBUAE', 'EU_AI_ACT', 'SAMA', 'ISO_42001', 'NIST_AI_RMF') GROUP BY 1),
+s AS (SELECT tenant_id, {_sub('with_receipt', 'invocations', 0)} AS coverage, {_sub('verified', 'checked', 0)} AS verification, {_sub('handled', 'findings', 100)} AS safety, {_up('least(100.0::DOUBLE, 100.0::DOUBLE * coalesce(covered, 0) / 5)', 1)} AS regulatory, {_sub('logged', 'with_receipt', 0)} AS transparency FROM k LEFT JOIN g USING (tenant_id)),
+t AS (SELECT *, {_up('coverage * 0.25::DOUBLE + verification * 0.25::DOUBLE + safety * 0.2::DOUBLE + regulatory * 0.15::DOUBLE + transparency * 0.15::DOUBLE', 1)} AS score FROM s)
+SELECT *, CASE WHEN score >= 95 THEN 'A+' WHEN score >= 85 THEN 'A' WHEN score >= 70 THEN 'B' WHEN score >= 55 THEN 'C' WHEN score >= 40 THEN 'D' ELSE 'F' END AS grade FROM t""", "receipts", "articles")
+def receipt_score_checked(spark, sf_dir):
+    """The score with findings from the safety verdicts and regulators from the citations."""
+    rows = chained(spark, sf_dir)
+    checks = chain.verify_envelopes(ledger.envelopes(spark, sf_dir), ledger.public_keys())
+    cited = op.cite_receipts(rows, dims.table(spark, "articles"))
+    return op.receipt_score(op.score_counters(rows, checks, rows.where("event_id % 5 <> 0").select("receipt_id"), texts.safety_verdict(spark, sf_dir), cited))
+
+
 @query("vendor_benchmark", _BENCH + "SELECT * FROM bench", "receipts", "pricing")
 def vendor_benchmark(spark, sf_dir):
     return op.vendor_benchmark(rows_of(spark, sf_dir), dims.table(spark, "pricing"))

@@ -350,19 +350,33 @@ def underwriting_exposure(rows: DataFrame, findings: DataFrame, regulators: Data
     return out.withColumn("composite", composite).withColumn("carrier_class", F.when(c <= 20, "A").when(c <= 35, "B").when(c <= 55, "C").when(c <= 75, "D").otherwise("E"))
 
 
-def score_counters(rows: DataFrame, checks: DataFrame, log: DataFrame) -> DataFrame:
+#: The frameworks whose citations a score counts.
+SCORED = ("CBUAE", "EU_AI_ACT", "SAMA", "ISO_42001", "NIST_AI_RMF")
+
+
+def score_counters(rows: DataFrame, checks: DataFrame, log: DataFrame, verdicts: DataFrame | None = None, citations: DataFrame | None = None) -> DataFrame:
     """The eight counters of receipt_score per tenant.
 
     rows: receipts with signed, outcome, decision, applied_policies. checks: receipt_id, valid (verify_envelopes). log:
-    receipt_id of the entries of the transparency log.
+    receipt_id of the entries of the transparency log. verdicts: receipt_id, verdict (safety_verdict): findings are the
+    receipts with another verdict than allow; without it, those whose outcome isn't success. citations: receipt_id, framework
+    (cite_receipts): regulators are the frameworks of SCORED that a tenant's receipts cite; without it, applied policies.
     """
     joined = rows.join(checks.select("receipt_id", "valid"), "receipt_id", "left").join(log.select("receipt_id", F.lit(True).alias("_logged")).distinct(), "receipt_id", "left")
     signed, bad = F.col("signed"), F.col("outcome") != "success"
+    if verdicts is not None:
+        joined = joined.join(verdicts.select("receipt_id", F.col("verdict").alias("_verdict")), "receipt_id", "left")
+        bad = F.coalesce(F.col("_verdict") != "allow", F.lit(False))
     counted = joined.groupBy("tenant_id").agg(
         F.count(F.lit(1)).alias("invocations"), F.count_if(signed).alias("with_receipt"), F.count_if(signed & F.col("valid")).alias("verified"), F.count_if(signed).alias("checked"),
         F.count_if(bad).alias("findings"), F.count_if(bad & F.col("decision").isNotNull()).alias("handled"), F.count_if(signed & F.col("_logged")).alias("logged"),
     )
-    covered = rows.select("tenant_id", F.explode("applied_policies").alias("p")).groupBy("tenant_id").agg(F.countDistinct("p").alias("regulators"))
+    if citations is None:
+        cited = rows.select("tenant_id", F.explode("applied_policies").alias("p"))
+    else:
+        own = citations.where(F.col("framework").isin(*SCORED)).groupBy("receipt_id").agg(F.collect_set("framework").alias("f"))
+        cited = rows.select("tenant_id", "receipt_id").join(own, "receipt_id").select("tenant_id", F.explode("f").alias("p"))
+    covered = cited.groupBy("tenant_id").agg(F.countDistinct("p").alias("regulators"))
     return counted.join(covered, "tenant_id", "left").na.fill(0)
 
 
