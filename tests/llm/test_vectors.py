@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from attestry.llm import hamming_search, licenses, vector_codes, whitening
+from attestry.llm import hamming_search, language_id, licenses, vector_codes, whitening
 from attestry.llm import queries as llm_queries
 
 SCHEMA = "vec_id long, embedding array<float>, label int, x int, i string, n long, row long, part string"
@@ -224,3 +225,42 @@ def test_most_queries_end_in_the_rounds(spark):
     share = sum(w == "rounds" for w in ways.values()) / len(ways)
     print(f"answered by rounds: {share:.2f}")
     assert share > 0.9
+
+
+def plain_grams(text):
+    """Counts of hashed 3-byte grams, by the docstring of language_id."""
+    raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in text.lower().encode()]
+    raw = [32, *raw, 32]
+    counts = Counter()
+    for k in range(len(raw) - 2):
+        if raw[k : k + 3] != [32, 32, 32]:
+            counts[((raw[k] | raw[k + 1] << 8 | raw[k + 2] << 16) * 2654435761 % 2**32) >> 20] += 1
+    return counts
+
+
+def test_languages_by_a_plain_version(spark, sf_dir):
+    """Frequencies over all training documents, and every document's nearest centroid, counted gram by gram."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", language_id.held_out(F.col("doc_id")).alias("held"))
+    rows = docs.collect()
+    names, floors, centroids, idf = language_id.fit(docs.where("not held"))
+    train = [plain_grams(r.text) for r in rows if not r.held and r.text is not None and r.lang is not None]
+    df = Counter(d for g in train for d in g)
+    want = np.array([math.log((len(train) + 1) / (df[d] + 1)) + 1 for d in range(language_id.DIMS)])
+    assert np.abs(idf - want).max() < 1e-5
+    assert np.abs(np.linalg.norm(centroids, axis=1) - 1).max() < 1e-5 and set(names) == {r.lang for r in rows if not r.held and r.lang}
+    found = {r.doc_id: r for r in llm_queries.QUERIES["op4_language_id"](spark, sf_dir).collect()}
+    assert len(found) == len(rows)
+    right = 0
+    for r in rows:
+        own = found[r.doc_id]
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (own.lang_pred, own.score) == ("und", 0.0)
+            continue
+        v = np.zeros(language_id.DIMS)
+        for d, n in plain_grams(r.text).items():
+            v[d] = math.log1p(n) * want[d]
+        near = centroids @ (v / max(np.linalg.norm(v), 1e-12))
+        best = near.max()
+        assert abs(own.score - min(1, max(0, best))) < 1e-4 and near[names == own.lang_pred].max() > best - 1e-4
+        right += r.held and own.lang_pred == r.lang
+    assert right >= 0.95 * sum(r.held and r.lang is not None and any(c.isalpha() for c in r.text or "") for r in rows)
