@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,24 @@ INJECTION = [
     ("policy_bypass", "high", r"\b(?:bypass|circumvent|get\s+around|work\s+around)\s+(?:the\s+)?(?:policy|policies|safety|filter|guard|guardrail|restriction)"),
     ("policy_bypass", "low", r"\bthis\s+is\s+(?:just\s+)?(?:for|a)\s+(?:research|educational|hypothetical|fictional)\s+purposes?\s+only\b"),
 ]
+#: Words of which a text that meets the rule at the same place holds one, in lower case: they are sought before the rule is tried.
+ANCHORS = [
+    ["ignore", "disregard", "forget", "skip", "override"],
+    ["instruction"],
+    ["different", "another", "restricted", "evil", "jailbroken"],
+    ["pretend", "act", "behave", "roleplay"],
+    ["prompt", "instruction", "message", "rule"],
+    ["prompt", "instruction"],
+    ["dan", "stan", "dude", "developer", "jailbreak", "anything"],
+    ["without"],
+    ["system", "admin", "root", "assistant", "user", "instruction"],
+    ["base64", "b64"],
+    ["decode", "decipher", "deobfuscate", "rot13"],
+    ["privilege", "access"],
+    ["bypass", "circumvent", "around"],
+    ["purpose"],
+]
+# Hosts of consumer services.
 CONSUMER = ["chat.openai.com", "chatgpt.com", "claude.ai", "gemini.google.com", "perplexity.ai", "you.com", "copilot.microsoft.com"]
 
 
@@ -167,14 +186,27 @@ def with_pii(rows: DataFrame, key: str, **texts: str) -> DataFrame:
 
 
 def scan_injection(text: Column) -> Column:
-    """struct(points, hits, codes): hundredths of the score (at most 100) and a reason code for each rule met."""
+    """struct(points, hits, codes): hundredths of the score (at most 100) and a reason code for each rule met.
+
+    The lower-case text and the rules that are met are each made once, as the one element of an array; a rule's pattern is
+    tried only where the text holds one of its anchors.
+    """
     weight = {"low": 15, "medium": 40, "high": 70}
-    marks = F.regexp_count(text, F.lit(r"(?i)</?(?:system|admin|instruction)>"))
-    rules = [(F.when((marks > 0) & (F.length(text) > 4000), F.struct(F.lit("injection:context_overflow").alias("code"), F.lit(40).alias("w"))))]
-    rules += [F.when(text.rlike("(?i)" + p), F.struct(F.lit(f"injection:{c}").alias("code"), F.lit(weight[s]).alias("w"))) for c, s, p in INJECTION]
-    met = F.filter(F.array(*rules), lambda x: x.isNotNull())
-    points = F.least(F.lit(100), F.aggregate(met, F.lit(0), lambda a, x: a + x["w"]))
-    return F.struct(points.alias("points"), F.size(met).alias("hits"), F.concat_ws(",", F.transform(met, lambda x: x["code"])).alias("codes"))
+    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
+    hit = lambda c, w: F.struct(F.lit(f"injection:{c}").alias("code"), F.lit(w).alias("w"))
+
+    def met(low: Column) -> Column:
+        rules = [F.when((F.length(text) > 4000) & text.rlike(r"(?i)</?(?:system|admin|instruction)>"), hit("context_overflow", 40))]
+        for (c, s, p), anchors in zip(INJECTION, ANCHORS, strict=True):
+            held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in anchors])
+            rules.append(F.when(held & text.rlike("(?i)" + p), hit(c, weight[s])))
+        return F.filter(F.array(*rules), lambda x: x.isNotNull())
+
+    def told(m: Column) -> Column:
+        points = F.least(F.lit(100), F.aggregate(m, F.lit(0), lambda a, x: a + x["w"]))
+        return F.struct(points.alias("points"), F.size(m).alias("hits"), F.concat_ws(",", F.transform(m, lambda x: x["code"])).alias("codes"))
+
+    return once(F.lower(text), lambda low: once(met(low), told))
 
 
 def _rank(c: str) -> Column:

@@ -97,7 +97,10 @@ def write_evidence_pack(path: str, tenant: str, since: str, until: str, **parts:
 
 
 def export_fanout(batch: DataFrame, sinks: list[Callable[[DataFrame], None]], attempts: int = 3) -> list[tuple[int, bool, int, str | None]]:
-    """Delivers one batch to several sinks; each is tried `attempts` times, and none holds up another. (place, ok, delivered, error) of each."""
+    """Delivers one batch to several sinks; each is tried `attempts` times, and none holds up another. (place, ok, delivered, error) of each.
+
+    A sink that writes by batch id (streaming.sinks.write_once) takes a batch once, whether an attempt or the whole batch runs again.
+    """
     held = batch.persist()
     try:
         n, report = held.count(), []

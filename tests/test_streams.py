@@ -83,6 +83,23 @@ def test_a_batch_that_runs_again_leaves_one_copy(spark, tmp_path):
     assert sinks.read_once(spark, f"{path}-none", "id long").count() == 0
 
 
+def test_a_fanout_that_runs_again_delivers_once(spark, tmp_path):
+    """The first sink breaks after it has written, once; then the batch as a whole runs again."""
+    from attestry.sources import readers
+
+    broken, path = [True], f"file://{tmp_path}/fan"
+
+    def first(rows):
+        sinks.write_once(rows, f"{path}/a", 7)
+        if broken.pop() if broken else False:
+            raise OSError("the connection was lost after the write")
+
+    for _ in range(2):
+        report = readers.export_fanout(spark.range(12), [first, lambda rows: sinks.write_once(rows, f"{path}/b", 7)])
+        assert [(ok, n) for _, ok, n, _ in report] == [(True, 12), (True, 12)]
+    assert [sinks.read_once(spark, f"{path}/{name}", "id long").count() for name in "ab"] == [12, 12]
+
+
 def test_ingest_after_a_lost_commit(spark, sf_dir, tmp_path):
     """The last commit of the checkpoint is taken away, as if the job had died before it: the batch runs again."""
     from attestry.jobs.texts import raw_events
