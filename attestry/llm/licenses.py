@@ -2,8 +2,8 @@
 
 Words are runs of digits, letters and characters beyond ASCII, A-Z in lower case. TEMPLATES are notices and the openings of
 license texts, each with a label and its mandatory phrases. The index of a template holds its RARE words of the highest
-inverse document frequency (half of its words, if that is fewer), with all their places; frequencies are counted over all
-texts, which give at most a row a template word. A text looks up all of its words that are in the index, with no cut of its
+inverse document frequency among those that any text holds (half of them, if that is fewer), with all their places;
+frequencies are counted over all texts, which give at most a row a template word. A text looks up all of its words that are in the index, with no cut of its
 own, so a text with several licenses loses none.
 
 Postings meet by relative position: a word at place p of the text and q of the template votes for the start p - q. Starts
@@ -71,19 +71,19 @@ def _postings(templates: list[tuple[str, str, list[str]]]) -> list[tuple[int, st
 
 
 def weights(rows: DataFrame, templates: list[tuple[str, str, list[str]]]) -> dict[str, int]:
-    """Of each template word a thousand times ln((n + 1) / (texts with it + 1)), rounded, 1 at least. rows: words."""
+    """Of each template word that a text holds a thousand times ln((n + 1) / (texts with it + 1)), rounded, 1 at least. rows: words."""
     known = sorted({w for _, w, _ in _postings(templates)})
     counted = rows.select(F.explode(F.concat(F.array_intersect("words", F.lit(known)), F.array(F.lit("")))).alias("w")).groupBy("w").count()
     found = {r["w"]: r["count"] for r in counted.collect()}
     n = found.pop("", 0)
-    return {w: max(1, floor(1000 * log((n + 1) / (found.get(w, 0) + 1)) + 0.5)) for w in known}
+    return {w: max(1, floor(1000 * log((n + 1) / (count + 1)) + 0.5)) for w, count in found.items()}
 
 
 def index(spark: SparkSession, weight: dict[str, int], templates: list[tuple[str, str, list[str]]]) -> tuple[DataFrame, list[str]]:
     """word, template, q, weight and whole (the template's weight) of the index words, and these words. Bounded by the templates."""
     rows = []
     for t, (_, text, _) in enumerate(templates):
-        own = sorted(set(text.split()), key=lambda w: (-weight[w], w))
+        own = sorted(set(text.split()) & set(weight), key=lambda w: (-weight[w], w))
         own = set(own[: min(RARE, -(-len(own) // 2))])
         places = [(w, q) for q, w in enumerate(text.split()) if w in own]
         whole = sum(weight[w] for w, _ in places)

@@ -147,7 +147,7 @@ def plain_licenses(docs, templates=licenses.TEMPLATES):
     texts = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(low)) for _, t in docs]
     known = {w for _, text, _ in templates for w in text.split()}
     df = Counter(w for words in texts for w in set(words) & known)
-    weight = {w: max(1, math.floor(1000 * math.log((len(docs) + 1) / (df[w] + 1)) + 0.5)) for w in known}
+    weight = {w: max(1, math.floor(1000 * math.log((len(docs) + 1) / (df[w] + 1)) + 0.5)) for w in known if df[w]}
     out = []
     for (doc, _), words in zip(docs, texts, strict=True):
         at = defaultdict(set)
@@ -158,7 +158,7 @@ def plain_licenses(docs, templates=licenses.TEMPLATES):
         labels, score = {x for _, x in base}, 0.0
         for label, text, phrases in templates:
             own = text.split()
-            ranked = sorted(set(own), key=lambda w: (-weight[w], w))
+            ranked = sorted(set(own) & set(weight), key=lambda w: (-weight[w], w))
             kept = set(ranked[: min(licenses.RARE, -(-len(ranked) // 2))])
             places = [(q, w) for q, w in enumerate(own) if w in kept]
             starts = {p - q for q, w in places for p in at[w]}
@@ -167,7 +167,7 @@ def plain_licenses(docs, templates=licenses.TEMPLATES):
                 met = sum(weight[w] for q, w in places if inside(q, at[w]))
                 there = all(inside(next(q for q in range(len(own)) if own[q : q + len(f.split())] == f.split()), [p for p in at[f.split()[0]] if stands(p, f.split())]) for f in phrases)
                 whole = sum(weight[w] for _, w in places)
-                if there and met * 100 >= whole * licenses.SHARE_PERCENT:
+                if places and there and met * 100 >= whole * licenses.SHARE_PERCENT:
                     labels.add(label)
                     score = max(score, met / whole)
         starts = [p for p, _ in base]
@@ -183,7 +183,11 @@ def test_licenses_of_all_documents(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     found = license_rows(llm_queries.QUERIES["op13_license_scan"](spark, sf_dir))
     assert found == plain_licenses(docs)
-    assert {x for r in found for x in r[6].split(",")} >= {"mit", "apache-2.0", "gpl-3.0", "cc-by-nc", "reserved"}
+    lines = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "the GNU General Public License, version 3.": "gpl-3.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "reserved"}
+    labels = {r[0]: set(r[6].split(",")) for r in found}
+    held = [(d, label) for d, t in docs for line, label in lines.items() if line in (t or "")]
+    assert held and all(label in labels[d] for d, label in held)
+    assert all(not labels[d] - {""} for d, t in docs if not any(line in (t or "") for line in lines))
 
 
 def test_license_cases(spark):
