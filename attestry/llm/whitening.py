@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def _packed(d: int) -> Callable:
 
 def _vectors(column: pa.Array, d: int) -> Iterator[np.ndarray]:
     """x of a binary column of `_packed`."""
-    sizes = np.diff(np.frombuffer(column.cast(pa.large_binary()).buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1])
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False)
     for kind in ("<i2", "<i8"):
         own = np.flatnonzero(sizes == d * np.dtype(kind).itemsize)
         if len(own):

@@ -57,6 +57,16 @@ def test_whitening_of_all_rows(spark, sf_dir):
     compare_whitening(found, [i for i, _ in kept], [v for _, v in kept])
 
 
+def test_whitening_of_batches_larger_than_a_matrix(spark, monkeypatch):
+    """Arrow batches that are taken in several slices keep all their rows; some vectors need 64 bits an entry."""
+    monkeypatch.setattr(whitening, "MOST_BYTES", 8 * 20 * 100)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((1500, 20)) * np.where(np.arange(1500) % 7 == 0, 600, 1)[:, None]
+    rows = [(k, [float(np.float32(c)) for c in v], 0) for k, v in enumerate(vectors)]
+    found = whitening.whiten(table(spark, rows).coalesce(1)).collect()
+    compare_whitening(found, range(1500), [r[1] for r in rows])
+
+
 def test_whitening_cases(spark):
     rng = np.random.default_rng(5)
     good = [(k, [float(c) for c in rng.standard_normal(24) * 3], k % 3) for k in range(60)]
