@@ -274,3 +274,46 @@ def test_pii_of_documents_is_that_of_each_text(spark, sf_dir):
     assert sorted((r.doc_id, r.category, r.start, r.end) for r in QUERIES["scan_pii"](spark, sf_dir).collect()) == want and want
     counts = {(r.doc_id, r.category): r.findings for r in QUERIES["pii_counts"](spark, sf_dir).collect()}
     assert sum(counts.values()) == len(want)
+
+
+def test_signatures_of_many_rows(spark):
+    """Whole batches sign and check as one row does; bad keys, cut, changed and overlarge signatures fail; some keys have few rows."""
+    import hashlib
+
+    from attestry.functions import canonical, signatures
+
+    seeds = [hashlib.sha256(bytes([k])).digest() for k in range(3)]
+    own = [seeds[0] if k % 2 else seeds[1] for k in range(700)] + [seeds[2]] * 20
+    messages = [hashlib.sha256(str(k).encode()).digest()[: k % 33] for k in range(720)]
+    signed = signatures.sign_all(own, messages)
+    assert signed == [ed25519_sign(seed, m) for seed, m in zip(own, messages, strict=True)]
+    keys = [ed25519_public(seed) for seed in own]
+    for k in range(0, 720, 9):
+        bad = bytearray(signed[k])
+        bad[k % 64] ^= 1 << k % 8
+        signed[k] = bytes(bad)
+    signed[1] = signed[1][:63]
+    signed[2] = signed[2][:32] + (int.from_bytes(signed[2][32:], "little") + canonical._Q).to_bytes(32, "little")
+    keys[3], keys[4], keys[5] = b"", bytes(31), (2).to_bytes(32, "little")
+    off = (2).to_bytes(32, "little")
+    keys[300:600] = [off] * 300
+    want = [ed25519_valid(*row) for row in zip(keys, messages, signed, strict=True)]
+    assert signatures.valid_all(keys, messages, signed) == want and 200 < sum(want) < 400
+    assert signatures.valid_all([], [], []) == [] and signatures.sign_all([], []) == []
+
+
+def test_body_hash_takes_the_plain_encoder_only_where_it_is_canonical():
+    import hashlib
+    import json
+
+    for text in ('{"b":1,"a":"x\\u00e9\\n/"}', '{"a":1.0}', '{"a":1e21}', '{"a":9007199254740993}', '{"a":{"c":1,"b":2}}', '{"\\ud83d\\ude00":1,"\\ufb33":2}', '{"a":true,"b":null,"a":false}', "[1]", '"x"', "{}"):
+        assert body_hash(text) == hashlib.sha256(jcs(json.loads(text)).encode()).hexdigest()
+
+
+def test_envelopes_are_signed_and_checked_in_one_pass(spark, sf_dir):
+    """No exchange after the receipts' own: each envelope's body is hashed once, whatever the sets of keys."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = ledger_jobs.envelopes(spark, sf_dir)
+    checks = ledger.verify_envelopes(rows, ledger_jobs.public_keys())
+    assert plan(checks).count("Exchange") == plan(rows).count("Exchange")
+    assert plan(checks).count("MapInPandas") == 2
