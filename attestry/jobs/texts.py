@@ -136,11 +136,14 @@ _PERIOD = "tenant_id = 'tenant-7' AND captured_at >= '2024-01-10' AND captured_a
 @query("write_evidence_pack", f"""SELECT 'receipts' AS part, receipt_id AS id, captured_at AS detail FROM receipts WHERE {_PERIOD} UNION ALL SELECT 'proofs', receipt_id, 'true' FROM receipts WHERE {_PERIOD}
 UNION ALL SELECT DISTINCT 'keys', kid, 'EdDSA' FROM receipts WHERE {_PERIOD} UNION ALL SELECT 'manifest', tenant_id || ' ' || captured_at[1:7], CAST(count(*) AS VARCHAR) FROM receipts WHERE tenant_id = 'tenant-7' GROUP BY 2""", "receipts")
 def write_evidence_pack(spark, sf_dir):
-    """A tenant's receipts of a period, an inclusion proof of each that can be checked from the pack alone, the keys and the manifest."""
+    """A tenant's receipts of a period, an inclusion proof of each that can be checked from the pack alone, the keys and the manifest.
+
+    The proofs are of the tenant's own tree, so no other tenant's is built.
+    """
     path, rows = _folder(spark), rows_of(spark, sf_dir)
-    leaves = ledger_jobs.leaves(spark, sf_dir)
-    proofs = ledger.merkle_batches(leaves).join(leaves, ["batch", "idx"]).select(F.col("batch").alias("tenant_id"), (F.col("idx") + 1).cast("int").alias("chain_height"), "idx", "size", "node", "path", "root")
-    proofs = rows.select("tenant_id", "receipt_id", "captured_at", "chain_height").join(proofs, ["tenant_id", "chain_height"])
+    own = ledger_jobs.leaves(spark, sf_dir).where("batch = 'tenant-7'")
+    proofs = ledger.merkle_proofs(own).select(F.col("batch").alias("tenant_id"), (F.col("idx") + 1).cast("int").alias("chain_height"), "idx", "size", "node", "path", "root")
+    proofs = rows.where(_PERIOD).select("tenant_id", "receipt_id", "captured_at", "chain_height").join(proofs, ["tenant_id", "chain_height"])
     period = rows.where(_PERIOD)
     known = spark.createDataFrame(list(ledger_jobs.public_keys().items()), "kid string, public_key string").withColumn("alg", F.lit("EdDSA"))
     keys = known.join(period.select("kid").distinct(), "kid", "left_semi")
