@@ -192,11 +192,13 @@ def approval_status(requests: DataFrame, decisions: DataFrame, threshold: int =
     """request, status, decided_ts. requests: request, deadline_ts. decisions: request, approver, decision, ts, seq.
 
     In time order, an approver's first decision before the deadline counts; the first rejection rejects, the
-    threshold-th approval before it approves; without either the request is expired at its deadline.
+    threshold-th approval before it approves; without either the request is expired at its deadline. Of decisions
+    of one ts and seq a rejection comes first, so the answer doesn't depend on the order of the rows and a tie never approves.
     """
-    once = Window.partitionBy("request", "approver").orderBy("ts", "seq")
+    place = ("ts", "seq", F.col("decision") != "reject", "decision")
+    once = Window.partitionBy("request", "approver").orderBy(*place)
     known = decisions.join(requests, "request").where("ts < deadline_ts").withColumn("_r", F.row_number().over(once)).where("_r = 1")
-    order = Window.partitionBy("request").orderBy("ts", "seq")
+    order = Window.partitionBy("request").orderBy(*place)
     ran = known.withColumn("at", F.row_number().over(order)).withColumn("yes", F.sum(F.when(F.col("decision") == "approve", 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ends = ran.groupBy("request").agg(
         F.min(F.when(F.col("decision") == "reject", F.struct("at", "ts"))).alias("no"), F.min(F.when((F.col("decision") == "approve") & (F.col("yes") >= threshold), F.struct("at", "ts"))).alias("yes")
@@ -208,8 +210,11 @@ def approval_status(requests: DataFrame, decisions: DataFrame, threshold: int =
 
 
 def invalid_transitions(log: DataFrame, permitted: DataFrame) -> DataFrame:
-    """Rows of log (subject, seq, from_state, to_state) that aren't permitted, or don't start where the one before ended."""
-    last = F.lag("to_state").over(Window.partitionBy("subject").orderBy("seq"))
+    """Rows of log (subject, seq, from_state, to_state) that aren't permitted, or don't start where the one before ended.
+
+    Rows of one seq are taken by their states, so the answer doesn't depend on the order of the rows.
+    """
+    last = F.lag("to_state").over(Window.partitionBy("subject").orderBy("seq", "from_state", "to_state"))
     rules = permitted.select("from_state", "to_state", F.lit(True).alias("_known"))
     joined = lookup(log.withColumn("_last", last), rules, ["from_state", "to_state"])
     why = F.when(F.col("_known").isNull(), "not_permitted").when(F.col("_last").isNotNull() & (F.col("_last") != F.col("from_state")), "broken_sequence")
