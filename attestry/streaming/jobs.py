@@ -91,7 +91,7 @@ def stream_conflicts(rows: DataFrame, within_seconds: int = 86_400, late: str =
         return held, [(key, capture, "replay" if body == held[0] else "conflict")]
 
     return in_order(
-        rows, "request_id", F.unix_millis("ts"), ["capture_id"], ["body_hash"], step, "body string, at long", "request_id string, capture_id string, verdict string", late, expires=lambda held: held[1] + 1000 * within_seconds, groups=groups
+        rows, "request_id", F.unix_millis("ts"), ["capture_id"], ["body_hash"], step, "request_id string, capture_id string, verdict string", late, expires=lambda held: held[1] + 1000 * within_seconds, groups=groups
     )
 
 
@@ -124,7 +124,7 @@ def stream_chain(rows: DataFrame, late: str = "1 hour", groups: int = 64) -> Dat
         return (height, own), [*gap, (tenant, height, "ok" if last == head and not gap else "broken")]
 
     slim = rows.select("tenant_id", "ts", F.col("chain_height").cast("long").alias("chain_height"), "receipt_hash", "previous_receipt_hash")
-    return in_order(slim, "tenant_id", F.unix_millis("ts"), ["chain_height"], ["receipt_hash", "previous_receipt_hash"], step, "height long, head string", "tenant_id string, chain_height long, verdict string", late, groups=groups)
+    return in_order(slim, "tenant_id", F.unix_millis("ts"), ["chain_height"], ["receipt_hash", "previous_receipt_hash"], step, "tenant_id string, chain_height long, verdict string", late, groups=groups)
 
 
 def stream_budget(rows: DataFrame, limit_nano: int, late: str = "1 hour", groups: int = 64) -> DataFrame:
@@ -139,7 +139,7 @@ def stream_budget(rows: DataFrame, limit_nano: int, late: str = "1 hour", groups
         return (month, spent, action), [(tenant, month, action, spent)] if action != last else []
 
     slim = rows.select("tenant_id", "event_id", "ts", F.substring("captured_at", 1, 7).alias("month"), F.coalesce("nano", F.lit(0)).cast("long").alias("nano"))
-    return in_order(slim, "tenant_id", F.unix_seconds("ts") * 1000, ["event_id"], ["month", "nano"], step, "month string, spent long, action string", "tenant_id string, month string, action string, spent_nano long", late, 1000, groups=groups)
+    return in_order(slim, "tenant_id", F.unix_seconds("ts") * 1000, ["event_id"], ["month", "nano"], step, "tenant_id string, month string, action string, spent_nano long", late, 1000, groups=groups)
 
 
 def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600, late: str = "1 hour", groups: int = 64) -> DataFrame:
@@ -153,7 +153,7 @@ def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600, late: str = "1
         hit = held is not None and at - held[0] < 1000 * ttl_seconds
         return held if hit else (at,), [(key, event, hit)]
 
-    return in_order(rows, "prompt_key", F.col("at_s") * 1000, ["event_id"], [], step, "at long", "prompt_key string, event_id long, hit boolean", late, 1000, lambda held: held[0] + 1000 * ttl_seconds, groups)
+    return in_order(rows, "prompt_key", F.col("at_s") * 1000, ["event_id"], [], step, "prompt_key string, event_id long, hit boolean", late, 1000, lambda held: held[0] + 1000 * ttl_seconds, groups)
 
 
 def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int = 2, late: str = "1 day", longest: str = "60 days", early: str = "0 days") -> DataFrame:
@@ -162,15 +162,15 @@ def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int =
     requests: request, ts, deadline_s; decisions: request, approver, decision, ts, seq. A stream-stream join gives each
     request its decisions from `early` before its own time to before its deadline, at most `longest` after it, which bounds
     the state of both sides; requests without any come out when no decision can be in time any more. Of an approver the first decision
-    counts; in time order the first rejection rejects, the threshold-th approval before it approves. All by built-in
-    aggregates: no Python call for a request.
+    counts; in time order the first rejection rejects, the threshold-th approval before it approves; of one time and seq
+    a rejection comes first. All by built-in aggregates: no Python call for a request.
     """
     asked = requests.select(F.col("request").alias("request"), F.col("ts").alias("asked_ts"), F.col("deadline_s").alias("deadline_s")).withWatermark("asked_ts", late)
     # A heartbeat (nulls but ts) must reach both watermarks: conditions that don't name the time are tested before them.
     told = decisions.select(F.coalesce("request", F.lit("\0")).alias("told_request"), F.col("approver").alias("approver"), F.col("decision").alias("decision"), F.col("seq").alias("seq"), F.col("ts").alias("told_ts")).withWatermark("told_ts", late)
     in_time = F.expr(f"request = told_request and told_ts >= asked_ts - interval {early} and told_ts <= asked_ts + interval {longest} and told_ts < timestamp_seconds(deadline_s)")
     joined = asked.join(told, in_time, "leftOuter")
-    once = joined.groupBy("request", "asked_ts", "deadline_s", "approver").agg(F.min(F.struct("told_ts", "seq", "decision")).alias("d"))
+    once = joined.groupBy("request", "asked_ts", "deadline_s", "approver").agg(F.min(F.struct("told_ts", "seq", (F.col("decision") != "reject").alias("later"), "decision")).alias("d"))
     each = once.groupBy("request", "asked_ts", "deadline_s").agg(F.sort_array(F.collect_list("d")).alias("d"))
     start = F.struct(F.lit(0).alias("yes"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("seq"))
 

@@ -145,3 +145,48 @@ def test_approvals_in_time_order(spark):
     side = lambda rows, name: rows.where(f"side = '{name}' or side is null")
     found = jobs.in_slices(one.unionByName(two, allowMissingColumns=True), lambda r: jobs.stream_approvals(side(r, "asked"), side(r, "told"), longest="2 days"), slices=2, flush="9 days", on_disk=False)
     assert {(r.request, r.status, r.seq) for r in found.collect()} == {("a", "approved", 3), ("b", "rejected", 2), ("c", "expired", None), ("d", "expired", None), ("e", "expired", None)}
+
+
+def test_state_is_called_by_frames_and_buckets():
+    """A frame that waits is one entry of the state, held values are read and written by buckets, not by rows or keys."""
+    import pandas as pd
+
+    from attestry.streaming.ordered import BUCKETS, InOrder
+
+    class State:
+        def __init__(self):
+            self.rows, self.values, self.calls = [], {}, 0
+
+        def __getattr__(self, name):
+            self.calls += 1
+            return {
+                "appendList": self.rows.extend, "get": lambda: iter(list(self.rows)), "clear": self.rows.clear, "put": lambda r: self.rows.__setitem__(slice(None), r), "exists": lambda: False, "update": lambda v: None,
+                "containsKey": self.values.__contains__, "getValue": self.values.__getitem__, "updateValue": self.values.__setitem__, "iterator": lambda: iter(list(self.values.items())), "removeKey": self.values.pop,
+            }[name]
+
+    class Handle:
+        def __init__(self):
+            self.made = {}
+
+        def _state(self, name, *_):
+            return self.made.setdefault(name, State())
+
+        getListState = getMapState = getValueState = _state
+
+        def registerTimer(self, at): ...
+
+    class Times:
+        def getCurrentWatermarkInMs(self):
+            return 500
+
+    handle = Handle()
+    step = lambda held, row: ((row[1],), [(row[0], row[1], held and held[0])])
+    job = InOrder("key string, event_ms long", ["key", "at", "last"], step, 0, 1, lambda held: held[0] + 300)
+    job.init(handle)
+    frame = pd.DataFrame({"key": [f"k{n % 400}" for n in range(1000)][::-1], "event_ms": list(range(1000))[::-1]})
+    assert list(job.handleInputRows(0, iter([frame[:600], frame[600:]]), None)) == []
+    assert len(handle.made["waiting"].rows) == 2
+    (out,) = job.handleExpiredTimer(0, Times(), None)
+    assert [tuple(r) for r in out[["key", "at"]].itertuples(index=False)] == [(f"k{n % 400}", n) for n in range(500)]
+    assert [r for r in out["last"].tolist() if r == r] == list(range(100))
+    assert len(handle.made["waiting"].rows) == 1 and 0 < handle.made["held"].calls <= 4 * BUCKETS

@@ -317,3 +317,19 @@ def test_envelopes_are_signed_and_checked_in_one_pass(spark, sf_dir):
     checks = ledger.verify_envelopes(rows, ledger_jobs.public_keys())
     assert plan(checks).count("Exchange") == plan(rows).count("Exchange")
     assert plan(checks).count("MapInPandas") == 2
+
+
+def test_ties_are_taken_the_same_in_any_order_of_rows(spark):
+    """Decisions of one time and number, and transitions of one number."""
+    asked = spark.createDataFrame([("a", 9), ("b", 9)], "request string, deadline_ts int")
+    told = [("a", "p", "approve", 1, 1), ("a", "q", "approve", 2, 1), ("a", "r", "reject", 2, 1), ("b", "p", "reject", 1, 1), ("b", "p", "approve", 1, 1), ("b", "q", "approve", 3, 2)]
+    log = [("s", 1, "x", "y"), ("s", 2, "y", "x"), ("s", 2, "y", "z"), ("s", 3, "z", "y"), ("s", 4, "y", "z")]
+    rules = spark.createDataFrame([("x", "y"), ("y", "z"), ("z", "y"), ("y", "x")], "from_state string, to_state string")
+    decided, invalid = set(), set()
+    for turn in (1, -1):
+        found = governance.approval_status(asked, spark.createDataFrame(told[::turn], "request string, approver string, decision string, ts int, seq int").coalesce(1))
+        decided.add(tuple(sorted(map(tuple, found.collect()))))
+        rows = governance.invalid_transitions(spark.createDataFrame(log[::turn], "subject string, seq int, from_state string, to_state string").coalesce(1), rules)
+        invalid.add(tuple(sorted(map(tuple, rows.collect()))))
+    assert decided == {(("a", "rejected", 2), ("b", "rejected", 1))}
+    assert invalid == {(("s", 2, "y", "z", "broken_sequence"),)}
