@@ -1,8 +1,9 @@
 """Token ids in a compressed binary format, readable in parallel.
 
-Encoding. Texts are cut at blanks, numbered and made distinct by Arrow, some MB at a time; each distinct word that a Python
-worker meets is encoded once by the tokenizers library and looked up afterwards. Texts where that could differ (odd white
-space, a special token's string) are encoded by the library whole.
+Encoding. Texts are cut where no pre-token goes on (before blanks, between letters, digits and other signs), and the pieces
+made distinct by Arrow, some MB at a time; each distinct piece that a Python worker meets is encoded once by the tokenizers
+library and looked up afterwards. Texts where that could differ (odd white space, a special token's string) are encoded by
+the library whole.
 
 Format. The ids of all documents, each ended by END, form one stream in ascending doc_id order. It is cut into blocks of
 whole documents, about BLOCK ids each (a larger document is a block). A folder holds two Parquet tables and needs nothing
@@ -23,6 +24,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +34,69 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import keyed, shared_dir, written
-from .words import slices
+from .words import slices, text_bytes
 
 END = 2
 LANES = 1024
 BITS = 20
 BLOCK = 1 << 19
 STRIDE = 256
-#: Words that a Python worker remembers, over all tasks that it runs.
+#: Pieces that a Python worker remembers, over all tasks that it runs; and 16 times as many ids.
 MEMORY = 1_200_000
-#: Stands before the first word of a text, which has no blank; texts that hold it are encoded whole.
-HEAD = "\x1c"
+#: New pieces that the library gets as one text; with many more it takes longer for each.
+JOINT = 200
 #: White space beyond ASCII's, or a blank that has white space on both sides or ends the text after some.
 ODD = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \t\n\r\x0b\x0c] (?:[ \t\n\r\x0b\x0c]|\z)"
 #: Text that is cut and numbered at once.
 PART = 4 << 20
 
 
-class _Places(dict):
-    """Numbers words as they come, and lists the new ones."""
+def _cuts() -> tuple[np.ndarray, np.ndarray]:
+    """A kind for each byte, and whether a text is cut between two kinds (kind of the first * 8 + kind of the second).
 
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = k = len(self)
-        self.new.append(word)
-        return k
+    Kinds: 1 letter, 2 digit, 3 other sign, 4 apostrophe, 5 white space, 6 blank, 0 bytes beyond ASCII.
+    """
+    kind = np.zeros(256, np.uint8)
+    kind[:128] = 3
+    for k, some in ((1, range(65, 91)), (1, range(97, 123)), (2, range(48, 58)), (4, b"'"), (5, b"\t\n\x0b\x0c\r"), (6, b" ")):
+        kind[list(some)] = k
+    cut = np.zeros((8, 8), bool)
+    cut[:, 6] = True
+    cut[1, [2, 3, 4, 5]] = cut[2, [1, 3, 4, 5]] = cut[3, [1, 2]] = True
+    return kind, cut.ravel()
+
+
+KIND, CUT = _cuts()
+
+
+def _pieces(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, and the number of each text's first (one more for the end)."""
+    raw, bounds = text_bytes(texts)
+    kind = KIND[raw]
+    if raw.size and raw.max() > 127:
+        latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        latin = latin[(raw[latin] != 0x97) & (raw[latin] != 0xB7)]
+        kind[latin] = kind[latin - 1] = 1
+    cut = np.zeros(len(raw) + 1, bool)
+    if len(raw):
+        cut[1:-1] = CUT[kind[:-1] << 3 | kind[1:]]
+        line = np.flatnonzero(kind[1:-1] == 5) + 1
+        cut[line[(raw[line - 1] > 32) & (raw[line + 1] > 32)] + 1] = True
+    cut[bounds] = True
+    at = np.flatnonzero(cut)
+    pieces = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw)])
+    return pieces, np.searchsorted(at, bounds)
 
 
 class Encoder:
-    """Texts to ids, with a memory of words: a blank and what follows it up to the next one are encoded alike everywhere.
-
-    That holds for byte-level pre-tokens, which take in one blank on their left, unless a run of white space holds a
-    blank that isn't its last character and isn't its first one. Those texts are ODD; the library encodes them whole.
+    """Texts to ids, with a memory of pieces that are encoded alike wherever they stand.
+
+    Byte-level pre-tokens are letters, digits or other signs, with one blank on their left, an apostrophe with some letters,
+    or white space. So none goes on over a blank, from a letter or digit to another ASCII kind, or from another sign than an
+    apostrophe to a letter or digit; nor from one white-space character between two others to the second. (A letter is an
+    ASCII one or one of U+00C0 to U+00FF; elsewhere beyond ASCII only blanks and lines part.) That doesn't hold where a run of
+    white space holds a blank that isn't its last character and isn't its first one. Those texts are ODD; the library
+    encodes them whole.
     """
 
     def __init__(self, path: str):
@@ -81,61 +112,77 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place = _Places()
-        self.flat = np.zeros(0, np.uint16)
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.place: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.uint16), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """Appends the ids of words, in order. Many go in one text, parted again by the bytes of their tokens."""
-        alone = np.array([not w or w[0] <= " " or w[-1] <= " " for w in words])
-        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
-        flat, at = [self.flat], len(self.flat)
-        joint, rest = np.flatnonzero(~alone), np.flatnonzero(alone).tolist()
-        for a in range(0, len(joint), 1000):
-            own = joint[a : a + 1000]
-            some = [words[k] for k in own.tolist()]
-            text = " " + " ".join(some)
-            (ids,) = self._encode([text])
-            ends = np.cumsum([len(w) + 1 for w in some] if text.isascii() else [len(w.encode()) + 1 for w in some])
-            reached = np.cumsum(self.bytes[ids])
-            last = np.minimum(np.searchsorted(reached, ends) + 1, len(ids))
-            if (reached[last - 1] == ends).all():
-                size[own] = np.diff(last, prepend=0)
-                first[own] = at + last - size[own]
-                flat.append(ids)
-                at += len(ids)
-            else:
-                rest += own.tolist()
-        each = self._encode([words[k][1:] if words[k][:1] == HEAD else " " + words[k] for k in rest])
-        size[rest] = [len(x) for x in each]
-        first[rest] = at + np.cumsum(size[rest]) - size[rest]
+    def _joint(self, pieces: np.ndarray, length: np.ndarray, between: str) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """For every JOINT pieces in one text their ids and how many each has, by the bytes of the tokens; None where a token joins two."""
+        for a in range(0, len(pieces), JOINT * 64):
+            firsts = range(a, min(a + JOINT * 64, len(pieces)), JOINT)
+            for k, ids in zip(firsts, self._encode([between.join(pieces[k : k + JOINT]) for k in firsts]), strict=True):
+                ends = np.cumsum(length[k : k + JOINT] + len(between))
+                reached = np.cumsum(self.bytes[ids])
+                if between:
+                    reached, ids = np.append(reached, reached[-1] + 1), np.append(ids, np.uint16(END))
+                last = np.searchsorted(reached, ends)
+                fits = last[-1] == len(ids) - 1 and (reached[last] == ends).all()
+                if between and fits:
+                    fits = (reached[last - 1] == ends - 1).all()
+                    ids = np.delete(ids, last)
+                    last -= np.arange(1, len(last) + 1)
+                yield (ids, np.diff(last, prepend=-1)) if fits else None
+
+    def _learn(self, pieces: np.ndarray, length: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Remembers new pieces and returns their places. Those of groups 0 (with a blank) and 1 (without) go many in one text, others alone."""
+        order, flat, sizes, rest = [], [self.flat], [], [np.flatnonzero(group == 2)]
+        for g, between in enumerate(("", "\n")):
+            own = np.flatnonzero(group == g)
+            for k, found in enumerate(self._joint(pieces[own], length[own], between)):
+                some = own[k * JOINT : (k + 1) * JOINT]
+                if found is None:
+                    rest.append(some)
+                else:
+                    order.append(some)
+                    flat.append(found[0])
+                    sizes.append(found[1])
+        order += rest
+        each = self._encode(pieces[np.concatenate(rest)].tolist())
+        sizes.append(np.array([len(x) for x in each], np.int64))
         self.flat = np.concatenate([*flat, *each])
-        self.first, self.size = np.concatenate([self.first, first]), np.concatenate([self.size, size])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        order = np.concatenate(order)
+        place = np.empty(len(pieces), np.int64)
+        place[order] = np.arange(len(self.place), len(self.place) + len(pieces))
+        self.place.update(zip(pieces.tolist(), place.tolist(), strict=True))
+        return place
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after each other, and where each text's begin (one more for the end); null is empty."""
-        if len(self.place) > MEMORY:
+        if len(self.place) > MEMORY or len(self.flat) > 16 * MEMORY:
             self._forget()
         texts = pc.fill_null(texts, "")
         whole = pc.match_substring_regex(texts, ODD)
         for special in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, special))
-        cut = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(HEAD), pc.if_else(whole, "", texts), ""), " ")
-        words = cut.flatten().dictionary_encode()
-        own = words.dictionary.to_pylist()
-        place = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
-        if self.place.new:
-            self._learn(self.place.new)
-            self.place.new = []
-        at = place[words.indices.to_numpy()]
-        n = self.size[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
-        bound = total[np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])]
         odd = np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+        pieces, begin = _pieces(pc.if_else(whole, "", texts) if odd else texts)
+        pieces = pieces.dictionary_encode()
+        own = pieces.dictionary.to_numpy(zero_copy_only=False)
+        place = np.fromiter(map(self.place.get, own, repeat(-1)), np.int64, len(own))
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw, bounds = text_bytes(pieces.dictionary.take(pa.array(new)))
+            length = np.diff(bounds)
+            first, second, last = raw[bounds[:-1]], raw[np.minimum(bounds[:-1] + 1, len(raw) - 1)], raw[bounds[1:] - 1]
+            group = np.where(last <= 32, 2, np.where(first > 32, 1, np.where((first == 32) & (second > 32), 0, 2)))
+            place[new] = self._learn(own[new], length, group)
+        known = pa.Array.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(2 * self.ends), pa.py_buffer(self.flat)])
+        _, reached, data = known.take(pa.array(place)).take(pieces.indices).buffers()
+        bound = np.frombuffer(reached, np.int64, len(pieces) + 1)[begin] // 2
+        ids = np.frombuffer(data, np.uint16, bound[-1]) if bound[-1] else np.zeros(0, np.uint16)
         if odd:
             parts = [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
             for k, x in zip(odd, self._encode(texts.take(pa.array(odd)).to_pylist()), strict=True):
@@ -166,19 +213,20 @@ def _encoded(path: str):
 
         def block() -> pa.RecordBatch:
             lengths = [len(x) for _, x in held]
-            row = [part, start, size, [d for d, _ in held], lengths, np.concatenate([x for _, x in held]).astype("<u2").tobytes()]
+            row = [part, start, size, [d for d, _ in held], lengths, np.concatenate([x for _, x in held]).astype("<u2", copy=False).tobytes()]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[c.split()[0] for c in RAW.split(", ")])
 
         for batch in batches:
             for own in slices(batch, most=PART):
                 ids, bound = encoder.ids(own.column("text"))
+                ids, bound = np.insert(ids, bound[1:], END), bound + np.arange(len(bound))
                 for doc, a, b in zip(own.column("doc_id").to_pylist(), bound[:-1].tolist(), bound[1:].tolist(), strict=True):
-                    if held and size + b - a + 1 > BLOCK:
+                    if held and size + b - a > BLOCK:
                         yield block()
                         start, held, size = start + size, [], 0
-                    held.append((doc, np.append(ids[a:b], np.uint16(END))))
-                    size += b - a + 1
+                    held.append((doc, ids[a:b]))
+                    size += b - a
         if held:
             yield block()
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -409,6 +411,23 @@ def test_rans_checkpoints():
     assert len(payload) * 8 < 12 * len(ids)
 
 
+def test_pieces_are_encoded_once():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    known, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    words = [a + b for a in "bdfgé" for b in ("ana", "orté", "üx", "elis")]
+    texts = [f"{a}{sign}{b} {b}{sign}{a}" for a in words for b in words for sign in (",", ".\n", "\n", "-", "7")]
+    ids, bound = encoder.ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(bound)] == [e.ids for e in known.encode_batch(texts, add_special_tokens=False)]
+    assert len(encoder.place) <= 2 * len(words) + 5, "words are remembered, not their combinations"
+    made = np.random.default_rng(0)
+    signs = np.array([*"aZé×9٣'.,- \n\t\r\x00́中", "'s", "'re", " the", "\n\n", "  ", "\u00a0", "\u2028", "<|endoftext|>"])
+    texts = [None, "", *("".join(made.choice(signs, made.integers(0, 12))) for _ in range(5000))]
+    ids, bound = encoder.ids(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in itertools.pairwise(bound)] == [e.ids for e in known.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
 # ---- HTML
 
 
