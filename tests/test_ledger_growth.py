@@ -199,3 +199,24 @@ def test_anchors_hide_no_rule(spark):
         want += [(c, weight[s]) for c, s, p in safety.INJECTION if re.search(p, t, re.I | re.A)]
         assert (r.s.points, r.s.hits, r.s.codes) == (min(100, sum(w for _, w in want)), len(want), ",".join(f"injection:{c}" for c, _ in want)), t
         assert r.id > 14 or want
+
+
+def test_a_pack_is_held_against_its_hash_and_proofs(spark):
+    """A changed receipt, a lost receipt, a changed or missing proof, another root and another stated hash: each is seen, and no other pack is."""
+    names = ["whole", "changed", "short", "moved", "unproved", "rooted", "restated", "emptied"]
+    rows = [(t, k, f"{t}-{k}", f"{k:064x}", f"body {k}") for t in names for k in range(5)]
+    held, proofs, manifests = ledger.build_packs(spark.createDataFrame(rows, "tenant_id string, idx long, receipt_id string, receipt_hash string, raw string"))
+    is_ = lambda name: F.col("tenant_id") == name
+    held = held.withColumn("receipt_hash", F.when(is_("changed") & (F.col("idx") == 2), F.sha2("receipt_hash", 256)).otherwise(F.col("receipt_hash"))).where(~(is_("short") & (F.col("idx") == 4)) & ~is_("emptied"))
+    proofs = proofs.withColumn("path", F.when(is_("moved") & (F.col("idx") == 1), F.reverse("path")).otherwise(F.col("path"))).where(~(is_("unproved") & (F.col("idx") == 3)))
+    manifests = manifests.withColumn("root", F.when(is_("rooted"), F.sha2("root", 256)).otherwise(F.col("root"))).withColumn("pack_hash", F.when(is_("restated"), F.sha2("pack_hash", 256)).otherwise(F.col("pack_hash")))
+    hashes = ledger.pack_hash_checks(held, proofs, manifests)
+    assert {r.tenant_id for r in hashes.where("pack_hash_ok").collect()} == {"whole"} and hashes.count() == len(names)
+    checks = ledger.with_inclusion(held.withColumn("leaf", ledger.leaf_hash(F.col("receipt_hash"))).withColumn("hash_ok", F.lit(True)).withColumn("signature_ok", F.lit(True)), proofs, manifests)
+    out = {r.receipt_id for r in checks.where("not included").collect()}
+    assert out == {"changed-2", "moved-1", "unproved-3", *[f"rooted-{k}" for k in range(5)]} and checks.count() == 34
+    found = {r.tenant_id: r for r in ledger.verify_pack(checks, packs=hashes.withColumn("keyed", F.lit(True))).collect()}
+    assert {t for t, r in found.items() if r.valid} == {"whole"} and set(found) == set(names)
+    assert (found["restated"].failed, found["unproved"].failed, found["short"].receipts, found["emptied"].receipts) == (0, 1, 4, 0)
+    bare = ledger.verify_pack(checks, packs=hashes.withColumn("keyed", F.lit(False))).collect()
+    assert not any(r.valid or r.pack_hash_matches or r.all_receipts_included or r.all_signatures_valid for r in bare)
