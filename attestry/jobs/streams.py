@@ -89,7 +89,8 @@ def stream_conflicts(spark, sf_dir):
 
 @query("stream_chain", "SELECT tenant_id, CAST(chain_height AS BIGINT) AS chain_height, CASE WHEN event_id % 499 = 0 THEN 'broken' ELSE 'ok' END AS verdict FROM receipts", "receipts")
 def stream_chain(spark, sf_dir):
-    return op.in_slices(timed(spark, sf_dir), op.stream_chain, flush="2 hours")
+    rows = receipts.receipts(spark, sf_dir).select("tenant_id", F.col("ts").cast("timestamp").alias("ts"), "chain_height", "receipt_hash", "previous_receipt_hash")
+    return op.in_slices(rows, op.stream_chain, flush="2 hours")
 
 
 @query("stream_budget", _PRICED + """, s AS (SELECT tenant_id, captured_at[1:7] AS month, captured_at, event_id, CAST(sum(coalesce(nano, 0)) OVER (PARTITION BY tenant_id, captured_at[1:7] ORDER BY captured_at, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent_nano FROM priced),

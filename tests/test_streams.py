@@ -190,3 +190,60 @@ def test_state_is_called_by_frames_and_buckets():
     assert [tuple(r) for r in out[["key", "at"]].itertuples(index=False)] == [(f"k{n % 400}", n) for n in range(500)]
     assert [r for r in out["last"].tolist() if r == r] == list(range(100))
     assert len(handle.made["waiting"].rows) == 1 and 0 < handle.made["held"].calls <= 4 * BUCKETS
+
+
+def test_rows_that_wait_are_not_read_again_when_more_come():
+    """The list of what waits holds numbers and times alone, as the store reads it at each addition; rows lie under their frame's number and go by it."""
+    import pandas as pd
+
+    from attestry.streaming.ordered import ROWS, InOrder
+
+    class State(dict):
+        def __init__(self):
+            self.rows, self.added = [], 0
+
+        def appendList(self, rows):
+            self.added += 1
+            self.rows += rows
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        get = lambda self, *_: iter(list(self.rows))
+        put = lambda self, rows: self.rows.__setitem__(slice(None), rows)
+        clear = lambda self: self.rows.clear()
+        exists = lambda self: False
+        update = lambda self, _: None
+        getValue, containsKey, removeKey = dict.__getitem__, dict.__contains__, dict.pop
+        iterator = lambda self: iter(list(self.items()))
+
+    class Handle:
+        def __init__(self):
+            self.made = {}
+
+        def _state(self, name, *_):
+            return self.made.setdefault(name, State())
+
+        getListState = getMapState = getValueState = _state
+
+        def registerTimer(self, at): ...
+
+    class Times:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def getCurrentWatermarkInMs(self):
+            return self.mark
+
+    handle, n = Handle(), 3 * ROWS
+    job = InOrder("key string, event_ms long, note string", ["key", "at", "note"], lambda held, row: ((), [row]), 0, 1, None)
+    job.init(handle)
+    frame = pd.DataFrame({"key": "k", "event_ms": range(n), "note": [None, "x"] * (n // 2)}).sample(frac=1, random_state=1)
+    for half in (frame[: n // 2], frame[n // 2 :]):
+        list(job.handleInputRows(0, iter([half[k : k + 1000] for k in range(0, len(half), 1000)]), None))
+    waiting, frames = handle.made["waiting"], handle.made["frames"]
+    assert waiting.added == 2 and len(waiting.rows) == len(frames) > 40 and all(isinstance(x, int) for row in waiting.rows for x in row)
+    told = [list(job.handleExpiredTimer(0, Times(mark), None)) for mark in (n // 2, 10 * n)]
+    assert not frames and not waiting.rows and max(len(f) for out in told for f in out) == ROWS
+    rows = [tuple(r) for out in told for f in out for r in f.itertuples(index=False)]
+    assert rows == [("k", at, "x" if at % 2 else None) for at in range(n)] and sum(map(len, told[0])) == n // 2
