@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions.tables import shared_dir, written
 from attestry.operators.exports import validate_events
+from attestry.streaming.decided import FIELDS, NONE, Decided
 from attestry.streaming.ordered import in_order, state_on_disk
 from attestry.streaming.sinks import write_once
 
@@ -31,7 +32,7 @@ def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], s
     order: a time or number column. A slice is written by as many tasks as hold its rows, and read as one batch of all its
     files; the query stops after each batch and goes on from its checkpoint. A query that returns nothing has its own sink,
     and is called for each slice. flush: a heartbeat follows the last slice, a row of nulls with a ts that much after the
-    newest, so that the watermark passes all rows. on_disk: state in RocksDB, which ordered state needs, else as the session has it.
+    newest, so that the watermark passes all rows. on_disk: state in RocksDB, which keyed state has always, else as the session has it.
     """
     spark, base = rows.sparkSession, folder(rows.sparkSession)
     place = F.col(order).cast("timestamp").cast("double") if "timestamp" in dict(rows.dtypes)[order] else F.col(order).cast("double")
@@ -48,7 +49,8 @@ def in_slices(rows: DataFrame, query: Callable[[DataFrame], DataFrame | None], s
         one.write.mode("append").parquet(f"{base}/in")
         with state_on_disk(spark) if on_disk else nullcontext():
             found = query(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
-            if found is not None:
+        if found is not None:
+            with state_on_disk(spark) if on_disk or "TransformWithState" in found._jdf.queryExecution().logical().toString() else nullcontext():
                 found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return None if found is None else spark.read.schema(found.schema).parquet(f"{base}/out")
 
@@ -156,28 +158,28 @@ def stream_prompt_cache(rows: DataFrame, ttl_seconds: int = 3600, late: str = "1
     return in_order(rows, "prompt_key", F.col("at_s") * 1000, ["event_id"], [], step, "prompt_key string, event_id long, hit boolean", late, 1000, lambda held: held[0] + 1000 * ttl_seconds, groups)
 
 
-def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int = 2, late: str = "1 day", longest: str = "60 days", early: str = "0 days") -> DataFrame:
+def stream_approvals(requests: DataFrame, decisions: DataFrame, threshold: int = 2, late: str = "1 day", longest: str = "60 days", early: str = "0 days", groups: int = 128) -> DataFrame:
     """request, deadline_s, status, seq once the watermark has passed a request's time: rejected, approved by enough approvers, or expired (seq null).
 
-    requests: request, ts, deadline_s; decisions: request, approver, decision, ts, seq. A stream-stream join gives each
-    request its decisions from `early` before its own time to before its deadline, at most `longest` after it, which bounds
-    the state of both sides; requests without any come out when no decision can be in time any more. Of an approver the first decision
-    counts; in time order the first rejection rejects, the threshold-th approval before it approves; of one time and seq
-    a rejection comes first. All by built-in aggregates: no Python call for a request.
+    requests: request, ts, deadline_s; decisions: request, approver, decision, ts, seq. A request has the decisions from
+    `early` before its own time to before its deadline, at most `longest` after it, which bounds the state of both sides. Of
+    an approver the first decision counts; in time order the first rejection rejects, the threshold-th approval before it
+    approves; of one time and seq a rejection comes first. State lies on disk by groups of requests (`decided`).
     """
-    asked = requests.select(F.col("request").alias("request"), F.col("ts").alias("asked_ts"), F.col("deadline_s").alias("deadline_s")).withWatermark("asked_ts", late)
-    # A heartbeat (nulls but ts) must reach both watermarks: conditions that don't name the time are tested before them.
-    told = decisions.select(F.coalesce("request", F.lit("\0")).alias("told_request"), F.col("approver").alias("approver"), F.col("decision").alias("decision"), F.col("seq").alias("seq"), F.col("ts").alias("told_ts")).withWatermark("told_ts", late)
-    in_time = F.expr(f"request = told_request and told_ts >= asked_ts - interval {early} and told_ts <= asked_ts + interval {longest} and told_ts < timestamp_seconds(deadline_s)")
-    joined = asked.join(told, in_time, "leftOuter")
-    once = joined.groupBy("request", "asked_ts", "deadline_s", "approver").agg(F.min(F.struct("told_ts", "seq", (F.col("decision") != "reject").alias("later"), "decision")).alias("d"))
-    each = once.groupBy("request", "asked_ts", "deadline_s").agg(F.sort_array(F.collect_list("d")).alias("d"))
-    start = F.struct(F.lit(0).alias("yes"), F.lit(None).cast("string").alias("status"), F.lit(None).cast("long").alias("seq"))
-
-    def told_next(acc, d):
-        yes = acc["yes"] + F.when(d["decision"] == "approve", 1).otherwise(0)
-        status = F.when(d["decision"] == "reject", "rejected").when(yes >= threshold, "approved")
-        return F.when(acc["status"].isNotNull(), acc).otherwise(F.struct(yes.alias("yes"), status.alias("status"), F.when(status.isNotNull(), d["seq"]).alias("seq")))
-
-    end = F.aggregate("d", start, told_next)
-    return each.select("request", "deadline_s", end.alias("e"), "asked_ts").where("if(request is null, null, asked_ts) is not null").select("request", "deadline_s", F.coalesce("e.status", F.lit("expired")).alias("status"), "e.seq")
+    ts, none = F.col("ts"), F.lit(NONE).cast("long")
+    whole = lambda c: F.coalesce(F.col(c).cast("long"), none).alias(c)
+    text = F.lit(None).cast("string")
+    last = F.least(F.unix_micros(ts + F.expr(f"interval {longest}")), F.col("deadline_s") * 1_000_000 - 1)
+    no_time = F.col("deadline_s").isNull()
+    first = F.when(no_time, (1 << 63) - 1).otherwise(F.unix_micros(ts - F.expr(f"interval {early}")))
+    asked = requests.withWatermark("ts", late).select(
+        "request", "ts", F.unix_micros(ts).alias("at"), F.lit(True).alias("asked"), first.alias("low"), F.when(no_time, F.unix_micros(ts)).otherwise(last).alias("high"), whole("deadline_s"), text.alias("approver"), text.alias("decision"), none.alias("seq")
+    )
+    told = decisions.withWatermark("ts", late).select(
+        "request", "ts", F.unix_micros(ts).alias("at"), F.lit(False).alias("asked"), F.unix_micros(ts + F.expr(f"interval {early}")).alias("low"), F.lit(0).cast("long").alias("high"), none.alias("deadline_s"), "approver", "decision", whole("seq")
+    )
+    # One condition that names ts, else Spark filters before the watermark has seen the heartbeat.
+    known = asked.unionByName(told).where("if(request is null, null, ts) is not null")
+    slim = known.select(F.pmod(F.xxhash64("request"), F.lit(groups)).cast("int").alias("event_group"), *FIELDS)
+    found = slim.groupBy("event_group").transformWithStateInPandas(Decided(threshold), "request string, deadline_s long, status string, seq long", "Append", "EventTime")
+    return found.select("request", F.nullif("deadline_s", none).alias("deadline_s"), "status", F.nullif("seq", none).alias("seq"))

@@ -192,48 +192,51 @@ def test_state_is_called_by_frames_and_buckets():
     assert len(handle.made["waiting"].rows) == 1 and 0 < handle.made["held"].calls <= 4 * BUCKETS
 
 
-def test_rows_that_wait_are_not_read_again_when_more_come():
-    """The list of what waits holds numbers and times alone, as the store reads it at each addition; rows lie under their frame's number and go by it."""
-    import pandas as pd
+class Kept(dict):
+    def __init__(self):
+        self.rows, self.added = [], 0
 
-    from attestry.streaming.ordered import ROWS, InOrder
+    def appendList(self, rows):
+        self.added += 1
+        self.rows += rows
 
-    class State(dict):
-        def __init__(self):
-            self.rows, self.added = [], 0
+    def updateValue(self, key, value):
+        self[key] = value
 
-        def appendList(self, rows):
-            self.added += 1
-            self.rows += rows
+    get = lambda self, *_: iter(list(self.rows))
+    put = lambda self, rows: self.rows.__setitem__(slice(None), rows)
+    clear = lambda self: self.rows.clear()
+    exists = lambda self: False
+    update = lambda self, _: None
+    getValue, containsKey, removeKey = dict.__getitem__, dict.__contains__, dict.pop
+    iterator = lambda self: iter(list(self.items()))
 
-        def updateValue(self, key, value):
-            self[key] = value
 
-        get = lambda self, *_: iter(list(self.rows))
-        put = lambda self, rows: self.rows.__setitem__(slice(None), rows)
-        clear = lambda self: self.rows.clear()
-        exists = lambda self: False
-        update = lambda self, _: None
-        getValue, containsKey, removeKey = dict.__getitem__, dict.__contains__, dict.pop
-        iterator = lambda self: iter(list(self.items()))
+class Handle:
+    def __init__(self):
+        self.made = {}
 
-    class Handle:
-        def __init__(self):
-            self.made = {}
+    def _state(self, name, *_):
+        return self.made.setdefault(name, Kept())
 
-        def _state(self, name, *_):
-            return self.made.setdefault(name, State())
+    getListState = getMapState = getValueState = _state
 
-        getListState = getMapState = getValueState = _state
+    def registerTimer(self, at): ...
 
-        def registerTimer(self, at): ...
 
-    class Times:
-        def __init__(self, mark):
-            self.mark = mark
+class Times:
+    def __init__(self, mark):
+        self.mark = mark
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
 
-        def getCurrentWatermarkInMs(self):
-            return self.mark
+
+def test_rows_that_wait_are_not_read_again_when_more_come():
+    """The list of what waits holds numbers and times alone, as the store reads it at each addition; rows lie under their frame's number and go by it."""
+    import pandas as pd
+
+    from attestry.streaming.ordered import ROWS, InOrder
 
     handle, n = Handle(), 3 * ROWS
     job = InOrder("key string, event_ms long, note string", ["key", "at", "note"], lambda held, row: ((), [row]), 0, 1, None)
@@ -247,3 +250,43 @@ def test_rows_that_wait_are_not_read_again_when_more_come():
     assert not frames and not waiting.rows and max(len(f) for out in told for f in out) == ROWS
     rows = [tuple(r) for out in told for f in out for r in f.itertuples(index=False)]
     assert rows == [("k", at, "x" if at % 2 else None) for at in range(n)] and sum(map(len, told[0])) == n // 2
+
+
+def test_approvals_against_a_plain_pass():
+    """Random requests and decisions in shuffled frames and several marks: each request is told once, when its time is over, and no row stays that can't count."""
+    import pandas as pd
+
+    from attestry.streaming.decided import FIELDS, NONE, WAKE, Decided
+
+    rng, hour = random.Random(4), 3_600_000_000
+    asked, told = {}, []
+    for k in range(300):
+        at = rng.randrange(100) * hour
+        asked[f"r{k}"] = (at, at - 5 * hour, at + rng.randrange(-2, 40) * hour, rng.choice([k, NONE]))
+    for seq in range(3000):
+        told.append((f"r{rng.randrange(330)}", rng.randrange(160) * hour, rng.choice(["x", "y", "z", "w", None]), rng.choice(["approve", "approve", "approve", "reject", "other", None]), rng.choice([seq, 1, NONE])))
+    rows = [(r, at, True, low, high, deadline, None, None, NONE) for r, (at, low, high, deadline) in asked.items()] + [(r, at, False, at + 5 * hour, 0, NONE, who, what, seq) for r, at, who, what, seq in told]
+    want = {}
+    for r, (_, low, high, deadline) in asked.items():
+        seen, yes, found = set(), 0, ("expired", NONE)
+        own = [d for d in told if d[0] == r and low <= d[1] <= high]
+        for _, _, who, what, seq in sorted(own, key=lambda d: (d[1], d[4], d[3] != "reject", d[3] or "")):
+            if who not in seen and found[0] == "expired":
+                seen.add(who)
+                yes += what == "approve"
+                found = ("rejected", seq) if what == "reject" else ("approved", seq) if yes >= 2 else found
+        want[r] = (deadline, *found)
+    handle, job = Handle(), Decided(2)
+    job.init(handle)
+    got, mark = [], 0
+    for until in (0, 30, 60, 90, 200, 400):
+        batch = [x for x in rows if mark <= x[1] // 1000 < until * WAKE]
+        rng.shuffle(batch)
+        frame = pd.DataFrame(batch, columns=list(FIELDS))
+        list(job.handleInputRows(0, iter([frame[k : k + 100] for k in range(0, len(frame), 100)]), Times(mark)))
+        mark = until * WAKE
+        for out in job.handleExpiredTimer(0, Times(mark), None):
+            assert all(asked[r][2] < 1000 * mark for r in out["request"])
+            got += [tuple(x) for x in out.itertuples(index=False)]
+    assert sorted(got) == sorted((r, *w) for r, w in want.items()) and {w[1] for w in want.values()} == {"approved", "rejected", "expired"}
+    assert not handle.made["frames"] and not handle.made["waiting"].rows
